@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finscope.llm import line_dedup, quality_rules
+from finscope.llm import bpe, line_dedup, quality_rules, token_counts
 from finscope.llm.shared import documents
 
 
+def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Tokenizer:
+    import public_tokenizers
+
+    return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduped(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tokenizer(spark)
+    out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), own).drop("text"), own)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and after an edit that redacts each mail address and each run of four or more digits."""
+    own = tokenizer(spark)
+    state = token_counts.counted(documents(spark, sf_dir).select("doc_id", "text"), own)
+    edited = token_counts.recounted(token_counts.pattern_edits(state, r"[\w.+-]+@[\w-]+\.[\w.]+|[0-9]{4,}", "<redacted>"), own)
+    return edited.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.report(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -22,6 +42,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op6_byte_level_bpe": op6_byte_level_bpe,
+        "op7_token_counts": op7_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
 

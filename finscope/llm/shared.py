@@ -82,3 +82,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
         h = h ^ (h >> np.uint64(33))
         h = h * np.uint64(0xC4CEB9FE1A85EC53)
         return h ^ (h >> np.uint64(33))
+
+
+def appended(df: DataFrame, fields: str, start, rows: int = 500) -> DataFrame:
+    """df with the columns of `fields` (a DDL string), made by Python on Arrow batches.
+
+    start() is called once in a task and returns a function from a RecordBatch
+    of at most `rows` rows to a list of arrays, one for each field. An input
+    column of the same name as a new one is replaced.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    keep = [c for c in df.columns if c not in new.names]
+    schema = StructType([df.schema[c] for c in keep] + new.fields)
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                made = work(part)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=schema.names)
+
+    return df.mapInArrow(run, schema)
