@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finscope.llm import bpe, line_dedup, quality_rules, token_counts
+from finscope.llm import bpe, language_id, line_dedup, quality_rules, simhash, token_counts
 from finscope.llm.shared import documents
 
 
@@ -20,6 +20,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.components(simhash.fingerprints(documents(spark, sf_dir)))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tokenizer(spark)
     out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), own).drop("text"), own)
@@ -34,6 +39,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.predicted(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.report(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -42,8 +53,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_simhash": op3_simhash,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_token_counts": op7_token_counts,
+        "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finscope.scratch import written  # noqa: F401
+
 #: Fixed by the contracts: a word is a maximal run of characters other than these.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,23 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/checkpoints"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back, which cuts the lineage.
-
-    The files survive lost executors; the cluster clears the folder.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text_key, text) of the given rows.
 
