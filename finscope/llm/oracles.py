@@ -47,3 +47,23 @@ WITH d AS (
 )
 SELECT doc_id, n_lines, n_removed, sha256(coalesce(array_to_string(ks, chr(10)), '')) AS kept_sha256 FROM kept
 """
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM d, unnest(range(1, len(ws) - 11)) AS t(i)
+), later AS (
+  SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id
+), cov AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM later, unnest(range(0, 13)) AS t(k)
+), kept AS (
+  SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS txt
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d) u ANTI JOIN cov ON u.doc_id = cov.doc_id AND u.i = cov.i
+  GROUP BY u.doc_id
+), n AS (
+  SELECT doc_id, count(*)::BIGINT AS n_removed FROM cov GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

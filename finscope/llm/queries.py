@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finscope.llm import bpe, language_id, line_dedup, quality_rules, simhash, token_counts
+from finscope.llm import bpe, language_id, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 from finscope.llm.shared import documents
 
 
@@ -15,6 +15,11 @@ def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") ->
     return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduped(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduped(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -39,6 +44,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.deduped(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = language_id.predicted(docs.select("doc_id", "text"), language_id.fit(docs))
@@ -52,10 +62,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_simhash": op3_simhash,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_token_counts": op7_token_counts,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_language_id": op9_language_id,
         "op10_quality_rules": op10_quality_rules,
     }
@@ -65,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
     from finscope.llm import oracles
 
     return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
         "op2_line_dedup": oracles.LINE_DEDUP,
         "op10_quality_rules": oracles.QUALITY_RULES,
     }

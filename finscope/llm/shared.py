@@ -20,11 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text_key, text) of the given rows.
 
-    text_key tells rows that share an id apart. Rows with the same id and the
-    same text are one document as far as order and "earlier" are concerned.
+    text_key tells rows apart that share an id or have none; where every id is
+    unique, as one look at the ids shows, it is 0. Rows with the same id and the
+    same text are one document where documents are compared.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text_col).alias("text"))
+    seen = docs.select(F.col(id_col).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    odd = seen.where("n > 1 OR doc_id IS NULL").limit(1).count()
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if odd else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("text_key"), F.col(text_col).alias("text"))
 
 
 def words_of(text: Column) -> Column:
