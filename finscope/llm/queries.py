@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finscope.llm import bpe, language_id, line_dedup, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from finscope.llm import bpe, decontamination, language_id, line_dedup, quality_rules, secrets_scan, simhash, substring_dedup, suffix_dedup, token_counts
 from finscope.llm.shared import documents
 
 
@@ -30,6 +30,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each test item found in a document; clean documents have none."""
+    out = decontamination.with_leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.score", "leak.first_word", "leak.end_word")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets_scan.spans(documents(spark, sf_dir))
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(secrets_scan.listed(F.col("base")), 256).alias("base_sha256"), secrets_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tokenizer(spark)
     out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), own).drop("text"), own)
@@ -65,6 +77,8 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_simhash": op3_simhash,
+        "op4_decontamination": op4_decontamination,
+        "op5_secret_scan": op5_secret_scan,
         "op6_byte_level_bpe": op6_byte_level_bpe,
         "op7_token_counts": op7_token_counts,
         "op8_suffix_array_dedup": op8_suffix_array_dedup,

@@ -9,7 +9,7 @@ probes; the estimates come from the bit counts of all fingerprints.
 Equal fingerprints are one node, so thousands of exact copies cost one. A
 bucket of more than `bucket` nodes is dealt out as a triangle of cells, each of
 at most two blocks, so that every pair still meets once; a cell returns a
-spanning forest of its links and never all pairs.
+spanning forest of its links, nearest first, and never all pairs.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like
 any other; texts of fewer words than a shingle have their whole sequence as the
@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finscope.llm.repeats import bitmap_of
 from finscope.llm.shared import appended, written
 from finscope.matching.components import connected_components
 
@@ -191,45 +192,54 @@ def dealt(rows: DataFrame, bucket: int) -> DataFrame:
     return out.withColumn("other", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("n", "other")
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Least place reachable from each of n places over the links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-    return label
+def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.ndarray:
+    """Places, in a and b, of the edges of a spanning forest over n nodes, nearer edges first."""
+    label, out = np.arange(n), []
+    for t in np.unique(distance):
+        e = np.flatnonzero(distance == t)
+        while len(e):
+            x, y = label[a[e]], label[b[e]]
+            apart = x != y
+            e, x, y = e[apart], x[apart], y[apart]
+            # Every component hangs itself on one with a smaller label, by one edge.
+            upper, pick = np.unique(np.maximum(x, y), return_index=True)
+            out.append(e[pick])
+            up = np.arange(n)
+            up[upper] = np.minimum(x, y)[pick]
+            while (up != up[up]).any():
+                up = up[up]
+            label = up[label]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def cell_links(keys: np.ndarray, fp: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest of the links within runs of equal keys. Rows of a run are compared with the one d further on, d = 1, 2, ..."""
-    n, found_a, found_b = len(fp), [], []
+    """A nearest-first spanning forest of the links within runs of equal keys. Rows are compared with the one d further on, d = 1, 2, ..."""
+    n, none = len(fp), np.zeros(0, np.int64)
+    found = [(none, none, none.astype(np.uint8))]
     at, d, held = np.arange(n - 1), 1, 0
-    roots = np.arange(n)
+
+    def thinned():
+        a, b, near = (np.concatenate(x) for x in zip(*found))
+        keep = spanning(a, b, near, n)
+        return [(a[keep], b[keep], near[keep])]
+
     while len(at):
         at = at[at + d < n]
         at = at[keys[at] == keys[at + d]]
-        near = (np.bitwise_count(fp[at] ^ fp[at + d]) <= k) & (exact[at] | exact[at + d]) & (fp[at] != fp[at + d])
+        apart = np.bitwise_count(fp[at] ^ fp[at + d])
+        near = (apart <= k) & (exact[at] | exact[at + d]) & (apart > 0)
         if near.any():
-            found_a.append(at[near])
-            found_b.append(at[near] + d)
+            found.append((at[near], at[near] + d, apart[near]))
             held += int(near.sum())
         if held > 2_000_000:
-            roots = forest(np.concatenate([*found_a, np.arange(n)]), np.concatenate([*found_b, roots]), n)
-            found_a, found_b, held = [], [], 0
+            found, held = thinned(), 0
         d += 1
-    roots = forest(np.concatenate([*found_a, np.arange(n)]), np.concatenate([*found_b, roots]), n)
-    moved = np.flatnonzero(roots != np.arange(n))
-    return fp[moved], fp[roots[moved]]
+    ((a, b, _),) = thinned()
+    return fp[a], fp[b]
 
 
 def links(nodes: DataFrame, k: int, bucket: int = 2048, chosen: Plan | None = None) -> DataFrame:
-    """(a, b): edges that connect exactly what pairs within k bits connect. `nodes` has distinct fp."""
+    """(a, b): some of the pairs within k bits; they connect whatever all of those pairs connect. `nodes` has distinct fp."""
     if chosen is None:
         chosen = plan(*bit_counts(nodes), k)
     rows = dealt(probes(nodes, chosen), bucket)
@@ -267,3 +277,84 @@ def components(prints: DataFrame, k: int = 3, bucket: int = 2048) -> DataFrame:
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def prints_of(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text_key, fp, content) of `identified` rows; content is a 128-bit hash of the lower-case words."""
+
+    def start():
+        def work(batch: pa.RecordBatch):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+            return [pa.array(fps), pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts], pa.binary())]
+
+        return work
+
+    return appended(docs, "fp long, content binary", start).drop("text")
+
+
+def shingle_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
+    """(content, shingles) for the contents in `nodes`; shingles are 64-bit hashes, each once.
+
+    A bitmap of bounded size spares most other texts the hashing; the join is
+    exact with or without it.
+    """
+    bitmap = bitmap_of(nodes.select(F.xxhash64("content").alias("anchor")))
+    rows = docs.select("text_key", "text")
+
+    def start():
+        bits = None if bitmap is None else bitmap.value
+
+        def work(batch: pa.RecordBatch):
+            contents, sets = [], []
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                words = (text or "").encode().lower().split()
+                content = xxhash.xxh3_128_digest(b" ".join(words))
+                key = xxhash.xxh64_intdigest(content, 42)  # what xxhash64 of Spark gives for these bytes
+                wanted = bits is None or bits[(key & (len(bits) * 8 - 1)) >> 3] >> (key & 7) & 1
+                contents.append(content if wanted else None)
+                own = {xxhash.xxh64_intdigest(p) for pieces in shingles(words, width) for p in pieces} if wanted and words else ()
+                sets.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+            return [pa.array(contents, pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+
+        return work
+
+    made = appended(rows, "content binary, shingles array<bigint>", start).drop("text", "text_key").where("content IS NOT NULL")
+    return made.groupBy("content").agg(F.any_value("shingles").alias("shingles")).join(nodes, "content", "left_semi")
+
+
+def deduped(docs: DataFrame, width: int = 5, k: int = 10, min_similarity: float = 0.8, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but the first document, by id, of each group of near duplicates.
+
+    Texts of the same words are copies. Others are linked if their fingerprints
+    over `width`-word shingles are within k bits and the Jaccard similarity of
+    their shingles is at least min_similarity; links join groups. Of copies with
+    the same id the one with the least text hash stays, and of rows with the
+    same id and text one stays; null ids come last.
+    """
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col(text_col).alias("text"))
+    prints = written(prints_of(rows, width), "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    texts = written(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min(place).alias("first")), "texts")
+    of_fp = written(texts.groupBy("fp").agg(F.min("content").alias("head")), "heads")
+    edges = links(of_fp.select("fp"), k, bucket)
+    a, b = of_fp.select(F.col("fp").alias("a"), F.col("head").alias("u")), of_fp.select(F.col("fp").alias("b"), F.col("head").alias("v"))
+    across = edges.join(a, "a").join(b, "b").select("u", "v")
+    within = texts.join(of_fp, "fp").where("content <> head").select(F.col("content").alias("u"), F.col("head").alias("v"))
+    edges = written(across.unionByName(within), "near-edges")
+    nodes = written(edges.select(F.explode(F.array("u", "v")).alias("content")).distinct(), "near-nodes")
+    sets = written(shingle_sets(rows, width, nodes), "shingle-sets")
+    met = edges.join(sets.select(F.col("content").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("content").alias("v"), F.col("shingles").alias("sv")), "v")
+    both = F.size(F.array_intersect("su", "sv"))
+    similar = met.select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("total")).where(F.col("both") >= min_similarity * (F.col("total") - F.col("both")))
+    roots = connected_components(similar.select("u", "v"), "u", "v")
+    named = texts.join(roots, texts["content"] == roots["node"], "left").select("content", "first", F.coalesce("root", "content").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    stay = stay.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"))
+    on = F.col("_id").eqNullSafe(F.col("s_id")) & (F.col("_key") == F.col("s_key"))
+    kept = keyed.join(stay.hint("shuffle_hash"), on, "left_semi")
+    many = prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if many:
+        kept = kept.dropDuplicates(["_id", "_key"])
+    return kept.select(*docs.columns)

@@ -92,3 +92,39 @@ def test_empty_and_clashing_columns(spark):
     out = simhash.components(simhash.fingerprints(df))
     assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {1: 1, 2: 2}
     assert simhash.components(simhash.fingerprints(df.where(F.lit(False)))).count() == 0
+
+
+def jaccard(a, b, width=5):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    bases = [[word() for _ in range(150)] for _ in range(12)]
+    rows, group = [], {}
+    for g, base in enumerate(bases):
+        for c in range(6):
+            w = list(base)
+            if c > 1:
+                w[rng.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w).upper() if c == 1 else " ".join(w), f"s{g}"))
+            group[rows[-1][0]] = g
+    far = list(bases[0])
+    for i in range(0, 150, 6):
+        far[i] = word()
+    rows.append((len(rows), " ".join(far), "far"))
+    rows += [(1000, None, "a"), (1001, "", "b"), (None, "alone here", "c"), (None, "alone here", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, content string")
+    out = simhash.deduped(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(far) and 72 in ids and ids.count(None) == 1 and 1000 in ids and 1001 not in ids
+    left = [i for i in ids if i is not None and i < 72]
+    assert {group[i] for i in left} == set(range(12)) and all(i % 6 == 0 for i in left[:0]) and len(left) == 12
+    assert simhash.deduped(df.where("doc_id < 0")).count() == 0
