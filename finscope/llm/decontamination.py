@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits in lower case. Every document is looked
 through for the n-grams of every test item; how many documents hold each n-gram
-is counted over the whole corpus, and an item's seeds are its n-grams no more
-frequent than its median one. Where a document holds a seed, the item is aligned
+is counted over the whole corpus, and an item's seeds are those not far more
+frequent than its median one, so that its rare n-grams are seeds however often
+the item itself has been copied. Where a document holds a seed, the item is aligned
 with the words around it: +2 a match, -1 a mismatch or gap, as a share of what
 the item scores against itself. From `min_score` on the document is
 contaminated, which also catches paraphrased and edited copies.
@@ -99,8 +100,8 @@ class Items:
         good = self.grams[own] == h[at]
         return at[good], own[good]
 
-    def rare(self, frequency: np.ndarray) -> Items:
-        """Only the seeds: each item's n-grams whose document frequency is at most the item's median."""
+    def rare(self, frequency: np.ndarray, times: int = 8) -> Items:
+        """Only the seeds: each item's n-grams in at most `times` as many documents as its median one."""
         if not len(self.grams):
             return self
         gram = np.repeat(np.arange(len(self.grams)), np.diff(self.slot))
@@ -109,7 +110,7 @@ class Items:
         order = np.lexsort([own, self.place[:, 0]])
         items, start, count = np.unique(self.place[order, 0], return_index=True, return_counts=True)
         median[items] = own[order][start + count // 2]
-        keep = own <= median[self.place[:, 0]]
+        keep = own <= times * np.maximum(median[self.place[:, 0]], 1)
         kept, slot_of = np.unique(gram[keep], return_inverse=True)
         slot = np.searchsorted(slot_of, np.arange(len(kept) + 1))
         return Items(self.ids, self.word, self.first, self.size, self.grams[kept], slot, self.place[keep], self.bitmap(self.grams[kept]))

@@ -7,8 +7,8 @@ above and below the middle, and for serial correlation; Fisher's method makes
 one p-value of the three. Keys keep it large, words and names bring it down.
 
 How often nature reaches a p-value is learned from the candidates that are plain
-words (letters only, at most the first in upper case) of the same or a smaller
-length band. In each band the least cut-off is taken at which the expected share
+words (letters only, at most the first in upper case) of the same length band,
+or of shorter ones too where it has few. In each band the least cut-off is taken at which the expected share
 of natural ones among the candidates above it is at most `fdr`. Those counts
 cover the whole corpus and are as many as bands and bins.
 
@@ -147,14 +147,18 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return appended(rows, "base array<struct<start: bigint, kind: int, end: bigint>>, runs array<struct<start: bigint, end: bigint, encoding: string, p: double, band: int, word: boolean>>", start).drop("text")
 
 
-def cutoffs(scans: DataFrame, fdr: float = 0.05) -> dict[int, float]:
+def cutoffs(scans: DataFrame, fdr: float = 0.05, enough: int = 200) -> dict[int, float]:
     """Least p-value accepted in each length band; bands in which none will do are left out."""
     runs = scans.select(F.explode("runs").alias("r")).select("r.band", "r.word", F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     words, tested = np.zeros((len(BANDS) + 1, BINS)), np.zeros((len(BANDS) + 1, BINS))
     for r in runs.groupBy("band", "word", "bin").agg(F.count("*").alias("n")).collect():
         (words if r["word"] else tested)[r["band"], r["bin"]] = r["n"]
     above = lambda x: x[:, ::-1].cumsum(axis=1)[:, ::-1]
-    natural = above(words.cumsum(axis=0))  # of this band and the shorter ones, which look no less random
+    natural = words.copy()
+    for band in range(1, len(words)):  # words of shorter bands look no less random; they stand in where this one has few
+        if natural[band].sum() < enough:
+            natural[band] += natural[band - 1]
+    natural = above(natural)
     share = (1 + natural) / (1 + natural[:, :1])
     kept = above(tested)
     expected = share * kept[:, :1] / np.maximum(kept, 1)
