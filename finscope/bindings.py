@@ -13,6 +13,9 @@ SOURCES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "even
 MONEY = "decimal(18, 2)"
 
 
+PRICE = f"cast(l_extendedprice AS {MONEY})"
+
+
 def money(x: str) -> str:
     return f"cast({x} AS {MONEY})"
 
@@ -172,15 +175,15 @@ FROM lineitem WHERE l_partkey % 16 <> 5 GROUP BY 1, 2, 3, 4, 5, 6, l_partkey""",
     "unit4_spend_existence": "SELECT 'Unknown' AS house, house AS derived_house, u4_contract_id FROM unit4_spend WHERE coalesce(trim(u4_contract_id), '') <> ''",
     "budgets_report": f"""SELECT {house("l_suppkey")} AS house, {unless("l_orderkey % 99 = 3", text("5000 + l_partkey + CASE WHEN l_orderkey % 66 = 1 THEN 9000000 ELSE 0 END"))} AS account, {unless("l_partkey % 38 = 3", "'M' || " + text("l_suppkey % 5"))} AS mipck_l1, {unless("l_partkey % 29 = 3", "'H' || " + text("l_partkey % 300"))} AS haiscode,
   CASE WHEN l_partkey % 33 = 3 THEN ' ' ELSE 'CC' || {text("l_partkey % 50")} END AS costc, CASE WHEN l_orderkey % 49 = 3 THEN NULL WHEN l_orderkey % 48 = 3 THEN 17 ELSE cast(extract(month FROM l_shipdate) AS int) END AS period, cast(extract(year FROM l_shipdate) AS int) AS year,
-  {money("l_extendedprice")} AS gl_actuals, {unless("l_partkey % 31 = 3", money("l_extendedprice * 1.1"))} AS orig_budget, CASE WHEN l_partkey % 37 = 3 THEN NULL WHEN l_partkey % 41 = 3 THEN {money("0")} ELSE {money("l_extendedprice * 1.05")} END AS curr_budget,
-  {money("l_extendedprice * 1.02")} AS live_forecast, 'Category ' || {text("l_partkey % 25")} AS account_desc FROM lineitem""",
+  {money("l_extendedprice")} AS gl_actuals, {unless("l_partkey % 31 = 3", money(PRICE + ' * 1.1'))} AS orig_budget, CASE WHEN l_partkey % 37 = 3 THEN NULL WHEN l_partkey % 41 = 3 THEN {money("0")} ELSE {money(PRICE + ' * 1.05')} END AS curr_budget,
+  {money(PRICE + ' * 1.02')} AS live_forecast, 'Category ' || {text("l_partkey % 25")} AS account_desc FROM lineitem""",
     "project_list": f"""SELECT 'Parliament' AS house, 'U' || {text("p_partkey % 40")} AS unit, 'Unit ' || {text("p_partkey % 40")} AS unit_desc, CASE WHEN p_partkey % 90 = 3 THEN 'X' ELSE 'U' || {text("p_partkey % 40")} END || '-' || {text("CASE WHEN p_partkey % 160 = 45 THEN p_partkey - 40 ELSE p_partkey END")} AS hais_code,
   CASE WHEN p_partkey % 70 = 3 THEN 'DO NOT USE - ' ELSE '' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE {text("p_partkey")} END AS hais_desc, {unless("p_partkey % 44 = 3", "'C' || " + text("p_partkey % 40 % 4 + CASE WHEN p_partkey = 41 THEN 1 ELSE 0 END"))} AS projcat,
   {unless("p_partkey % 54 = 3", "'P' || " + text("p_partkey % 40 % 8"))} AS projgrp, 'Portfolio ' || {text("p_partkey % 40 % 8 % 5")} AS projgrp_desc, 'CC' || {text("p_partkey % 40")} AS costc, 'DIR' || {text("p_partkey % 40 % 6 + CASE WHEN p_partkey % 333 = 2 THEN 1 ELSE 0 END")} AS directorate,
   'DEP' || {text("p_partkey % 40 % 3")} AS department, CASE WHEN p_partkey % 8 = 5 THEN 'C' ELSE 'N' END AS status FROM part WHERE p_partkey % 10 <> 9""",
     "project_financials": f"""SELECT {house("l_suppkey")} AS house, 'U' || {text(_UNIT)} || '-' || {text("l_partkey")} AS hais_code, 'U' || {text("(l_partkey + CASE WHEN l_partkey % 45 = 2 THEN 1 ELSE 0 END) % 40")} AS unit, 'CC' || {text(_UNIT)} AS costc, 'DIR' || {text("l_partkey % 40 % 6")} AS directorate, 'DEP' || {text("l_partkey % 40 % 3")} AS department,
   cast(extract(year FROM l_shipdate) AS int) AS fiscal_year, {_PERIOD} AS period, CASE WHEN l_suppkey % 7 = 1 THEN 'Income' ELSE 'Costs' END AS mipck_l1_desc,
-  {money("CASE WHEN l_linestatus = 'F' AND l_partkey % 12 <> 1 THEN l_extendedprice ELSE 0 END")} AS actuals, {money("CASE WHEN l_partkey % 12 = 1 OR l_partkey % 9 = 2 THEN 0 ELSE l_extendedprice * 0.9 END")} AS budget,
+  {money("CASE WHEN l_linestatus = 'F' AND l_partkey % 12 <> 1 THEN l_extendedprice ELSE 0 END")} AS actuals, {money("CASE WHEN l_partkey % 12 = 1 OR l_partkey % 9 = 2 THEN 0 ELSE cast(l_extendedprice AS decimal(18, 2)) * 0.9 END")} AS budget,
   {money("CASE WHEN l_linestatus = 'O' AND l_partkey % 12 <> 1 THEN CASE WHEN l_orderkey % 20 = 3 THEN -1 * l_extendedprice WHEN l_orderkey % 20 = 4 THEN 2 ELSE l_extendedprice END ELSE 0 END")} AS committed FROM lineitem""",
     "employee_master": f"""SELECT 'RM' AS house, {text("CASE WHEN c_custkey % 140 = 9 THEN c_custkey - 1 ELSE c_custkey END")} AS employee_id, CASE WHEN c_custkey % 26 = 2 THEN NULL WHEN c_custkey % 28 = 2 THEN 'GB123456A' WHEN c_custkey % 30 = 2 THEN 'AB12' ELSE 'AB' || {text("100000 + c_custkey % 800000")} || 'C' END AS ni_number,
   CASE WHEN c_custkey % 6 = 1 THEN 'Leaver' ELSE 'Active' END AS employment_status, {unless("c_custkey % 25 = 2", text("10000000 + c_custkey"))} AS bank_account, {unless("c_custkey % 35 = 2", "'20-00-' || " + text("10 + c_custkey % 90"))} AS sort_code,

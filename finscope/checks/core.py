@@ -201,7 +201,8 @@ def failing_rows(frames: dict[str, DataFrame], check: Check, as_of: str) -> Data
 def enrich(failing: DataFrame, reference: DataFrame, on: dict[str, str], prefix: str, order: list[str] | None = None) -> DataFrame:
     """Failing rows with the first reference row of their key, in the given order (all its columns if none), its columns prefixed."""
     columns = reference.columns
-    first = reference.groupBy(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).agg(F.min(F.struct(*(order or columns), *columns)).alias("_r"))
+    rank = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order or columns)]
+    first = reference.groupBy(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).agg(F.min(F.struct(*rank, *columns)).alias("_r"))
     joined = failing.join(first, [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)], "left")
     return joined.select(*failing.columns, *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in columns])
 

@@ -1,27 +1,276 @@
-"""The registered queries of the finance jobs, each over the whole tables."""
+"""The registered queries of the finance jobs, each over the whole tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from finscope import bindings
+from pyspark.sql import functions as F
+
+from finscope import bindings, extracts, hierarchy, io, scores
+from finscope.bindings import AS_OF
 from finscope.checks import CATALOGUE, core, oracle
+from finscope.migration import decisions, pipeline
+from finscope.positions import aging, money, nbv, orders, projects
 
 BUILT = ("asset_nbv", "project_codes", "project_units", "project_commitments")
 PLAIN = [c for c in CATALOGUE if c.table not in BUILT and c.id != "GL_DIM_DEEP_HIERARCHY"]
+DAY = f"DATE '{AS_OF}'"
+
+#: Amounts of each query, which both engines return as doubles.
+MONEY = {
+    "evidence_ap_trans_sup_closed": "rest_amount", "aging_ap": "outstanding", "aging_ar": "outstanding", "volumes_ap": "balance", "volumes_ar": "balance", "status_split_ap": "balance", "status_split_ar": "balance",
+    "po_status_summary": "ordered invoiced received open_commitment", "po_fulfilment": "received_not_invoiced not_received", "po_resolution_mix": "released", "po_age_bands": "value", "po_spend_by_category": "ordered invoiced", "po_top_suppliers": "ordered", "po_contract_leakage": "tagged untagged",
+    "nbv_books": "cost depreciation reserve other nbv net_all_accounts", "nbv_assets": "curr_nbv hist_nbv reval_reserve reval_variance", "nbv_bands": "curr_nbv", "nbv_account_detail": "amount",
+    "project_positions": "spend_to_date commitments budget_to_date current_fy_actuals current_fy_budget remaining_budget remaining_after_commitments", "project_history": "actuals budget cumulative_actuals cumulative_budget", "project_commitments": "committed", "project_coverage": "actuals budget committed",
+    "project_codes": "actuals_total budget_total committed_total", "contract_metrics": "value", "budget_kpis": "gl_actuals orig_budget curr_budget live_forecast virement remaining forecast_variance", "budget_top_account_desc": "gl_actuals curr_budget", "budget_top_haiscode": "gl_actuals curr_budget", "budget_by_period": "gl_actuals curr_budget",
+    "payroll_metrics": "gross_pay tax_deducted ni_deducted pension_deducted other_deductions net_pay overtime_pay", "migration_items": "balance",
+}
+
+#: Days, which both engines return as text.
+DAYS = {"migration_activity": "last_invoice last_order last_activity", "migration_items": "trans_date", "extract_recent_history": "trans_date", "profile_first_entries": "earliest", "migration_position": "last_activity"}
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, tables, query, sql: str | None = None) -> None:
+    """query: from the frames named to the result; sql: over the same tables."""
+    amounts, days = MONEY.get(name, "").split(), DAYS.get(name, "").split()
+    kinds = dict.fromkeys(amounts, "double") | dict.fromkeys(days, "string")
+    _QUERIES[name] = lambda spark, sf_dir: query(bindings.frames(spark, sf_dir, set(tables))).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+    if sql and kinds:
+        sql = f"SELECT * REPLACE ({', '.join([*(f'{c}::DOUBLE AS {c}' for c in amounts), *(f'{c}::DATE::VARCHAR AS {c}' for c in days)])}) FROM ({sql})"
+    if sql:
+        _SQL[name] = bindings.with_tables(tables, sql)
+
+
+def _checks(name: str, checks: list[core.Check]) -> None:
+    tables = {c.table for c in checks} | core.needs(checks)
+    _QUERIES[name] = lambda spark, sf_dir: core.run_checks(bindings.frames(spark, sf_dir, tables), checks, AS_OF)
+    _SQL[name] = oracle.results_sql(checks, AS_OF)
+
+
+for _table in dict.fromkeys(c.table for c in PLAIN):
+    _checks(f"checks_{_table}", [c for c in PLAIN if c.table == _table])
+
+
+# Evidence and scores
+
+
+def _evidence(check_id: str, columns: list[str]) -> None:
+    check = next(c for c in PLAIN if c.id == check_id)
+    tables = {check.table} | core.needs([check])
+    where = oracle._in_place(f"({check.population}) AND ({check.fails})", "t", AS_OF)
+    sql = f"SELECT {', '.join(columns)} FROM (SELECT *, coalesce({where}, false) AS bad FROM {check.table}) WHERE bad"
+    _add(f"evidence_{check_id.lower()}", tables, lambda f: core.failing_rows(f, check, AS_OF).select(*columns), sql)
+
+
+_evidence("SUP_BANK_SORT_DUP", ["house", "client", "apar_id", "bank_account", "clearing_code"])
+_evidence("GL_JNL_ACCT_ORPHAN", ["house", "client", "voucher_no", "sequence_no", "account"])
+_evidence("AP_TRANS_SUP_CLOSED", ["house", "apar_id", "voucher_no", "rest_amount"])
+_evidence("PO_FINISHED_WITH_BALANCE", ["client", "order_id", "apar_id"])
+
+_orphans = next(c for c in PLAIN if c.id == "AP_ORPHANED_TRANS")
+_add("orphan_summary", {"asutrans", "asuheader"}, lambda f: core.failing_rows(f, _orphans, AS_OF).groupBy("house", "apar_id").agg(F.count("*").alias("orphans")), f"""
+SELECT house, apar_id, count(*) AS orphans FROM asutrans WHERE {_orphans.population} AND apar_id NOT IN (SELECT apar_id FROM asuheader) GROUP BY house, apar_id""")
+_closed = next(c for c in PLAIN if c.id == "PO_INACTIVE_SUPPLIER")
+_add("evidence_enriched", {"apoheader", "asuheader"}, lambda f: core.enrich(core.failing_rows(f, _closed, AS_OF).select("house", "client", "order_id", "apar_id"), f["asuheader"].select("house", "client", "apar_id", "apar_name", "status"), {"house": "house", "client": "client", "apar_id": "apar_id"}, "sup_").select("client", "order_id", "apar_id", "sup_apar_name", "sup_status"), f"""
+SELECT h.client, h.order_id, h.apar_id, s.n AS sup_apar_name, s.s AS sup_status FROM apoheader h JOIN (SELECT house, client, apar_id, min(status) AS s0, min({{'a': apar_name, 'b': status}}).a AS n, min({{'a': apar_name, 'b': status}}).b AS s FROM asuheader GROUP BY ALL) s USING (house, client, apar_id)
+WHERE h.status IN ('O', 'N', 'A') AND s.s0 = 'C'""")
+
+_SCORED = [c for c in PLAIN if c.domain in ("AP", "AR")]
+_SCORED_TABLES = {c.table for c in _SCORED} | core.needs(_SCORED)
+
+
+def _scored(name: str, use, sql: str) -> None:
+    _QUERIES[name] = lambda spark, sf_dir: use(core.run_checks(bindings.frames(spark, sf_dir, _SCORED_TABLES), _SCORED, AS_OF))
+    _SQL[name] = f"SELECT * FROM ({oracle.results_sql(_SCORED, AS_OF)}) r" if not sql else f"WITH r AS ({oracle.results_sql(_SCORED, AS_OF)}) {sql}"
+
+
+_scored("score_by_dimension", lambda r: scores.score_by(r, "dimension", "house"), "SELECT dimension, house, sum(passing)::BIGINT AS passing, sum(total)::BIGINT AS total, round_even(sum(passing) * 100.0::DOUBLE / sum(total), 2) AS score FROM r GROUP BY dimension, house")
+_scored("score_matrix", scores.score_matrix, """SELECT domain, round_even(sum(passing) FILTER (house = 'HOC') * 100.0::DOUBLE / sum(total) FILTER (house = 'HOC'), 2) AS score_hoc, round_even(sum(passing) FILTER (house = 'HOL') * 100.0::DOUBLE / sum(total) FILTER (house = 'HOL'), 2) AS score_hol,
+  count(*) FILTER (rag = 'Red') AS red, count(*) FILTER (rag = 'Amber') AS amber, count(*) FILTER (rag = 'Green') AS green FROM r GROUP BY domain""")
+_scored("risk_matrix", scores.risk_matrix, "SELECT severity, count(*) FILTER (rag = 'Red') AS red, count(*) FILTER (rag = 'Amber') AS amber FROM r WHERE rag <> 'Green' GROUP BY severity")
+_scored("score_means", scores.means, "SELECT domain, dimension, round_even(avg(pass_rate), 4) AS mean_pass_rate, round_even(avg(error_rate), 4) AS mean_error_rate FROM r GROUP BY domain, dimension")
+_scored("scorecard", scores.scorecard, "SELECT house, count(*) AS checks, " + ", ".join(f"count(*) FILTER (rag = '{c}') AS {c.lower()}" for c in scores.RAGS) + ", " + ", ".join(f"count(*) FILTER (severity = '{s}' AND failing > 0) AS failing_{s.lower()}" for s in scores.SEVERITIES) + " FROM r GROUP BY house")
+_scored("report_summary", scores.summary, "SELECT count(DISTINCT check_id) AS checks, count(DISTINCT check_id) FILTER (failing > 0) AS checks_failing, count(DISTINCT check_id) FILTER (failing > 0 AND severity = 'Critical') AS critical_failing FROM r")
+_scored("tracker", lambda r: io.tracker(r, house="HOC"), "SELECT check_id, domain, object, dimension, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank, house, total, failing, error_rate, rag, '' AS owner, '' AS comment, '' AS resolved_on FROM r WHERE failing > 0 AND house = 'HOC'")
+
+
+# Aged balances and volumes
+
+_BUCKET = "CASE WHEN d <= -1 THEN 'Not Yet Due' WHEN d <= 30 THEN '0-30 Days' WHEN d <= 60 THEN '31-60 Days' WHEN d <= 90 THEN '61-90 Days' WHEN d <= 180 THEN '91-180 Days' ELSE '180+ Days' END"
+for _kind, _t, _m, _h in (("ap", "asutrans", "asuheader", "asuhistr"), ("ar", "acutrans", "acuheader", "acuhistr")):
+    _add(f"aging_{_kind}", {_t}, lambda f, t=_t: aging.aging(f[t], AS_OF), f"SELECT house, {_BUCKET} AS bucket, count(*) AS items, sum(abs(rest_amount)) AS outstanding FROM (SELECT *, {DAY} - due_date AS d FROM {_t} WHERE status IN ('N', 'R', 'I') AND due_date IS NOT NULL) GROUP BY 1, 2")
+    _add(f"volumes_{_kind}", {_t, _m, _h}, lambda f, t=_t, m=_m, h=_h: aging.ledger_volumes(f[m], f[t], f[h], AS_OF), f"""
+SELECT m.house, masters, active, closed, coalesce(closed_but_recent, 0) AS closed_but_recent, open_items, overdue_items, balance, history_items FROM
+(SELECT house, count(*) AS masters, count(*) FILTER (status = 'N') AS active, count(*) FILTER (status = 'C') AS closed FROM {_m} GROUP BY house) m
+LEFT JOIN (SELECT house, count(DISTINCT apar_id) AS closed_but_recent FROM {_m} WHERE status = 'C' AND (house, apar_id) IN (SELECT (house, apar_id) FROM {_h} WHERE trans_date >= {DAY} - 548) GROUP BY house) c USING (house)
+LEFT JOIN (SELECT house, count(*) AS open_items, count(*) FILTER (due_date < {DAY}) AS overdue_items, coalesce(sum(rest_amount), 0)::DECIMAL(28, 2) AS balance FROM {_t} WHERE status IS DISTINCT FROM 'C' GROUP BY house) o USING (house)
+LEFT JOIN (SELECT house, count(*) AS history_items FROM {_h} GROUP BY house) h USING (house)""")
+    _add(f"status_split_{_kind}", {_t}, lambda f, t=_t: aging.status_split(f[t]), f"SELECT house, status, count(*) AS items, sum(rest_amount)::DECIMAL(28, 2) AS balance FROM {_t} GROUP BY house, status")
+_add("volumes_gl", {"gl_journals"}, lambda f: aging.ledger_profile(f["gl_journals"]), "SELECT house, count(*) AS lines, count(DISTINCT voucher_no) AS vouchers, count(DISTINCT user_id) AS users, count(DISTINCT voucher_type) AS voucher_types, min(period) AS first_period, max(period) AS last_period FROM gl_journals GROUP BY house")
+_add("volumes_assets", {"asset_master"}, lambda f: aging.asset_volumes(f["asset_master"], AS_OF), f"SELECT house, status, count(*) AS assets, count(*) FILTER (grant_flag = 1) AS grants, count(*) FILTER (last_update < {DAY} - INTERVAL 36 MONTH) AS stale, count(DISTINCT asset_group) AS groups FROM asset_master GROUP BY house, status")
+
+# Purchase orders
+
+_INV = "greatest(coalesce(arr_amount, 0), coalesce(invoiced, 0))"
+_HL = {"apoheader", "apodetail"}
+_add("po_status_summary", _HL, lambda f: orders.status_summary(f["apoheader"], f["apodetail"]), f"""SELECT status, coalesce(orders, 0) AS orders, coalesce(ordered, 0) AS ordered, coalesce(inv, 0) AS invoiced, coalesce(received, 0) AS received,
+CASE WHEN status IN ('O', 'N', 'A') THEN greatest(coalesce(ordered, 0) - coalesce(inv, 0), 0) ELSE 0 END::DECIMAL(28, 2) AS open_commitment
+FROM (SELECT status, count(DISTINCT (client, order_id)) AS orders FROM apoheader GROUP BY status) h FULL JOIN (SELECT status, sum(coalesce(amount, 0)) AS ordered, sum({_INV}) AS inv, sum(coalesce(vow_amount, 0)) AS received FROM apodetail GROUP BY status) l USING (status)""")
+_add("po_fulfilment", {"apodetail"}, lambda f: orders.fulfilment(f["apodetail"]), f"SELECT CASE WHEN status IN ('O', 'N', 'A') THEN 'live' ELSE 'resolved' END AS state, sum(greatest(coalesce(vow_amount, 0) - {_INV}, 0)) AS received_not_invoiced, sum(greatest(coalesce(amount, 0) - coalesce(vow_amount, 0), 0)) AS not_received, count(*) AS lines FROM apodetail GROUP BY 1")
+_VALUE = f"(SELECT client, order_id, sum(coalesce(amount, 0)) AS value, sum({_INV}) AS inv, count(*) FILTER (coalesce(trim(account), '') = '') AS na FROM apodetail GROUP BY client, order_id)"
+_add("po_resolution_mix", _HL, lambda f: orders.resolution_mix(f["apoheader"], f["apodetail"]), f"SELECT status, count(*) AS orders, count(*) FILTER (coalesce(value - inv, 0) <= 0) AS clean, sum(greatest(coalesce(value - inv, 0), 0))::DECIMAL(28, 2) AS released FROM (SELECT DISTINCT client, order_id, status FROM apoheader WHERE status IN ('F', 'C', 'T')) LEFT JOIN {_VALUE} USING (client, order_id) GROUP BY status")
+_add("po_status_mismatch", _HL, lambda f: orders.status_mismatch(f["apoheader"], f["apodetail"]), "SELECT header_status, status AS line_status, count(*) AS lines FROM apodetail JOIN (SELECT client, order_id, min(status) AS header_status FROM apoheader GROUP BY ALL) USING (client, order_id) WHERE status <> header_status GROUP BY ALL")
+_add("po_age_bands", _HL, lambda f: orders.age_bands(f["apoheader"], f["apodetail"], AS_OF), f"SELECT CASE WHEN d <= 30 THEN '0-30 days' WHEN d <= 90 THEN '31-90 days' WHEN d <= 180 THEN '91-180 days' WHEN d <= 365 THEN '181-365 days' ELSE 'Over 1 year' END AS age, count(*) AS orders, coalesce(sum(value), 0)::DECIMAL(28, 2) AS value FROM (SELECT client, order_id, {DAY} - min(order_date) AS d FROM apoheader WHERE status IN ('O', 'N', 'A') AND order_date IS NOT NULL GROUP BY ALL) LEFT JOIN {_VALUE} USING (client, order_id) GROUP BY 1")
+_add("po_spend_by_category", {"apodetail"}, lambda f: orders.spend_by_category(f["apodetail"]), f"SELECT coalesce(art_gr_description, '(none)') AS category, sum(coalesce(amount, 0)) AS ordered, sum({_INV}) AS invoiced, count(*) AS lines FROM apodetail GROUP BY 1")
+_add("po_top_suppliers", {"apodetail", "asuheader"}, lambda f: orders.top_suppliers(f["apodetail"], f["asuheader"]), "SELECT apar_id, apar_name, ordered, orders FROM (SELECT apar_id, sum(coalesce(amount, 0)) AS ordered, count(DISTINCT order_id) AS orders FROM apodetail GROUP BY apar_id ORDER BY ordered DESC, apar_id LIMIT 15) LEFT JOIN (SELECT apar_id, min(apar_name) AS apar_name FROM asuheader GROUP BY apar_id) USING (apar_id)")
+_add("po_amendments", {"apoheader"}, lambda f: orders.amendment_profile(f["apoheader"]), "SELECT CASE WHEN coalesce(amend_no, 0) <= 0 THEN 'None' WHEN amend_no <= 1 THEN '1' WHEN amend_no <= 3 THEN '2-3' ELSE '4+' END AS amendments, count(*) AS orders FROM apoheader GROUP BY 1")
+_add("po_policy_signals", _HL, lambda f: orders.policy_signals(f["apoheader"], f["apodetail"]), f"SELECT count(*) AS orders, count(*) FILTER (value < 5000) AS small, count(*) FILTER (coalesce(trim(contract_id), '') = '') AS no_contract, count(*) FILTER (coalesce(trim(responsible), '') = '') AS no_responsible, count(*) FILTER (na > 0) AS no_account FROM apoheader LEFT JOIN {_VALUE} USING (client, order_id) WHERE status IN ('O', 'N', 'A')")
+_add("po_contract_leakage", {"apodetail"}, lambda f: orders.contract_leakage(f["apodetail"]), "SELECT * FROM (SELECT apar_id, sum(CASE WHEN coalesce(trim(contract_id), '') <> '' THEN coalesce(amount, 0) ELSE 0 END) AS tagged, sum(CASE WHEN coalesce(trim(contract_id), '') = '' THEN coalesce(amount, 0) ELSE 0 END) AS untagged, count(DISTINCT trim(contract_id)) AS contracts FROM apodetail GROUP BY apar_id) WHERE tagged > 0 AND untagged > 0")
+
+# Net book value
+
+_NBV = {"asset_balances", "asset_depreciation", "asset_master"}
+_ACC = "regexp_replace(trim(account), '\\.0+$', '')"
+_CLASS = f"CASE WHEN {_ACC} LIKE '1%00' THEN 'cost' WHEN {_ACC} LIKE '1%15' THEN 'depreciation' WHEN {_ACC} = '70000' THEN 'reserve' ELSE 'other' END"
+_BOOK_SQL = f"""SELECT house, client, asset_id, depr_book_id, sum(amt) FILTER (k = 'cost') AS c, sum(amt) FILTER (k = 'depreciation') AS d, coalesce(sum(amt) FILTER (k = 'cost'), 0) AS cost, coalesce(sum(amt) FILTER (k = 'depreciation'), 0) AS depreciation, coalesce(sum(amt) FILTER (k = 'reserve'), 0) AS reserve, coalesce(sum(amt) FILTER (k = 'other'), 0) AS other,
+ sum(amt) AS net_all_accounts, bool_or(k IN ('cost', 'depreciation')) AS has_nbv_account, bool_or(trans_type = 'SA' AND k IN ('cost', 'depreciation') AND abs(amt) >= 1) AS has_disposal, bool_or(trans_type = 'OS') AS has_os, bool_or(trans_type IN ('CA', 'PC')) AS has_ca, array_to_string(list_sort(list_distinct(list(trans_type))), ', ') AS trans_types
+ FROM (SELECT *, {_CLASS} AS k, coalesce(total_amount, 0)::DECIMAL(28, 2) AS amt FROM asset_balances WHERE house = 'HOC') GROUP BY house, client, asset_id, depr_book_id"""
+_add("nbv_books", _NBV, lambda f: nbv.books(f["asset_balances"], f["asset_depreciation"]).select("client", "asset_id", "depr_book_id", "cost", "depreciation", "reserve", "other", "nbv", "net_all_accounts", "trans_types", "has_nbv_account", "has_disposal", "has_os", "has_ca"), f"SELECT client, asset_id, depr_book_id, cost, depreciation, reserve, other, cost + depreciation AS nbv, net_all_accounts, trans_types, has_nbv_account, has_disposal, has_os, has_ca FROM ({_BOOK_SQL})")
+_ASSET_SQL = f"""SELECT client, asset_id, sum(cost + depreciation) FILTER (depr_book_id = 'CURR') AS curr_nbv, sum(cost + depreciation) FILTER (depr_book_id = 'HIST') AS hist_nbv, bool_or(depr_book_id = 'CURR') AS has_curr, bool_or(depr_book_id = 'HIST') AS has_hist, -sum(reserve) AS reval_reserve,
+ CASE WHEN bool_or(depr_book_id = 'CURR') AND bool_or(depr_book_id = 'HIST') THEN -sum(reserve) - (coalesce(sum(cost + depreciation) FILTER (depr_book_id = 'CURR'), 0) - coalesce(sum(cost + depreciation) FILTER (depr_book_id = 'HIST'), 0)) END AS reval_variance,
+ CASE WHEN bool_or(has_os) AND NOT bool_or(has_ca) THEN 'Migrated (OS)' WHEN bool_or(has_os) THEN 'Migrated + Unit4 additions' ELSE 'Capitalised in Unit4' END AS origin FROM ({_BOOK_SQL}) GROUP BY client, asset_id"""
+_nbv = lambda f: nbv.assets(f["asset_balances"], f["asset_depreciation"], f["asset_master"])
+_add("nbv_assets", _NBV, lambda f: _nbv(f).select("client", "asset_id", "curr_nbv", "hist_nbv", "has_curr", "has_hist", "reval_reserve", "reval_variance", "origin"), _ASSET_SQL)
+_add("nbv_bands", _NBV, lambda f: nbv.band_chart(_nbv(f)))
+_add("nbv_account_detail", {"asset_balances", "aglaccounts"}, lambda f: nbv.account_detail(f["asset_balances"], f["aglaccounts"]), f"""SELECT a.account, client, asset_id, amount, transactions, account_name, class FROM (SELECT client, asset_id, {_ACC} AS account, {_CLASS} AS class, sum(total_amount) AS amount, sum(transaction_count)::BIGINT AS transactions FROM asset_balances WHERE house = 'HOC' GROUP BY ALL) a LEFT JOIN (SELECT account, min(description) AS account_name FROM aglaccounts WHERE house = 'HOC' GROUP BY account) n USING (account)""")
+
+
+def _built_checks(name: str, table: str, tables, build) -> None:
+    """Checks on a table that a job builds; the predicates are those of the catalogue, read by DuckDB from no table, so there is no SQL."""
+    own = [c for c in CATALOGUE if c.table == table]
+    _add(name, set(tables) | core.needs(own), lambda f: core.run_checks(f | {table: build(f)}, own, AS_OF))
+
+
+_built_checks("checks_asset_nbv", "asset_nbv", _NBV, _nbv)
+
+# Hierarchy
+
+_DEPTH = [c for c in CATALOGUE if c.id == "GL_DIM_DEEP_HIERARCHY"]
+_depth = lambda f: hierarchy.with_depth(f["agldimvalue"], ["client", "attribute_id"], "dim_value", "rel_value")
+_add("hierarchy_depth", {"agldimvalue"}, lambda f: _depth(f).select("client", "attribute_id", "dim_value", "rel_value", "depth"), """
+, n AS (SELECT client AS c, attribute_id AS a, dim_value AS v, coalesce(trim(rel_value), '') AS p FROM agldimvalue), tree AS (
+ SELECT c, a, v, 1 AS depth FROM n WHERE p = '' UNION SELECT n.c, n.a, n.v, t.depth + 1 FROM n JOIN tree t ON n.c = t.c AND n.a = t.a AND n.p = t.v WHERE n.p <> '' AND t.depth < 16)
+SELECT client, attribute_id, dim_value, rel_value, coalesce(d, 1)::INT AS depth FROM agldimvalue LEFT JOIN (SELECT c, a, v, min(depth) AS d FROM tree GROUP BY c, a, v) x ON client = c AND attribute_id = a AND dim_value = v""")
+_SQL["hierarchy_depth"] = _SQL["hierarchy_depth"].replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n, n AS", ", n AS", 1)
+_add("checks_hierarchy", {"agldimvalue"}, lambda f: core.run_checks({"agldimvalue": _depth(f)}, _DEPTH, AS_OF))
+
+# Projects
+
+_PRJ = {"project_list", "project_financials"}
+
+
+def _project(f):
+    rows = projects.lines(f["project_list"], f["project_financials"])
+    return rows, projects.summarise(rows)
+
+
+_FIRST = "(SELECT hais_code, min(unit) AS lu FROM project_list WHERE hais_code IS NOT NULL GROUP BY hais_code)"
+_LINES = f"(SELECT f.*, l.lu IS NOT NULL AS on_list, coalesce(l.lu, f.unit) AS u FROM project_financials f LEFT JOIN {_FIRST} l USING (hais_code))"
+_ACT = "abs(actuals) >= 0.005 OR abs(budget) >= 0.005 OR abs(committed) >= 0.005"
+_add("project_positions", _PRJ, lambda f: projects.positions(_project(f)[1]).select("unit", "house", "spend_to_date", "commitments", "budget_to_date", "current_fy_actuals", "current_fy_budget", "first_period", "last_period", "hais_count", "remaining_budget", "remaining_after_commitments"), f"""
+SELECT u AS unit, house, sum(actuals) AS spend_to_date, sum(committed) AS commitments, sum(budget) AS budget_to_date, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN actuals ELSE 0 END) AS current_fy_actuals, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN budget ELSE 0 END) AS current_fy_budget,
+ min(period) FILTER ({_ACT}) AS first_period, max(period) FILTER ({_ACT}) AS last_period, count(DISTINCT hais_code) FILTER ({_ACT}) AS hais_count, sum(budget) - sum(actuals) AS remaining_budget, sum(budget) - sum(actuals) - sum(committed) AS remaining_after_commitments
+FROM {_LINES} GROUP BY u, house HAVING min(period) FILTER ({_ACT}) IS NOT NULL""")
+_add("project_history", _PRJ, lambda f: projects.history(_project(f)[1]), f"SELECT u AS unit, house, fiscal_year, a AS actuals, b AS budget, sum(a) OVER w AS cumulative_actuals, sum(b) OVER w AS cumulative_budget FROM (SELECT u, house, fiscal_year, sum(actuals) AS a, sum(budget) AS b FROM {_LINES} GROUP BY ALL) WINDOW w AS (PARTITION BY u, house ORDER BY fiscal_year ROWS UNBOUNDED PRECEDING)")
+_PI = lambda p: f"({p} // 100 * 12 + least({p} % 100, 12))"
+_add("project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]), f"SELECT u AS unit, hais_code, house, period, sum(committed) AS committed, ({_PI('(SELECT max(period) FROM project_financials)')} - {_PI('period')})::BIGINT AS age_months FROM {_LINES} GROUP BY u, hais_code, house, period HAVING abs(sum(committed)) >= 0.005")
+_add("project_coverage", _PRJ, lambda f: projects.coverage(f["project_list"], _project(f)[0]), """SELECT CASE WHEN l.hais_code IS NULL THEN 'Financials only' WHEN f.hais_code IS NULL THEN 'List only' ELSE 'Both' END AS coverage, count(*) AS codes, coalesce(sum(a), 0)::DECIMAL(28, 2) AS actuals, coalesce(sum(b), 0)::DECIMAL(28, 2) AS budget, coalesce(sum(c), 0)::DECIMAL(28, 2) AS committed
+FROM (SELECT DISTINCT hais_code FROM project_list) l FULL JOIN (SELECT hais_code, sum(actuals) AS a, sum(budget) AS b, sum(committed) AS c FROM project_financials GROUP BY 1) f ON l.hais_code = f.hais_code GROUP BY 1""")
+_add("project_repeats", _PRJ, lambda f: projects.repeated_commitments(_project(f)[0]), """SELECT fiscal_year, count(*) AS commitments, count(*) FILTER (same) AS repeated FROM (SELECT fiscal_year, coalesce(lag(c) OVER (PARTITION BY hais_code, house ORDER BY period) = c, false) AS same FROM (SELECT hais_code, house, fiscal_year, period, sum(committed) AS c FROM project_financials GROUP BY ALL HAVING abs(sum(committed)) >= 0.005)) GROUP BY 1""")
+_add("project_main_values", {"project_list"}, lambda f: projects.main_values(f["project_list"], "projcat"), "SELECT unit, projcat, n FROM (SELECT unit, projcat, count(*) AS n FROM project_list WHERE coalesce(trim(projcat), '') <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, projcat) = 1")
+
+
+def _codes(f):
+    rows, summary = _project(f)
+    return projects.codes(f["project_list"], rows, summary)
+
+
+_add("project_codes", _PRJ, _codes)
+_add("project_opening", _PRJ, lambda f: projects.opening_table(projects.positions(_project(f)[1]), f["project_list"]))
+_built_checks("checks_project_codes", "project_codes", _PRJ, _codes)
+_built_checks("checks_project_units", "project_units", _PRJ, lambda f: projects.positions(_project(f)[1]))
+_built_checks("checks_project_commitments", "project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]))
+
+# Contracts, budgets, staff
+
+_add("contract_reliability", {"atamis_contracts"}, lambda f: money.organisation_reliability(f["atamis_contracts"]), "SELECT s AS stated, house AS derived, CASE WHEN house = 'Unknown' THEN 'No match' WHEN s = 'JOINT' THEN 'Joint' WHEN s = house THEN 'Agrees' WHEN s IN ('HOC', 'HOL') THEN 'Differs' ELSE 'Not a house' END AS verdict, count(*) AS contracts FROM (SELECT upper(trim(organisation)) AS s, house FROM atamis_contracts) GROUP BY ALL")
+_add("contract_metrics", {"atamis_contracts"}, lambda f: money.contract_metrics(f["atamis_contracts"], AS_OF), f"SELECT house, count(*) AS contracts, count(*) FILTER (start_date <= {DAY} AND end_date >= {DAY}) AS live, count(*) FILTER (end_date < {DAY}) AS expired, count(*) FILTER (start_date <= {DAY} AND end_date >= {DAY} AND end_date <= {DAY} + 90) AS ending_soon, sum(total_award_value)::DECIMAL(28, 2) AS value FROM atamis_contracts GROUP BY house")
+_add("contract_gaps", {"atamis_contracts", "unit4_commitments", "unit4_spend", "apodetail"}, lambda f: money.contract_gaps(f["atamis_contracts"], f["unit4_commitments"], f["unit4_spend"], f["apodetail"]), """
+SELECT in_contracts, in_commitments, in_spend, in_orders, count(*) AS refs FROM (SELECT ref, bool_or(s = 1) AS in_contracts, bool_or(s = 2) AS in_commitments, bool_or(s = 3) AS in_spend, bool_or(s = 4) AS in_orders FROM (
+SELECT trim(contract_ref) AS ref, 1 AS s FROM atamis_contracts UNION ALL SELECT trim(u4_contract_id), 2 FROM unit4_commitments UNION ALL SELECT trim(u4_contract_id), 3 FROM unit4_spend UNION ALL SELECT trim(contract_id), 4 FROM apodetail) WHERE coalesce(ref, '') <> '' GROUP BY ref) GROUP BY ALL""")
+_add("budget_kpis", {"budgets_report"}, lambda f: money.budget_kpis(f["budgets_report"]), """SELECT *, round_even(gl_actuals::DOUBLE / curr_budget::DOUBLE * 100, 2) AS utilisation_pct, curr_budget - orig_budget AS virement, curr_budget - gl_actuals AS remaining, live_forecast - curr_budget AS forecast_variance
+FROM (SELECT house, sum(coalesce(gl_actuals, 0)) AS gl_actuals, sum(coalesce(orig_budget, 0)) AS orig_budget, sum(coalesce(curr_budget, 0)) AS curr_budget, sum(coalesce(live_forecast, 0)) AS live_forecast FROM budgets_report GROUP BY house)""")
+for _column, _n in (("account_desc", 15), ("haiscode", 10)):
+    _add(f"budget_top_{_column}", {"budgets_report"}, lambda f, c=_column, n=_n: money.budget_top(f["budgets_report"], c, n), f"SELECT coalesce({_column}, '(none)') AS {_column}, sum(gl_actuals) AS gl_actuals, sum(curr_budget) AS curr_budget FROM budgets_report GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {_n}")
+_add("budget_by_period", {"budgets_report"}, lambda f: money.budget_by_period(f["budgets_report"]), "SELECT house, year, period, sum(gl_actuals) AS gl_actuals, sum(curr_budget) AS curr_budget FROM budgets_report GROUP BY ALL")
+_add("staff_metrics", {"employee_master"}, lambda f: money.staff_metrics(f["employee_master"], AS_OF), f"""SELECT department, contract_type, CASE WHEN t <= 1 THEN 'Under 1 year' WHEN t <= 3 THEN '1-3 years' WHEN t <= 5 THEN '3-5 years' WHEN t <= 10 THEN '5-10 years' ELSE 'Over 10 years' END AS tenure, count(*) AS employees, round(avg(({DAY} - dob) / 365.25::DOUBLE), 4) AS mean_age
+FROM (SELECT *, ({DAY} - start_date) / 365.25::DOUBLE AS t FROM employee_master WHERE employment_status = 'Active') GROUP BY 1, 2, 3""")
+_add("payroll_metrics", {"payroll_transactions"}, lambda f: money.payroll_metrics(f["payroll_transactions"]), "SELECT pay_period, count(*) AS payments, count(DISTINCT employee_id) AS employees, " + ", ".join(f"sum(coalesce({c}, 0)) AS {c}" for c in ("gross_pay", "tax_deducted", "ni_deducted", "pension_deducted", "other_deductions", "net_pay", "overtime_pay")) + " FROM payroll_transactions GROUP BY pay_period")
+
+
+# Migration
+
+_RULES = pipeline.Rules(AS_OF)
+_MIGRATION = {"asuheader", "asuhistr", "asutrans", "apoheader"}
+_position = lambda f: pipeline.position(f["asuheader"], f["asuhistr"], f["asutrans"], f["apoheader"].withColumn("house", F.when(F.col("client") == "LA", "HOL").otherwise("HOC")), _RULES)
+_add("migration_entities", {"asuheader"}, lambda f: pipeline.entities(f["asuheader"], _RULES).select("entity_key", "client", "status", "clients", "statuses", "in_population"), """
+SELECT entity_key, client, status, clients, statuses, in_population FROM (SELECT house || '|' || apar_id AS entity_key, client, status, array_to_string(list_sort(list_distinct(list(client) OVER e)), ',') AS clients, array_to_string(list_sort(list_distinct(list(status) OVER e)), ',') AS statuses,
+ bool_or(client IN ('CA', 'CM', 'LA') AND status IN ('N', 'P')) OVER e AS in_population, row_number() OVER (PARTITION BY house, apar_id ORDER BY client IN ('CA', 'CM', 'LA') AND status IN ('N', 'P') DESC, CASE WHEN status = 'N' THEN 0 ELSE 1 END, last_update DESC NULLS LAST, client, apar_name) AS n
+ FROM asuheader WINDOW e AS (PARTITION BY house, apar_id)) WHERE n = 1""")
+_add("migration_activity", _MIGRATION, lambda f: pipeline.activity(f["asuhistr"], f["asutrans"], f["apoheader"], _RULES), """
+SELECT house, apar_id, last_invoice, last_order, open_orders, greatest(last_invoice, last_order) AS last_activity FROM
+(SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('PI', 'OP', 'SI', 'DR') GROUP BY ALL)
+FULL JOIN (SELECT house, apar_id, max(order_date) AS last_order, count(*) FILTER (status IN ('O', 'N', 'A')) AS open_orders FROM apoheader GROUP BY ALL) USING (house, apar_id)""")
+_add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES), f"""
+SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce({DAY} - trans_date > 365, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)""")
+_add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(pipeline.entities(f["asuheader"], _RULES)).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")))
+_add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(pipeline.entities(f["asuheader"], _RULES)))
+_add("migration_possible_duplicates", {"asuheader"}, lambda f: pipeline.possible_duplicates(pipeline.entities(f["asuheader"], _RULES)))
+_add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "issues", "blocking", "items", "stuck_items", "last_activity"))
+_add("migration_funnel", _MIGRATION, lambda f: pipeline.funnel(_position(f)))
+_LOG = "SELECT event_id AS id, 'record' AS target_type, cast(user_id AS string) AS target_key, '' AS related_key, CASE event_id % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'FIX' WHEN 2 THEN 'MONITOR' ELSE 'CLOSE' END AS decision, 'r' AS reason, event_type AS steward FROM events"
+
+
+def _log(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(_LOG)
 
 
-def _checks(table: str):
-    own = [c for c in PLAIN if c.table == table]
+_QUERIES["decisions_effective"] = lambda spark, sf_dir: decisions.effective(_log(spark, sf_dir)).select("target_type", "target_key", "id", "decision", "steward")
+_SQL["decisions_effective"] = bindings.duck(f"SELECT target_type, target_key, id, decision, steward FROM ({_LOG}) QUALIFY row_number() OVER (PARTITION BY target_type, target_key ORDER BY id DESC, decision) = 1")
+_QUERIES["decisions_governance"] = lambda spark, sf_dir: decisions.governance(_log(spark, sf_dir))
+_SQL["decisions_governance"] = bindings.duck(f"SELECT steward, target_type, decision, count(*) AS decisions FROM (SELECT * FROM ({_LOG}) QUALIFY row_number() OVER (PARTITION BY target_type, target_key ORDER BY id DESC, decision) = 1) GROUP BY ALL")
+_QUERIES["decisions_triage"] = lambda spark, sf_dir: decisions.triage(_log(spark, sf_dir).where("id % 10 = 3"), _log(spark, sf_dir).where("id % 10 <> 3")).groupBy("verdict").agg(F.count("*").alias("rows"))
+_SQL["decisions_triage"] = bindings.duck(f"SELECT CASE WHEN o.decision = u.decision THEN 'already recorded' WHEN o.decision IS NOT NULL THEN 'changed' ELSE 'new' END AS verdict, count(*) AS rows FROM (SELECT * FROM ({_LOG}) WHERE id % 10 = 3) u LEFT JOIN (SELECT * FROM ({_LOG}) WHERE id % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY target_key ORDER BY id DESC) = 1) o USING (target_key) GROUP BY 1")
 
-    def query(spark, sf_dir):
-        frames = bindings.frames(spark, sf_dir, {table} | core.needs(own))
-        return core.run_checks(frames, own, bindings.AS_OF)
+# Extracts and profiles
 
-    return query, own
+_add("extract_account_activity", {"gl_journals"}, lambda f: extracts.account_activity(f["gl_journals"]), "SELECT house, account, min(period) AS earliest_period, max(period) AS latest_period, count(*) AS posting_count FROM gl_journals GROUP BY ALL")
+_add("extract_open_transactions", {"asutrans"}, lambda f: extracts.open_transactions(f["asutrans"]).select("house", "apar_id", "voucher_no", "status"), "SELECT house, apar_id, voucher_no, status FROM asutrans WHERE status IS DISTINCT FROM 'C'")
+_add("extract_recent_history", {"asuhistr"}, lambda f: extracts.recent_history(f["asuhistr"], AS_OF).select("house", "apar_id", "voucher_no", "trans_date"), f"SELECT house, apar_id, voucher_no, trans_date FROM asuhistr WHERE trans_date >= {DAY} - INTERVAL 18 MONTH")
+_add("extract_dimensions_in_use", {"project_financials"}, lambda f: extracts.dimensions_in_use(f["project_financials"].withColumnRenamed("house", "client"), ["unit", "costc", "directorate", "department"]), """
+SELECT DISTINCT house AS client, p AS dim_position, v AS dim_value FROM (SELECT house, unnest([{'p': '1', 'v': unit}, {'p': '2', 'v': costc}, {'p': '3', 'v': directorate}, {'p': '4', 'v': department}], recursive := true) FROM project_financials) WHERE coalesce(trim(v), '') <> ''""")
+_add("extract_dimension_config", {"agldimvalue"}, lambda f: extracts.dimension_config(f["agldimvalue"].select("client", "attribute_id").distinct(), f["agldimvalue"]), "SELECT client, attribute_id, count(*) AS total_values, count(*) FILTER (status = 'N') AS active, count(*) FILTER (status = 'C') AS closed FROM agldimvalue GROUP BY ALL")
+_add("extract_fiscal_year", {"gl_journals"}, lambda f: extracts.fiscal_year(f["gl_journals"], 2000).select("house", "client", "voucher_no", "sequence_no", "account", "period"), "SELECT house, client, voucher_no, sequence_no, account, period FROM gl_journals WHERE fiscal_year = 2000")
+_add("profile_first_entries", {"asset_master"}, lambda f: extracts.first_entries(f["asset_master"], ["cap_date_from", "date_from", "date_to", "org_amt_date"], table="asset_master"), " UNION ALL ".join(f"SELECT 'asset_master' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, count(*) FILTER ({c} <= DATE '1900-01-02') AS placeholders, min({c}) FILTER ({c} > DATE '1900-01-02')::DATE AS earliest FROM asset_master" for c in ("cap_date_from", "date_from", "date_to", "org_amt_date")))
+_add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("about_distinct"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
+_add("value_counts_orders", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader"], "status", "amend_no"), "SELECT status, amend_no, count(*) AS rows FROM apoheader GROUP BY ALL")
 
 
 def queries() -> dict:
-    return {f"checks_{t}": _checks(t)[0] for t in dict.fromkeys(c.table for c in PLAIN)}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"checks_{t}": oracle.results_sql(_checks(t)[1], bindings.AS_OF) for t in dict.fromkeys(c.table for c in PLAIN)}
+    return dict(_SQL)
