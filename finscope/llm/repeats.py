@@ -26,11 +26,9 @@ from pyspark.sql import functions as F
 
 from finscope.llm import anchors
 from finscope.llm.anchors import PORTION
-from finscope.llm.shared import written
+from finscope.llm.shared import LAST, written  # noqa: F401
 
-#: Stands for a null id where ids are compared: no document comes after one without an id.
-LAST = (1 << 63) - 1
-RUN = "anchor long, snip long, doc_id long, text_key long, first int, shape int"
+RUN = "anchor long, snip long, who long, text_key long, first int, shape int"
 
 
 class Words:
@@ -98,8 +96,7 @@ def run_rows(docs: DataFrame, unit, bitmap=None) -> DataFrame:
     def work(batches):
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) if not batch.column(0).null_count else None
-            id_list, keys = batch.column(0), batch.column(1).to_numpy()
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for held in _portions((x.as_py() for x in batch.column(2)), unit):
                 buffer, values, sizes, start, end = unit.values([p for _, _, p in held])
                 stop = np.cumsum(sizes)
@@ -114,24 +111,42 @@ def run_rows(docs: DataFrame, unit, bitmap=None) -> DataFrame:
                 first = a - (stop - sizes)[part] + np.array([f for _, f, _ in held])[part]
                 cover = zip(start[a].tolist(), end[a + n - 2 + unit.length].tolist())
                 snip = np.fromiter((xxhash.xxh3_64_intdigest(buffer[x:y]) for x, y in cover), np.uint64, len(a))
-                own = pa.array(ids[rows]) if ids is not None else id_list.take(pa.array(rows))
                 shape = (n << 16 | p - a).astype(np.int32)
-                columns = [pa.array(anchor.view(np.int64)), pa.array(snip.view(np.int64)), own, pa.array(keys[rows]), pa.array(first.astype(np.int32)), pa.array(shape)]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "snip", "doc_id", "text_key", "first", "shape"])
+                columns = [pa.array(anchor.view(np.int64)), pa.array(snip.view(np.int64)), pa.array(ids[rows]), pa.array(keys[rows]), pa.array(first.astype(np.int32)), pa.array(shape)]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "snip", "who", "text_key", "first", "shape"])
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(work, RUN)
+    return docs.select("who", "text_key", "text").mapInArrow(work, RUN)
 
 
-def bitmap_of(keys: DataFrame, limit_bytes: int = 1 << 25):
-    """A broadcast bitmap of the low bits of `anchor`, or None where it would take more than limit_bytes."""
+def bitmap_of(keys: DataFrame, limit_bytes: int = 1 << 23):
+    """A broadcast bitmap of the low bits of `anchor`, or None where limit_bytes would leave fewer than four bits a key.
+
+    It is made in pieces of 64 KB on the executors; the driver gets no keys.
+    """
     n = keys.count()
-    size = 1 << max(10, (16 * n).bit_length())
-    if size // 8 > limit_bytes:
+    size = min(1 << max(10, (12 * n).bit_length()), 8 * limit_bytes)
+    if size < 4 * n:
         return None
-    cells = keys.selectExpr(f"shiftright(anchor & {size - 1}L, 3) AS cell", "shiftleft(1, cast(anchor & 7L AS int)) AS bit")
-    found = cells.groupBy("cell").agg(F.bit_or("bit").cast("short").alias("bits")).toPandas()
+    piece = min(size, 1 << 19)
+
+    def work(batches):
+        chunk, bits = None, None
+        for batch in batches:
+            chunks, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in np.unique(chunks):
+                if c != chunk:
+                    if bits is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+                    chunk, bits = int(c), np.zeros(piece, bool)
+                bits[at[chunks == c]] = True
+        if bits is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    low = keys.selectExpr(f"(anchor & {size - 1}L) DIV {piece}L AS chunk", f"anchor & {piece - 1}L AS bit").distinct()
     out = np.zeros(size // 8, np.uint8)
-    out[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    for r in low.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(work, "chunk long, bits binary").collect():
+        first = r["chunk"] * piece // 8
+        out[first : first + piece // 8] = np.frombuffer(r["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out)
 
 
@@ -139,8 +154,7 @@ def candidates(docs: DataFrame, unit, across: bool) -> DataFrame:
     """The runs whose anchor is in two documents of different id (across), or at any two places."""
     rows = run_rows(docs, unit)
     if across:
-        who = F.coalesce("doc_id", F.lit(LAST))
-        seen = rows.select("anchor", who.alias("who")).groupBy("anchor").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a < b")
+        seen = rows.groupBy("anchor").agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a < b")
     else:
         seen = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     repeated = written(seen.select("anchor"), "anchors")
@@ -149,16 +163,16 @@ def candidates(docs: DataFrame, unit, across: bool) -> DataFrame:
 
 def distinct_runs(cand: DataFrame) -> DataFrame:
     """One row for each different run: who has it first, how often it occurs, one place of it, and how many runs its anchor has."""
-    place = F.struct("doc_id", "text_key", "first", "shape")
-    out = cand.groupBy("anchor", "snip").agg(F.min(place).alias("at"), F.min(F.coalesce("doc_id", F.lit(LAST))).alias("least"), F.count("*").alias("n"))
+    out = cand.groupBy("anchor", "snip").agg(F.min(F.struct("who", "text_key", "first", "shape")).alias("at"), F.count("*").alias("n"))
+    out = out.select("anchor", "snip", "at", F.col("at.who").alias("least"), "n")
     return written(out, "distinct-runs")
 
 
 def run_texts(docs: DataFrame, wanted: DataFrame, unit) -> DataFrame:
     """wanted (anchor, snip, at, least, n, hot) with the text of each run, `piece`. Docs and places meet by document, so no text is repeated."""
-    by_doc = wanted.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.text_key").alias("w_key")).agg(F.collect_list(F.struct("anchor", "snip", "at.first", "at.shape", "least", "n", "hot")).alias("want"))
-    on = docs["doc_id"].eqNullSafe(by_doc["w_id"]) & (docs["text_key"] == by_doc["w_key"])
-    met = docs.join(by_doc.hint("shuffle_hash"), on).select("text", "want")
+    by_doc = wanted.groupBy(F.col("at.who").alias("who"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "snip", "at.first", "at.shape", "least", "n", "hot")).alias("want"))
+    # doc_id is taken along only so that the shuffle of the texts is the one that `found_by_document` uses again.
+    met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"]).select("text", "want", "doc_id")
     schema = "anchor long, snip long, shape int, least long, n long, hot boolean, piece binary"
 
     def work(batches):
@@ -226,10 +240,9 @@ def found_by_document(docs: DataFrame, found: DataFrame, finish, fields: str) ->
     """docs, each with what was found in it: `finish` gets the text and a list of dicts (or None) and returns a tuple of the `fields`."""
     from pyspark.sql.types import StructType
 
-    rest = [c for c in found.columns if c not in ("doc_id", "text_key")]
-    by_doc = found.groupBy(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key")).agg(F.collect_list(F.struct(*rest)).alias("found"))
-    on = docs["doc_id"].eqNullSafe(by_doc["f_id"]) & (docs["text_key"] == by_doc["f_key"])
-    met = docs.join(by_doc.hint("shuffle_hash"), on, "left").select("doc_id", "text", "found")
+    rest = [c for c in found.columns if c not in ("who", "text_key")]
+    by_doc = found.groupBy("who", "text_key").agg(F.collect_list(F.struct(*rest)).alias("found"))
+    met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"], "left").select("doc_id", "text", "found")
     made = StructType.fromDDL(fields)
 
     def work(batches):

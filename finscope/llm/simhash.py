@@ -1,8 +1,9 @@
 """SimHash fingerprints, linked within a Hamming distance by the generalised pigeonhole principle.
 
 Fingerprint bits that go together are grouped into m parts; part i gets a
-threshold t_i >= -1 with sum(t_i) = k - m + 1, so two fingerprints within k bits
-are within t_i in at least one part. A dynamic programme over the parts takes the
+threshold t_i >= -1 with sum(t_i) >= k - m + 1, so two fingerprints within k bits
+are within t_i in at least one part. Each fingerprint is dealt to the values
+within t_i / 2 of its part, where those two meet. A dynamic programme over the parts takes the
 thresholds, and m, that cost least by the estimated numbers of candidates and
 probes; the estimates come from the bit counts of all fingerprints.
 
@@ -119,27 +120,36 @@ def correlated_parts(n: int, both: np.ndarray, m: int) -> tuple[tuple[int, ...],
     return tuple(parts)
 
 
-def allocate(n: int, both: np.ndarray, parts, k: int, pair_cost: float = 0.01) -> tuple[tuple[int, ...], float]:
-    """Thresholds of least cost (probe rows, plus pair_cost for each candidate pair), by dynamic programming over the parts."""
+def allocate(n: int, both: np.ndarray, parts, k: int, pair_cost: float = 0.05) -> tuple[tuple[int, ...], float]:
+    """Thresholds of least cost (probe rows, plus pair_cost for each candidate pair), by dynamic programming over the parts.
+
+    A pair takes about a hundredth of a row's time; it is weighed higher because
+    pairs grow with the square of the input, and rows don't.
+    Two values within 2r bits of each other have a common value within r bits of
+    each, so thresholds are even: the odd ones below cost the same.
+    """
     q = np.diag(both) / max(n, 1)
     agree = q * q + (1 - q) * (1 - q)
     total = k - len(parts) + 1
-    best = {0: (0.0, ())}
+    best = {-len(parts): (0.0, ())}
     for part in parts:
         near = np.array([1.0])  # chance of each distance within the part
         for b in part:
             near = np.convolve(near, [agree[b], 1 - agree[b]])
-        within, options = np.cumsum(near), [(-1, 0.0)]
-        for t in range(min(k, len(part)) + 1):
-            probes = sum(comb(len(part), j) for j in range(t + 1))
-            options.append((t, n * probes + pair_cost * n * n / 2 * within[t]))
+        options = [(-1, 0.0)]
+        for r in range((min(k, len(part)) + 1) // 2 + 1):
+            # Of the values within r bits, how many two fingerprints at each distance have in common.
+            shared = [sum(comb(d, i) * comb(len(part) - d, j) for i in range(d + 1) for j in range(r + 1) if max(i, d - i) + j <= r) for d in range(len(near))]
+            probes = sum(comb(len(part), j) for j in range(r + 1))
+            options.append((2 * r, n * probes + pair_cost * n * n / 2 * float(np.dot(near, shared))))
         new: dict[int, tuple[float, tuple]] = {}
         for used, (cost, chosen) in best.items():
             for t, more in options:
-                if (found := (cost + more, (*chosen, t))) < new.get(used + t, (float("inf"),)):
-                    new[used + t] = found
+                at = min(used + 1 + t, total)
+                if (found := (cost + more, (*chosen, t))) < new.get(at, (float("inf"),)):
+                    new[at] = found
         best = new
-    cost, chosen = best[total]
+    cost, chosen = best[total] if total in best else (float("inf"), ())
     return chosen, cost
 
 
@@ -159,7 +169,7 @@ def _masks(width: int, t: int) -> np.ndarray:
 
 
 def probes(nodes: DataFrame, chosen: Plan) -> DataFrame:
-    """(part, value, fp, exact): a row for each value that a part may have within its threshold; exact marks the value it has."""
+    """(part, value, fp): a row for each value within half its threshold of the one that a part has."""
 
     def work(batches):
         for batch in batches:
@@ -170,15 +180,14 @@ def probes(nodes: DataFrame, chosen: Plan) -> DataFrame:
                 value = np.zeros(len(fp), np.uint64)
                 for at, b in enumerate(bits):
                     value |= (fp >> np.uint64(b) & np.uint64(1)) << np.uint64(at)
-                masks = _masks(len(bits), t)
+                masks = _masks(len(bits), t // 2)
                 for first in range(0, len(fp), step := max(1, 200_000 // len(masks))):
                     own = fp[first : first + step]
                     near = (value[first : first + step, None] ^ masks).ravel()
-                    exact = np.tile(masks == 0, len(own))
-                    columns = [np.full(len(near), i, np.int32), near.view(np.int64), np.repeat(own, len(masks)).view(np.int64), exact]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "value", "fp", "exact"])
+                    columns = [np.full(len(near), i, np.int32), near.view(np.int64), np.repeat(own, len(masks)).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "value", "fp"])
 
-    return nodes.select("fp").mapInArrow(work, "part int, value long, fp long, exact boolean")
+    return nodes.select("fp").mapInArrow(work, "part int, value long, fp long")
 
 
 def dealt(rows: DataFrame, bucket: int) -> DataFrame:
@@ -212,7 +221,7 @@ def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.n
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def cell_links(keys: np.ndarray, fp: np.ndarray, exact: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(keys: np.ndarray, fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """A nearest-first spanning forest of the links within runs of equal keys. Rows are compared with the one d further on, d = 1, 2, ..."""
     n, none = len(fp), np.zeros(0, np.int64)
     found = [(none, none, none.astype(np.uint8))]
@@ -227,7 +236,7 @@ def cell_links(keys: np.ndarray, fp: np.ndarray, exact: np.ndarray, k: int) -> t
         at = at[at + d < n]
         at = at[keys[at] == keys[at + d]]
         apart = np.bitwise_count(fp[at] ^ fp[at + d])
-        near = (apart <= k) & (exact[at] | exact[at + d]) & (apart > 0)
+        near = (apart <= k) & (apart > 0)
         if near.any():
             found.append((at[near], at[near] + d, apart[near]))
             held += int(near.sum())
@@ -243,19 +252,19 @@ def links(nodes: DataFrame, k: int, bucket: int = 2048, chosen: Plan | None = No
     if chosen is None:
         chosen = plan(*bit_counts(nodes), k)
     rows = dealt(probes(nodes, chosen), bucket)
-    ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", "fp").select("part", "value", "cell", "fp", "exact")
+    ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", "fp").select("part", "value", "cell", "fp")
 
     def work(batches):
         rest = None
 
         def found(t):
-            part, value, cell, fp, exact = (t[i] for i in range(5))
+            part, value, cell, fp = t
             new = np.concatenate([[True], (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (cell[1:] != cell[:-1])])
-            a, b = cell_links(np.cumsum(new), fp.view(np.uint64), exact, k)
+            a, b = cell_links(np.cumsum(new), fp.view(np.uint64), k)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             t = t if rest is None else [np.concatenate(x) for x in zip(rest, t)]
             # The last run may go on in the next batch; a run is at most two blocks.
             same = (t[0] == t[0][-1]) & (t[1] == t[1][-1]) & (t[2] == t[2][-1])
