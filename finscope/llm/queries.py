@@ -52,7 +52,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document, and after an edit that redacts each mail address and each run of four or more digits."""
     own = tokenizer(spark)
     state = token_counts.counted(documents(spark, sf_dir).select("doc_id", "text"), own)
-    edited = token_counts.recounted(token_counts.pattern_edits(state, r"[\w.+-]+@[\w-]+\.[\w.]+|[0-9]{4,}", "<redacted>"), own)
+    edited = token_counts.recounted(token_counts.pattern_edits(state, r"(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+|[0-9]{4,}", "<redacted>"), own)
     return edited.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")
 
 

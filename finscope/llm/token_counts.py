@@ -14,9 +14,10 @@ itself, so ids, ties and repeats don't matter; other columns pass through.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from finscope.llm.bpe import LOOKAHEAD, Coder, Tokenizer
@@ -44,7 +45,8 @@ class CountTree:
     def of(cls, coder: Coder, text: str) -> CountTree:
         chars, tokens = [], []
         for found in coder.pieces(text):
-            coder.encode(found)
+            if not coder.known.keys() >= (new := set(found)):
+                coder.learn(new)
             starts = range(0, len(found), LEAF)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             counts = np.fromiter(map(len, map(coder.known.__getitem__, found)), np.int64, len(found)) // 4
@@ -143,7 +145,7 @@ def pattern_edits(docs: DataFrame, pattern: str, new: str, text_col: str = "text
     """docs with `edits` (array of start, end, new): one replacement for each match of the pattern, as a redaction makes them."""
 
     def start():
-        find = regex.compile(pattern).finditer
+        find = re.compile(pattern).finditer
 
         def work(batch: pa.RecordBatch):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -187,8 +189,11 @@ def recounted(state: DataFrame, tokenizer: Tokenizer, text_col: str = "text", ed
             for text, edits, chars, tokens in zip(column(text_col), column(edits_col), column("leaf_chars"), column("leaf_tokens")):
                 text = text or ""
                 edits = cleaned(edits, len(text))
+                if not edits:
+                    done.append((0, sum(tokens or []), 0, chars or [], tokens or []))
+                    continue
                 tree = CountTree(np.array(chars or [], np.int64), np.array(tokens or [], np.int64))
-                tree, again = apply_edits(tree, coder, text, edits) if edits else (tree, 0)
+                tree, again = apply_edits(tree, coder, text, edits)
                 leaves = tree.sums[tree.size : tree.size + tree.n]
                 done.append((len(edits), tree.tokens, again, leaves[:, 0], leaves[:, 1]))
             kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
