@@ -14,8 +14,10 @@ stretches that end between pre-tokens, so memory doesn't grow with it.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,32 +96,33 @@ class PerfectHash:
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token by merges of the least rank first, leftmost among equals."""
-    n = len(piece)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = []
-
-    def offer(i: int) -> None:
-        j = after[i]
-        if j < n and (rank := ranks.get(piece[i : after[j]])) is not None:
-            heap.append((rank, i, after[j])) if not started else heapq.heappush(heap, (rank, i, after[j]))
-
-    started = False
-    for i in range(n - 1):
-        offer(i)
+    n, rank_of = len(piece), ranks.get
+    # A part is known by its first byte: after[i] is where it ends, pair[i] the rank of it and the next one, or -1.
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
+    heap = [rank << 32 | i for i, rank in enumerate(pair) if rank >= 0]
     heapq.heapify(heap)
-    started = True
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or after[j] != end:
-            continue  # one of the two has grown since
-        alive[j] = False
-        after[i] = end
+        first = pop(heap)
+        i = first & 0xFFFFFFFF
+        if pair[i] != first >> 32:
+            continue  # one of the two has grown or gone since
+        j = after[i]
+        end = after[j]
+        after[i], pair[j] = end, -1
         if end < n:
             before[end] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+            rank = pair[i] = rank_of(piece[i : after[end]], -1)
+            if rank >= 0:
+                push(heap, rank << 32 | i)
+        else:
+            pair[i] = -1
+        h = before[i]
+        if h >= 0:
+            rank = pair[h] = rank_of(piece[h:end], -1)
+            if rank >= 0:
+                push(heap, rank << 32 | h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -127,10 +130,14 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: The encoder of this process, kept from task to task with what it has resolved.
+_CODERS: dict[str, Coder] = {}
+
+
 class Coder:
-    """Encoder of one task. `known` keeps what was resolved lately, at most `keep` pre-tokens."""
+    """Encoder. `known` keeps what was resolved lately, at most `keep` pre-tokens besides those of the text at hand."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, keep: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, keep: int = 600_000):
         self.ranks, self.table, self.keep = ranks, table, keep
         self.split = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
@@ -155,14 +162,15 @@ class Coder:
             start, step = end, STRETCH
 
     def learn(self, pieces) -> None:
-        new = list(set(pieces).difference(self.known))
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = list(set(pieces))
+        wanted = set(pieces)
+        if len(self.known) > self.keep:  # those that came first go
+            for old in list(islice(self.known, self.keep // 2)):
+                del self.known[old]
+        new = list(wanted.difference(self.known))
         raw = [p.encode() for p in new]
+        known, ranks = self.known, self.ranks
         for piece, own, rank in zip(new, raw, self.table.find(raw)):
-            ids = [rank] if rank >= 0 else merged(own, self.ranks)
-            self.known[piece] = np.array(ids, "<u4").tobytes()
+            known[piece] = rank.to_bytes(4, "little") if rank >= 0 else b"".join([i.to_bytes(4, "little") for i in merged(own, ranks)])
 
     def encode(self, pieces: list[str]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -180,9 +188,13 @@ class Tokenizer:
         ranks = read_ranks(path)
         self.shared = spark.sparkContext.broadcast((ranks, PerfectHash.build(ranks)))
         self.pattern = pattern
+        self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
     def coder(self) -> Coder:
-        return Coder(*self.shared.value, self.pattern)
+        if self.name not in _CODERS:
+            _CODERS.clear()
+            _CODERS[self.name] = Coder(*self.shared.value, self.pattern)
+        return _CODERS[self.name]
 
 
 def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
