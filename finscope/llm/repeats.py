@@ -187,7 +187,7 @@ def run_texts(docs: DataFrame, wanted: DataFrame, unit) -> DataFrame:
     return met.mapInArrow(work, schema)
 
 
-def by_group(pieces: DataFrame, method, verdict: str, chunk: int = 1 << 20) -> DataFrame:
+def by_group(pieces: DataFrame, method, verdict: str, chunk: int = 1 << 19) -> DataFrame:
     """(anchor, snip, verdict): method(groups, shapes, least, n, pieces) on some whole groups at a time, about `chunk` bytes of text."""
     ordered = pieces.where(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor", "snip")
 

@@ -17,17 +17,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Stands for a null id where ids are compared: no document comes after one without an id.
+LAST = (1 << 63) - 1
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id, text_key, text) of the given rows.
+    """Only (doc_id, who, text_key, text) of the given rows.
 
-    text_key tells rows apart that share an id or have none; where every id is
-    unique, as one look at the ids shows, it is 0. Rows with the same id and the
-    same text are one document where documents are compared.
+    who is the id, or LAST for null. text_key tells rows apart that share an id
+    or have none; where every id is unique, as one look at the ids shows, it is
+    0. Rows with the same id and the same text are one document where documents
+    are compared.
     """
     seen = docs.select(F.col(id_col).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = seen.where("n > 1 OR doc_id IS NULL").limit(1).count()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if odd else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("text_key"), F.col(text_col).alias("text"))
+    own = F.col(id_col).cast("long")
+    return docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("who"), key.alias("text_key"), F.col(text_col).alias("text"))
 
 
 def words_of(text: Column) -> Column:

@@ -65,7 +65,7 @@ def least_of_windows(groups, shapes, least, n, pieces, length: int) -> list[np.n
     return np.split(out, np.cumsum(windows)[:-1])
 
 
-def deduped(docs: DataFrame, length: int = 13, group: int = 4096, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+def deduped(docs: DataFrame, length: int = 13, group: int = 50_000, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text) for each document.
 
     Removes each word covered by `length` consecutive words that also start in a
@@ -73,19 +73,22 @@ def deduped(docs: DataFrame, length: int = 13, group: int = 4096, id_col: str =
     input; group: the most different runs that are compared in one task.
     """
     unit = repeats.Words(length, k or max(1, (length + 1) // 3 + (length > 4)))
-    rows = identified(docs, id_col, text_col).repartition("doc_id", "text_key")
-    cand = repeats.candidates(identified(docs, id_col, text_col), unit, across=True)
+    rows = identified(docs, id_col, text_col)
+    cand = repeats.candidates(rows, unit, across=True)
     runs = repeats.distinct_runs(cand)
     several = runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").withColumn("hot", F.col("k") > group)
     pieces = repeats.run_texts(rows, runs.join(several.select("anchor", "hot"), "anchor"), unit)
     has_hot = several.where("hot").limit(1).count() > 0
+    if has_hot:  # they are read twice
+        pieces = repeats.written(pieces, "pieces")
     told = repeats.by_group(pieces, lambda *x: least_of_windows(*x, length), "array<bigint>").withColumnRenamed("verdict", "firsts")
     if has_hot:
         told = told.unionByName(repeats.by_window(pieces, unit).select("anchor", "snip", F.col("least").alias("firsts")))
     known = runs.join(told, ["anchor", "snip"], "left").where("firsts IS NOT NULL OR n > 1").select("anchor", "snip", "least", "firsts")
-    found = cand.join(known, ["anchor", "snip"]).select("doc_id", "text_key", "first", "shape", "least", "firsts")
-    who = F.coalesce("doc_id", F.lit(repeats.LAST))
-    found = found.where((F.coalesce(F.array_min("firsts"), "least") < who)).withColumn("who", who)
+    found = cand.join(known, ["anchor", "snip"]).select("who", "text_key", "first", "shape", "firsts", "least")
+    # For each window of a run, whether a smaller id has it; null where all of the run is repeated.
+    bits = F.array_join(F.transform("firsts", lambda least: F.when(least < F.col("who"), "1").otherwise("0")), "")
+    found = found.where(F.coalesce(F.array_min("firsts"), "least") < F.col("who")).select("who", "text_key", "first", "shape", F.when(F.col("firsts").isNotNull(), bits).alias("bits"))
 
     def finish(_, text, hits):
         words = unit.units(text)
@@ -93,13 +96,15 @@ def deduped(docs: DataFrame, length: int = 13, group: int = 4096, id_col: str =
             return len(words), 0, [], b" ".join(words).decode()
         starts, counts = [], []
         for h in hits:
-            for i in range(h["shape"] >> 16) if h["firsts"] else ():
-                if h["firsts"][i] < h["who"]:
+            windows = h["shape"] >> 16
+            if h["bits"] is None:
+                starts.append(h["first"])
+                counts.append(windows)
+                continue
+            for i in range(windows):
+                if h["bits"][i] == "1":
                     starts.append(h["first"] + i)
                     counts.append(1)
-            if not h["firsts"]:
-                starts.append(h["first"])
-                counts.append(h["shape"] >> 16)
         gone = covered(np.array(starts, np.int64), np.array(counts, np.int64), length, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
         spans = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]

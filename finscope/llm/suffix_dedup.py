@@ -87,12 +87,14 @@ def deduped(docs: DataFrame, length: int = 400, group: int = 4096, id_col: str =
     bytes; group: the most different runs that are compared in one task.
     """
     unit = repeats.Bytes(length, k or max(1, length // 3))
-    rows = identified(docs, id_col, text_col).repartition("doc_id", "text_key")
-    cand = repeats.candidates(identified(docs, id_col, text_col), unit, across=False)
+    rows = identified(docs, id_col, text_col)
+    cand = repeats.candidates(rows, unit, across=False)
     runs = repeats.distinct_runs(cand)
     several = runs.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").withColumn("hot", F.col("k") > group)
     pieces = repeats.run_texts(rows, runs.join(several.select("anchor", "hot"), "anchor"), unit)
     has_hot = several.where("hot").limit(1).count() > 0
+    if has_hot:  # they are read twice
+        pieces = repeats.written(pieces, "pieces")
     told = repeats.by_group(pieces, lambda *x: repeated_windows(*x, length), "binary").withColumnRenamed("verdict", "bits")
     if has_hot:
         flags = repeats.by_window(pieces, unit).select("anchor", "snip", "n")
@@ -106,7 +108,7 @@ def deduped(docs: DataFrame, length: int = 400, group: int = 4096, id_col: str =
 
         told = told.unionByName(flags.mapInArrow(packed, "anchor long, snip long, bits binary"))
     known = runs.join(told, ["anchor", "snip"], "left").where("bits IS NOT NULL OR n > 1").select("anchor", "snip", "bits")
-    found = cand.join(known, ["anchor", "snip"]).select("doc_id", "text_key", "first", "shape", "bits")
+    found = cand.join(known, ["anchor", "snip"]).select("who", "text_key", "first", "shape", "bits")
 
     def finish(_, text, hits):
         raw = unit.units(text)
