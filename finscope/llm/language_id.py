@@ -4,7 +4,7 @@ A text is a normalised TF-IDF vector of its byte n-grams (one to three bytes,
 ASCII letters in lower case, other ASCII as a space), hashed to `dim` places.
 Each language has up to `clusters` centroids by spherical k-means; a text gets
 the language of the centroid with the greatest cosine, and is rejected where it
-is further from it than almost every sampled text of its length.
+is much further from it than sampled texts of its length are.
 
 The classifier is fitted on at most `per_language` labelled rows of each
 language, the first by a hash of their id: IDF, centroids and rejection all come
@@ -32,6 +32,8 @@ from finscope.llm.shared import appended, utf8, written
 #: Bytes of a text that are counted at a time.
 STRETCH = 1 << 21
 UNKNOWN = "und"
+#: Sampled ids that are sent to every task rather than joined by a shuffle; there are per_language for each language.
+BROADCAST_IDS = 200_000
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -100,6 +102,9 @@ def training_rows(docs: DataFrame, per_language: int, id_col: str = "doc_id", te
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).distinct()
     ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id", "lang")
+    ids = written(ids, "language-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
@@ -108,8 +113,8 @@ def _matrix(texts, dim: int) -> np.ndarray:
     return np.array([counts(np.frombuffer(t.encode(), np.uint8), dim) for t in texts])
 
 
-def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int = 4096, tail: float = 0.002, margin: float = 0.5, **columns) -> LanguageModel:
-    """Fit on a bounded sample. A text is rejected below `margin` times the `tail` quantile of scores in its length band."""
+def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int = 4096, margin: float = 0.4, least_bytes: int = 128, **columns) -> LanguageModel:
+    """Fit on a bounded sample. A text of at least `least_bytes` is rejected below `margin` times the median score of its length band; shorter ones say too little to be."""
     sample = written(training_rows(docs, per_language, **columns).repartition("lang"), "language-sample")
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,8 +136,12 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int =
     made = sample.groupBy("lang").applyInPandas(grouped, "lang string, c array<float>, scores array<double>, bits array<bigint>").toPandas().sort_values("lang")
     all_c = [np.array(c, np.float32).reshape(-1, dim) for c in made["c"]]
     scores, bits = np.concatenate([np.array(x) for x in made["scores"]]), np.concatenate([np.array(x) for x in made["bits"]])
-    # A band takes in the shorter ones around it, so that a rare length has enough texts to compare with.
-    floor = np.array([np.quantile(near, tail) * margin if len(near := scores[np.abs(bits - b) <= 1]) >= 20 else 0.0 for b in range(65)])
+    # A band takes in those beside it, so that a rare length has enough texts to compare with; a band without any is as strict as the one before.
+    floor = np.zeros(65)
+    for band in range(1, 65):
+        near = scores[np.abs(bits - band) <= 1]
+        floor[band] = np.median(near) * margin if len(near) >= 20 else floor[band - 1]
+    floor[: (least_bytes - 1).bit_length() + 1] = 0
     return LanguageModel([lang for lang, c in zip(made["lang"], all_c) for _ in range(len(c))], np.concatenate(all_c), idf, floor)
 
 
