@@ -24,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations, repeat
-from math import ceil, comb
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finscope.llm.repeats import bitmap_of
-from finscope.llm.shared import appended, written
+from finscope.llm.shared import appended, mixed, written
 from finscope.matching.components import connected_components
 
 BITS = 64
 #: Shingles of a text that are hashed at a time.
 STRETCH = 1 << 18
+#: 64-bit words of a wide fingerprint, and bits of a key that is drawn from it.
+WORDS, KEY_BITS = 4, 16
+_SALTS = np.array([0x9E3779B97F4A7C15 * (i + 1) % (1 << 64) for i in range(WORDS)], np.uint64)
 
 
 def shingles(words: list[bytes], width: int):
@@ -221,10 +224,16 @@ def spanning(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int) -> np.n
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of x and y differ; a row is one word, or several."""
+    apart = np.bitwise_count(x ^ y)
+    return apart if apart.ndim == 1 else apart.sum(axis=1, dtype=np.uint16)
+
+
 def cell_links(keys: np.ndarray, fp: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A nearest-first spanning forest of the links within runs of equal keys. Rows are compared with the one d further on, d = 1, 2, ..."""
+    """Places of a nearest-first spanning forest of the links within runs of equal keys. Rows are compared with the one d further on, d = 1, 2, ..."""
     n, none = len(fp), np.zeros(0, np.int64)
-    found = [(none, none, none.astype(np.uint8))]
+    found = [(none, none, none.astype(np.uint16))]
     at, d, held = np.arange(n - 1), 1, 0
 
     def thinned():
@@ -235,36 +244,45 @@ def cell_links(keys: np.ndarray, fp: np.ndarray, k: int) -> tuple[np.ndarray, np
     while len(at):
         at = at[at + d < n]
         at = at[keys[at] == keys[at + d]]
-        apart = np.bitwise_count(fp[at] ^ fp[at + d])
+        likely = at
+        if fp.ndim == 2:  # a distance in the first word that no pair within k would have by chance spares the other words
+            likely = at[np.bitwise_count(fp[at, 0] ^ fp[at + d, 0]) <= k // WORDS + 10]
+        apart = differing(fp[likely], fp[likely + d])
         near = (apart <= k) & (apart > 0)
         if near.any():
-            found.append((at[near], at[near] + d, apart[near]))
+            found.append((likely[near], likely[near] + d, apart[near]))
             held += int(near.sum())
         if held > 2_000_000:
             found, held = thinned(), 0
         d += 1
     ((a, b, _),) = thinned()
-    return fp[a], fp[b]
+    return a, b
 
 
 def links(nodes: DataFrame, k: int, bucket: int = 2048, chosen: Plan | None = None) -> DataFrame:
     """(a, b): some of the pairs within k bits; they connect whatever all of those pairs connect. `nodes` has distinct fp."""
     if chosen is None:
         chosen = plan(*bit_counts(nodes), k)
-    rows = dealt(probes(nodes, chosen), bucket)
-    ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", "fp").select("part", "value", "cell", "fp")
+    return linked(probes(nodes, chosen), ["fp"], k, bucket)
+
+
+def linked(rows: DataFrame, words: list[str], k: int, bucket: int) -> DataFrame:
+    """(a, b): first words of the links within k bits, over all words, of rows with the same part and value; a forest of each cell."""
+    rows = dealt(rows, bucket)
+    ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", *words).select("part", "value", "cell", *words)
 
     def work(batches):
         rest = None
 
         def found(t):
-            part, value, cell, fp = t
+            part, value, cell = t[:3]
             new = np.concatenate([[True], (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (cell[1:] != cell[:-1])])
-            a, b = cell_links(np.cumsum(new), fp.view(np.uint64), k)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            fp = t[3].view(np.uint64) if len(words) == 1 else np.stack([w.view(np.uint64) for w in t[3:]], axis=1)
+            a, b = cell_links(np.cumsum(new), fp, k)
+            return pa.RecordBatch.from_arrays([pa.array(t[3][a]), pa.array(t[3][b])], names=["a", "b"])
 
         for batch in batches:
-            t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            t = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(words))]
             t = t if rest is None else [np.concatenate(x) for x in zip(rest, t)]
             # The last run may go on in the next batch; a run is at most two blocks.
             same = (t[0] == t[0][-1]) & (t[1] == t[1][-1]) & (t[2] == t[2][-1])
@@ -288,18 +306,72 @@ def components(prints: DataFrame, k: int = 3, bucket: int = 2048) -> DataFrame:
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def wide(text: str | None, width: int) -> np.ndarray:
+    """256 bits in four words; each different shingle votes once, with an independent 64-bit hash for each word."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(WORDS, np.uint64)
+    h = np.unique(np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, p), np.uint64, len(p)) for p in shingles(words, width)]))
+    votes, step = np.zeros(WORDS * BITS, np.int64), 1 << 13
+    for first in range(0, len(h), step):
+        own = mixed(h[first : first + step, None] ^ _SALTS).astype("<u8")
+        votes += np.unpackbits(own.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * votes > len(h), bitorder="little").view("<u8")
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of bits in which two sets of this Jaccard similarity differ: their angle over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def chances(similarity: float) -> np.ndarray:
+    """Chance of each distance between the wide fingerprints of two sets of this similarity."""
+    n, p = WORDS * BITS, differing_share(similarity)
+    return np.array([comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1)])
+
+
+def sampling(similarity: float, recall: float) -> tuple[int, int]:
+    """(k, tables): pairs of this similarity are within k bits but for a tenth of what may be lost, and meet in one of the tables and are within k with the stated recall."""
+    n, near = WORDS * BITS, chances(similarity)
+    k = int(np.argmax(near.cumsum() >= 1 - (1 - recall) / 10))
+    meet = np.array([comb(n - d, KEY_BITS) / comb(n, KEY_BITS) for d in range(n + 1)])
+    tables = 1
+    while float((near * (1 - (1 - meet) ** tables))[: k + 1].sum()) < recall:
+        tables += 1
+    return k, tables
+
+
+def sampled(nodes: DataFrame, tables: int) -> DataFrame:
+    """(part, value, w0 ...): a row for each table; its value is that of KEY_BITS bits, which are drawn anew for each table."""
+    names = [f"w{i}" for i in range(WORDS)]
+    rng = np.random.default_rng(42)
+    drawn = [rng.choice(WORDS * BITS, KEY_BITS, replace=False) for _ in range(tables)]
+
+    def work(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                words = [part.column(i).to_numpy() for i in range(WORDS)]
+                bits = np.unpackbits(np.stack(words, axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+                for i, own in enumerate(drawn):
+                    value = np.packbits(np.ascontiguousarray(bits[:, own]), axis=1, bitorder="little").view("<u2")[:, 0].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int32)), pa.array(value), *map(pa.array, words)], names=["part", "value", *names])
+
+    return nodes.select(*names).mapInArrow(work, "part int, value long, " + ", ".join(f"{n} long" for n in names))
+
+
 def prints_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, fp, content) of `identified` rows; content is a 128-bit hash of the lower-case words."""
+    """(doc_id, text_key, w0 ..., content): words of the wide fingerprint; content is a 128-bit hash of the lower-case words."""
 
     def start():
         def work(batch: pa.RecordBatch):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            return [pa.array(fps), pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts], pa.binary())]
+            fps = np.array([wide(t, width) for t in texts], np.uint64).reshape(-1, WORDS).view(np.int64)
+            return [*(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)), pa.array([xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts], pa.binary())]
 
         return work
 
-    return appended(docs, "fp long, content binary", start).drop("text")
+    return appended(docs, ", ".join(f"w{i} long" for i in range(WORDS)) + ", content binary", start).drop("text")
 
 
 def shingle_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
@@ -332,11 +404,13 @@ def shingle_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
     return made.groupBy("content").agg(F.any_value("shingles").alias("shingles")).join(nodes, "content", "left_semi")
 
 
-def deduped(docs: DataFrame, width: int = 5, k: int = 10, min_similarity: float = 0.8, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduped(docs: DataFrame, width: int = 5, recall: float = 0.97, min_similarity: float = 0.8, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the first document, by id, of each group of near duplicates.
 
-    Texts of the same words are copies. Others are linked if their fingerprints
-    over `width`-word shingles are within k bits and the Jaccard similarity of
+    Texts of the same words are copies. Others are candidates if their wide
+    fingerprints over `width`-word shingles meet in a table and are near enough,
+    which a pair of exactly min_similarity does with the chance `recall`, and
+    more similar ones do more often. They are linked if the Jaccard similarity of
     their shingles is at least min_similarity; links join groups. Of copies with
     the same id the one with the least text hash stays, and of rows with the
     same id and text one stays; null ids come last.
@@ -344,13 +418,15 @@ def deduped(docs: DataFrame, width: int = 5, k: int = 10, min_similarity: float
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     rows = keyed.select(F.col("_id").alias("doc_id"), F.col("_key").alias("text_key"), F.col(text_col).alias("text"))
     prints = written(prints_of(rows, width), "prints")
+    words = [f"w{i}" for i in range(WORDS)]
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    texts = written(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min(place).alias("first")), "texts")
-    of_fp = written(texts.groupBy("fp").agg(F.min("content").alias("head")), "heads")
-    edges = links(of_fp.select("fp"), k, bucket)
-    a, b = of_fp.select(F.col("fp").alias("a"), F.col("head").alias("u")), of_fp.select(F.col("fp").alias("b"), F.col("head").alias("v"))
+    texts = written(prints.groupBy("content").agg(*[F.min(w).alias(w) for w in words], F.min(place).alias("first")), "texts")
+    k, tables = sampling(min_similarity, recall)
+    edges = linked(sampled(texts.select(*words).distinct(), tables), words, k, bucket).where("a <> b")
+    heads = written(texts.groupBy("w0").agg(F.min("content").alias("head")), "heads")
+    a, b = heads.select(F.col("w0").alias("a"), F.col("head").alias("u")), heads.select(F.col("w0").alias("b"), F.col("head").alias("v"))
     across = edges.join(a, "a").join(b, "b").select("u", "v")
-    within = texts.join(of_fp, "fp").where("content <> head").select(F.col("content").alias("u"), F.col("head").alias("v"))
+    within = texts.join(heads, "w0").where("content <> head").select(F.col("content").alias("u"), F.col("head").alias("v"))
     edges = written(across.unionByName(within), "near-edges")
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("content")).distinct(), "near-nodes")
     sets = written(shingle_sets(rows, width, nodes), "shingle-sets")

@@ -128,3 +128,19 @@ def test_one_document_of_each_group_stays(spark):
     left = [i for i in ids if i is not None and i < 72]
     assert {group[i] for i in left} == set(range(12)) and all(i % 6 == 0 for i in left[:0]) and len(left) == 12
     assert simhash.deduped(df.where("doc_id < 0")).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    while len(rows) < 240:
+        base = [word() for _ in range(200)]
+        other = list(base)
+        for place in rng.sample(range(5, 195), 4):
+            other[place] = word()
+        if 0.8 <= jaccard(" ".join(base), " ".join(other)) < 0.84:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    left = {r["doc_id"] for r in simhash.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in left for i in range(0, 240, 2))
+    assert sum(i not in left for i in range(1, 240, 2)) >= 0.93 * 120
