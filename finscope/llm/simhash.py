@@ -404,6 +404,64 @@ def shingle_sets(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
     return made.groupBy("content").agg(F.any_value("shingles").alias("shingles")).join(nodes, "content", "left_semi")
 
 
+def similar_pairs(blocks: np.ndarray, sets: list[np.ndarray], min_similarity: float) -> list[tuple[int, int]]:
+    """Places of pairs of similar sets; they connect whatever all similar pairs connect. Where there are two blocks, only pairs across them count."""
+    sizes, across = np.array([len(s) for s in sets]), len(np.unique(blocks)) > 1
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    mark, label, out = np.zeros(len(ids) + 1, np.int32), np.arange(len(sets)), []
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        j = j[(label[j] != label[i]) & (sizes[j] > 0) & (np.minimum(sizes[j], sizes[i]) >= min_similarity * np.maximum(sizes[j], sizes[i]))]
+        if across:
+            j = j[blocks[j] != blocks[i]]
+        if not len(j):
+            continue
+        mark[own[i]] = 1
+        both = np.add.reduceat(mark[np.concatenate([own[x] for x in j])], np.cumsum(sizes[j]) - sizes[j])
+        mark[own[i]] = 0
+        hits = j[both >= min_similarity * (sizes[i] + sizes[j] - both)]
+        met, first = np.unique(label[hits], return_index=True)
+        out += [(i, int(x)) for x in hits[first]]
+        label[np.isin(label, met)] = label[i]
+    return out
+
+
+def verified(candidates: DataFrame, sets: DataFrame, min_similarity: float, block: int = 1 << 20) -> DataFrame:
+    """(u, v): similar pairs that connect whatever all similar pairs do that candidates connect, directly or by others.
+
+    What candidates connect is a family. All its pairs are compared, unless
+    similar ones already connect them, so the thinning of candidates loses
+    none. A family of more than `block` shingles is dealt out as a triangle of
+    cells of two blocks each.
+    """
+    rows = connected_components(candidates, "u", "v").join(sets, F.col("node") == F.col("content")).select("root", "content", "shingles")
+    sizes = rows.groupBy("root").agg(F.sum(F.size("shingles")).alias("n")).withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    rows = rows.join(sizes.drop("n"), "root").withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+    ordered = rows.repartition("root", "cell").sortWithinPartitions("root", "cell").select("root", "cell", "block", "content", "shingles")
+
+    def work(batches):
+        run, held = None, []
+
+        def found():
+            pairs = similar_pairs(np.array([h[0] for h in held]), [h[2] for h in held], min_similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([held[p[at]][1] for p in pairs], pa.binary()) for at in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            lists = batch.column(4)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (root, cell, own, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                if (root, cell) != run:
+                    yield found()
+                    run, held = (root, cell), []
+                held.append((own, content, flat[ends[i] : ends[i + 1]].copy()))
+        yield found()
+
+    return ordered.mapInArrow(work, "u binary, v binary")
+
+
 def deduped(docs: DataFrame, width: int = 5, recall: float = 0.97, min_similarity: float = 0.8, bucket: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the first document, by id, of each group of near duplicates.
 
@@ -430,9 +488,7 @@ def deduped(docs: DataFrame, width: int = 5, recall: float = 0.97, min_similarit
     edges = written(across.unionByName(within), "near-edges")
     nodes = written(edges.select(F.explode(F.array("u", "v")).alias("content")).distinct(), "near-nodes")
     sets = written(shingle_sets(rows, width, nodes), "shingle-sets")
-    met = edges.join(sets.select(F.col("content").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("content").alias("v"), F.col("shingles").alias("sv")), "v")
-    both = F.size(F.array_intersect("su", "sv"))
-    similar = met.select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("total")).where(F.col("both") >= min_similarity * (F.col("total") - F.col("both")))
+    similar = verified(edges, sets, min_similarity)
     roots = connected_components(similar.select("u", "v"), "u", "v")
     named = texts.join(roots, texts["content"] == roots["node"], "left").select("content", "first", F.coalesce("root", "content").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")

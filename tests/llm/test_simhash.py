@@ -144,3 +144,31 @@ def test_pairs_at_the_threshold_are_found(spark):
     left = {r["doc_id"] for r in simhash.deduped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(i in left for i in range(0, 240, 2))
     assert sum(i not in left for i in range(1, 240, 2)) >= 0.93 * 120
+
+
+def test_pairs_of_a_family_are_verified_before_they_are_thinned(spark):
+    # u and v are similar; candidates connect them only through w, which is similar to neither.
+    u, w = set(range(100)), set(range(60)) | set(range(200, 240))
+    v = set(range(5, 105))
+    sets = spark.createDataFrame([(bytes([i]) * 16, [int(x) for x in s]) for i, s in enumerate((u, w, v))], "content binary, shingles array<bigint>")
+    near = spark.createDataFrame([(bytes([0]) * 16, bytes([1]) * 16), (bytes([1]) * 16, bytes([2]) * 16)], "u binary, v binary")
+    for block in (1 << 20, 100):
+        got = {frozenset((r["u"][0], r["v"][0])) for r in simhash.verified(near, sets, 0.8, block).collect()}
+        assert got == {frozenset((0, 2))}, block
+
+
+def test_similar_pairs_connect_what_all_pairs_do():
+    rng = random.Random(8)
+    for blocks in (1, 2):
+        base = [rng.sample(range(400), 60) for _ in range(6)]
+        sets = [np.array(sorted({x if rng.random() > 0.06 else rng.randrange(400, 9000) for x in base[rng.randrange(6)]})) for _ in range(80)] + [np.zeros(0, np.int64)]
+        block = np.array([rng.randrange(blocks) for _ in sets])
+        ok = lambda i, j: len(sets[i]) and (blocks == 1 or block[i] != block[j]) and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+        groups = []
+        for pairs in ([(i, j) for i in range(81) for j in range(i + 1, 81) if ok(i, j)], simhash.similar_pairs(block, sets, 0.8)):
+            assert all(ok(i, j) for i, j in pairs)
+            label = list(range(81))
+            for i, j in pairs:
+                label = [label[i] if x == label[j] else x for x in label]
+            groups.append({frozenset(k for k in range(81) if label[k] == x) for x in label})
+        assert groups[0] == groups[1]
