@@ -20,6 +20,7 @@ other columns pass through, and new ones replace equally named ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -113,8 +114,27 @@ def _matrix(texts, dim: int) -> np.ndarray:
     return np.array([counts(np.frombuffer(t.encode(), np.uint8), dim) for t in texts])
 
 
+def stretches(texts, bits: int) -> list[bytes]:
+    """A stretch of each longer text whose size in bytes has this bit length, cut between characters; only those with a letter."""
+    out = []
+    for text in texts:
+        raw = text.encode()
+        at = crc32(raw)
+        size = (1 << (bits - 1)) + at % (1 << (bits - 1))
+        if len(raw) > size:
+            first = at % (len(raw) - size)
+            cut = raw[first : first + size].decode(errors="ignore")
+            if any(map(str.isalpha, cut)):
+                out.append(cut.encode())
+    return out
+
+
 def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int = 4096, margin: float = 0.4, least_bytes: int = 128, **columns) -> LanguageModel:
-    """Fit on a bounded sample. A text of at least `least_bytes` is rejected below `margin` times the median score of its length band; shorter ones say too little to be."""
+    """Fit on a bounded sample. A text of at least `least_bytes` is rejected below `margin` times the median score of its length band.
+
+    Shorter ones vary more: their floor is that, or the score that all but one in
+    200 reach, whichever is less, of stretches of their length out of the sample.
+    """
     sample = written(training_rows(docs, per_language, **columns).repartition("lang"), "language-sample")
 
     def frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,11 +146,18 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int =
     df = np.sum([np.array(x) for x in parts["df"]], axis=0)
     idf = np.log((1 + parts["n"].sum()) / (1 + df)).astype(np.float32)
 
+    short = (least_bytes - 1).bit_length()
+
     def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         x = vectors(_matrix(pdf["text"], dim), idf)
         c = centroids(x, clusters)
         best = (x @ c.T).max(axis=1)
         bits = [len(t.encode()).bit_length() for t in pdf["text"]]
+        # Stretches have the band's number below zero.
+        for band in range(1, short + 1):
+            if cut := stretches(pdf["text"], band):
+                own = vectors(np.array([counts(np.frombuffer(t, np.uint8), dim) for t in cut]), idf) @ c.T
+                best, bits = np.append(best, own.max(axis=1)), bits + [-band] * len(cut)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [c.ravel()], "scores": [best.astype(float)], "bits": [bits]})
 
     made = sample.groupBy("lang").applyInPandas(grouped, "lang string, c array<float>, scores array<double>, bits array<bigint>").toPandas().sort_values("lang")
@@ -139,9 +166,11 @@ def fit(docs: DataFrame, per_language: int = 400, clusters: int = 4, dim: int =
     # A band takes in those beside it, so that a rare length has enough texts to compare with; a band without any is as strict as the one before.
     floor = np.zeros(65)
     for band in range(1, 65):
-        near = scores[np.abs(bits - band) <= 1]
+        near = scores[(np.abs(bits - band) <= 1) & (bits > 0)]
         floor[band] = np.median(near) * margin if len(near) >= 20 else floor[band - 1]
-    floor[: (least_bytes - 1).bit_length() + 1] = 0
+    for band in range(short + 1):
+        cut = scores[bits == -band] if band else scores[:0]
+        floor[band] = min(np.median(cut) * margin, np.quantile(cut, 0.005)) if len(cut) >= 20 else 0
     return LanguageModel([lang for lang, c in zip(made["lang"], all_c) for _ in range(len(c))], np.concatenate(all_c), idf, floor)
 
 

@@ -241,3 +241,14 @@ def test_whole_texts_are_counted(monkeypatch):
     want = language_id.counts(raw, 1024)
     monkeypatch.setattr(language_id, "STRETCH", 100)
     assert (language_id.counts(raw, 1024) == want).all()
+
+
+def test_short_outliers_are_rejected(spark):
+    rng = __import__("random").Random(4)
+    words = {"en": "the of and house water stone never where which with from light".split(), "fr": "le la des maison avec pierre jamais dans pour lumière être une".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(80)), lang) for i, lang in enumerate(["en", "fr"] * 150)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=100, clusters=2)
+    short = [(1, "Ωμέγα άλφα βήτα γάμμα"), (2, "быстрая коричневая лиса"), (3, "the water of the house"), (4, "la maison avec une pierre")]
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_rejected"]) for r in language_id.predicted(spark.createDataFrame(short, "doc_id long, text string"), model).collect()}
+    assert got[1][1] and got[2][1]
+    assert got[3] == ("en", False) and got[4] == ("fr", False)
