@@ -76,12 +76,13 @@ def first_entries(df: DataFrame, columns: list[str], placeholder: str = "1900-01
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each numeric column: rows, nulls, signs, extremes, sum and distinct values; one aggregation over the table."""
+    """For each numeric column: rows, nulls, signs, extremes, exact sum, distinct values and populated share (null without rows); one aggregation over the table."""
     of = lambda c: F.col(c).cast("double")
     parts = [
         F.struct(
             F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(of(c) < 0).alias("negative"), F.count_if(of(c) == 0).alias("zero"), F.count_if(of(c) > 0).alias("positive"),
-            F.min(of(c)).alias("least"), F.max(of(c)).alias("greatest"), F.approx_count_distinct(c).alias("about_distinct"),
+            F.min(of(c)).alias("least"), F.max(of(c)).alias("greatest"), F.sum(F.col(c).cast("decimal(30,6)")).alias("total"), F.count_distinct(c).alias("distinct_values"),
+            F.when(F.count("*") > 0, F.count(c) / F.count("*")).alias("populated"),
         ) for c in columns
     ]
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")

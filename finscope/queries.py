@@ -264,7 +264,7 @@ SELECT DISTINCT house AS client, p AS dim_position, v AS dim_value FROM (SELECT
 _add("extract_dimension_config", {"agldimvalue"}, lambda f: extracts.dimension_config(f["agldimvalue"].select("client", "attribute_id").distinct(), f["agldimvalue"]), "SELECT client, attribute_id, count(*) AS total_values, count(*) FILTER (status = 'N') AS active, count(*) FILTER (status = 'C') AS closed FROM agldimvalue GROUP BY ALL")
 _add("extract_fiscal_year", {"gl_journals"}, lambda f: extracts.fiscal_year(f["gl_journals"], 2000).select("house", "client", "voucher_no", "sequence_no", "account", "period"), "SELECT house, client, voucher_no, sequence_no, account, period FROM gl_journals WHERE fiscal_year = 2000")
 _add("profile_first_entries", {"asset_master"}, lambda f: extracts.first_entries(f["asset_master"], ["cap_date_from", "date_from", "date_to", "org_amt_date"], table="asset_master"), " UNION ALL ".join(f"SELECT 'asset_master' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, count(*) FILTER ({c} <= DATE '1900-01-02') AS placeholders, min({c}) FILTER ({c} > DATE '1900-01-02')::DATE AS earliest FROM asset_master" for c in ("cap_date_from", "date_from", "date_to", "org_amt_date")))
-_add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("about_distinct"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
+_add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("total", "distinct_values", "populated"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
 _add("value_counts_orders", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader"], "status", "amend_no"), "SELECT status, amend_no, count(*) AS rows FROM apoheader GROUP BY ALL")
 
 

@@ -153,3 +153,14 @@ def test_every_query_has_frames_it_can_build():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     for table in bindings.TABLES:
         assert bindings.order([table])[-1] == table
+
+
+def test_profile_has_sum_distinct_and_share(spark):
+    from decimal import Decimal
+
+    from finscope import extracts
+
+    df = spark.createDataFrame([(0.1, 1), (0.2, None), (None, 1), (0.1, 2)], "a double, b long")
+    got = {r["column"]: (r["total"], r["distinct_values"], r["populated"]) for r in extracts.profile(df, ["a", "b"]).collect()}
+    assert got == {"a": (Decimal("0.4"), 2, 0.75), "b": (Decimal(4), 2, 0.75)}
+    assert [r["populated"] for r in extracts.profile(df.limit(0), ["a"]).collect()] == [None]
