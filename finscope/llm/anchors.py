@@ -36,8 +36,11 @@ class Powers:
 
     @classmethod
     def of(cls, n: int) -> Powers:
-        if cls._held is None or len(cls._held.up) <= n:
-            cls._held = cls(max(n, 2 * PORTION))
+        """The powers kept by this process reach as far as a portion does; more are made anew, and not kept."""
+        if n > PORTION + (PORTION >> 3):
+            return cls(n)
+        if cls._held is None:
+            cls._held = cls(PORTION + (PORTION >> 3))
         return cls._held
 
 

@@ -6,13 +6,13 @@ The way, the same for words and for bytes:
    done with.
 2. A bitmap of the repeated anchors, if its size is within a bound, spares the
    shuffle the others; the join that follows is exact with or without it.
-3. Runs are told apart by a hash of what they cover, and equal runs are
-   aggregated before they are shuffled: a passage that a third of all documents
-   share is one row a task.
-4. Where one anchor has several different runs, their texts are compared by the
-   operator's own method, in groups that fit in memory. A group of more than
-   `group` different runs is split to its windows instead, which are grouped by
-   a 128-bit hash of the whole window.
+3. Equal runs are aggregated before they are shuffled: a passage that a third of
+   all documents share is one row a task, and one run with a count.
+4. The texts of the different runs, each once, are compared by the operator's own
+   method, all runs of an anchor together. Where an anchor has more than `group`
+   different runs, they are cut to slices of fewer windows, which are grouped by
+   all that the windows of a slice have in common, equal slices are aggregated,
+   and the method goes on with those; the last slices are single windows.
 5. What was found about each run goes back to the documents that have it.
 """
 
@@ -29,6 +29,8 @@ from finscope.llm.anchors import PORTION
 from finscope.llm.shared import LAST, written  # noqa: F401
 
 RUN = "anchor long, snip long, who long, text_key long, first int, shape int"
+PIECE = ["anchor", "snip", "shape", "least", "n", "piece"]
+MARKS = "array<struct<first: int, count: int, least: bigint>>"
 
 
 class Words:
@@ -43,6 +45,12 @@ class Words:
     def joined(self, units, first: int, count: int) -> bytes:
         return b" ".join(units[first : first + count])
 
+    def step(self, units: list[bytes], first: int) -> int:
+        """Windows from `first` on that go in one part: as many as half a portion of bytes holds, one at least."""
+        most = PORTION // 8
+        sizes = np.cumsum(np.fromiter(map(len, units[first : first + most]), np.int64))
+        return max(1, int(np.searchsorted(sizes, PORTION // 2)))
+
     def values(self, parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(buffer, hash of each unit, units of each part, start and end of each unit in the buffer)."""
         buffer = b" ".join(parts)
@@ -66,6 +74,9 @@ class Bytes:
     def joined(self, units, first: int, count: int) -> bytes:
         return units[first : first + count]
 
+    def step(self, units: bytes, first: int) -> int:
+        return PORTION // 2
+
     def values(self, parts: list[bytes]):
         buffer = b"".join(parts)
         raw = np.frombuffer(buffer, np.uint8)
@@ -76,16 +87,18 @@ class Bytes:
 def _portions(texts, unit):
     """Lists of (row, first unit, part of the text), about PORTION bytes in all; a long text is cut into parts that share what a window covers."""
     held, size = [], 0
-    step = PORTION // 8 if isinstance(unit, Words) else PORTION // 2
     for row, text in enumerate(texts):
         units = unit.units(text)
-        for first in range(0, max(0, len(units) - unit.length + 1), step):
-            part = unit.joined(units, first, step + unit.length - 1)
+        first, windows = 0, len(units) - unit.length + 1
+        while first < windows:
+            step = unit.step(units, first)
+            part = unit.joined(units, first, min(step, windows - first) + unit.length - 1)
             if held and size + len(part) > PORTION:
                 yield held
                 held, size = [], 0
             held.append((row, first, part))
             size += len(part) + 1
+            first += step
     if held:
         yield held
 
@@ -162,34 +175,42 @@ def candidates(docs: DataFrame, unit, across: bool) -> DataFrame:
 
 
 def distinct_runs(cand: DataFrame) -> DataFrame:
-    """One row for each different run: who has it first, how often it occurs, one place of it, and how many runs its anchor has."""
+    """One row for each different run: who has it first, how often it occurs, and one place of it."""
     out = cand.groupBy("anchor", "snip").agg(F.min(F.struct("who", "text_key", "first", "shape")).alias("at"), F.count("*").alias("n"))
-    out = out.select("anchor", "snip", "at", F.col("at.who").alias("least"), "n")
-    return written(out, "distinct-runs")
+    return written(out.select("anchor", "snip", "at", F.col("at.who").alias("least"), "n"), "distinct-runs")
 
 
-def run_texts(docs: DataFrame, wanted: DataFrame, unit) -> DataFrame:
-    """wanted (anchor, snip, at, least, n, hot) with the text of each run, `piece`. Docs and places meet by document, so no text is repeated."""
-    by_doc = wanted.groupBy(F.col("at.who").alias("who"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "snip", "at.first", "at.shape", "least", "n", "hot")).alias("want"))
+def run_texts(docs: DataFrame, runs: DataFrame, unit) -> DataFrame:
+    """(anchor, snip, shape, least, n, piece): each of the runs with its text. Docs and places meet by document, so no text is repeated."""
+    by_doc = runs.groupBy(F.col("at.who").alias("who"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "snip", "at.first", "at.shape", "least", "n")).alias("want"))
     # doc_id is taken along only so that the shuffle of the texts is the one that `found_by_document` uses again.
     met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"]).select("text", "want", "doc_id")
-    schema = "anchor long, snip long, shape int, least long, n long, hot boolean, piece binary"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def work(batches):
         for batch in batches:
             for text, want in zip(batch.column(0), batch.column(1)):
-                units, out = unit.units(text.as_py()), []
-                for w in want.as_py():
-                    out.append((w["anchor"], w["snip"], w["shape"], w["least"], w["n"], w["hot"], unit.joined(units, w["first"], (w["shape"] >> 16) - 1 + unit.length)))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["anchor", "snip", "shape", "least", "n", "hot", "piece"])
+                units = unit.units(text.as_py())
+                out = [(w["anchor"], w["snip"], w["shape"], w["least"], w["n"], unit.joined(units, w["first"], (w["shape"] >> 16) - 1 + unit.length)) for w in want.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=PIECE)
+
+    return met.mapInArrow(work, "anchor long, snip long, shape int, least long, n long, piece binary")
 
-    return met.mapInArrow(work, schema)
 
+def marks_array(owner: np.ndarray, index: np.ndarray, least: np.ndarray, runs: int) -> pa.Array:
+    """For each run the stretches of its repeated windows, (first, count, least): windows `index` of runs `owner`, in order; those of one stretch have the same least."""
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (index[1:] != index[:-1] + 1) | (least[1:] != least[:-1])
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(owner)))
+    fields = [pa.array(index[at].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(least[at].astype(np.int64))]
+    offsets = np.searchsorted(owner[at], np.arange(runs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["first", "count", "least"]))
 
-def by_group(pieces: DataFrame, method, verdict: str, chunk: int = 1 << 19) -> DataFrame:
-    """(anchor, snip, verdict): method(groups, shapes, least, n, pieces) on some whole groups at a time, about `chunk` bytes of text."""
-    ordered = pieces.where(~F.col("hot")).drop("hot").repartition("anchor").sortWithinPartitions("anchor", "snip")
+
+def by_group(pieces: DataFrame, method, chunk: int = 1 << 19) -> DataFrame:
+    """(anchor, snip, marks): method(groups, shapes, least, n, pieces) on some whole groups at a time, about `chunk` bytes of text; it returns the arguments of `marks_array`."""
+    ordered = pieces.select(*PIECE).repartition("anchor").sortWithinPartitions("anchor", "snip")
 
     def work(batches):
         held, size = [], 0
@@ -197,9 +218,8 @@ def by_group(pieces: DataFrame, method, verdict: str, chunk: int = 1 << 19) -> D
         def done():
             anchor, snip, shape, least, n, piece = zip(*held)
             groups = np.cumsum(np.concatenate([[0], np.diff(np.array(anchor)) != 0]))
-            found = method(groups, np.array(shape), np.array(least), np.array(n), list(piece))
-            kind = pa.list_(pa.int64()) if "array" in verdict else pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(snip, pa.int64()), pa.array(found, kind)], names=["anchor", "snip", "verdict"])
+            found = marks_array(*method(groups, np.array(shape), np.array(least), np.array(n), list(piece)), len(held))
+            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(snip, pa.int64()), found], names=["anchor", "snip", "marks"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -211,31 +231,67 @@ def by_group(pieces: DataFrame, method, verdict: str, chunk: int = 1 << 19) -> D
         if held:
             yield done()
 
-    return ordered.mapInArrow(work, f"anchor long, snip long, verdict {verdict}")
+    return ordered.mapInArrow(work, f"anchor long, snip long, marks {MARKS}")
+
 
+def sliced(pieces: DataFrame, unit, width: int) -> DataFrame:
+    """Slices of runs: windows whose starts are at most `width` apart, counted from the anchor so that equal windows are in slices of the same number.
 
-def by_window(pieces: DataFrame, unit) -> DataFrame:
-    """(anchor, snip, least, n): sorted arrays over the windows of each run of the hot groups, by whole-window hashes."""
+    run and run_snip name the run, shift is the slice's first window in it; the
+    other columns are those of a run. The slice's own `anchor` is made of all
+    that its windows have in common, so slices meet only where that is equal.
+    """
+    names = ["run", "run_snip", "shift", *PIECE]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def work(batches):
         for batch in batches:
-            for anchor, snip, shape, least, n, _, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                units, windows = unit.units_of_piece(piece), shape >> 16
-                digests = [xxhash.xxh3_128_digest(unit.joined(units, i, unit.length)) for i in range(windows)]
-                columns = [pa.array([anchor] * windows, pa.int64()), pa.array([snip] * windows, pa.int64()), pa.array(range(windows), pa.int32()), pa.array(digests, pa.binary()), pa.array([least] * windows, pa.int64()), pa.array([n] * windows, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "snip", "i", "window", "least", "n"])
-
-    hot = written(pieces.where("hot").mapInArrow(work, "anchor long, snip long, i int, window binary, least long, n long"), "hot-windows")
-    total = hot.groupBy("window").agg(F.min("least").alias("w_least"), F.sum("n").alias("w_n"))
-    met = hot.select("anchor", "snip", "i", "window").join(total, "window")
-    ordered = F.sort_array(F.collect_list(F.struct("i", "w_least", "w_n")))
-    return met.groupBy("anchor", "snip").agg(ordered.alias("w")).select("anchor", "snip", F.col("w.w_least").alias("least"), F.col("w.w_n").alias("n"))
+            for anchor, snip, shape, least, n, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                units, windows, place, out = unit.units_of_piece(piece), shape >> 16, shape & 0xFFFF, []
+                for number in range((place - windows + 1) // width, place // width + 1):
+                    first, last = max(0, place - (number + 1) * width + 1), min(windows - 1, place - number * width)
+                    own = unit.joined(units, first, last - first + unit.length)
+                    core = unit.joined(units, place - number * width, unit.length - width + 1)
+                    key = xxhash.xxh3_64_intdigest(core, (anchor ^ number * 0x9E3779B97F4A7C15) & LAST) - (1 << 63)
+                    out.append((anchor, snip, first, key, xxhash.xxh3_64_intdigest(own) - (1 << 63), (last - first + 1) << 16 | place - first, least, n, own))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    return pieces.select(*PIECE).mapInArrow(work, "run long, run_snip long, shift int, anchor long, snip long, shape int, least long, n long, piece binary")
+
+
+def marks_of(runs: DataFrame, pieces: DataFrame, unit, method, group: int, widths: list[int]) -> DataFrame:
+    """(anchor, snip, marks) of all runs. Groups of over `group` different runs go on as slices of widths[0] windows, and so on; a slice of one window shares its group with none but equals."""
+    hot = runs.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > group)
+    if not widths or not hot.limit(1).count():
+        return by_group(pieces, method)
+    hot = written(hot.select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    flagged = written(pieces.join(hot, "anchor", "left"), "pieces")
+    parts = written(sliced(flagged.where("hot"), unit, widths[0]), "slices")
+    each = parts.groupBy("anchor", "snip").agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.any_value("shape").alias("shape"), F.any_value("piece").alias("piece"))
+    each = written(each, "different-slices")
+    told = written(marks_of(each, each, unit, method, group, widths[1:]).where(F.size("marks") > 0), "slice-marks")
+    moved = F.transform("marks", lambda m: F.struct((m["first"] + F.col("shift")).alias("first"), m["count"].alias("count"), m["least"].alias("least")))
+    back = parts.select("run", "run_snip", "shift", "anchor", "snip").join(told, ["anchor", "snip"]).select("run", "run_snip", moved.alias("marks"))
+    back = back.groupBy("run", "run_snip").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    return by_group(flagged.where("hot IS NULL"), method).unionByName(back.select(F.col("run").alias("anchor"), F.col("run_snip").alias("snip"), "marks"))
 
 
 Words.units_of_piece = staticmethod(lambda piece: piece.split(b" "))
 Bytes.units_of_piece = staticmethod(lambda piece: piece)
 
 
+def marked_places(cand: DataFrame, marks: DataFrame) -> DataFrame:
+    """cand with the marks of its runs. The marks are a table by themselves, so Spark can split an anchor and run that very many places have."""
+    return cand.join(written(marks.where(F.size("marks") > 0), "marks"), ["anchor", "snip"]).select("who", "text_key", "first", "marks")
+
+
+def stretches(hits) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, windows) of all that was found in a text."""
+    flat = [(h["first"] + m["first"], m["count"]) for h in hits for m in h["marks"]]
+    starts, counts = zip(*flat)
+    return np.array(starts, np.int64), np.array(counts, np.int64)
+
+
 def found_by_document(docs: DataFrame, found: DataFrame, finish, fields: str) -> DataFrame:
     """docs, each with what was found in it: `finish` gets the text and a list of dicts (or None) and returns a tuple of the `fields`."""
     from pyspark.sql.types import StructType

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from finscope.llm import anchors, repeats, substring_dedup, suffix_dedup
@@ -74,6 +75,18 @@ def test_words_match_brute_force(spark, group, length):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out.collect())
 
 
+def test_very_long_words_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PORTION", 512)
+    long = " ".join("w" * 100 + str(i) for i in range(40))
+    rows = [(1, long + " end"), (2, "start " + long), (3, "x" * 5000)]
+    names = "doc_id long, text string, who string, text_key string, anchor string, found string"
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], names)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.deduped(df, 5).collect()), key=str)
+    assert got == brute_words(rows, 5)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.deduped(df, 300).collect()), key=str)
+    assert got == brute_bytes(rows, 300)
+
+
 @pytest.mark.parametrize("group,length", [(4096, 60), (2, 20), (3, 33)])
 def test_bytes_match_brute_force(spark, group, length):
     rng = random.Random(group + length)
@@ -84,6 +97,43 @@ def test_bytes_match_brute_force(spark, group, length):
     assert got == brute_bytes(rows, length)
 
 
+def test_deep_nodes_are_the_maximal_repeats():
+    rng = random.Random(2)
+    for trial in range(60):
+        texts = [[rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 5))]
+        if trial % 3 == 0 and texts[0]:
+            texts.append(list(texts[0]))  # equal texts
+        length, want, occurs = rng.randint(1, 4), set(), defaultdict(list)
+        for t in texts:
+            for i in range(len(t)):
+                for j in range(i + length, len(t) + 1):
+                    occurs[tuple(t[i:j])].append((t[i - 1] if i else object(), t[j] if j < len(t) else object()))
+        for s, where in occurs.items():
+            if len(where) > 1 and len({a for a, _ in where}) > 1 and len({b for _, b in where}) > 1:
+                want.add(s)
+        assert substring_dedup.maximal_repeats(texts, length) == want, texts
+
+
+def test_buckets_are_those_of_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        sizes = rng.integers(1, 60, 5)
+        raw = rng.integers(97, 99, sizes.sum()).astype(np.uint8)
+        if trial % 2:
+            raw[: sizes[0]] = 97
+        stop = np.cumsum(sizes)
+        ends = np.repeat(stop, sizes)
+        length = int(rng.integers(8, 30))
+        order, bucket = suffix_dedup.refined_buckets(raw, ends, np.zeros(len(raw), np.int64), length)
+        texts = [raw[i : ends[i]].tobytes() for i in range(len(raw))]
+        assert sorted(order.tolist()) == list(range(len(raw)))
+        assert [texts[i][:length] for i in order] == sorted(t[:length] for t in texts)
+        for i in range(len(raw)):
+            for j in range(i):
+                if bucket[i] == bucket[j]:
+                    assert texts[i][:length] == texts[j][:length]
+
+
 def test_long_texts_are_cut_alike(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PORTION", 256)
     rng = random.Random(4)
@@ -93,8 +143,6 @@ def test_long_texts_are_cut_alike(spark, monkeypatch):
         for held in repeats._portions([t for _, t in rows], unit):
             _, values, sizes, _, _ = unit.values([p for _, _, p in held])
             h = anchors.grams(values, unit.k)
-            import numpy as np
-
             _, n, _ = anchors.runs(h, np.repeat(np.cumsum(sizes), sizes), unit.k, unit.length)
             total += int(n.sum())
         assert total == sum(max(0, len(unit.units(t)) - unit.length + 1) for _, t in rows)
