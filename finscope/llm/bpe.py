@@ -14,9 +14,9 @@ stretches that end between pre-tokens, so memory doesn't grow with it.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -130,17 +130,18 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-#: The encoder of this process, kept from task to task with what it has resolved.
-_CODERS: dict[str, Coder] = {}
+#: What Python takes for an entry of a dict with its two small objects, besides their contents.
+ENTRY = 200
 
 
 class Coder:
-    """Encoder. `known` keeps what was resolved lately, at most `keep` pre-tokens besides those of the text at hand."""
+    """Encoder of one task. `known` holds what was resolved lately, `keep` bytes besides what the text at hand needs."""
 
-    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, keep: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], table: PerfectHash, pattern: str, keep: int = 128 << 20):
         self.ranks, self.table, self.keep = ranks, table, keep
         self.split = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def pieces(self, text: str, start: int = 0):
         """Lists of the pre-tokens of text[start:], in order."""
@@ -163,14 +164,15 @@ class Coder:
 
     def learn(self, pieces) -> None:
         wanted = set(pieces)
-        if len(self.known) > self.keep:  # those that came first go
-            for old in list(islice(self.known, self.keep // 2)):
-                del self.known[old]
+        if self.held > self.keep:  # those that came first go
+            for old in list(islice(self.known, len(self.known) // 2)):
+                self.held -= ENTRY + len(old) + len(self.known.pop(old))
         new = list(wanted.difference(self.known))
         raw = [p.encode() for p in new]
         known, ranks = self.known, self.ranks
         for piece, own, rank in zip(new, raw, self.table.find(raw)):
-            known[piece] = rank.to_bytes(4, "little") if rank >= 0 else b"".join([i.to_bytes(4, "little") for i in merged(own, ranks)])
+            ids = known[piece] = rank.to_bytes(4, "little") if rank >= 0 else b"".join([i.to_bytes(4, "little") for i in merged(own, ranks)])
+            self.held += ENTRY + len(piece) + len(ids)
 
     def encode(self, pieces: list[str]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -181,48 +183,57 @@ class Coder:
             return b"".join(map(self.known.__getitem__, pieces))
 
 
+@lru_cache(maxsize=1)
+def _built(path: str) -> tuple[dict[bytes, int], PerfectHash]:
+    ranks = read_ranks(path)
+    return ranks, PerfectHash.build(ranks)
+
+
 class Tokenizer:
     """Ranks and perfect hash, built once on the driver and sent to the executors; its size is that of the vocabulary file."""
 
-    def __init__(self, spark, path: str, pattern: str):
-        ranks = read_ranks(path)
-        self.shared = spark.sparkContext.broadcast((ranks, PerfectHash.build(ranks)))
-        self.pattern = pattern
-        self.name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    def __init__(self, spark, path: str, pattern: str, keep: int = 128 << 20):
+        self.shared = spark.sparkContext.broadcast(_built(path))
+        self.pattern, self.keep = pattern, keep
 
     def coder(self) -> Coder:
-        if self.name not in _CODERS:
-            _CODERS.clear()
-            _CODERS[self.name] = Coder(*self.shared.value, self.pattern)
-        return _CODERS[self.name]
+        """A new encoder; it and what it has resolved go with the task."""
+        return Coder(*self.shared.value, self.pattern, self.keep)
+
+    def bytes_of(self):
+        """A function from ids (binary) to the bytes that they stand for."""
+        ranks, _ = self.shared.value
+        token = dict(zip(ranks.values(), ranks)).__getitem__
+        return lambda ids: b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """docs with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens` (long)."""
+def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """docs with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens` (long), and if asked for with `decoded` (binary), made from the ids in the same pass."""
 
     def start():
         coder = tokenizer.coder()
+        back = tokenizer.bytes_of() if decode else None
 
         def work(batch: pa.RecordBatch):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             ids = [b"".join(map(coder.encode, coder.pieces(t))) if t else b"" for t in texts]
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            more = [pa.array(list(map(back, ids)), pa.binary())] if decode else []
+            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *more]
 
         return work
 
-    return appended(docs, "ids binary, n_tokens long", start)
+    return appended(docs, "ids binary, n_tokens long" + ", decoded binary" * decode, start)
 
 
 def decoded(df: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids") -> DataFrame:
     """df with `decoded` (binary), the bytes that the ids stand for; null ids give empty bytes."""
 
     def start():
-        ranks, _ = tokenizer.shared.value
-        token = dict(zip(ranks.values(), ranks))
+        back = tokenizer.bytes_of()
 
         def work(batch: pa.RecordBatch):
             ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            return [pa.array([b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in ids], pa.binary())]
+            return [pa.array(list(map(back, ids)), pa.binary())]
 
         return work
 

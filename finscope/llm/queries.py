@@ -9,10 +9,10 @@ from finscope.llm import bpe, decontamination, language_id, line_dedup, quality_
 from finscope.llm.shared import documents
 
 
-def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken") -> bpe.Tokenizer:
+def tokenizer(spark: SparkSession, name: str = "byte_bpe_multi_50k.tiktoken", **options) -> bpe.Tokenizer:
     import public_tokenizers
 
-    return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+    return bpe.Tokenizer(spark, public_tokenizers.path(name), public_tokenizers.PATTERN, **options)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tokenizer(spark)
-    out = bpe.decoded(bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), own).drop("text"), own)
+    out = bpe.encoded(documents(spark, sf_dir).select("doc_id", "text"), tokenizer(spark), decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -49,7 +49,10 @@ def refined_buckets(raw: np.ndarray, ends: np.ndarray, align: np.ndarray, length
     for i in range(Q):
         gram = gram << np.uint64(8) | np.where(i < left, padded[i : i + n], np.uint64(0))
     gram = gram << np.uint64(8) | np.minimum(left, Q + 1).astype(np.uint64)
-    order = np.lexsort((gram, align))
+    # A place that no other is aligned with is a bucket from the start.
+    alone = np.bincount(align, minlength=1)[align] == 1
+    met = np.flatnonzero(~alone)
+    order = np.concatenate([np.flatnonzero(alone), met[np.lexsort((gram[met], align[met]))]])
     new = np.ones(n, bool)
     new[1:] = (gram[order[1:]] != gram[order[:-1]]) | (align[order[1:]] != align[order[:-1]])
     start = np.flatnonzero(new)

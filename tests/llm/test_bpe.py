@@ -60,9 +60,18 @@ def test_queries_columns_and_odd_rows(spark):
     assert out.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"]
     for r in out.collect():
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    again = bpe.encoded(df, tokenizer, decode=True)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
     assert bpe.encoded(df.limit(0), tokenizer).count() == 0
 
 
+def test_little_memory_does_not_change_the_ids(ranks, library):
+    own = bpe.Coder(ranks, bpe.PerfectHash.build(ranks), P.PATTERN, keep=1000)
+    for text in texts():
+        assert np.frombuffer(b"".join(map(own.encode, own.pieces(text))), "<u4").tolist() == library.encode_ordinary(text)
+        assert own.held == sum(bpe.ENTRY + len(a) + len(b) for a, b in own.known.items())
+
+
 def test_counts_follow_edits(coder):
     rng = random.Random(11)
     total = redone = 0
