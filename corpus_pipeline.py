@@ -41,8 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a check that they decode to its text."""
-    own = queries.tokenizer(spark)
-    out = bpe.decoded(bpe.encoded(docs.select("doc_id", "lang", "text"), own), own)
+    out = bpe.encoded(docs.select("doc_id", "lang", "text"), queries.tokenizer(spark, keep=32 << 20), decode=True)
     whole = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return out.select("doc_id", "lang", "n_tokens", "ids", whole.alias("round_trip"))
 
