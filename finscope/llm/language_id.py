@@ -6,14 +6,15 @@ Each language has up to `clusters` centroids by spherical k-means; a text gets
 the language of the centroid with the greatest cosine, and is rejected where it
 is much further from it than sampled texts of its length are.
 
-The classifier is fitted on at most `per_language` labelled rows of each
-language, the first by a hash of their id: IDF, centroids and rejection all come
-from that sample, whose size doesn't follow the table's. Prediction reads every
-text whole.
+The classifier is fitted on about `per_language` labelled rows of each language,
+picked by a hash of id and text: IDF, centroids and rejection all come from that
+sample, whose size doesn't follow the table's. Prediction reads every text whole,
+a very long one in stretches.
 
 Defined cases: null text and text without a letter are `und` with score 0, and
 rejected; rows without a language or with a null id are never learned from;
-repeated rows are judged alike; with nothing to learn from, every row is `und`;
+repeated rows are learned from once and judged alike; of centroids that are
+equally near the one of the language first by name counts; with nothing to learn from, every row is `und`;
 other columns pass through, and new ones replace equally named ones.
 """
 
@@ -25,7 +26,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finscope.llm.shared import appended, utf8, written
@@ -33,8 +34,8 @@ from finscope.llm.shared import appended, utf8, written
 #: Bytes of a text that are counted at a time.
 STRETCH = 1 << 21
 UNKNOWN = "und"
-#: Sampled ids that are sent to every task rather than joined by a shuffle; there are per_language for each language.
-BROADCAST_IDS = 200_000
+#: Hashes are counted modulo this where a share of the rows is picked.
+SPAN = 1 << 62
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = 32
@@ -98,16 +99,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, text) of at most `per_language` rows a language. The limit holds in each task before rows are shuffled."""
+    """(lang, text) of about `per_language` rows of each language, those whose hash is below its share of the language's rows.
+
+    Only a count for each language is aggregated, and one scan picks the rows;
+    none is ranked or sent to where its language is. Repeated rows count once.
+    """
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)) & ~held_out(id_col))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).distinct()
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id", "lang")
-    ids = written(ids, "language-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    rows = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    usable = usable.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    below = [(r["lang"], int(SPAN * min(1.0, per_language / r["n"]))) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not below:
+        return usable.select("lang", "text").limit(0)
+    share = F.create_map(*[F.lit(x) for pair in below for x in pair])
+    return usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SPAN)) < F.element_at(share, F.col("lang"))).distinct().select("lang", "text")
 
 
 def _matrix(texts, dim: int) -> np.ndarray:

@@ -266,8 +266,29 @@ def links(nodes: DataFrame, k: int, bucket: int = 2048, chosen: Plan | None = No
     return linked(probes(nodes, chosen), ["fp"], k, bucket)
 
 
-def linked(rows: DataFrame, words: list[str], k: int, bucket: int) -> DataFrame:
-    """(a, b): first words of the links within k bits, over all words, of rows with the same part and value; a forest of each cell."""
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what those of a forest over n nodes do: from the first node of each component to each of the others."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, label[a], label[b])
+        np.minimum.at(low, label[b], label[a])
+        low = low[label]
+        while (low != low[low]).any():
+            low = low[low]
+        if (low == label).all():
+            others = np.flatnonzero(label != np.arange(n))
+            return label[others], others
+        label = low
+
+
+def linked(rows: DataFrame, words: list[str], k: int, bucket: int, as_stars: bool = False) -> DataFrame:
+    """(a, b): first words of the links within k bits, over all words, of rows with the same part and value; a forest of each cell.
+
+    as_stars: instead, links of each component of a cell to its least member, which
+    may be further away. A large component has much the same one in all parts, so
+    that few of the links are different.
+    """
     rows = dealt(rows, bucket)
     ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", *words).select("part", "value", "cell", *words)
 
@@ -279,6 +300,8 @@ def linked(rows: DataFrame, words: list[str], k: int, bucket: int) -> DataFrame:
             new = np.concatenate([[True], (part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (cell[1:] != cell[:-1])])
             fp = t[3].view(np.uint64) if len(words) == 1 else np.stack([w.view(np.uint64) for w in t[3:]], axis=1)
             a, b = cell_links(np.cumsum(new), fp, k)
+            if as_stars:
+                a, b = stars(a, b, len(fp))
             return pa.RecordBatch.from_arrays([pa.array(t[3][a]), pa.array(t[3][b])], names=["a", "b"])
 
         for batch in batches:
@@ -480,7 +503,7 @@ def deduped(docs: DataFrame, width: int = 5, recall: float = 0.97, min_similarit
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     texts = written(prints.groupBy("content").agg(*[F.min(w).alias(w) for w in words], F.min(place).alias("first")), "texts")
     k, tables = sampling(min_similarity, recall)
-    edges = linked(sampled(texts.select(*words).distinct(), tables), words, k, bucket).where("a <> b")
+    edges = linked(sampled(texts.select(*words).distinct(), tables), words, k, bucket, as_stars=True).where("a <> b")
     heads = written(texts.groupBy("w0").agg(F.min("content").alias("head")), "heads")
     a, b = heads.select(F.col("w0").alias("a"), F.col("head").alias("u")), heads.select(F.col("w0").alias("b"), F.col("head").alias("v"))
     across = edges.join(a, "a").join(b, "b").select("u", "v")

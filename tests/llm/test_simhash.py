@@ -157,6 +157,18 @@ def test_pairs_of_a_family_are_verified_before_they_are_thinned(spark):
         assert got == {frozenset((0, 2))}, block
 
 
+def test_stars_connect_what_a_forest_does():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(1, 60))
+        a, b = rng.integers(0, n, (2, n // 2))
+        label = list(range(n))
+        for i, j in zip(a, b):
+            label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        first, other = simhash.stars(a, b, n)
+        assert dict(zip(other.tolist(), first.tolist())) == {i: x for i, x in enumerate(label) if i != x}
+
+
 def test_similar_pairs_connect_what_all_pairs_do():
     rng = random.Random(8)
     for blocks in (1, 2):
