@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finscope.llm.quality_rules import SPACES
+from finscope.llm.quality_rules import INNER
 
 
 def repeated_windows(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,7 +33,7 @@ def repeated_windows(docs: DataFrame, width: int = 3, id_col: str = "doc_id", te
 
     def window(line, i):
         parts = [line, *[F.get(F.col("lines"), i + k) for k in range(1, width)]]
-        filled = F.translate(F.concat(*parts), SPACES, "") != ""
+        filled = F.concat(*parts).rlike(INNER)
         return F.when(filled, F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(width), *parts).alias("h2")))
 
     places = (

@@ -19,13 +19,22 @@ WITH d AS (
          coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-         coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+         coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+         len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS n_letterless,
+         coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word,
+         length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
+         length(text) - length(regexp_replace(text, '[{{}}]', '', 'g')) AS n_braces,
+         length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}\x{{2023}}]'))) AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[ \t\r]*$'))) AS n_open_lines
   FROM d LEFT JOIN cov USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * word_chars
-            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+            OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * n_letterless > 40 * n_words OR longest_word > 1000 OR 100 * n_digits > 40 * word_chars OR 100 * n_braces > 5 * word_chars
+            OR 100 * n_upper > 60 * word_chars OR 100 * n_bullet_lines > 90 * n_lines OR 100 * n_open_lines > 50 * n_lines) AS kept
 FROM c
 """
 

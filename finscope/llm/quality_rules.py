@@ -1,29 +1,33 @@
 """Quality rules as a short-circuit cascade, in native expressions only.
 
-Each rule reads some features of a text and fails the document or not. A
-sample gives each rule's cost (seconds for a row) and its selectivity (share of
-rows it rejects); rules run in order of rejection per cost, and a document that
-one rule rejects is not shown to the next (a CASE chain).  The order changes the
-time taken and the name of the rule that rejected first, never the verdict.
+Each rule reads some features of a text and fails the document or not. On a
+sample, every rule's rejections and its work (characters read and sorted, counted
+and not timed, so that it is the same each time) are found in one aggregation.
+Rules are then put in order one by one: next is the one that rejects most, of
+what those before it leave, for its work. A document that one rule rejects is not
+shown to the next (a CASE chain, whose features are computed only when it comes
+to them). The order changes the work done and the name of the rule that rejected
+first, never the verdict.
 
 Defined cases: null or blank text has no words (every count 0) and fails the
-word minimum; repeated rows and equal ids are judged row by row; other columns
-are passed through by `with_verdict`, whose new columns replace equally named
-ones; an empty table gives an empty result.
+word minimum; a very long text is read whole, like any other; repeated rows and
+equal ids are judged row by row; rules that are equally good keep the order in
+which they are listed; other columns are passed through by `with_verdict`, whose
+new columns replace equally named ones, and dropped by `report`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finscope.llm.shared import words_of, written
+from finscope.llm.shared import SPACE, words_of
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+#: A character of a word, and the limit of a long one.
+INNER, LONG = r"[^\x20\x09-\x0D]", 1000
 
 
 def _bound(value: Column, use) -> Column:
@@ -39,12 +43,17 @@ def n_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def without(text: Column, pattern: str) -> Column:
+    """Characters of a text that a pattern leaves. (A regular expression goes through a text many times faster than `translate`.)"""
+    return F.length(F.regexp_replace(_text(text), pattern, ""))
+
+
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(_text(text), SPACES, "")).cast("long")
+    return without(text, SPACE).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(_text(text)) - F.length(F.translate(_text(text), SYMBOLS, ""))).cast("long")
+    return (F.length(_text(text)) - without(text, "[#*$%&|<>]+")).cast("long")
 
 
 def n_lines(text: Column) -> Column:
@@ -53,7 +62,7 @@ def n_lines(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(_text(text), "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    return F.filter(F.split(_text(text), "\n"), lambda x: x.rlike(INNER))
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -64,27 +73,87 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(text: Column, width: int = 3) -> Column:
     """Words inside a window of `width` words that the text holds twice or more.
 
-    Windows are sorted with their positions, so equal ones stand together; the
-    positions of those with an equal neighbour are sorted and their cover added up.
+    Sorted hashes of all windows tell which may be repeated. Only those are then
+    sorted with their positions, so that equal ones stand together, and compared
+    word by word; the positions of those with an equal neighbour are sorted and
+    their cover added up.
     """
 
-    def windows(words: Column) -> Column:
+    def hashes(words: Column) -> Column:
         starts = F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: F.struct(F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, width)]).alias("w"), i.alias("p")))
+        return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, width)]))
+
+    def twice(ordered: Column) -> Column:
+        return F.array_distinct(F.filter(ordered, lambda h, i: h == F.get(ordered, i + 1)))
+
+    def likely(x: Column) -> Column:
+        """Hash and position of the windows that may be repeated: all of them where there are many, as looking them up would take longer."""
+        paired = F.transform(x["h"], lambda h, i: F.when((F.size(x["twice"]) > 64) | F.array_contains(x["twice"], h), F.struct(h.alias("h"), i.alias("p"))))
+        return F.sort_array(F.filter(paired, lambda w: w.isNotNull()))
+
+    def repeated(x: Column) -> Column:
+        words, ordered = x["words"], x["ordered"]
+
+        def equal(a: Column, b: Column) -> Column:
+            same = a["h"] == b["h"]
+            for k in range(width):
+                same = same & (F.get(words, a["p"] + k) == F.get(words, b["p"] + k))
+            return F.coalesce(same, F.lit(False))
 
-    def repeated(ordered: Column) -> Column:
-        equal = lambda x, i: (x["w"] == F.get(ordered, i - 1)["w"]) | (x["w"] == F.get(ordered, i + 1)["w"])
-        return F.filter(F.transform(ordered, lambda x, i: F.when(equal(x, i), x["p"])), lambda p: p.isNotNull())
+        return F.transform(F.filter(ordered, lambda w, i: equal(w, F.get(ordered, i - 1)) | equal(w, F.get(ordered, i + 1))), lambda w: w["p"])
 
     def cover(starts: Column) -> Column:
         steps = F.transform(starts, lambda p, i: F.coalesce(F.least(F.lit(width), F.get(starts, i + 1) - p), F.lit(width)))
         return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
-    ordered = _bound(words_of(text), lambda words: F.sort_array(windows(words)))
-    return _bound(F.sort_array(_bound(ordered, repeated)), cover).cast("long")
+    def counted(words: Column) -> Column:
+        hashed = _bound(hashes(words), lambda h: F.struct(h.alias("h"), _bound(F.sort_array(h), twice).alias("twice")))
+        places = lambda x: _bound(F.struct(words.alias("words"), likely(x).alias("ordered")), repeated)
+        return _bound(hashed, lambda x: F.when(F.size(x["twice"]) == 0, 0).otherwise(_bound(F.sort_array(places(x)), cover)))
+
+    return _bound(words_of(text), counted).cast("long")
+
+
+def n_letterless(text: Column) -> Column:
+    """Words without a letter."""
+    return F.regexp_count(_text(text), F.lit(rf"(?<!{INNER})[^\x20\x09-\x0D\p{{L}}]++(?!{INNER})")).cast("long")
+
+
+def n_long_words(text: Column) -> Column:
+    """Words of more than LONG characters."""
+    return F.regexp_count(_text(text), F.lit(f"(?<!{INNER}){INNER}{{{LONG + 1}}}")).cast("long")
 
 
-FEATURES = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)}
+def n_digits(text: Column) -> Column:
+    return (F.length(_text(text)) - without(text, "[0-9]+")).cast("long")
+
+
+def n_braces(text: Column) -> Column:
+    return (F.length(_text(text)) - without(text, "[{}]+")).cast("long")
+
+
+def n_upper(text: Column) -> Column:
+    """Letters in upper case."""
+    return (F.length(_text(text)) - without(text, r"\p{Lu}+")).cast("long")
+
+
+def n_bullet_lines(text: Column) -> Column:
+    return F.size(F.filter(_lines(text), lambda x: x.rlike(r"^[ \t]*[-*\u2022\u2023]"))).cast("long")
+
+
+def n_open_lines(text: Column) -> Column:
+    """Lines that end with an ellipsis."""
+    return F.size(F.filter(_lines(text), lambda x: x.rlike(r"(\.\.\.|\u2026)[ \t\r]*$"))).cast("long")
+
+
+FEATURES = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, n_long_words, n_digits, n_braces, n_upper, n_bullet_lines, n_open_lines)}
+#: How often a feature goes through the characters of a text; where it sorts, that is times the logarithm of what it sorts.
+PASSES = {"n_words": 1, "word_chars": 1, "n_symbols": 1, "n_lines": 1, "n_dup_lines": 2, "n_repeat_words": 2, "n_letterless": 1, "n_long_words": 1, "n_digits": 1, "n_braces": 1, "n_upper": 2, "n_bullet_lines": 2, "n_open_lines": 2}
+SORTED = {"n_repeat_words"}
+#: Features that a report shows of every document.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Hashes are counted modulo this where a share of the rows is picked.
+SPAN = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -97,35 +166,55 @@ class Rule:
     base: bool = False
 
 
-def default_rules(min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 10, max_dup_line_pct: int = 50, word_len: tuple[int, int] = (2, 20)) -> list[Rule]:
+def default_rules(min_words: int = 50, max_repeat_pct: int = 50, max_symbol_pct: int = 10, max_dup_line_pct: int = 50, word_len: tuple[int, int] = (2, 20), max_letterless_pct: int = 40, max_digit_pct: int = 40, max_brace_pct: int = 5, max_upper_pct: int = 60, max_bullet_pct: int = 90, max_open_pct: int = 50) -> list[Rule]:
+    """The two base rules and ten more; a share counts only above its limit, in per cent."""
     low, high = word_len
+    over = lambda part, whole, pct: lambda f: 100 * f[part] > pct * f[whole]
     return [
         Rule("few_words", ("n_words",), lambda f: f["n_words"] < min_words, True),
-        Rule("repeated_words", ("n_words", "n_repeat_words"), lambda f: 100 * f["n_repeat_words"] > max_repeat_pct * f["n_words"], True),
-        Rule("symbols", ("n_symbols", "word_chars"), lambda f: 100 * f["n_symbols"] > max_symbol_pct * f["word_chars"]),
-        Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 100 * f["n_dup_lines"] > max_dup_line_pct * f["n_lines"]),
+        Rule("repeated_words", ("n_words", "n_repeat_words"), over("n_repeat_words", "n_words", max_repeat_pct), True),
+        Rule("symbols", ("n_symbols", "word_chars"), over("n_symbols", "word_chars", max_symbol_pct)),
+        Rule("repeated_lines", ("n_lines", "n_dup_lines"), over("n_dup_lines", "n_lines", max_dup_line_pct)),
         Rule("word_length", ("n_words", "word_chars"), lambda f: (f["word_chars"] < low * f["n_words"]) | (f["word_chars"] > high * f["n_words"])),
+        Rule("letterless_words", ("n_letterless", "n_words"), over("n_letterless", "n_words", max_letterless_pct)),
+        Rule("long_word", ("n_long_words",), lambda f: f["n_long_words"] > 0),
+        Rule("digits", ("n_digits", "word_chars"), over("n_digits", "word_chars", max_digit_pct)),
+        Rule("braces", ("n_braces", "word_chars"), over("n_braces", "word_chars", max_brace_pct)),
+        Rule("upper_case", ("n_upper", "word_chars"), over("n_upper", "word_chars", max_upper_pct)),
+        Rule("bullets", ("n_bullet_lines", "n_lines"), over("n_bullet_lines", "n_lines", max_bullet_pct)),
+        Rule("open_lines", ("n_open_lines", "n_lines"), over("n_open_lines", "n_lines", max_open_pct)),
     ]
 
 
-def measured(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, text_col: str = "text") -> list[dict]:
-    """Cost and selectivity of each rule on a sample of about `sample_rows` rows, best rejection per cost first.
+def measured(docs: DataFrame, rules: list[Rule], sample_rows: int = 2000, text_col: str = "text", free: tuple[str, ...] = ()) -> list[dict]:
+    """The rules in the order of the cascade, each with its gain: the rows it rejects, of those left, for its work on them in characters.
 
-    The sample serves the order only. Its size is bounded whatever the table's.
+    The sample is about `sample_rows` rows, picked by a hash of the text, and
+    serves the order only. Its size is bounded whatever the table's. Features that
+    are `free` cost nothing here, as they are computed anyhow.
     """
     total = docs.count()
     sample = docs.select(F.col(text_col).alias("text"))
-    if total > sample_rows:
-        sample = sample.sample(sample_rows / total, seed=7)
-    sample = written(sample, "quality-sample")
-    found = []
-    for rule in rules:
-        fails = rule.fails({name: FEATURES[name](F.col("text")) for name in rule.needs})
-        began = time.perf_counter()
-        row = sample.agg(F.count_if(fails).alias("bad"), F.count("*").alias("n")).first()
-        cost = (time.perf_counter() - began) / max(1, row["n"])
-        found.append({"rule": rule, "cost": cost, "selectivity": row["bad"] / max(1, row["n"])})
-    return sorted(found, key=lambda x: -x["selectivity"] / x["cost"])
+    sample = sample.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(SPAN)) < int(SPAN * min(1.0, sample_rows / max(total, 1))))
+    features = sample.select(F.length(_text(F.col("text"))).alias("_chars"), *[FEATURES[name](F.col("text")).alias(name) for name in sorted({n for r in rules for n in (*r.needs, "n_words")})])
+    own = {name: F.col(name) for name in features.columns}
+    work = lambda rule: sum((PASSES[n] * F.col("_chars") * (F.log2(F.col("n_words") + 2) if n in SORTED else 1) for n in rule.needs if n not in free), F.lit(1.0))
+    mask = sum((F.when(rule.fails(own), 1 << i).otherwise(0) for i, rule in enumerate(rules)), F.lit(0))
+    # At most one row for each set of rules that fail together.
+    seen = features.groupBy(mask.alias("mask")).agg(F.count("*").alias("n"), *[F.sum(work(rule)).alias(f"_{i}") for i, rule in enumerate(rules)]).collect()
+    out, left = [], list(range(len(rules)))
+    while left:
+        best = None
+        for i in left:
+            bad = sum(r["n"] for r in seen if r["mask"] >> i & 1)
+            gain = bad / max(1.0, sum(r[f"_{i}"] for r in seen))
+            if best is None or gain > best[1]:
+                best = (i, gain)
+        i, gain = best
+        out.append({"rule": rules[i], "gain": gain})
+        left.remove(i)
+        seen = [r for r in seen if not r["mask"] >> i & 1] if gain else seen
+    return out
 
 
 def cascade(rules: list[Rule], features: dict[str, Column]) -> Column:
@@ -145,12 +234,12 @@ def with_verdict(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
 
 
 def report(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every feature of every document beside the cascade's verdict; here features are shown, so all are computed."""
+    """The features `SHOWN` of every document, whether a base rule fails, and the cascade's verdict; its other features are computed only as far as it comes."""
     rules = rules or default_rules()
-    ordered = [x["rule"] for x in measured(docs, rules, sample_rows, text_col)]
-    counted = docs.select(F.col(id_col).alias("doc_id"), *[f(F.col(text_col)).alias(name) for name, f in FEATURES.items()])
-    features = {name: F.col(name) for name in FEATURES}
+    ordered = [x["rule"] for x in measured(docs, rules, sample_rows, text_col, free=SHOWN)]
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[FEATURES[name](F.col(text_col)).alias(name) for name in SHOWN])
+    features = {name: F.col(name) if name in SHOWN else f(F.col("_text")) for name, f in FEATURES.items()}
     base = F.lit(False)
     for rule in rules:
         base = base | (rule.fails(features) if rule.base else F.lit(False))
-    return counted.withColumn("base_failed", base).withColumn("rejected_by", cascade(ordered, features)).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    return counted.withColumns({"base_failed": base, "rejected_by": cascade(ordered, features)}).withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_text")
