@@ -1,4 +1,4 @@
-"""Secret scan: three fixed patterns, and a battery of randomness tests on what else looks like a key.
+"""Secret scan: three fixed patterns, and a battery of randomness tests on whatever else looks like a key.
 
 A candidate is a run of at least `MIN_RUN` characters of the base64 alphabets.
 Its encoding is the smallest alphabet that holds it. Against independent uniform
@@ -6,21 +6,28 @@ characters of that alphabet it is tested for uniformity (chi-squared), for runs
 above and below the middle, and for serial correlation; Fisher's method makes
 one p-value of the three. Keys keep it large, words and names bring it down.
 
-How often nature reaches a p-value is learned from the candidates that are plain
-words (letters only, at most the first in upper case) of the same length band,
-or of shorter ones too where it has few. In each band the least cut-off is taken at which the expected share
-of natural ones among the candidates above it is at most `fdr`. Those counts
-cover the whole corpus and are as many as bands and bins.
-
-Defined cases: null text is empty and has no span; rows are judged one by one,
-so equal ids and repeated rows each get their result; an empty table gives an
-empty result; other columns are dropped.
+How often nature reaches a p-value is learned from the corpus, for each encoding
+and length band: every document gives a few strings of its own words, joined as
+names, paths and identifiers are, of lengths by its hash. All candidates enter
+the counts, those inside the patterns' spans too. In each encoding and band the
+least cut-off is taken at which the expected share of natural ones among the
+candidates above it is at most `fdr`; how many are natural is told by how many
+have small p-values. Short runs of few kinds of characters hence need much larger
+p-values than long ones, or are never accepted. The counts cover the whole corpus
+and are as many as encodings, bands and bins.
+
+Defined cases: null text is empty and has no span; a very long text is read
+whole; rows are judged one by one, so equal ids and repeated rows each get their
+result; of spans that start together the kinds' order decides, and a run that
+overlaps a pattern's span is not a span of its own; an empty table gives an empty
+result; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +45,9 @@ HINTS = ("password", "passwd", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 16
 RUN = re.compile("[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-WORD = re.compile("[A-Za-z][a-z]*")
+PART = re.compile("[A-Za-z]+|[0-9]+")
+#: How words make a natural string: what becomes of each, and what stands between; a # stands for a number.
+STYLES = [(str.lower, ""), (str.capitalize, ""), (str.upper, ""), (str.lower, "-"), (str.lower, "_"), (str.upper, "_"), (str.lower, "/"), (str.lower, "#"), (str.capitalize, "#"), (str.upper, "#")]
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the smallest alphabet on.
@@ -49,6 +58,7 @@ ENCODINGS = [
     ("letters", LOWER),
     ("letters_upper", UPPER),
     ("base32", UPPER + "234567"),
+    ("base32_lower", LOWER + "234567"),
     ("base36", DIGITS + LOWER),
     ("base36_upper", DIGITS + UPPER),
     ("base52", UPPER + LOWER),
@@ -62,6 +72,8 @@ _INDEX = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in E
 BINS = 200
 #: Least lengths of the length bands.
 BANDS = (16, 20, 24, 32, 40, 64)
+#: Natural strings that each document gives.
+STRINGS = 4
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,65 +131,99 @@ def combined(ps: tuple[float, ...]) -> float:
     return min(1.0, math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(ps))))
 
 
+def natural(text: str) -> list[str]:
+    """Strings of words that follow one another in the text, each in a style, of a length and from a place by the text's hash; none where too few words follow."""
+    found, raw = [], text.encode()
+    for number in range(STRINGS if len(text) >= 2 * MIN_RUN else 0):
+        at = crc32(raw, number)
+        change, between = STYLES[at % len(STYLES)]
+        low = BANDS[at // 16 % len(BANDS)]
+        size = low + at // 128 % (low // 4)
+        parts, have = [], 0
+        for i, m in enumerate(PART.finditer(text, at % (len(text) // 2))):
+            parts.append(change(m[0]))
+            have += len(m[0])
+            if have > size:
+                break
+            if between:
+                parts.append(str(at % 97 + i) if between == "#" else between)
+        own = "".join(parts)[:size]
+        if len(own) == size:
+            found.append(own)
+    return found
+
+
+def judged(token: str) -> tuple[str, float, int]:
+    """(encoding, p-value, length band)."""
+    name, x, k = encoding(token)
+    return name, combined(battery(x, k)), sum(len(token) >= least for least in BANDS)
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, runs): pattern spans, and candidates with encoding, p-value, length band and whether they are plain words."""
+    """(doc_id, base, runs, nature): pattern spans; candidates with encoding, p-value, length band and whether they are inside a pattern's span; the same of the document's natural strings."""
     base_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    run_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("p", pa.float64()), ("band", pa.int32()), ("word", pa.bool_())]))
+    told = [("encoding", pa.string()), ("p", pa.float64()), ("band", pa.int32())]
+    run_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *told, ("under", pa.bool_())]))
 
     def start():
         def work(batch: pa.RecordBatch):
-            bases, all_runs = [], []
+            bases, all_runs, nature = [], [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                base = base_spans(text or "")
+                text = text or ""
+                base = base_spans(text)
                 runs = []
-                for m in RUN.finditer(text or ""):
+                for m in RUN.finditer(text):
                     a, b = m.span()
-                    if any(a < e and s < b for s, _, e in base):
-                        continue  # already a span
-                    name, x, k = encoding(m[0])
-                    p = combined(battery(x, k))
-                    runs.append({"start": a, "end": b, "encoding": name, "p": p, "band": sum(b - a >= least for least in BANDS), "word": WORD.fullmatch(m[0]) is not None})
+                    name, p, band = judged(m[0])
+                    runs.append({"start": a, "end": b, "encoding": name, "p": p, "band": band, "under": any(a < e and s < b for s, _, e in base)})
                 bases.append([{"start": a, "kind": kind, "end": b} for a, kind, b in base])
                 all_runs.append(runs)
-            return [pa.array(bases, base_kind), pa.array(all_runs, run_kind)]
+                nature.append([dict(zip(("encoding", "p", "band"), judged(x))) for x in natural(text)])
+            return [pa.array(bases, base_kind), pa.array(all_runs, run_kind), pa.array(nature, pa.list_(pa.struct(told)))]
 
         return work
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return appended(rows, "base array<struct<start: bigint, kind: int, end: bigint>>, runs array<struct<start: bigint, end: bigint, encoding: string, p: double, band: int, word: boolean>>", start).drop("text")
-
-
-def cutoffs(scans: DataFrame, fdr: float = 0.05, enough: int = 200) -> dict[int, float]:
-    """Least p-value accepted in each length band; bands in which none will do are left out."""
-    runs = scans.select(F.explode("runs").alias("r")).select("r.band", "r.word", F.least(F.floor(F.col("r.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    words, tested = np.zeros((len(BANDS) + 1, BINS)), np.zeros((len(BANDS) + 1, BINS))
-    for r in runs.groupBy("band", "word", "bin").agg(F.count("*").alias("n")).collect():
-        (words if r["word"] else tested)[r["band"], r["bin"]] = r["n"]
-    above = lambda x: x[:, ::-1].cumsum(axis=1)[:, ::-1]
-    natural = words.copy()
-    for band in range(1, len(words)):  # words of shorter bands look no less random; they stand in where this one has few
-        if natural[band].sum() < enough:
-            natural[band] += natural[band - 1]
-    natural = above(natural)
-    share = (1 + natural) / (1 + natural[:, :1])
-    kept = above(tested)
-    expected = share * kept[:, :1] / np.maximum(kept, 1)
-    good = (expected <= fdr) & (kept > 0)
-    return {band: float(np.argmax(good[band])) / BINS for band in range(len(BANDS) + 1) if good[band].any()}
+    told_sql = "encoding: string, p: double, band: int"
+    return appended(rows, f"base array<struct<start: bigint, kind: int, end: bigint>>, runs array<struct<start: bigint, end: bigint, {told_sql}, under: boolean>>, nature array<struct<{told_sql}>>", start).drop("text")
+
+
+def cutoff(candidates: np.ndarray, nature: np.ndarray, fdr: float, low: int = BINS // 20) -> int | None:
+    """The least bin from which on at most `fdr` of the candidates are expected to be natural, given counts by bin of both; None if there is none."""
+    above = lambda x: x[::-1].cumsum()[::-1]
+    n = candidates.sum()
+    # One natural string more than seen may reach every bin; keys are in the low bins as often as in any others.
+    share = (1 + above(nature)) / (1 + nature.sum())
+    small = (nature[:low].sum() + 1) / (nature.sum() + 1)
+    many = min(n, candidates[:low].sum() / small)
+    kept = above(candidates)
+    good = (many * share <= fdr * kept) & (kept > 0)
+    return int(np.argmax(good)) if good.any() else None
+
+
+def cutoffs(scans: DataFrame, fdr: float = 0.05) -> dict[tuple[str, int], int]:
+    """Least bin of p-values accepted for each encoding and length band; those in which none will do are left out."""
+    told = lambda c, seen: F.struct(F.lit(seen).alias("seen"), c["encoding"].alias("encoding"), c["band"].alias("band"), F.least(F.floor(c["p"] * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    both = F.concat(F.transform("runs", lambda r: told(r, True)), F.transform("nature", lambda r: told(r, False)))
+    counts: dict = {}
+    for r in scans.select(F.explode(both).alias("x")).select("x.*").groupBy("seen", "encoding", "band", "bin").agg(F.count("*").alias("n")).collect():
+        counts.setdefault((r["encoding"], r["band"]), np.zeros((2, BINS)))[int(r["seen"]), r["bin"]] = r["n"]
+    found = {cell: cutoff(seen, nature, fdr) for cell, (nature, seen) in sorted(counts.items())}
+    return {cell: b for cell, b in found.items() if b is not None}
 
 
 def spans(docs: DataFrame, fdr: float = 0.05, **columns) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end) in code points, by start and then kind; `spans` also has the random ones."""
     scans = written(scanned(docs, **columns), "secret-scans")
-    bands = cutoffs(scans, fdr)
+    cells = cutoffs(scans, fdr)
     names = F.array(*map(F.lit, KINDS))
     named = lambda s: F.struct(s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end"))
 
     def random_ones(r: Column) -> Column:
         ok = F.lit(False)
-        for band, p in bands.items():
-            ok = ok | ((r["band"] == band) & (F.least(F.floor(r["p"] * BINS), F.lit(BINS - 1)) >= round(p * BINS)))
-        return ~r["word"] & ok
+        for (name, band), least in cells.items():
+            ok = ok | ((r["encoding"] == name) & (r["band"] == band) & (F.least(F.floor(r["p"] * BINS), F.lit(BINS - 1)) >= least))
+        return ~r["under"] & ok
 
     added = F.transform(F.filter("runs", random_ones), lambda r: F.struct(r["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), r["end"].alias("end")))
     both = F.sort_array(F.concat("base", added))

@@ -196,20 +196,66 @@ def test_base_spans_match_brute_force(spark):
     assert secrets_scan.spans(df.limit(0)).count() == 0
 
 
-def test_random_tokens_are_found_and_words_are_not(spark):
-    rng = random.Random(12)
-    syllables = ["tion", "ing", "the", "ment", "con", "pre", "ver", "ess", "al", "er"]
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    rows, secret = [], set()
-    for i in range(3000):
-        text = " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(4, 12))) for _ in range(4)) + " some-thing-ing_the-other-ment"
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def secret_rows(n, seed=12):
+    """(doc_id, text), and where keys are: natural text with long words, paths and names; a tenth of it with a key that no pattern catches."""
+    rng = random.Random(seed)
+    syllables = ["tion", "ing", "the", "ment", "con", "pre", "ver", "ess", "al", "er", "qui", "za", "ox", "um", "b", "k"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows, keys = [], {}
+    for i in range(n):
+        parts = [word() for _ in range(60)] + ["".join(word() for _ in range(6)), "_".join(word() for _ in range(5)), "/".join(word() for _ in range(5 if i % 4 == 1 else 1)), "".join(word().capitalize() for _ in range(5))]
+        rng.shuffle(parts)
+        text = " ".join(parts)
         if i % 10 == 0:
-            text += " " + "".join(rng.choice(alphabet) for _ in range(rng.choice([32, 40, 48]))) + " "
-            secret.add(i)
-        rows.append((i, text))
-    found = {r["doc_id"] for r in secrets_scan.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["spans"]}
-    assert len(found & secret) >= 0.85 * len(secret)
-    assert len(found - secret) <= 0.05 * len(found) + 1
+            alphabet = [BASE64, BASE64[:62], "abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"][i // 10 % 4]
+            key = "".join(rng.choice(alphabet) for _ in range(rng.choice([40, 48, 64])))
+            keys[i] = (len(text) + 1, len(text) + 1 + len(key))
+            text += " " + key + " end"
+        rows.append((i, text, "x", "y"))
+    return rows, keys
+
+
+def test_keys_that_no_pattern_catches_are_found_and_words_are_not(spark):
+    rows, keys = secret_rows(4000)
+    out = secrets_scan.spans(spark.createDataFrame(rows, "doc_id long, text string, runs string, base string")).collect()
+    assert out[0].asDict().keys() == {"doc_id", "base", "spans"}
+    found = {(r["doc_id"], s["start"], s["end"]) for r in out for s in r["spans"] if s["kind"] == "random"}
+    planted = {(i, *where) for i, where in keys.items()}
+    assert len(found & planted) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.05 * len(found) + 1
+
+
+def test_random_spans_match_brute_force(spark):
+    rows, _ = secret_rows(600, seed=5)
+    rows += [(9000, "token=" + "Qx7" * 12 + " " + rows[10][1], "", ""), (9001, None, "", ""), (9001, "", "", ""), (None, rows[20][1] * 60, "", "")]
+    seen, nature, runs = {}, {}, []
+    binned = lambda p: min(int(p * secrets_scan.BINS), secrets_scan.BINS - 1)
+    for i, text, *_ in rows:
+        text = text or ""
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            name, p, band = secrets_scan.judged(m[0])
+            seen.setdefault((name, band), []).append(binned(p))
+            if not any(m.start() < e and s < m.end() for s, _, e in brute_base(text)):
+                runs.append((i, m.start(), m.end(), name, band, binned(p)))
+        for own in secrets_scan.natural(text):
+            name, p, band = secrets_scan.judged(own)
+            nature.setdefault((name, band), []).append(binned(p))
+
+    def accepted(cell, least):
+        ours, theirs = seen[cell], nature.get(cell, [])
+        share = (1 + sum(b >= least for b in theirs)) / (1 + len(theirs))
+        small = (1 + sum(b < 10 for b in theirs)) / (1 + len(theirs))
+        kept = sum(b >= least for b in ours)
+        return kept and min(len(ours), sum(b < 10 for b in ours) / small) * share <= 0.05 * kept
+
+    cut = {cell: next((b for b in range(secrets_scan.BINS) if accepted(cell, b)), 999) for cell in seen}
+    want = sorted(((i, a, b) for i, a, b, name, band, p in runs if p >= cut[name, band]), key=str)
+    out = secrets_scan.spans(spark.createDataFrame(rows, "doc_id long, text string, runs string, base string")).collect()
+    assert want and len(out) == len(rows)
+    assert sorted(((r["doc_id"], s["start"], s["end"]) for r in out for s in r["spans"] if s["kind"] == "random"), key=str) == want
 
 
 def test_battery_is_uniform_under_randomness():
