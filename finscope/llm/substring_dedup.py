@@ -120,7 +120,7 @@ def prefixes(length: int) -> list[int]:
     return [w for w in (3, 1) if w < length]
 
 
-def deduped(docs: DataFrame, length: int = 13, group: int = 4096, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+def deduped(docs: DataFrame, length: int = 13, group: int = 512, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, spans, kept_text) for each document.
 
     Removes each word covered by `length` consecutive words that also start in a

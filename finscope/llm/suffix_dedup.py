@@ -114,7 +114,7 @@ def repeated_windows(groups, shapes, least, n, pieces, length: int):
     return owner, again - base[owner], np.zeros(len(again), np.int64)
 
 
-def deduped(docs: DataFrame, length: int = 400, group: int = 4096, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+def deduped(docs: DataFrame, length: int = 400, group: int = 512, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) for each document.
 
     Removes each byte covered by a string of `length` bytes that also starts
