@@ -185,14 +185,19 @@ def run_texts(docs: DataFrame, runs: DataFrame, unit) -> DataFrame:
     by_doc = runs.groupBy(F.col("at.who").alias("who"), F.col("at.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "snip", "at.first", "at.shape", "least", "n")).alias("want"))
     # doc_id is taken along only so that the shuffle of the texts is the one that `found_by_document` uses again.
     met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"]).select("text", "want", "doc_id")
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def work(batches):
         for batch in batches:
-            for text, want in zip(batch.column(0), batch.column(1)):
-                units = unit.units(text.as_py())
-                out = [(w["anchor"], w["snip"], w["shape"], w["least"], w["n"], unit.joined(units, w["first"], (w["shape"] >> 16) - 1 + unit.length)) for w in want.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=PIECE)
+            want = batch.column(1)
+            ends, flat = want.offsets.to_pylist(), want.flatten()
+            field = lambda name: flat.field(name)
+            first, counts = field("first").to_pylist(), (np.asarray(field("shape")) // (1 << 16) - 1 + unit.length).tolist()
+            pieces, at = [], ends[0]
+            for i, end in enumerate(ends[1:]):
+                units = unit.units(batch.column(0)[i].as_py())
+                pieces += [unit.joined(units, first[j - ends[0]], counts[j - ends[0]]) for j in range(at, end)]
+                at = end
+            yield pa.RecordBatch.from_arrays([*map(field, PIECE[:-1]), pa.array(pieces, pa.binary())], names=PIECE)
 
     return met.mapInArrow(work, "anchor long, snip long, shape int, least long, n long, piece binary")
 
@@ -280,25 +285,33 @@ Words.units_of_piece = staticmethod(lambda piece: piece.split(b" "))
 Bytes.units_of_piece = staticmethod(lambda piece: piece)
 
 
-def marked_places(cand: DataFrame, marks: DataFrame) -> DataFrame:
-    """cand with the marks of its runs. The marks are a table by themselves, so Spark can split an anchor and run that very many places have."""
-    return cand.join(written(marks.where(F.size("marks") > 0), "marks"), ["anchor", "snip"]).select("who", "text_key", "first", "marks")
+#: A stretch of windows is one number: where it starts, and its length in the lowest bits.
+STRETCH_BITS = 20
 
 
-def stretches(hits) -> tuple[np.ndarray, np.ndarray]:
+def marked_places(cand: DataFrame, marks: DataFrame, keep=None) -> DataFrame:
+    """(who, text_key, found): the stretches of repeated windows of each run of cand; keep tells which marks count.
+
+    The marks are a table by themselves, so Spark can split an anchor and run
+    that very many places have.
+    """
+    met = cand.join(written(marks.where(F.size("marks") > 0), "marks"), ["anchor", "snip"])
+    counted = F.filter("marks", keep) if keep else F.col("marks")
+    packed = F.transform(counted, lambda m: F.shiftleft((F.col("first") + m["first"]).cast("long"), STRETCH_BITS).bitwiseOR(m["count"].cast("long")))
+    return met.select("who", "text_key", packed.alias("found")).where(F.size("found") > 0)
+
+
+def stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first window, windows) of all that was found in a text."""
-    flat = [(h["first"] + m["first"], m["count"]) for h in hits for m in h["marks"]]
-    starts, counts = zip(*flat)
-    return np.array(starts, np.int64), np.array(counts, np.int64)
+    return found >> STRETCH_BITS, found & ((1 << STRETCH_BITS) - 1)
 
 
 def found_by_document(docs: DataFrame, found: DataFrame, finish, fields: str) -> DataFrame:
-    """docs, each with what was found in it: `finish` gets the text and a list of dicts (or None) and returns a tuple of the `fields`."""
+    """docs, each with what was found in it: `finish` gets the text and an array of stretches, and returns a tuple of the `fields`."""
     from pyspark.sql.types import StructType
 
-    rest = [c for c in found.columns if c not in ("who", "text_key")]
-    by_doc = found.groupBy("who", "text_key").agg(F.collect_list(F.struct(*rest)).alias("found"))
-    met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"], "left").select("doc_id", "text", "found")
+    by_doc = found.groupBy("who", "text_key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    met = docs.join(by_doc.hint("shuffle_hash"), ["who", "text_key"], "left").select("doc_id", "text", F.coalesce("found", F.array().cast("array<bigint>")).alias("found"))
     made = StructType.fromDDL(fields)
 
     def work(batches):
@@ -308,7 +321,8 @@ def found_by_document(docs: DataFrame, found: DataFrame, finish, fields: str) ->
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                rows = [finish(d, t, f) for d, t, f in zip(*(c.to_pylist() for c in part.columns))]
+                ends, flat = part.column(2).offsets.to_pylist(), np.asarray(part.column(2).flatten(), dtype=np.int64)
+                rows = [finish(t, flat[a - ends[0] : b - ends[0]]) for t, a, b in zip(part.column(1).to_pylist(), ends, ends[1:])]
                 columns = [pa.array(list(c), k.type) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k.type) for k in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *made.names])
 

@@ -133,12 +133,11 @@ def deduped(docs: DataFrame, length: int = 13, group: int = 512, id_col: str = "
     runs = repeats.distinct_runs(cand)
     pieces = repeats.run_texts(rows, runs, unit)
     marks = repeats.marks_of(runs, pieces, unit, lambda *x: repeats_in_groups(*x, length), group, prefixes(length))
-    places = repeats.marked_places(cand, marks)
-    found = places.withColumn("marks", F.filter("marks", lambda m: m["least"] < F.col("who"))).where(F.size("marks") > 0)
+    found = repeats.marked_places(cand, marks, lambda m: m["least"] < F.col("who"))
 
-    def finish(_, text, hits):
+    def finish(text, hits):
         words = unit.units(text)
-        if not hits:
+        if not len(hits):
             return len(words), 0, [], b" ".join(words).decode()
         gone = covered(*repeats.stretches(hits), length, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))

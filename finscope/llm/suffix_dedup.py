@@ -129,9 +129,9 @@ def deduped(docs: DataFrame, length: int = 400, group: int = 512, id_col: str =
     marks = repeats.marks_of(runs, pieces, unit, lambda *x: repeated_windows(*x, length), group, [w for w in (32, 4, 1) if w < length])
     found = repeats.marked_places(cand, marks)
 
-    def finish(_, text, hits):
+    def finish(text, hits):
         raw = unit.units(text)
-        if not hits:
+        if not len(hits):
             return len(raw), 0, [], raw
         gone = covered(*repeats.stretches(hits), length, len(raw))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
