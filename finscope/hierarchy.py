@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,17 @@ from finscope.clean import is_blank
 from finscope.scratch import written
 
 
-def with_depth(df: DataFrame, scope: list[str], node: str, parent: str, rounds: int = 15) -> DataFrame:
+def with_depth(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFrame:
     """df with `depth`: 1 for a root (blank parent), one more than the parent's below it.
 
     Where a node is listed more than once its least depth stands. Nodes whose
-    chain ends nowhere or goes in a circle, or that aren't reached in `rounds`
-    levels, have depth 1. Each level is one join with the nodes of the level
+    chain ends nowhere or goes in a circle have depth 1. Each level is one join with the nodes of the level
     before, which is written so that no plan grows with the depth.
     """
     nodes = df.select(*scope, F.col(node).alias("_node"), F.trim(parent).alias("_parent"))
     found = written(nodes.where(is_blank(F.col("_parent"))).select(*scope, "_node").distinct().withColumn("depth", F.lit(1)), "depths")
     last = found
-    for level in range(2, rounds + 2):
+    for level in count(2):
         up = last.select(*scope, F.col("_node").alias("_parent"))
         new = nodes.join(up, [*scope, "_parent"]).select(*scope, "_node").distinct().join(found, [*scope, "_node"], "left_anti")
         last = written(new.withColumn("depth", F.lit(level)), "depths")

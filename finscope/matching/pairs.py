@@ -28,13 +28,11 @@ def key_edges(records: DataFrame, entity: str, within: list[str], keys=KEYS) ->
     return out.distinct()
 
 
-def groups(records: DataFrame, entity: str, edges: DataFrame, links: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
-    """(entity, root) of records in groups of two or more; stewards' links are added, and rejected pairs taken away, first."""
+def groups(records: DataFrame, entity: str, edges: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(entity, root) of records in groups of two or more; stewards' links are added first."""
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if links is not None:
         pairs = pairs.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    if rejected is not None:
-        pairs = pairs.join(rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return connected_components(pairs).select(F.col("node").alias(entity), "root")
 
 

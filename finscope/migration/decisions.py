@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from finscope.clean import is_blank
 
 FIELDS = ("target_type", "target_key", "related_key", "decision")
+#: Decisions about a record's place in its group; they stand beside the one about its class.
+ABOUT_GROUPS = ("NOT_DUPLICATE", "CONFIRM_PREFERRED")
 #: Decisions that can be made about each kind of target.
-ALLOWED = {"record": ("KEEP", "FIX", "MONITOR", "CLOSE"), "pair": ("same", "different"), "item": ("clear", "carry"), "group": ("preferred",)}
+ALLOWED = {"record": ("KEEP", "FIX", "MONITOR", "CLOSE", *ABOUT_GROUPS), "pair": ("same", "different"), "item": ("clear", "carry"), "group": ("preferred",)}
 
 
 def normalised(decisions: DataFrame) -> DataFrame:
@@ -20,8 +22,9 @@ def normalised(decisions: DataFrame) -> DataFrame:
 
 
 def effective(log: DataFrame, order: str = "id") -> DataFrame:
-    """The latest decision about each target; ties by the decision itself."""
-    last = Window.partitionBy("target_type", "target_key", "related_key").orderBy(F.desc(order), "decision")
+    """The latest decision of each family about each target; ties by the decision itself."""
+    family = F.coalesce(F.col("decision").isin(*ABOUT_GROUPS), F.lit(False))
+    last = Window.partitionBy("target_type", "target_key", "related_key", family).orderBy(F.desc(order), "decision")
     return normalised(log).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
@@ -30,8 +33,9 @@ def triage(upload: DataFrame, log: DataFrame) -> DataFrame:
     ok = F.lit(False)
     for kind, decisions in ALLOWED.items():
         ok = ok | ((F.col("target_type") == kind) & F.col("decision").isin(*decisions))
-    now = effective(log).select("target_type", "target_key", "related_key", F.col("decision").alias("_old"))
-    rows = normalised(upload).join(now, ["target_type", "target_key", "related_key"], "left")
+    family = F.coalesce(F.col("decision").isin(*ABOUT_GROUPS), F.lit(False)).alias("_family")
+    now = effective(log).select("target_type", "target_key", "related_key", family, F.col("decision").alias("_old"))
+    rows = normalised(upload).withColumn("_family", family).join(now, ["target_type", "target_key", "related_key", "_family"], "left").drop("_family")
     reason = F.when(is_blank(F.col("target_key")), "no target").when(~F.coalesce(ok, F.lit(False)), "unknown decision").when(is_blank(F.col("steward")), "no steward").when(is_blank(F.col("reason")), "no reason")
     verdict = F.when(reason.isNotNull(), "rejected").when(F.col("_old") == F.col("decision"), "already recorded").when(F.col("_old").isNotNull(), "changed").otherwise("new")
     return rows.withColumns({"rejected_because": reason, "verdict": verdict}).drop("_old")

@@ -4,49 +4,105 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finscope.checks import CATALOGUE, core
 from finscope.clean import fingerprint, is_blank
 from finscope.matching import pairs
-from finscope.standardise import match_keys, std_name
+from finscope.standardise import match_keys, std_company_no, std_name
 
 CLASSES = ("OUT_OF_SCOPE", "HOLD_NONCOMMERCIAL", "HOLD_POLICY", "CLOSE", "FIX", "MONITOR", "KEEP")
+#: Checks that a position leaves out, and those that keep a record from being migrated as it is.
+IGNORED_TESTS = ("SUP_NAME_DUP", "SUP_NAME_DUP_ANY", "SUP_VAT_DUP", "SUP_BANK_SORT_DUP", "SUP_BANK_DUP", "SUP_CLIENT_APAR_DUP", "SUP_DORMANT")
+BLOCKING_TESTS = (
+    "SUP_TERMS_MISSING", "SUP_PAY_METHOD_MISSING", "SUP_CURRENCY_MISSING", "SUP_SORT_IBAN_MISSING", "SUP_SORT_FORMAT", "SUP_BANK_FORMAT", "SUP_BACS_NO_BANK", "SUP_INT_NO_IBAN",
+    "SUP_VAT_MISSING", "SUP_VAT_FORMAT", "SUP_COMP_REG_FORMAT", "SUP_ADDR_MISSING", "SUP_ZIP_MISSING", "MS-DQ-NAME", "MS-DQ-LTD-COMPNO",
+)
+#: What makes a record complete.
+COMPLETE = ("vat_reg_no", "comp_reg_no", "bank_account", "address", "zip_code", "place", "terms_id", "pay_method")
+#: Keys of which the rows of one record should hold one value.
+AGREE = ("key_bank", "key_vat", "key_company", "key_name")
+ROW_TESTS = [c for c in CATALOGUE if c.table == "asuheader" and c.id not in IGNORED_TESTS and not core.used(c.fails + c.population)]
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the classification."""
+    """Lists (by house where they differ) and thresholds of the classification."""
 
     as_of: str
+    statuses: tuple = ("N", "P")
+    clients: tuple = (("HOC", ("CA", "CM")), ("HOL", ("LA",)))
+    legacy_prefixes: tuple = (("HOC", ("89", "99")),)
+    legacy_names: tuple = ("SZSINGLES",)
+    noncommercial_groups: tuple = (("HOC", ("EM", "ME", "SA", "WI")), ("HOL", ("05", "06")))
+    noncommercial_prefixes: tuple = (("HOC", ("1000", "74")), ("HOL", ("1", "2", "3")))
+    policy_groups: tuple = (("HOL", ("03",)),)
+    group_id_houses: tuple = ("HOL",)
+    invoice_types: tuple = ("CP", "ID", "IF", "II", "IU", "OP", "PI", "RD", "RI", "SI", "SR", "IB", "BH", "CN", "IC", "IN", "RC")
+    open_order_statuses: tuple = ("O", "N", "A")
     dormant_months: int = 18
-    monitor_months: int = 12
-    stuck_days: int = 365
-    invoice_types: tuple = ("PI", "OP", "SI", "DR")
-    noncommercial_groups: tuple = ("ME", "EM")
-    policy_groups: tuple = ("SC",)
-    clients: tuple = ("CA", "CM", "LA")
+    monitor_months: int = 6
+    stuck_months: int = 2
+
+
+def _by_house(lists: tuple, test) -> Column:
+    """True where the row's house has a list and test(list) holds."""
+    out = F.lit(False)
+    for house, values in lists:
+        out = out | ((F.col("house") == house) & test(values))
+    return F.coalesce(out, F.lit(False))
+
+
+def _in(column: str):
+    return lambda values: F.trim(column).isin(*values)
+
+
+def _starts(column: str):
+    def test(values):
+        out = F.lit(False)
+        for v in values:
+            out = out | F.col(column).startswith(v)
+        return out
+
+    return test
+
+
+def scoped(master: DataFrame, rules: Rules) -> DataFrame:
+    """Rows of the clients in scope, with entity_key, match keys, and whether a row is of the population (its status, and no legacy record)."""
+    rows = match_keys(master).where(_by_house(rules.clients, _in("client")))
+    legacy = F.coalesce(F.upper(F.trim("apar_name")).isin(*rules.legacy_names), F.lit(False)) | _by_house(rules.legacy_prefixes, _starts("apar_id"))
+    return rows.withColumns({"entity_key": F.concat_ws("|", "house", "apar_id"), "in_scope": F.coalesce(F.col("status").isin(*rules.statuses), F.lit(False)) & ~legacy})
 
 
 def entities(master: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each house and id: its best row (active, in a client in scope, newest), and all its clients and statuses."""
-    keyed = match_keys(master).withColumns({"entity_key": F.concat_ws("|", "house", "apar_id"), "in_scope": F.col("client").isin(*rules.clients) & F.col("status").isin("N", "P")})
-    best = Window.partitionBy("entity_key").orderBy(F.desc("in_scope"), F.when(F.col("status") == "N", 0).otherwise(1), F.desc_nulls_last("last_update"), "client", "apar_name")
+    """One row for each house and id: its best row (of the population, active, first client), all its clients and statuses, and its category.
+
+    The category comes from the group, else from the range of the id.
+    """
+    best = Window.partitionBy("entity_key").orderBy(F.desc("in_scope"), F.when(F.col("status") == "N", 0).otherwise(1), "client", "apar_name")
     every = Window.partitionBy("entity_key")
-    out = keyed.withColumns({
+    out = scoped(master, rules).withColumns({
         "_n": F.row_number().over(best),
         "clients": F.array_join(F.array_sort(F.collect_set("client").over(every)), ","),
         "statuses": F.array_join(F.array_sort(F.collect_set("status").over(every)), ","),
         "in_population": F.max("in_scope").over(every),
     })
-    return out.where("_n = 1").drop("_n", "in_scope")
+    by_group, by_id = _by_house(rules.noncommercial_groups, _in("apar_gr_id")), _by_house(rules.noncommercial_prefixes, _starts("apar_id"))
+    policy = _by_house(rules.policy_groups, _in("apar_gr_id"))
+    return out.where("_n = 1").drop("_n", "in_scope").withColumns({
+        "category": F.when(by_group | by_id, "Non-commercial").when(policy, "Policy").otherwise("Commercial"),
+        "category_rule": F.when(by_group, "MS-CAT-01").when(by_id, "MS-CAT-02").when(policy, "MS-CAT-03"),
+        "group_id_mismatch": F.col("house").isin(*rules.group_id_houses) & (by_group != by_id),
+        "completeness": sum((F.when(is_blank(F.col(c)), 0).otherwise(1) for c in COMPLETE), F.lit(0)),
+    })
 
 
 def activity(history: DataFrame, items: DataFrame, orders: DataFrame, rules: Rules) -> DataFrame:
     """Last invoice and last order of each entity, open orders, and the later date of the two."""
     rows = history.select("house", "apar_id", "voucher_type", "trans_date").unionByName(items.select("house", "apar_id", "voucher_type", "trans_date"))
     invoices = rows.where(F.col("voucher_type").isin(*rules.invoice_types)).groupBy("house", "apar_id").agg(F.max("trans_date").alias("last_invoice"))
-    bought = orders.groupBy("house", "apar_id").agg(F.max("order_date").alias("last_order"), F.count_if(F.col("status").isin("O", "N", "A")).alias("open_orders"))
+    bought = orders.groupBy("house", "apar_id").agg(F.max("order_date").alias("last_order"), F.count_if(F.col("status").isin(*rules.open_order_statuses)).alias("open_orders"))
     out = invoices.join(bought, ["house", "apar_id"], "full_outer")
     return out.withColumn("last_activity", F.greatest("last_invoice", "last_order"))
 
@@ -55,64 +111,109 @@ def open_items(items: DataFrame, rules: Rules) -> DataFrame:
     """Vouchers with a balance: their age, and whether they are stuck."""
     live = items.where(F.coalesce(F.col("status") != "C", F.lit(True)))
     out = live.groupBy("house", "apar_id", "voucher_no").agg(F.sum("rest_amount").alias("balance"), F.min("trans_date").alias("trans_date")).where("balance <> 0")
-    age = F.datediff(F.lit(rules.as_of).cast("date"), F.col("trans_date"))
-    return out.withColumns({"age_days": age, "stuck": F.coalesce(age > rules.stuck_days, F.lit(False))})
-
-
-def issues(rows: DataFrame) -> DataFrame:
-    """(entity_key, issue, dimension, blocking, evidence): one row for each thing wrong with a record."""
-    tests = [
-        ("bank_missing", "payment", True, is_blank(F.col("key_bank")), "bank_account"),
-        ("vat_invalid", "tax", False, ~is_blank(F.col("vat_reg_no")) & F.col("key_vat").isNull(), "vat_reg_no"),
-        ("company_missing", "identity", False, F.col("key_company").isNull(), "comp_reg_no"),
-        ("address_missing", "address", False, is_blank(F.col("address")), "address"),
-        ("postcode_missing", "address", False, is_blank(F.col("zip_code")), "zip_code"),
-        ("terms_missing", "payment", True, is_blank(F.col("terms_id")), "terms_id"),
-        ("pay_method_missing", "payment", True, is_blank(F.col("pay_method")), "pay_method"),
-        ("currency_missing", "payment", True, is_blank(F.col("currency")), "currency"),
-    ]
-    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("issue"), F.lit(d).alias("dimension"), F.lit(b).alias("blocking"), F.concat_ws(": ", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("(blank)"))).alias("evidence"))) for n, d, b, bad, c in tests])
-    return rows.select("entity_key", F.explode(found).alias("i")).where("i IS NOT NULL").select("entity_key", "i.*")
-
-
-def duplicate_groups(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """(entity_key, dup_group, reasons): groups within a house over shared keys, after stewards' pair decisions."""
+    day = F.lit(rules.as_of).cast("date")
+    stuck = F.col("trans_date") < F.add_months(day, -rules.stuck_months)
+    return out.withColumns({"age_days": F.datediff(day, F.col("trans_date")), "stuck": F.coalesce(stuck, F.lit(False))})
+
+
+def issues(master: DataFrame, rules: Rules) -> DataFrame:
+    """(entity_key, client, issue, dimension, blocking): what the catalogue's one-table supplier checks, and four tests of the migration's own, find on each row of the population.
+
+    All tests run in one scan. Rows of a record that hold different keys are one
+    issue of its first client, and so is an id whose range and group disagree.
+    """
+    rows = scoped(master, rules).where("in_scope")
+    tests = [(c.id, c.dimension, F.expr(core.dated(f"({c.population}) AND ({c.fails})", rules.as_of))) for c in ROW_TESTS]
+    tests.append(("MS-DQ-NAME", "Completeness", is_blank(F.col("apar_name"))))
+    tests.append(("MS-DQ-LTD-COMPNO", "Completeness", F.exists(F.split(std_name(F.col("apar_name")), " "), lambda w: w.isin("LTD", "PLC", "LLP")) & (std_company_no(F.col("comp_reg_no")) == "")))
+    found = F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(n).alias("issue"), F.lit(d).alias("dimension"))) for n, d, bad in tests])
+    out = rows.select("entity_key", "client", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("entity_key", "client", "i.*")
+    apart = F.lit(False)
+    for key in AGREE:
+        apart = apart | (F.col(f"least_{key}") < F.col(f"most_{key}"))
+    each = rows.groupBy("entity_key").agg(F.min("client").alias("client"), *[f(k).alias(f"{n}_{k}") for k in AGREE for f, n in ((F.min, "least"), (F.max, "most"))])
+    differ = each.where(F.coalesce(apart, F.lit(False))).select("entity_key", "client", F.lit("MS-DQ-CLIENT-DIFF").alias("issue"), F.lit("Consistency").alias("dimension"))
+    mismatch = entities(master, rules).where("in_population AND group_id_mismatch").select("entity_key", "client", F.lit("MS-DQ-GROUP-ID").alias("issue"), F.lit("Consistency").alias("dimension"))
+    return out.unionByName(differ).unionByName(mismatch).withColumn("blocking", F.col("issue").isin(*BLOCKING_TESTS))
+
+
+def duplicate_groups(master: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
+    """(entity_key, dup_group, reasons): groups of commercial records of the population, within a house, over shared keys of any of their rows.
+
+    Records that a steward has said are no duplicates are left out before groups
+    are made; pairs said to be the same supplier are linked.
+    """
+    members = entities(master, rules).where("in_population AND category = 'Commercial'").select("entity_key")
+    if decisions is not None:
+        members = members.join(decisions.where("target_type = 'record' AND decision = 'NOT_DUPLICATE'").select(F.col("target_key").alias("entity_key")), "entity_key", "left_anti")
+    rows = scoped(master, rules).where("in_scope").join(members, "entity_key", "left_semi")
     edges = pairs.key_edges(rows, "entity_key", ["house"])
-    said = lambda what: decisions.where((F.col("target_type") == "pair") & (F.col("decision") == what)).select(F.col("target_key").alias("a"), F.col("related_key").alias("b"))
-    members = pairs.groups(rows, "entity_key", edges, *((said("same"), said("different")) if decisions is not None else ()))
+    links = None
+    if decisions is not None:
+        links = decisions.where("target_type = 'pair' AND decision = 'same'").select(F.col("target_key").alias("a"), F.col("related_key").alias("b"))
+        for end in ("a", "b"):
+            links = links.join(members.withColumnRenamed("entity_key", end), end, "left_semi")
+    grouped = pairs.groups(rows, "entity_key", edges, links)
     both = edges.select(F.col("a").alias("entity_key"), "key").unionByName(edges.select(F.col("b").alias("entity_key"), "key"))
     reasons = both.groupBy("entity_key").agg(F.array_join(F.array_sort(F.collect_set(F.substring("key", 5, 20))), ", ").alias("reasons"))
-    return members.withColumnRenamed("root", "dup_group").join(reasons, "entity_key", "left")
+    return grouped.withColumnRenamed("root", "dup_group").join(reasons, "entity_key", "left")
+
+
+def with_preferred(rows: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """rows with `preferred` and `preferred_tie`.
+
+    Best of a group is the record with the fewest blocking issues, then one with
+    open items, the latest activity, the most complete. Records level with it on
+    all four are a tie, which a steward settles and no rule does; a confirmed
+    record is preferred. A group is aggregated and never sorted as a whole.
+    """
+    order = F.struct(F.col("blocking"), (~F.col("has_open")).alias("no_open"), F.datediff(F.lit("9999-12-31").cast("date"), F.coalesce("last_activity", F.lit("1900-01-01").cast("date"))).alias("quiet"), (-F.col("completeness")).alias("gaps"))
+    rows = rows.withColumn("_order", order)
+    best = rows.where("dup_group IS NOT NULL").groupBy("dup_group").agg(F.min("_order").alias("_best"))
+    rows = rows.join(best, "dup_group", "left").withColumn("_level", F.coalesce(F.col("_order") == F.col("_best"), F.lit(False)))
+    tied = rows.where("_level").groupBy("dup_group").agg(F.count("*").alias("_many"))
+    rows = rows.join(tied, "dup_group", "left")
+    confirmed = F.lit(None).cast("string")
+    if decisions is not None:
+        said = decisions.where("target_type = 'record' AND decision = 'CONFIRM_PREFERRED'").select(F.col("target_key").alias("entity_key"), F.col("id").alias("_at"))
+        said = said.join(rows.where("dup_group IS NOT NULL").select("entity_key", "dup_group"), "entity_key")
+        rows = rows.join(said.groupBy("dup_group").agg(F.max_by("entity_key", F.struct("_at", "entity_key")).alias("_confirmed")), "dup_group", "left")
+        confirmed = F.col("_confirmed")
+    rows = rows.withColumns({
+        "preferred": F.when(confirmed.isNotNull(), confirmed == F.col("entity_key")).otherwise(F.col("_level") & (F.col("_many") == 1)),
+        "preferred_tie": confirmed.isNull() & F.col("_level") & (F.col("_many") > 1),
+    })
+    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("preferred", "preferred_tie")}).drop("_order", "_best", "_level", "_many", "_confirmed")
 
 
 def position(master: DataFrame, history: DataFrame, items: DataFrame, orders: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
-    """One row an entity with its class, the rule behind it and what it rests on."""
+    """One row an entity with its class, the rule behind it and what it rests on. decisions: the effective ones."""
     rows = entities(master, rules)
     vouchers = open_items(items, rules).groupBy("house", "apar_id").agg(F.count("*").alias("items"), F.sum("balance").alias("balance"), F.count_if("stuck").alias("stuck_items"))
-    wrong = issues(rows).groupBy("entity_key").agg(F.count("*").alias("issues"), F.count_if("blocking").alias("blocking"))
-    dup = duplicate_groups(rows, decisions)
+    wrong = issues(master, rules).groupBy("entity_key").agg(F.count_distinct("issue").alias("issues"), F.count_distinct(F.when(F.col("blocking"), F.col("issue"))).alias("blocking"))
+    dup = duplicate_groups(master, rules, decisions)
     out = rows.join(activity(history, items, orders, rules), ["house", "apar_id"], "left").join(vouchers, ["house", "apar_id"], "left").join(wrong, "entity_key", "left").join(dup, "entity_key", "left")
     out = out.na.fill(0, ["items", "stuck_items", "issues", "blocking", "open_orders"])
-    preferred = Window.partitionBy("dup_group").orderBy(F.desc_nulls_last("last_activity"), F.asc("blocking"), F.asc("issues"), F.desc("items"), "entity_key")
-    out = out.withColumn("preferred", F.col("dup_group").isNull() | (F.row_number().over(preferred) == 1))
+    out = with_preferred(out.withColumn("has_open", (F.col("items") > 0) | (F.col("open_orders") > 0)), decisions)
     day = F.lit(rules.as_of).cast("date")
-    quiet = lambda months: F.coalesce(F.col("last_activity") < F.add_months(day, -months), F.lit(True))
-    busy = (F.col("items") > 0) | (F.col("open_orders") > 0)
-    said = lambda c, rule: F.struct(F.lit(c).alias("class"), F.lit(rule).alias("rule"))
+    since = lambda months: F.coalesce(F.col("last_activity") >= F.add_months(day, -months), F.lit(False))
+    said = lambda c, rule: F.struct(F.lit(c).alias("class"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"))
+    other = F.col("dup_group").isNotNull() & ~F.col("preferred")
     ruled = (
-        F.when(~F.col("in_population"), said("OUT_OF_SCOPE", "status or client"))
-        .when(F.col("apar_gr_id").isin(*rules.noncommercial_groups), said("HOLD_NONCOMMERCIAL", "group"))
-        .when(F.col("apar_gr_id").isin(*rules.policy_groups), said("HOLD_POLICY", "group"))
-        .when(~F.col("preferred") & ~busy, said("CLOSE", "another record of its group is preferred"))
-        .when(quiet(rules.dormant_months) & ~busy, said("CLOSE", "dormant"))
-        .when(F.col("blocking") > 0, said("FIX", "blocking issue"))
-        .when((F.col("stuck_items") > 0) | quiet(rules.monitor_months), said("MONITOR", "stuck items or little activity"))
-        .otherwise(said("KEEP", "active and complete"))
+        F.when(~F.col("in_population"), said("OUT_OF_SCOPE", "MS-POP-01"))
+        .when(F.col("category") == "Non-commercial", said("HOLD_NONCOMMERCIAL", F.col("category_rule")))
+        .when(F.col("category") == "Policy", said("HOLD_POLICY", F.col("category_rule")))
+        .when(~since(rules.dormant_months) & ~F.col("has_open"), said("CLOSE", "MS-CLS-01"))
+        .when(F.col("preferred_tie"), said("MONITOR", "MS-DUP-03"))
+        .when(other & (since(rules.monitor_months) | F.col("has_open")), said("MONITOR", "MS-CLS-03"))
+        .when(other, said("CLOSE", "MS-CLS-02"))
+        .when(F.col("blocking") > 0, said("FIX", "MS-CLS-04"))
+        .otherwise(said("KEEP", "MS-CLS-05"))
     )
     out = out.withColumn("_r", ruled).withColumns({"recommended": F.col("_r.class"), "rule": F.col("_r.rule")}).drop("_r")
     out = out.withColumn("classification", F.col("recommended"))
     if decisions is not None:
-        own = decisions.where("target_type = 'record'").select(F.col("target_key").alias("entity_key"), F.col("decision").alias("_decision"))
+        own = decisions.where("target_type = 'record'").where(F.col("decision").isin(*CLASSES)).select(F.col("target_key").alias("entity_key"), F.col("decision").alias("_decision"))
         out = out.join(own, "entity_key", "left").withColumn("classification", F.coalesce("_decision", "recommended"))
         out = out.withColumn("decision_status", F.when(F.col("_decision").isNull(), "none").when(F.col("_decision") == F.col("recommended"), "confirmed").otherwise("override")).drop("_decision")
     else:

@@ -160,7 +160,7 @@ _DEPTH = [c for c in CATALOGUE if c.id == "GL_DIM_DEEP_HIERARCHY"]
 _depth = lambda f: hierarchy.with_depth(f["agldimvalue"], ["client", "attribute_id"], "dim_value", "rel_value")
 _add("hierarchy_depth", {"agldimvalue"}, lambda f: _depth(f).select("client", "attribute_id", "dim_value", "rel_value", "depth"), """
 , n AS (SELECT client AS c, attribute_id AS a, dim_value AS v, coalesce(trim(rel_value), '') AS p FROM agldimvalue), tree AS (
- SELECT c, a, v, 1 AS depth FROM n WHERE p = '' UNION SELECT n.c, n.a, n.v, t.depth + 1 FROM n JOIN tree t ON n.c = t.c AND n.a = t.a AND n.p = t.v WHERE n.p <> '' AND t.depth < 16)
+ SELECT c, a, v, 1 AS depth FROM n WHERE p = '' UNION SELECT n.c, n.a, n.v, t.depth + 1 FROM n JOIN tree t ON n.c = t.c AND n.a = t.a AND n.p = t.v WHERE n.p <> '' AND t.depth < 100)
 SELECT client, attribute_id, dim_value, rel_value, coalesce(d, 1)::INT AS depth FROM agldimvalue LEFT JOIN (SELECT c, a, v, min(depth) AS d FROM tree GROUP BY c, a, v) x ON client = c AND attribute_id = a AND dim_value = v""")
 _SQL["hierarchy_depth"] = _SQL["hierarchy_depth"].replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n, n AS", ", n AS", 1)
 _add("checks_hierarchy", {"agldimvalue"}, lambda f: core.run_checks({"agldimvalue": _depth(f)}, _DEPTH, AS_OF))
@@ -224,20 +224,46 @@ _add("payroll_metrics", {"payroll_transactions"}, lambda f: money.payroll_metric
 _RULES = pipeline.Rules(AS_OF)
 _MIGRATION = {"asuheader", "asuhistr", "asutrans", "apoheader"}
 _position = lambda f: pipeline.position(f["asuheader"], f["asuhistr"], f["asutrans"], f["apoheader"].withColumn("house", F.when(F.col("client") == "LA", "HOL").otherwise("HOC")), _RULES)
-_add("migration_entities", {"asuheader"}, lambda f: pipeline.entities(f["asuheader"], _RULES).select("entity_key", "client", "status", "clients", "statuses", "in_population"), """
-SELECT entity_key, client, status, clients, statuses, in_population FROM (SELECT house || '|' || apar_id AS entity_key, client, status, array_to_string(list_sort(list_distinct(list(client) OVER e)), ',') AS clients, array_to_string(list_sort(list_distinct(list(status) OVER e)), ',') AS statuses,
- bool_or(client IN ('CA', 'CM', 'LA') AND status IN ('N', 'P')) OVER e AS in_population, row_number() OVER (PARTITION BY house, apar_id ORDER BY client IN ('CA', 'CM', 'LA') AND status IN ('N', 'P') DESC, CASE WHEN status = 'N' THEN 0 ELSE 1 END, last_update DESC NULLS LAST, client, apar_name) AS n
- FROM asuheader WINDOW e AS (PARTITION BY house, apar_id)) WHERE n = 1""")
+_SCOPED = "(SELECT *, house || '|' || apar_id AS entity_key, coalesce(status IN ('N', 'P'), false) AND NOT (coalesce(upper(trim(apar_name)) = 'SZSINGLES', false) OR (house = 'HOC' AND (starts_with(apar_id, '89') OR starts_with(apar_id, '99')))) AS in_scope FROM asuheader WHERE (house = 'HOC' AND client IN ('CA', 'CM')) OR (house = 'HOL' AND client = 'LA'))"
+_ENTITIES = f"""SELECT * FROM (SELECT *, array_to_string(list_sort(list_distinct(list(client) OVER e)), ',') AS clients, array_to_string(list_sort(list_distinct(list(status) OVER e)), ',') AS statuses,
+ bool_or(in_scope) OVER e AS in_population, row_number() OVER (PARTITION BY entity_key ORDER BY in_scope DESC, CASE WHEN status = 'N' THEN 0 ELSE 1 END, client, apar_name) AS n,
+ coalesce((house = 'HOC' AND trim(apar_gr_id) IN ('EM', 'ME', 'SA', 'WI')) OR (house = 'HOL' AND trim(apar_gr_id) IN ('05', '06')), false) AS g, coalesce((house = 'HOC' AND (starts_with(apar_id, '1000') OR starts_with(apar_id, '74'))) OR (house = 'HOL' AND left(apar_id, 1) IN ('1', '2', '3')), false) AS p
+ FROM {_SCOPED} WINDOW e AS (PARTITION BY entity_key)) WHERE n = 1"""
+
+
+def _issues_sql() -> str:
+    """Every test of a row by itself, from the predicates of the catalogue; keys and names in SQL of their own."""
+    clean = lambda c: f"regexp_replace(upper(coalesce({c}, '')), '[^A-Z0-9]', '', 'g')"
+    words = "string_split(regexp_replace(replace(upper(coalesce(apar_name, '')), 'PUBLIC LIMITED COMPANY', 'PLC'), '[^A-Z0-9& ]', ' ', 'g'), ' ')"
+    std = f"list_transform(list_filter({words}, lambda w: w <> ''), lambda w: CASE w WHEN 'LIMITED' THEN 'LTD' WHEN 'AND' THEN '&' WHEN 'COMPANY' THEN 'CO' WHEN 'INCORPORATED' THEN 'INC' WHEN 'CORPORATION' THEN 'CORP' ELSE w END)"
+    tests = [(c.id, c.dimension, f"({core.dated(c.population, AS_OF)}) AND ({core.dated(c.fails, AS_OF)})") for c in pipeline.ROW_TESTS]
+    tests += [("MS-DQ-NAME", "Completeness", "coalesce(trim(apar_name), '') IN ('', 'nan', 'None')"), ("MS-DQ-LTD-COMPNO", "Completeness", f"list_has_any({std}, ['LTD', 'PLC', 'LLP']) AND {clean('comp_reg_no')} = ''")]
+    parts = [f"SELECT '{i}' AS issue, '{d}' AS dimension, count(*) AS records FROM {_SCOPED} asuheader WHERE in_scope AND coalesce({bad}, false)" for i, d, bad in tests]
+    sort, account, code = "regexp_replace(coalesce(clearing_code, ''), '[^0-9]', '', 'g')", "regexp_replace(coalesce(bank_account, ''), '[^0-9]', '', 'g')", "regexp_replace(upper(coalesce(zip_code, '')), '\\s', '', 'g')"
+    iban, vat, number = "regexp_replace(upper(coalesce(iban, '')), '\\s', '', 'g')", f"regexp_replace({clean('vat_reg_no')}, '^GB', '')", clean("comp_reg_no")
+    name = f"array_to_string(CASE WHEN ({std})[1] = 'THE' THEN ({std})[2:] ELSE {std} END, ' ')"
+    keys = [
+        f"CASE WHEN {sort} <> '' AND {account} <> '' AND {account} NOT IN ('00000000', '0', '11111111', '99999999') AND NOT regexp_matches({account}, '^0+$') THEN {sort} || ':' || {account} WHEN {iban} <> '' THEN {iban} END",
+        f"CASE WHEN regexp_matches({vat}, '^([0-9]{{9}}|[0-9]{{12}})$') THEN {vat} END", f"CASE WHEN length({number}) >= 6 AND NOT regexp_matches({number}, '^0+$') THEN {number} END", f"CASE WHEN {name} <> '' AND {code} <> '' THEN {name} || '@' || {code} END",
+    ]
+    parts.append(f"SELECT 'MS-DQ-CLIENT-DIFF', 'Consistency', count(*) FILTER (d) FROM (SELECT {' OR '.join(f'coalesce(min({k}) < max({k}), false)' for k in keys)} AS d FROM {_SCOPED} WHERE in_scope GROUP BY entity_key)")
+    parts.append(f"SELECT 'MS-DQ-GROUP-ID', 'Consistency', count(*) FROM ({_ENTITIES}) WHERE in_population AND house = 'HOL' AND g <> p")
+    blocking = ", ".join(f"'{x}'" for x in pipeline.BLOCKING_TESTS)
+    return f"SELECT issue, dimension, issue IN ({blocking}) AS blocking, records FROM ({' UNION ALL '.join(parts)}) WHERE records > 0"
+
+
+_add("migration_entities", {"asuheader"}, lambda f: pipeline.entities(f["asuheader"], _RULES).select("entity_key", "client", "status", "clients", "statuses", "in_population", "category", "category_rule"), f"""
+SELECT entity_key, client, status, clients, statuses, in_population, CASE WHEN g OR p THEN 'Non-commercial' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'Policy' ELSE 'Commercial' END AS category, CASE WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'MS-CAT-03' END AS category_rule FROM ({_ENTITIES})""")
 _add("migration_activity", _MIGRATION, lambda f: pipeline.activity(f["asuhistr"], f["asutrans"], f["apoheader"], _RULES), """
 SELECT house, apar_id, last_invoice, last_order, open_orders, greatest(last_invoice, last_order) AS last_activity FROM
-(SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('PI', 'OP', 'SI', 'DR') GROUP BY ALL)
+(SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('CP', 'ID', 'IF', 'II', 'IU', 'OP', 'PI', 'RD', 'RI', 'SI', 'SR', 'IB', 'BH', 'CN', 'IC', 'IN', 'RC') GROUP BY ALL)
 FULL JOIN (SELECT house, apar_id, max(order_date) AS last_order, count(*) FILTER (status IN ('O', 'N', 'A')) AS open_orders FROM apoheader GROUP BY ALL) USING (house, apar_id)""")
 _add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES), f"""
-SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce({DAY} - trans_date > 365, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)""")
-_add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(pipeline.entities(f["asuheader"], _RULES)).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")))
-_add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(pipeline.entities(f["asuheader"], _RULES)))
+SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce(trans_date < {DAY} - INTERVAL 2 MONTH, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)""")
+_add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(f["asuheader"], _RULES).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")), _issues_sql())
+_add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(f["asuheader"], _RULES))
 _add("migration_possible_duplicates", {"asuheader"}, lambda f: pipeline.possible_duplicates(pipeline.entities(f["asuheader"], _RULES)))
-_add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "issues", "blocking", "items", "stuck_items", "last_activity"))
+_add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "preferred_tie", "issues", "blocking", "items", "stuck_items", "last_activity"))
 _add("migration_funnel", _MIGRATION, lambda f: pipeline.funnel(_position(f)))
 _LOG = "SELECT event_id AS id, 'record' AS target_type, cast(user_id AS string) AS target_key, '' AS related_key, CASE event_id % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'FIX' WHEN 2 THEN 'MONITOR' ELSE 'CLOSE' END AS decision, 'r' AS reason, event_type AS steward FROM events"
 

@@ -29,8 +29,9 @@ def risk_matrix(results: DataFrame) -> DataFrame:
 
 
 def means(results: DataFrame) -> DataFrame:
-    """Unweighted means by domain and dimension."""
-    return results.groupBy("domain", "dimension").agg(F.bround(F.avg("pass_rate"), 4).alias("mean_pass_rate"), F.bround(F.avg("error_rate"), 4).alias("mean_error_rate"))
+    """Unweighted means by domain and dimension, of rates as decimals: sums of floats depend on their order."""
+    mean = lambda c: F.bround(F.avg(F.col(c).cast("decimal(9, 4)")), 4).cast("double").alias(f"mean_{c}")
+    return results.groupBy("domain", "dimension").agg(mean("pass_rate"), mean("error_rate"))
 
 
 def scorecard(results: DataFrame) -> DataFrame:

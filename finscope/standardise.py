@@ -9,8 +9,9 @@ from finscope.clean import is_blank
 
 # Spellings of company forms, and forms that a core name leaves out.
 FORMS = {"LIMITED": "LTD", "AND": "&", "COMPANY": "CO", "INCORPORATED": "INC", "CORPORATION": "CORP", "PUBLIC LIMITED COMPANY": "PLC"}
-LEGAL = ("LTD", "PLC", "LLP", "INC", "CORP", "CO", "&")
-PLACEHOLDER_ACCOUNTS = ("12345678", "00000000", "99999999")
+ORGANISATIONS = ("LTD", "PLC", "LLP", "INC", "CORP")
+LEGAL = (*ORGANISATIONS, "CO", "&")
+PLACEHOLDER_ACCOUNTS = ("00000000", "0", "11111111", "99999999")
 
 
 def std_name(c: Column) -> Column:
@@ -28,7 +29,7 @@ def name_core(c: Column) -> Column:
 
 
 def is_org_name(c: Column) -> Column:
-    return F.exists(F.split(std_name(c), " "), lambda w: w.isin(*LEGAL))
+    return F.exists(F.split(std_name(c), " "), lambda w: w.isin(*ORGANISATIONS))
 
 
 def std_postcode(c: Column) -> Column:

@@ -85,7 +85,7 @@ def test_dates_and_numbers(spark):
 def test_standard_forms(spark):
     assert one(spark, standardise.std_name(F.lit("The  Acme, Trading Limited"))) == "ACME TRADING LTD"
     assert one(spark, standardise.name_core(F.lit("Acme and Sons Public Limited Company"))) == "ACME SONS"
-    assert one(spark, standardise.std_vat(F.lit("gb 123 456"))) == "123456" and one(spark, standardise.is_org_name(F.lit("Acme Co")))
+    assert one(spark, standardise.std_vat(F.lit("gb 123 456"))) == "123456" and one(spark, standardise.is_org_name(F.lit("Acme Limited"))) and not one(spark, standardise.is_org_name(F.lit("Acme & Co")))
 
 
 def test_components_chain_and_star(spark):
@@ -132,35 +132,68 @@ def test_decisions(spark):
     assert {r["id"]: r["verdict"] for r in decisions.triage(upload, log).collect()} == {9: "already recorded", 10: "changed", 11: "rejected", 12: "rejected", 13: "new"}
 
 
-def test_migration_classes(spark):
-    rules = pipeline.Rules(AS_OF)
-    keys = lambda i: {"apar_id": str(i), "vat_reg_no": f"GB{100000000 + i}", "comp_reg_no": f"{10000000 + i}", "bank_account": str(10000000 + i), "apar_name": f"Firm{i} Ltd", "zip_code": f"SW{i} 1AA"}
-    master = supplier(spark, keys(1), {**keys(2), "terms_id": None}, keys(3), {**keys(4), "status": "C"}, {**keys(5), "apar_gr_id": "ME"}, {**keys(6), "bank_account": str(10000001)}).withColumn("last_update", F.lit("2026-01-01").cast("date"))
+def migrated(spark, suppliers, invoices=(), open_items=(), said=()):
+    """Positions by id. invoices and open_items: (id, day); said: (target type, target, related, decision)."""
+    keys = lambda r: {"vat_reg_no": f"GB{100000000 + int(r['apar_id'])}", "comp_reg_no": f"{10000000 + int(r['apar_id'])}", "bank_account": f"{30000000 + int(r['apar_id'])}", "apar_name": f"Firm{r['apar_id']} Ltd", "zip_code": "SW1A 1AA", **r}
+    master = supplier(spark, *map(keys, suppliers)).withColumn("last_update", F.lit("2026-01-01").cast("date"))
     tx = "house string, client string, apar_id string, voucher_no string, voucher_type string, status string, trans_date string, rest_amount double"
-    history = spark.createDataFrame([("HOC", "CA", i, f"v{i}", "PI", "C", "2026-09-01", 0.0) for i in ("1", "2", "5")], tx).withColumn("trans_date", F.to_date("trans_date"))
-    items = spark.createDataFrame([], tx).withColumn("trans_date", F.to_date("trans_date"))
+    rows = lambda found, amount: spark.createDataFrame([("HOC", "CA", i, f"v{i}", "PI", "N", day, amount) for i, day in found], tx).withColumn("trans_date", F.to_date("trans_date"))
     orders = spark.createDataFrame([], "house string, apar_id string, order_date string, status string").withColumn("order_date", F.to_date("order_date"))
-    got = {r["apar_id"]: r for r in pipeline.position(master, history, items, orders, rules).collect()}
-    assert {k: r["classification"] for k, r in got.items()} == {"1": "KEEP", "2": "FIX", "3": "CLOSE", "4": "OUT_OF_SCOPE", "5": "HOLD_NONCOMMERCIAL", "6": "CLOSE"}
-    assert got["1"]["dup_group"] == got["6"]["dup_group"] == "HOC|1" and got["1"]["preferred"] and not got["6"]["preferred"]
-    total = {r["house"]: r["records"] for r in pipeline.funnel(pipeline.position(master, history, items, orders, rules)).collect()}
-    assert total == {"HOC": 6, "Total": 6}
-
-
-def test_every_query_has_frames_it_can_build():
-    for name in queries.queries():
-        assert name == name.lower()
-    assert set(queries.oracle_sql()) <= set(queries.queries())
-    for table in bindings.TABLES:
-        assert bindings.order([table])[-1] == table
+    log = spark.createDataFrame([(i, *x, "r", "s") for i, x in enumerate(said)], "id long, target_type string, target_key string, related_key string, decision string, reason string, steward string")
+    made = pipeline.position(master, rows(invoices, 0.0), rows(open_items, 5.0), orders, pipeline.Rules(AS_OF), decisions.effective(log) if said else None)
+    return {r["apar_id"]: r for r in made.collect()}
 
 
-def test_profile_has_sum_distinct_and_share(spark):
-    from decimal import Decimal
-
-    from finscope import extracts
-
-    df = spark.createDataFrame([(0.1, 1), (0.2, None), (None, 1), (0.1, 2)], "a double, b long")
-    got = {r["column"]: (r["total"], r["distinct_values"], r["populated"]) for r in extracts.profile(df, ["a", "b"]).collect()}
-    assert got == {"a": (Decimal("0.4"), 2, 0.75), "b": (Decimal(4), 2, 0.75)}
-    assert [r["populated"] for r in extracts.profile(df.limit(0), ["a"]).collect()] == [None]
+def test_migration_classes(spark):
+    rows = [{"apar_id": "20001"}, {"apar_id": "20002", "terms_id": None}, {"apar_id": "20003"}, {"apar_id": "20004", "status": "C"}, {"apar_id": "20005", "apar_gr_id": "ME"}, {"apar_id": "74001"}, {"apar_id": "89001"}, {"apar_id": "20006", "client": "ZZ"}, {"apar_id": "20007", "apar_gr_id": "03"}]
+    got = migrated(spark, rows, [(i, "2026-09-01") for i in ("20001", "20002", "20005", "20007")])
+    assert {k: (r["classification"], r["rule"]) for k, r in got.items()} == {
+        "20001": ("KEEP", "MS-CLS-05"), "20002": ("FIX", "MS-CLS-04"), "20003": ("CLOSE", "MS-CLS-01"), "20004": ("OUT_OF_SCOPE", "MS-POP-01"), "20005": ("HOLD_NONCOMMERCIAL", "MS-CAT-01"),
+        "74001": ("HOLD_NONCOMMERCIAL", "MS-CAT-02"), "89001": ("OUT_OF_SCOPE", "MS-POP-01"), "20007": ("KEEP", "MS-CLS-05"),
+    }
+
+
+def test_preferred_records(spark):
+    bank = {"bank_account": "55555555"}
+    now, old = "2026-10-20", "2026-02-01"  # within six months, and within eighteen
+    trio = [{"apar_id": i, **bank} for i in ("20001", "20002", "20003")]
+    got = migrated(spark, trio, [("20001", now), ("20002", now), ("20003", old)], [("20002", now)])
+    assert got["20002"]["preferred"] and got["20002"]["classification"] == "KEEP"  # open items before completeness or activity
+    assert (got["20001"]["classification"], got["20001"]["rule"]) == ("MONITOR", "MS-CLS-03") and (got["20003"]["classification"], got["20003"]["rule"]) == ("CLOSE", "MS-CLS-02")
+    blocked = [{"apar_id": "20001", **bank, "terms_id": None}, {"apar_id": "20002", **bank, "place": None}]
+    got = migrated(spark, blocked, [("20001", now), ("20002", old)])
+    assert got["20002"]["preferred"] and not got["20001"]["preferred"]  # fewest blocking issues first
+    got = migrated(spark, trio[:2], [("20001", now), ("20002", now)])
+    assert all(r["preferred_tie"] and not r["preferred"] and (r["classification"], r["rule"]) == ("MONITOR", "MS-DUP-03") for r in got.values())
+    got = migrated(spark, trio[:2], [("20001", now), ("20002", now)], said=[("record", "HOC|20002", "", "CONFIRM_PREFERRED"), ("record", "HOC|20002", "", "FIX")])
+    assert got["20002"]["preferred"] and got["20002"]["classification"] == "FIX" and got["20001"]["rule"] == "MS-CLS-03"  # both decisions stand
+
+
+def test_groups_and_stewards(spark):
+    bank = {"bank_account": "55555555"}
+    trio = [{"apar_id": i, **bank} for i in ("20001", "20002", "20003")]
+    now = [(i, "2026-10-20") for i in ("20001", "20002", "20003")]
+    assert {r["dup_group"] for r in migrated(spark, trio, now).values()} == {"HOC|20001"}
+    got = migrated(spark, trio, now, said=[("record", "HOC|20002", "", "NOT_DUPLICATE"), ("pair", "HOC|20001", "HOC|20003", "different")])
+    assert got["20002"]["dup_group"] is None and got["20001"]["dup_group"] == got["20003"]["dup_group"] == "HOC|20001"
+    placeholder = [{"apar_id": i, "bank_account": "11111111"} for i in ("20001", "20002")]
+    assert {r["dup_group"] for r in migrated(spark, placeholder, now).values()} == {None}
+    mixed = [{"apar_id": "20001", **bank}, {"apar_id": "20002", **bank, "apar_gr_id": "ME"}]
+    assert {r["dup_group"] for r in migrated(spark, mixed, now).values()} == {None}  # commercial records only
+    same = [{"apar_id": "20001"}, {"apar_id": "20002"}]
+    assert {r["dup_group"] for r in migrated(spark, same, now, said=[("pair", "HOC|20002", "HOC|20001", "same")]).values()} == {"HOC|20001"}
+
+
+def test_issues_are_those_of_the_rows_in_scope(spark):
+    rows = [{"apar_id": "20001", "comp_reg_no": None}, {"apar_id": "20001", "client": "CM", "vat_reg_no": "GB999999999", "comp_reg_no": None}, {"apar_id": "20002", "apar_name": " "}, {"apar_id": "20003", "status": "C", "terms_id": None}]
+    found = {(r["entity_key"], r["issue"], r["blocking"]) for r in pipeline.issues(supplier(spark, *rows), pipeline.Rules(AS_OF)).collect()}
+    assert {("HOC|20001", "MS-DQ-LTD-COMPNO", True), ("HOC|20001", "MS-DQ-CLIENT-DIFF", False), ("HOC|20002", "MS-DQ-NAME", True)} <= found
+    assert not any(e == "HOC|20003" for e, _, _ in found)
+
+
+def test_depth_has_no_limit(spark):
+    from finscope import hierarchy
+
+    rows = [("C", "A", f"n{i}", f"n{i - 1}" if i else "") for i in range(25)] + [("C", "A", "x", "y"), ("C", "A", "y", "x")]
+    got = {r["dim_value"]: r["depth"] for r in hierarchy.with_depth(spark.createDataFrame(rows, "client string, attribute_id string, dim_value string, rel_value string"), ["client", "attribute_id"], "dim_value", "rel_value").collect()}
+    assert all(got[f"n{i}"] == i + 1 for i in range(25)) and got["x"] == got["y"] == 1
