@@ -20,7 +20,7 @@ def std_name(c: Column) -> Column:
     words = F.filter(F.split(F.regexp_replace(plain, "[^A-Z0-9& ]", " "), " +"), lambda w: w != "")
     mapping = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
     words = F.transform(words, lambda w: F.coalesce(mapping[w], w))
-    words = F.transform(F.array(words), lambda ws: F.when(ws[0] == "THE", F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))).otherwise(ws))[0]
+    words = F.transform(F.array(words), lambda ws: F.when(F.get(ws, F.lit(0)) == "THE", F.slice(ws, 2, F.size(ws) - 1)).otherwise(ws))[0]
     return F.array_join(words, " ")
 
 
