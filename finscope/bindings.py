@@ -70,7 +70,7 @@ def _transactions(kind: str, where: str) -> str:
   {pick(k, "'N'", "'R'", "'I'", "'C'", "'P'")} AS status, {pick(k, "'GBP'", "'GBP'", "'GBP'", "'USD'")} AS currency,
   CASE WHEN {k} % 3 = 0 THEN {text(k)} END AS order_id, CASE WHEN {k} % 5 = 0 THEN {text("o_custkey")} END AS contract_id,
   CASE WHEN {k} % 2 = 0 THEN {text(f"{k} - 1")} END AS orig_reference, CASE WHEN {k} % 6 <> 0 THEN '1' END AS intrule_id,
-  cast({k} % 5 AS int) AS rem_level, CASE WHEN {k} % 9 <> 0 THEN {money("1.25")} END AS exch_rate,
+  cast({k} % 5 AS int) AS rem_level, {pick(k, "'1'", "'0'", "NULL")} AS pay_flag, CASE WHEN {k} % 9 <> 0 THEN {money("1.25")} END AS exch_rate,
   {unless(f"{k} % 59 = 2", "cast(o_orderdate AS date)")} AS trans_date, {unless(f"{k} % 53 = 2", "cast(o_orderdate AS date) + 30")} AS due_date,
   {unless(f"{k} % 61 = 2", f"CASE WHEN {k} % 8 = 3 THEN -1 ELSE 1 END * " + money("o_totalprice"))} AS amount,
   {unless(f"{k} % 9 = 1", money("o_totalprice"))} AS cur_amount,
@@ -89,7 +89,7 @@ CONTACT = f"""CASE WHEN c_custkey % 3 = 0 THEN 'Y' ELSE 'N' END AS apar_once,
   {unless("c_custkey % 20 = 5", "CASE c_nationkey % 5 WHEN 0 THEN 'SW1A 1AA' WHEN 1 THEN '12345' WHEN 2 THEN '1234 AB' WHEN 3 THEN 'D02 X285' ELSE 'bad' END")} AS zip_code,
   cast(NULL AS string) AS province, DATE '1999-01-01' + cast(c_custkey % 1000 AS int) AS last_update, DATE '1999-06-01' + cast(c_custkey % 900 AS int) AS last_trans_date"""
 CREDIT = f"""CASE WHEN c_custkey % 9 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN {money("c_acctbal")} ELSE {money("0")} END AS credit_limit,
-  CASE WHEN c_custkey % 26 = 3 THEN DATE '2000-01-01' END AS expired_date, cast(c_custkey % 3 AS int) AS collect_flag,
+  CASE WHEN c_custkey % 26 = 3 THEN DATE '2000-01-01' END AS expired_date, DATE '1999-03-01' + cast(c_custkey % 1000 AS int) AS last_update, cast(c_custkey % 3 AS int) AS collect_flag,
   CASE WHEN c_custkey % 6 = 1 THEN {party("c_custkey % 700")} WHEN c_custkey % 33 = 2 THEN 'none' END AS main_apar_id"""
 
 _LINE = "l_orderkey * 8 + l_linenumber"
@@ -150,7 +150,7 @@ FROM lineitem WHERE l_partkey % 16 <> 5 GROUP BY 1, 2, 3, 4, 5, 6, l_partkey""",
   {money("CASE WHEN l_partkey % 26 = 1 THEN 0 ELSE l_extendedprice END")} AS amount FROM lineitem WHERE l_linenumber <= 2""",
     "apoheader": f"""SELECT 'HOC' AS house, {pick("o_custkey", "'CA'", "'CM'")} AS client, {text("CASE WHEN o_orderkey % 200 = 9 THEN o_orderkey - 1 ELSE o_orderkey END")} AS order_id,
   CASE WHEN o_orderkey % 51 = 3 THEN '' WHEN o_orderkey % 52 = 3 THEN 'nobody' ELSE {party("o_custkey")} END AS apar_id, {pick("o_orderkey", "'O'", "'N'", "'A'", "'F'", "'C'", "'T'", "'F'")} AS status,
-  CASE WHEN o_orderkey % 4 = 1 THEN 'K' || {text("o_custkey")} END AS contract_id, {unless("o_orderkey % 5 = 2", "'R' || " + text("o_custkey % 30"))} AS responsible, cast(o_orderkey % 4 AS int) AS amend_no,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'K' || {text("o_custkey")} END AS contract_id, {unless("o_orderkey % 5 = 2", "'R' || " + text("o_custkey % 30"))} AS responsible, cast(o_orderkey % 4 AS int) AS amend_no, {pick("o_custkey", "'T'", "'W'", "''", "NULL")} AS wf_state,
   CASE WHEN o_orderkey % 63 = 3 THEN NULL WHEN o_orderkey % 64 = 3 THEN cast(o_orderdate AS date) + 3000 ELSE cast(o_orderdate AS date) END AS order_date, CASE WHEN o_orderkey % 66 = 3 THEN {money("0")} ELSE {money("1")} END AS exch_rate FROM orders""",
     "apodetail": f"""SELECT 'HOC' AS house, {pick("o_custkey", "'CA'", "'CM'")} AS client, {text("l_orderkey")} AS order_id, {text("l_linenumber")} AS line_no, '0' AS sequence_no, {party("o_custkey")} AS apar_id,
   {pick("l_orderkey", "'O'", "'N'", "'A'", "'F'", "'C'", "'T'", "'O'")} AS status, {text("5000 + l_partkey + CASE WHEN l_orderkey % 90 = 1 THEN 9000000 ELSE 0 END")} AS account, {unless("l_partkey % 20 = 3", "'C' || " + text("l_partkey % 25"))} AS art_gr_id,
@@ -173,10 +173,17 @@ FROM lineitem WHERE l_partkey % 16 <> 5 GROUP BY 1, 2, 3, 4, 5, 6, l_partkey""",
     "atamis_suppliers_existence": "SELECT 'Unknown' AS house, house AS derived_house, creditor_ref FROM atamis_suppliers WHERE coalesce(trim(creditor_ref), '') <> ''",
     "unit4_commitments_existence": "SELECT 'Unknown' AS house, house AS derived_house, u4_contract_id, supplier_id FROM unit4_commitments WHERE coalesce(trim(supplier_id), '') <> ''",
     "unit4_spend_existence": "SELECT 'Unknown' AS house, house AS derived_house, u4_contract_id FROM unit4_spend WHERE coalesce(trim(u4_contract_id), '') <> ''",
-    "budgets_report": f"""SELECT {house("l_suppkey")} AS house, {unless("l_orderkey % 99 = 3", text("5000 + l_partkey + CASE WHEN l_orderkey % 66 = 1 THEN 9000000 ELSE 0 END"))} AS account, {unless("l_partkey % 38 = 3", "'M' || " + text("l_suppkey % 5"))} AS mipck_l1, {unless("l_partkey % 29 = 3", "'H' || " + text("l_partkey % 300"))} AS haiscode,
+    "budgets_report": f"""SELECT {house("l_suppkey")} AS house, {pick("l_suppkey", "'HOC'", "'HOL'", "' HOL '", "'hoc'", "NULL")} AS recharge, {unless("l_orderkey % 99 = 3", text("5000 + l_partkey + CASE WHEN l_orderkey % 66 = 1 THEN 9000000 ELSE 0 END"))} AS account, {unless("l_partkey % 38 = 3", "'M' || " + text("l_suppkey % 5"))} AS mipck_l1, {unless("l_partkey % 29 = 3", "'H' || " + text("l_partkey % 300"))} AS haiscode,
   CASE WHEN l_partkey % 33 = 3 THEN ' ' ELSE 'CC' || {text("l_partkey % 50")} END AS costc, CASE WHEN l_orderkey % 49 = 3 THEN NULL WHEN l_orderkey % 48 = 3 THEN 17 ELSE cast(extract(month FROM l_shipdate) AS int) END AS period, cast(extract(year FROM l_shipdate) AS int) AS year,
   {money("l_extendedprice")} AS gl_actuals, {unless("l_partkey % 31 = 3", money(PRICE + ' * 1.1'))} AS orig_budget, CASE WHEN l_partkey % 37 = 3 THEN NULL WHEN l_partkey % 41 = 3 THEN {money("0")} ELSE {money(PRICE + ' * 1.05')} END AS curr_budget,
   {money(PRICE + ' * 1.02')} AS live_forecast, 'Category ' || {text("l_partkey % 25")} AS account_desc FROM lineitem""",
+    "agldimension": """SELECT DISTINCT house, client, attribute_id, dim_position, 'Dimension ' || dim_position AS description, CASE WHEN attribute_id = 'A1' AND client = 'CM' THEN 'C' ELSE 'N' END AS status FROM agldimvalue""",
+    "gl_contract_values": f"""SELECT {house("c_custkey")} AS house, {pick("c_custkey", "'5'", "' 5'", "'4'")} AS dim_position, {pick("c_custkey", "'Contract Number'", "'contract number '", "'Contract Number'", "'Cost centre'")} AS dim_description, 'L' || {text("c_custkey")} AS dim_value FROM customer""",
+    "hol_unit4_spend": f"""SELECT CASE WHEN o_orderkey % 30 = 3 THEN ' ' ELSE ' L' || {text("o_custkey")} END AS u4_contract_id, CASE WHEN o_custkey % 5 = 2 THEN -1 ELSE 1 END * {money("o_totalprice")} AS amount FROM orders WHERE o_custkey % 7 <> 1""",
+    "aattrans": f"""SELECT {house("l_partkey")} AS house, {client("l_partkey")} AS client, {_ASSET} AS asset_id, {pick("l_orderkey", "'CURR'", "'HIST'")} AS depr_book_id, {pick("l_suppkey + l_partkey", "'CA'", "'ND'", "'CI'", "'SA'", "'ED'", "NULL", "'FD'")} AS trans_type, {pick("l_suppkey", "'11200'", "'11215'", "'70000'")} AS account,
+  {pick("l_orderkey", "'N'", "'C'", "NULL")} AS status, cast(l_shipdate AS date) AS trans_date, {money("l_extendedprice")} AS amount FROM lineitem""",
+    "aaghocbud": f"""SELECT {client("l_partkey")} AS client, {_PERIOD} AS period, {text("5000 + l_partkey")} AS dim1, 'CC' || {text("l_partkey % 50")} AS dim2, 'U' || {text(_UNIT)} AS dim3, {unless("l_partkey % 5 <> 1", text("l_suppkey"))} AS dim4, 'H' || {text("l_partkey % 300")} AS dim5, {house("l_suppkey")} AS dim6,
+  {", ".join(f"{money(f'{PRICE} * 1.0{i}')} AS {c}" for i, c in enumerate(("pla_amount", "plb_amount", "ple_amount", "plc_amount", "plf_amount", "plg_amount", "plh_amount", "pli_amount", "plk_amount")))}, {money(PRICE)} AS plm_amount, {money("0")} AS plo_amount, CASE WHEN l_linestatus = 'O' THEN {money("l_extendedprice")} END AS po_rest_com_amt FROM lineitem""",
     "project_list": f"""SELECT 'Parliament' AS house, 'U' || {text("p_partkey % 40")} AS unit, 'Unit ' || {text("p_partkey % 40")} AS unit_desc, CASE WHEN p_partkey % 90 = 3 THEN 'X' ELSE 'U' || {text("p_partkey % 40")} END || '-' || {text("CASE WHEN p_partkey % 160 = 45 THEN p_partkey - 40 ELSE p_partkey END")} AS hais_code,
   CASE WHEN p_partkey % 70 = 3 THEN 'DO NOT USE - ' ELSE '' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE {text("p_partkey")} END AS hais_desc, {unless("p_partkey % 44 = 3", "'C' || " + text("p_partkey % 40 % 4 + CASE WHEN p_partkey = 41 THEN 1 ELSE 0 END"))} AS projcat,
   {unless("p_partkey % 54 = 3", "'P' || " + text("p_partkey % 40 % 8"))} AS projgrp, 'Portfolio ' || {text("p_partkey % 40 % 8 % 5")} AS projgrp_desc, 'CC' || {text("p_partkey % 40")} AS costc, 'DIR' || {text("p_partkey % 40 % 6 + CASE WHEN p_partkey % 333 = 2 THEN 1 ELSE 0 END")} AS directorate,

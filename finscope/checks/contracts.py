@@ -39,7 +39,7 @@ CHECKS = [
     _contract("ATAMIS_CONTRACT_DATE_MISMATCH", "Consistency", "Medium", f"coalesce(start_date <> {commitment('min(date_from)')}, false) OR coalesce(end_date <> {commitment('min(date_to)')}, false)"),
     _supplier("ATAMIS_SUPPLIER_NO_CREDITOR_REF", "Completeness", "High", blank("creditor_ref")),
     _supplier("ATAMIS_SUPPLIER_DUP_CREDITOR_REF", "Uniqueness", "Medium", repeated("creditor_ref", where=f"(NOT {blank('creditor_ref')})")),
-    # These three are reported once, under the house Unknown, over every row with an id; the tables are made by finscope.house.
+    # These three are reported once, under the house Unknown, over every row with an id; house.existence makes the tables.
     _of("atamis_suppliers_existence", "Atamis Supplier")("ATAMIS_SUPPLIER_NOT_IN_UNIT4", "Consistency", "High", "derived_house = 'Unknown'"),
     _commitment("UNIT4_COMMIT_NO_SUPPLIER_ID", "Completeness", "High", blank("supplier_id"), OPEN_ID),
     _commitment("UNIT4_COMMIT_DATE_INVALID", "Validity", "Medium", true("date_to < date_from"), OPEN_ID),

@@ -38,6 +38,11 @@ def asset_flags(transactions: DataFrame) -> DataFrame:
     return kept.unionByName(last)
 
 
+def columns_of(df: DataFrame, clients: list[str], columns: list[str]) -> DataFrame:
+    """The named columns of the clients' rows: asset master, depreciation books and the like."""
+    return df.where(F.col("client").isin(*clients)).select(*columns)
+
+
 def group_books(groups: DataFrame, books: DataFrame) -> DataFrame:
     return groups.join(books, ["client", "asset_group"], "left")
 
@@ -48,6 +53,13 @@ def dimension_config(attributes: DataFrame, values: DataFrame) -> DataFrame:
     return attributes.join(n, ["client", "attribute_id"], "left").na.fill(0, ["total_values", "active", "closed"])
 
 
+def dimension_values(values: DataFrame, dimensions: DataFrame, clients: list[str]) -> DataFrame:
+    """Live values of live dimensions that have a place on a journal line (0 to 7), with that place and the dimension's name."""
+    live = dimensions.where((F.col("status") == "N") & F.col("dim_position").isin(*map(str, range(8)))).select("client", "attribute_id", "dim_position", F.col("description").alias("dim_description"))
+    own = values.where((F.col("status") == "N") & F.col("client").isin(*clients)).drop("dim_position", "dim_description")
+    return own.join(live, ["client", "attribute_id"])
+
+
 def dimensions_in_use(transactions: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct position and value of the dimension columns, in one scan."""
     return wide_to_long(transactions, ["client"], columns)
@@ -57,6 +69,33 @@ def fiscal_year(journals: DataFrame, year: int) -> DataFrame:
     return journals.where(F.col("fiscal_year") == year)
 
 
+#: Voucher types of budget entries, and those of budgets that count.
+BUDGET_ENTRIES, BUDGET_TYPES = ("BU", "BV"), ("GI", "SI")
+
+
+def opening_balances(lines: DataFrame, clients: list[str], first: int, last: int) -> DataFrame:
+    """Posted lines of the periods, budget entries apart."""
+    return lines.where(F.col("client").isin(*clients) & F.col("period").between(first, last) & ~F.col("voucher_type").isin(*BUDGET_ENTRIES))
+
+
+def future_budgets(lines: DataFrame, clients: list[str], first: int, last: int) -> DataFrame:
+    """Lines of budget vouchers of the periods that have no status."""
+    return lines.where(F.col("client").isin(*clients) & F.col("period").between(first, last) & F.col("voucher_type").isin(*BUDGET_TYPES) & (F.coalesce("status", F.lit("")) == ""))
+
+
+#: Columns of the budget view, and what they hold.
+BUDGET_COLUMNS = {
+    "client": "client", "period": "period", "dim1": "account", "dim2": "cost_centre", "dim3": "unit_code", "dim4": "resno", "dim5": "hais_code", "dim6": "recharge",
+    "pla_amount": "orig_budget", "plb_amount": "curr_budget", "ple_amount": "forecast_actuals", "plc_amount": "funds_budget", "plf_amount": "pfst_budget", "plg_amount": "q1_forecast", "plh_amount": "q2_forecast", "pli_amount": "q3_forecast",
+    "plk_amount": "mtip_budget", "plm_amount": "base_budget", "plo_amount": "myp_budget", "po_rest_com_amt": "po_commitment",
+}
+
+
+def budget_versions(view: DataFrame, clients: list[str], first: int, last: int) -> DataFrame:
+    rows = view.where(F.col("client").isin(*clients) & F.col("period").between(first, last))
+    return rows.select(*[F.col(c).alias(name) for c, name in BUDGET_COLUMNS.items()])
+
+
 def account_activity(lines: DataFrame) -> DataFrame:
     return lines.groupBy("house", "account").agg(F.min("period").alias("earliest_period"), F.max("period").alias("latest_period"), F.count("*").alias("posting_count"))
 

@@ -40,6 +40,37 @@ def status_split(items: DataFrame) -> DataFrame:
     return items.groupBy("house", "status").agg(F.count("*").alias("items"), F.sum("rest_amount").cast("decimal(28,2)").alias("balance"))
 
 
+#: Statuses of open items, of the receivables' one more.
+OPEN_AP, OPEN_AR = ("N", "R", "I", "P"), ("N", "R", "I", "P", "H")
+
+
+def open_figures(items: DataFrame, statuses, as_of: str, name: str) -> DataFrame:
+    """One row a house: all items, open ones, their balance, how many are overdue, and the days since the open ones' posting, added up and counted."""
+    day = F.lit(as_of).cast("date")
+    is_open = F.col("status").isin(*statuses)
+    age = F.when(is_open, F.datediff(day, F.col("trans_date")))
+    return items.groupBy("house").agg(
+        F.count("*").alias(f"{name}_items"), F.count_if(is_open).alias(f"{name}_open"), F.coalesce(F.sum(F.when(is_open, F.col("rest_amount"))), F.lit(0)).cast("decimal(28,2)").alias(f"{name}_balance"),
+        F.count_if(is_open & (F.col("due_date") < day)).alias(f"{name}_overdue"), (F.sum(age) / F.count(age)).alias(f"{name}_mean_age"), F.max("trans_date").alias(f"{name}_date"),
+    )
+
+
+def overview(suppliers: DataFrame, customers: DataFrame, payables: DataFrame, receivables: DataFrame, as_of: str) -> DataFrame:
+    """One row a house that any of the tables has: masters by status, open items, balances, overdue items and the day of each extract."""
+    masters = lambda df, name: df.groupBy("house").agg(F.count("*").alias(f"{name}_total"), F.count_if(F.col("status") == "N").alias(f"{name}_active"), F.count_if(F.col("status") == "C").alias(f"{name}_inactive"), F.max("last_update").alias(f"{name}_date"))
+    parts = [masters(suppliers, "suppliers"), masters(customers, "customers"), *(open_figures(df, s, as_of, n).drop(f"{n}_items", f"{n}_mean_age") for df, s, n in ((payables, OPEN_AP, "ap"), (receivables, OPEN_AR, "ar")))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "house", "full_outer")
+    return out.na.fill(0)
+
+
+def open_split(items: DataFrame, statuses, column: str) -> DataFrame:
+    """Open items and their balance by house and a column's values, as by status or pay flag; rows without a value are left out."""
+    rows = items.where(F.col("status").isin(*statuses) & F.col(column).isNotNull())
+    return rows.groupBy("house", column).agg(F.count("*").alias("items"), F.coalesce(F.sum("rest_amount"), F.lit(0)).cast("decimal(28,2)").alias("balance"))
+
+
 def ledger_profile(journals: DataFrame) -> DataFrame:
     """Journals by house: lines, vouchers, users, types and the span of periods."""
     return journals.groupBy("house").agg(
@@ -51,3 +82,38 @@ def asset_volumes(assets: DataFrame, as_of: str) -> DataFrame:
     """Assets by house and status: grants, those not updated for three years, and groups in use."""
     stale = F.col("last_update") < F.add_months(F.lit(as_of).cast("date"), -36)
     return assets.groupBy("house", "status").agg(F.count("*").alias("assets"), F.count_if(F.col("grant_flag") == 1).alias("grants"), F.count_if(stale).alias("stale"), F.count_distinct("asset_group").alias("groups"))
+
+
+#: Types of asset transactions whose meaning is confirmed, and those whose isn't.
+CONFIRMED_TYPES = ("CA", "PC", "ND", "ED", "FD", "SA", "VN", "CI")
+UNKNOWN_TYPES = ("NF", "NT", "TF", "TT", "RF", "RT", "OS", "WU", "TC")
+
+
+def asset_intro(assets: DataFrame, books: DataFrame, groups: DataFrame, balances: DataFrame, flags: DataFrame) -> DataFrame:
+    """House, what is counted (section and name) and its figure: assets by status, groups and books by method, assets in several books, transactions by type."""
+    told = lambda df, section, name, n: df.groupBy("house", F.lit(section).alias("section"), name.alias("name")).agg(n.cast("bigint").alias("n"))
+    one = groups.groupBy("house", "asset_group").agg(F.min(F.struct("grp_status", "depr_method")).alias("g")).select("house", "g.*")
+    several = books.groupBy("house", "asset_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    confirmed = F.when(F.col("trans_type").isin(*CONFIRMED_TYPES), "confirmed").when(F.col("trans_type").isin(*UNKNOWN_TYPES), "unknown")
+    rows = F.count("*")
+    parts = [
+        told(assets, "master", F.col("status"), rows), told(one, "group status", F.col("grp_status"), rows), told(one, "group method", F.col("depr_method"), rows),
+        told(books, "book status", F.col("status"), rows), told(books, "book method", F.col("depr_method"), rows), told(several, "books", F.lit("several"), rows),
+        told(balances.where(confirmed.isNotNull()), "transactions", F.concat(confirmed, F.lit(" "), F.col("trans_type")), F.sum("transaction_count")),
+        told(flags.where(F.col("trans_type").isin("CA", "SA")), "flags", F.col("trans_type"), rows),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("name IS NOT NULL")
+
+
+def dimension_structure(config: DataFrame) -> DataFrame:
+    """Values by attribute: those with a place on a journal line each by itself, the others together as X or other."""
+    place = F.trim("dim_position")
+    on_line = place.isin(*map(str, range(8)))
+    label = F.when(on_line, F.coalesce("description", F.lit(""))).when(place == "X", "X-position").otherwise("Other")
+    scope = F.when(on_line, "GL dimensions").otherwise("Out of scope")
+    return config.groupBy("house", scope.alias("scope"), label.alias("label"), F.when(on_line, F.col("attribute_id")).alias("attribute_id")).agg(
+        F.count_distinct("attribute_id").alias("attributes"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("active", "closed")]
+    )

@@ -34,6 +34,16 @@ def is_active():
     return out
 
 
+def in_scope(rows: DataFrame, on_list_only: bool = True, expenditure_only: bool = False, houses=()) -> DataFrame:
+    """Lines, or their summary, of listed codes, without income, of some houses."""
+    keep = F.col("on_list") if on_list_only else F.lit(True)
+    if expenditure_only:
+        keep = keep & ~F.col("is_income")
+    if houses:
+        keep = keep & F.col("house").isin(*houses)
+    return rows.where(keep)
+
+
 def summarise(rows: DataFrame) -> DataFrame:
     """The one large shuffle: sums at code, house and year, with first and last active period."""
     active = F.when(is_active(), F.col("period"))
@@ -100,6 +110,18 @@ def positions(summary: DataFrame, window_months: int = 3) -> DataFrame:
     return out.withColumn("truncated", period_index(F.col("first_period")) - period_index(F.col("_first")) < window_months).drop("_first")
 
 
+def tasks(summary: DataFrame) -> DataFrame:
+    """What a unit consists of: codes with activity, by house."""
+    out = summary.groupBy("unit", "hais_code", "house").agg(F.sum("actuals").alias("spend_to_date"), F.sum("committed").alias("commitments"), F.sum("budget").alias("budget_to_date"), F.min("first_active").alias("first_period"), F.max("last_active").alias("last_period"))
+    return out.where("first_period IS NOT NULL").withColumn("remaining_budget", F.col("budget_to_date") - F.col("spend_to_date"))
+
+
+def idle_codes(listed: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Listed codes without activity; of several listings the least counts."""
+    codes = listed.where("hais_code IS NOT NULL").groupBy("hais_code").agg(F.min(F.struct("unit", "hais_desc", "status")).alias("l")).select("hais_code", "l.*")
+    return codes.join(tasks.select("hais_code").distinct(), "hais_code", "left_anti")
+
+
 def history(summary: DataFrame) -> DataFrame:
     """Sums by unit, house and year with running totals."""
     run = Window.partitionBy("unit", "house").orderBy("fiscal_year").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finscope import bindings, extracts, hierarchy, io, scores
+from finscope import bindings, extracts, hierarchy, house, io, scores
 from finscope.bindings import AS_OF
 from finscope.checks import CATALOGUE, core, oracle
 from finscope.migration import decisions, pipeline
@@ -22,10 +22,12 @@ MONEY = {
     "project_positions": "spend_to_date commitments budget_to_date current_fy_actuals current_fy_budget remaining_budget remaining_after_commitments", "project_history": "actuals budget cumulative_actuals cumulative_budget", "project_commitments": "committed", "project_coverage": "actuals budget committed",
     "project_codes": "actuals_total budget_total committed_total", "contract_metrics": "value", "budget_kpis": "gl_actuals orig_budget curr_budget live_forecast virement remaining forecast_variance", "budget_top_account_desc": "gl_actuals curr_budget", "budget_top_haiscode": "gl_actuals curr_budget", "budget_by_period": "gl_actuals curr_budget",
     "payroll_metrics": "gross_pay tax_deducted ni_deducted pension_deducted other_deductions net_pay overtime_pay", "migration_items": "balance",
+    "overview": "ap_balance ar_balance", "open_figures_ap": "ap_balance", "open_figures_ar": "ar_balance", "open_split_status_ap": "balance", "open_split_pay_flag_ar": "balance", "extract_asset_balances": "total_amount", "extract_asset_flags": "amount", "extract_budget_versions": "orig_budget po_commitment",
+    "project_tasks": "spend_to_date commitments budget_to_date remaining_budget", "extract_opening_balances": "amount", "profile_budgets": "total",
 }
 
 #: Days, which both engines return as text.
-DAYS = {"migration_activity": "last_invoice last_order last_activity", "migration_items": "trans_date", "extract_recent_history": "trans_date", "profile_first_entries": "earliest", "migration_position": "last_activity"}
+DAYS = {"migration_activity": "last_invoice last_order last_activity", "migration_items": "trans_date", "extract_recent_history": "trans_date", "profile_first_entries": "earliest", "migration_position": "last_activity", "overview": "suppliers_date customers_date ap_date ar_date", "open_figures_ap": "ap_date", "open_figures_ar": "ar_date", "extract_supplier_master": "last_trans_date", "extract_asset_balances": "max_trans_date min_trans_date", "extract_asset_flags": "trans_date", "extract_order_lines": "order_date", "extract_asset_master": "date_from"}
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -110,6 +112,31 @@ LEFT JOIN (SELECT house, count(*) AS history_items FROM {_h} GROUP BY house) h U
 _add("volumes_gl", {"gl_journals"}, lambda f: aging.ledger_profile(f["gl_journals"]), "SELECT house, count(*) AS lines, count(DISTINCT voucher_no) AS vouchers, count(DISTINCT user_id) AS users, count(DISTINCT voucher_type) AS voucher_types, min(period) AS first_period, max(period) AS last_period FROM gl_journals GROUP BY house")
 _add("volumes_assets", {"asset_master"}, lambda f: aging.asset_volumes(f["asset_master"], AS_OF), f"SELECT house, status, count(*) AS assets, count(*) FILTER (grant_flag = 1) AS grants, count(*) FILTER (last_update < {DAY} - INTERVAL 36 MONTH) AS stale, count(DISTINCT asset_group) AS groups FROM asset_master GROUP BY house, status")
 
+
+
+def _open_sql(table: str, statuses, name: str) -> str:
+    is_open = f"status IN {statuses}"
+    return f"""SELECT house, count(*) AS {name}_items, count(*) FILTER ({is_open}) AS {name}_open, coalesce(sum(rest_amount) FILTER ({is_open}), 0)::DECIMAL(28, 2) AS {name}_balance, count(*) FILTER ({is_open} AND due_date < {DAY}) AS {name}_overdue,
+ (sum({DAY} - trans_date) FILTER ({is_open}))::BIGINT::DOUBLE / count(trans_date) FILTER ({is_open}) AS {name}_mean_age, max(trans_date) AS {name}_date FROM {table} GROUP BY house"""
+
+
+for _name, _t, _s in (("ap", "asutrans", aging.OPEN_AP), ("ar", "acutrans", aging.OPEN_AR)):
+    _add(f"open_figures_{_name}", {_t}, lambda f, t=_t, s=_s, n=_name: aging.open_figures(f[t], s, AS_OF, n), _open_sql(_t, _s, _name))
+_masters_sql = lambda t, n: f"(SELECT house, count(*) AS {n}_total, count(*) FILTER (status = 'N') AS {n}_active, count(*) FILTER (status = 'C') AS {n}_inactive, max(last_update) AS {n}_date FROM {t} GROUP BY house)"
+_add("overview", {"asuheader", "acuheader", "asutrans", "acutrans"}, lambda f: aging.overview(f["asuheader"], f["acuheader"], f["asutrans"], f["acutrans"], AS_OF), f"""SELECT * EXCLUDE (ap_items, ar_items, ap_mean_age, ar_mean_age) FROM {_masters_sql("asuheader", "suppliers")} FULL JOIN {_masters_sql("acuheader", "customers")} USING (house) FULL JOIN ({_open_sql("asutrans", aging.OPEN_AP, "ap")}) USING (house) FULL JOIN ({_open_sql("acutrans", aging.OPEN_AR, "ar")}) USING (house)""")
+for _name, _t, _s, _c in (("status_ap", "asutrans", aging.OPEN_AP, "status"), ("pay_flag_ar", "acutrans", aging.OPEN_AR, "pay_flag")):
+    _add(f"open_split_{_name}", {_t}, lambda f, t=_t, s=_s, c=_c: aging.open_split(f[t], s, c), f"SELECT house, {_c}, count(*) AS items, coalesce(sum(rest_amount), 0)::DECIMAL(28, 2) AS balance FROM {_t} WHERE status IN {_s} AND {_c} IS NOT NULL GROUP BY ALL")
+_ONE_GROUP = "(SELECT house, min({'a': grp_status, 'b': depr_method}) AS g FROM asset_groups GROUP BY house, asset_group)"
+_add("asset_intro", {"asset_master", "asset_depreciation", "asset_groups", "asset_balances", "asset_trans_flags"}, lambda f: aging.asset_intro(f["asset_master"], f["asset_depreciation"], f["asset_groups"], f["asset_balances"], f["asset_trans_flags"]), f"""
+SELECT * FROM (SELECT house, 'master' AS section, status AS name, count(*) AS n FROM asset_master GROUP BY ALL UNION ALL SELECT house, 'group status', g.a, count(*) FROM {_ONE_GROUP} GROUP BY ALL UNION ALL SELECT house, 'group method', g.b, count(*) FROM {_ONE_GROUP} GROUP BY ALL
+UNION ALL SELECT house, 'book status', status, count(*) FROM asset_depreciation GROUP BY ALL UNION ALL SELECT house, 'book method', depr_method, count(*) FROM asset_depreciation GROUP BY ALL
+UNION ALL SELECT house, 'books', 'several', count(*) FROM (SELECT house, asset_id FROM asset_depreciation GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL
+UNION ALL SELECT house, 'transactions', CASE WHEN trans_type IN {aging.CONFIRMED_TYPES} THEN 'confirmed ' ELSE 'unknown ' END || trans_type, sum(transaction_count)::BIGINT FROM asset_balances WHERE trans_type IN {aging.CONFIRMED_TYPES + aging.UNKNOWN_TYPES} GROUP BY ALL
+UNION ALL SELECT house, 'flags', trans_type, count(*) FROM asset_trans_flags WHERE trans_type IN ('CA', 'SA') GROUP BY ALL) WHERE name IS NOT NULL""")
+_add("dimension_structure", {"gl_dimconfig"}, lambda f: aging.dimension_structure(f["gl_dimconfig"]), """SELECT house, CASE WHEN trim(dim_position) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN 'GL dimensions' ELSE 'Out of scope' END AS scope,
+ CASE WHEN trim(dim_position) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN coalesce(description, '') WHEN trim(dim_position) = 'X' THEN 'X-position' ELSE 'Other' END AS label, CASE WHEN trim(dim_position) IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN attribute_id END AS attribute_id_,
+ count(DISTINCT attribute_id) AS attributes, sum(active)::BIGINT AS active, sum(closed)::BIGINT AS closed FROM gl_dimconfig GROUP BY 1, 2, 3, 4""".replace("SELECT house", "SELECT * RENAME (attribute_id_ AS attribute_id) FROM (SELECT house", 1) + ")")
+
 # Purchase orders
 
 _INV = "greatest(coalesce(arr_amount, 0), coalesce(invoiced, 0))"
@@ -202,6 +229,11 @@ _built_checks("checks_project_codes", "project_codes", _PRJ, _codes)
 _built_checks("checks_project_units", "project_units", _PRJ, lambda f: projects.positions(_project(f)[1]))
 _built_checks("checks_project_commitments", "project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]))
 
+_TASKS = f"(SELECT u AS unit, hais_code, house, sum(actuals) AS spend_to_date, sum(committed) AS commitments, sum(budget) AS budget_to_date, min(period) FILTER ({_ACT}) AS first_period, max(period) FILTER ({_ACT}) AS last_period, sum(budget) - sum(actuals) AS remaining_budget FROM {_LINES} WHERE on_list AND NOT regexp_matches(upper(coalesce(mipck_l1_desc, '')), 'INCOME|RECEIPT|GRANT') GROUP BY ALL HAVING min(period) FILTER ({_ACT}) IS NOT NULL)"
+_tasks = lambda f: projects.tasks(projects.in_scope(_project(f)[1], expenditure_only=True))
+_add("project_tasks", _PRJ, _tasks, f"SELECT * FROM {_TASKS}")
+_add("project_idle_codes", _PRJ, lambda f: projects.idle_codes(f["project_list"], _tasks(f)), f"SELECT hais_code, l.* FROM (SELECT hais_code, min({{'unit': unit, 'hais_desc': hais_desc, 'status': status}}) AS l FROM project_list WHERE hais_code IS NOT NULL GROUP BY 1) WHERE hais_code NOT IN (SELECT hais_code FROM {_TASKS} WHERE hais_code IS NOT NULL)")
+
 # Contracts, budgets, staff
 
 _add("contract_reliability", {"atamis_contracts"}, lambda f: money.organisation_reliability(f["atamis_contracts"]), "SELECT s AS stated, house AS derived, CASE WHEN house = 'Unknown' THEN 'No match' WHEN s = 'JOINT' THEN 'Joint' WHEN s = house THEN 'Agrees' WHEN s IN ('HOC', 'HOL') THEN 'Differs' ELSE 'Not a house' END AS verdict, count(*) AS contracts FROM (SELECT upper(trim(organisation)) AS s, house FROM atamis_contracts) GROUP BY ALL")
@@ -209,6 +241,21 @@ _add("contract_metrics", {"atamis_contracts"}, lambda f: money.contract_metrics(
 _add("contract_gaps", {"atamis_contracts", "unit4_commitments", "unit4_spend", "apodetail"}, lambda f: money.contract_gaps(f["atamis_contracts"], f["unit4_commitments"], f["unit4_spend"], f["apodetail"]), """
 SELECT in_contracts, in_commitments, in_spend, in_orders, count(*) AS refs FROM (SELECT ref, bool_or(s = 1) AS in_contracts, bool_or(s = 2) AS in_commitments, bool_or(s = 3) AS in_spend, bool_or(s = 4) AS in_orders FROM (
 SELECT trim(contract_ref) AS ref, 1 AS s FROM atamis_contracts UNION ALL SELECT trim(u4_contract_id), 2 FROM unit4_commitments UNION ALL SELECT trim(u4_contract_id), 3 FROM unit4_spend UNION ALL SELECT trim(contract_id), 4 FROM apodetail) WHERE coalesce(ref, '') <> '' GROUP BY ref) GROUP BY ALL""")
+_IDS = "(SELECT trim(apar_id) AS k, min(house) AS h FROM asuheader WHERE house IN ('HOC', 'HOL') AND apar_id IS NOT NULL GROUP BY 1)"
+_BOUGHT = f"(SELECT c.* EXCLUDE (house), coalesce(h, 'Unknown') AS house FROM unit4_commitments c LEFT JOIN {_IDS} ON k = trim(supplier_id))"
+_BOUGHT_BY = f"(SELECT u4_contract_id AS k, min(house) AS h FROM {_BOUGHT} WHERE u4_contract_id IS NOT NULL GROUP BY 1)"
+_bought = lambda f: house.by_membership(f["unit4_commitments"], "supplier_id", f["asuheader"])
+_HOUSED = {"asuheader", "unit4_commitments"}
+_add("house_suppliers", {"asuheader", "atamis_suppliers"}, lambda f: house.by_membership(f["atamis_suppliers"], "creditor_ref", f["asuheader"]).select("supplier_name", "creditor_ref", "house"), f"SELECT supplier_name, creditor_ref, coalesce(h, 'Unknown') AS house FROM atamis_suppliers LEFT JOIN {_IDS} ON k = trim(creditor_ref)")
+_add("house_contracts", _HOUSED | {"atamis_contracts"}, lambda f: house.of_contracts(f["atamis_contracts"], _bought(f)).select("contract_ref", "organisation", "supplier_name", "house"), f"""
+SELECT contract_ref, organisation, supplier_name, CASE WHEN upper(trim(organisation)) IN ('HOC', 'HOL') THEN upper(trim(organisation)) WHEN coalesce(trim(contract_ref), '') <> '' THEN coalesce(h, 'Unknown') ELSE 'Unknown' END AS house FROM atamis_contracts LEFT JOIN {_BOUGHT_BY} ON k = contract_ref""")
+_add("house_spend", _HOUSED | {"unit4_spend"}, lambda f: house.of_spend(f["unit4_spend"], _bought(f)).select("u4_contract_id", "house"), f"SELECT u4_contract_id, coalesce(h, 'Unknown') AS house FROM unit4_spend LEFT JOIN {_BOUGHT_BY} ON k = u4_contract_id")
+_add("house_contract_refs", _HOUSED | {"gl_contract_values", "hol_unit4_spend"}, lambda f: house.contract_refs(_bought(f), f["gl_contract_values"], f["hol_unit4_spend"]).select("house", "u4_contract_id", "source"), f"""
+SELECT house, u4_contract_id, 'unit4_commitments' AS source FROM {_BOUGHT} UNION ALL SELECT 'HOL', dim_value, 'gl_dimension_values' FROM gl_contract_values WHERE house = 'HOL' AND trim(dim_position) = '5' AND lower(trim(dim_description)) = 'contract number' AND trim(dim_value) IN (SELECT trim(u4_contract_id) FROM hol_unit4_spend WHERE trim(u4_contract_id) <> '' GROUP BY 1 HAVING sum(amount) > 0)""")
+_add("house_budgets", {"budgets_report"}, lambda f: house.of_budgets(f["budgets_report"]).groupBy("house", "recharge").agg(F.count("*").alias("lines")), "SELECT CASE WHEN trim(recharge) IN ('HOC', 'HOL') THEN trim(recharge) ELSE 'Unknown' END AS house, recharge, count(*) AS lines FROM budgets_report GROUP BY ALL")
+_add("house_asset_scope", {"asset_master"}, lambda f: house.in_client_scope(f["asset_master"], {"HOC": ["CA"], "HOL": ["LA"]}, ["asset_id"]).select("house", "client", "asset_id"), "SELECT house, client, trim(asset_id) AS asset_id FROM asset_master WHERE (house <> 'HOC' OR trim(client) = 'CA') AND (house <> 'HOL' OR trim(client) = 'LA')")
+_add("house_open_commitments", _HOUSED | {"unit4_open_contracts"}, lambda f: house.open_only(_bought(f), "u4_contract_id", f["unit4_open_contracts"]).select("u4_contract_id", "supplier_id", "house"), f"SELECT u4_contract_id, supplier_id, house FROM {_BOUGHT} WHERE trim(u4_contract_id) IN (SELECT trim(u4_contract_id) FROM unit4_open_contracts)")
+_add("house_existence", {"asuheader", "atamis_suppliers"}, lambda f: house.existence(house.by_membership(f["atamis_suppliers"], "creditor_ref", f["asuheader"]), "creditor_ref").groupBy("house", "derived_house").agg(F.count("*").alias("rows"), F.count_if(F.col("derived_house") == "Unknown").alias("failing")), f"SELECT 'Unknown' AS house, coalesce(h, 'Unknown') AS derived_house, count(*) AS rows, count(*) FILTER (h IS NULL) AS failing FROM atamis_suppliers LEFT JOIN {_IDS} ON k = trim(creditor_ref) WHERE coalesce(trim(creditor_ref), '') <> '' GROUP BY ALL")
 _add("budget_kpis", {"budgets_report"}, lambda f: money.budget_kpis(f["budgets_report"]), """SELECT *, round_even(gl_actuals::DOUBLE / curr_budget::DOUBLE * 100, 2) AS utilisation_pct, curr_budget - orig_budget AS virement, curr_budget - gl_actuals AS remaining, live_forecast - curr_budget AS forecast_variance
 FROM (SELECT house, sum(coalesce(gl_actuals, 0)) AS gl_actuals, sum(coalesce(orig_budget, 0)) AS orig_budget, sum(coalesce(curr_budget, 0)) AS curr_budget, sum(coalesce(live_forecast, 0)) AS live_forecast FROM budgets_report GROUP BY house)""")
 for _column, _n in (("account_desc", 15), ("haiscode", 10)):
@@ -288,9 +335,25 @@ _add("extract_recent_history", {"asuhistr"}, lambda f: extracts.recent_history(f
 _add("extract_dimensions_in_use", {"project_financials"}, lambda f: extracts.dimensions_in_use(f["project_financials"].withColumnRenamed("house", "client"), ["unit", "costc", "directorate", "department"]), """
 SELECT DISTINCT house AS client, p AS dim_position, v AS dim_value FROM (SELECT house, unnest([{'p': '1', 'v': unit}, {'p': '2', 'v': costc}, {'p': '3', 'v': directorate}, {'p': '4', 'v': department}], recursive := true) FROM project_financials) WHERE coalesce(trim(v), '') <> ''""")
 _add("extract_dimension_config", {"agldimvalue"}, lambda f: extracts.dimension_config(f["agldimvalue"].select("client", "attribute_id").distinct(), f["agldimvalue"]), "SELECT client, attribute_id, count(*) AS total_values, count(*) FILTER (status = 'N') AS active, count(*) FILTER (status = 'C') AS closed FROM agldimvalue GROUP BY ALL")
+_ADDRESSED = ("address", "place", "zip_code", "province", "last_trans_date")
+_add("extract_supplier_master", {"asuheader", "asutrans", "asuhistr"}, lambda f: extracts.master_with_last_transaction(f["asuheader"].drop(*_ADDRESSED), f["asuheader"].withColumn("sequence_no", F.length("address")), f["asutrans"], f["asuhistr"]).select("house", "client", "apar_id", "apar_name", "address", "place", "zip_code", "last_trans_date"), """
+SELECT house, client, apar_id, apar_name, address, place, zip_code, t.d AS last_trans_date FROM (SELECT * EXCLUDE (address, place, zip_code) FROM asuheader) h
+LEFT JOIN (SELECT client, apar_id, address, place, zip_code FROM asuheader QUALIFY row_number() OVER (PARTITION BY client, apar_id ORDER BY length(address) NULLS FIRST, address NULLS FIRST, zip_code NULLS FIRST) = 1) a USING (client, apar_id)
+LEFT JOIN (SELECT client, apar_id, max(trans_date) AS d FROM (SELECT client, apar_id, trans_date FROM asutrans UNION ALL SELECT client, apar_id, trans_date FROM asuhistr) GROUP BY ALL) t USING (client, apar_id)""")
+_add("extract_asset_balances", {"aattrans"}, lambda f: extracts.asset_balances(f["aattrans"]), "SELECT client, asset_id, depr_book_id, trans_type, account, sum(amount) AS total_amount, max(trans_date) AS max_trans_date, min(trans_date) AS min_trans_date, count(*) AS transaction_count FROM aattrans WHERE trans_type IS DISTINCT FROM 'CI' AND status IS DISTINCT FROM 'C' GROUP BY ALL")
+_add("extract_asset_flags", {"aattrans"}, lambda f: extracts.asset_flags(f["aattrans"]), "SELECT client, asset_id, depr_book_id, trans_type, trans_date, amount FROM aattrans WHERE trans_type IN ('CA', 'SA') UNION ALL SELECT client, asset_id, depr_book_id, trans_type, max(trans_date), NULL FROM aattrans WHERE trans_type IN ('ND', 'ED', 'FD') GROUP BY ALL")
+_add("extract_asset_groups", {"asset_groups"}, lambda f: extracts.group_books(f["asset_groups"].groupBy("client", "asset_group").agg(F.min("description").alias("description")), f["asset_groups"].select("client", "asset_group", "depr_book_id", "book_status").distinct()), "SELECT client, asset_group, description, depr_book_id, book_status FROM (SELECT client, asset_group, min(description) AS description FROM asset_groups GROUP BY ALL) LEFT JOIN (SELECT DISTINCT client, asset_group, depr_book_id, book_status FROM asset_groups) USING (client, asset_group)")
+_add("extract_asset_master", {"asset_master"}, lambda f: extracts.columns_of(f["asset_master"], ["CA"], ["client", "asset_id", "asset_group", "description", "status", "date_from"]), "SELECT client, asset_id, asset_group, description, status, date_from FROM asset_master WHERE client = 'CA'")
+_add("extract_asset_books", {"asset_depreciation"}, lambda f: extracts.columns_of(f["asset_depreciation"], ["CA"], ["client", "asset_id", "depr_book_id", "status", "depr_method", "lifetime"]), "SELECT client, asset_id, depr_book_id, status, depr_method, lifetime FROM asset_depreciation WHERE client = 'CA'")
+_add("extract_dimension_values", {"agldimvalue", "agldimension"}, lambda f: extracts.dimension_values(f["agldimvalue"], f["agldimension"].drop("house"), ["CA", "CM"]).select("client", "attribute_id", "dim_position", "dim_description", "dim_value", "description", "rel_value"), "SELECT d.client, d.attribute_id, n.dim_position, n.description AS dim_description, d.dim_value, d.description, d.rel_value FROM agldimvalue d JOIN agldimension n ON n.attribute_id = d.attribute_id AND n.client = d.client AND n.status = 'N' WHERE d.client IN ('CA', 'CM') AND d.status = 'N'")
+_add("extract_opening_balances", {"gl_journals"}, lambda f: extracts.opening_balances(f["gl_journals"], ["CA", "CM"], 199901, 199915).select("client", "account", "period", "voucher_type", "amount"), "SELECT client, account, period, voucher_type, amount FROM gl_journals WHERE client IN ('CA', 'CM') AND period BETWEEN 199901 AND 199915 AND voucher_type NOT IN ('BU', 'BV')")
+_add("extract_budget_versions", {"aaghocbud"}, lambda f: extracts.budget_versions(f["aaghocbud"], ["CA", "CM"], 199801, 199815).select("client", "period", "account", "cost_centre", "resno", "recharge", "orig_budget", "po_commitment"), "SELECT client, period, dim1 AS account, dim2 AS cost_centre, dim4 AS resno, dim6 AS recharge, pla_amount AS orig_budget, po_rest_com_amt AS po_commitment FROM aaghocbud WHERE client IN ('CA', 'CM') AND period BETWEEN 199801 AND 199815")
+_add("extract_order_lines", {"apoheader", "apodetail"}, lambda f: extracts.order_lines(f["apoheader"], f["apodetail"], f["apodetail"]).select("client", "order_id", "line_no", "header_apar_id", "order_date", "category"), """
+SELECT client, order_id, line_no, h.apar_id AS header_apar_id, h.order_date AS order_date, category FROM apodetail JOIN (SELECT client, order_id, min({'apar_id': apar_id, 'order_date': order_date}) AS h FROM apoheader GROUP BY ALL) USING (client, order_id) LEFT JOIN (SELECT art_gr_id, min(art_gr_description) AS category FROM apodetail WHERE art_gr_id IS NOT NULL GROUP BY 1) USING (art_gr_id)""")
+_add("order_states", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader"].where(F.col("client").isin("CA", "CM")), "status", "wf_state"), "SELECT status, wf_state, count(*) AS rows FROM apoheader WHERE client IN ('CA', 'CM') GROUP BY ALL")
 _add("extract_fiscal_year", {"gl_journals"}, lambda f: extracts.fiscal_year(f["gl_journals"], 2000).select("house", "client", "voucher_no", "sequence_no", "account", "period"), "SELECT house, client, voucher_no, sequence_no, account, period FROM gl_journals WHERE fiscal_year = 2000")
 _add("profile_first_entries", {"asset_master"}, lambda f: extracts.first_entries(f["asset_master"], ["cap_date_from", "date_from", "date_to", "org_amt_date"], table="asset_master"), " UNION ALL ".join(f"SELECT 'asset_master' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, count(*) FILTER ({c} <= DATE '1900-01-02') AS placeholders, min({c}) FILTER ({c} > DATE '1900-01-02')::DATE AS earliest FROM asset_master" for c in ("cap_date_from", "date_from", "date_to", "org_amt_date")))
-_add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("total", "distinct_values", "populated"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
+_add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("populated"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, sum({c}) AS total, count(DISTINCT {c}) AS distinct_values FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
 _add("value_counts_orders", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader"], "status", "amend_no"), "SELECT status, amend_no, count(*) AS rows FROM apoheader GROUP BY ALL")
 
 
