@@ -241,7 +241,7 @@ def duck(sql: str) -> str:
     return sql
 
 
-def with_tables(names, sql: str) -> str:
-    """DuckDB SQL: `sql` over the finance tables named."""
-    ctes = [f"{n} AS (\n{TABLES[n]}\n)" for n in order(names)]
-    return duck("WITH " + ",\n".join(ctes) + "\n" + sql)
+def with_tables(names, sql: str, made: dict[str, str] | None = None) -> str:
+    """DuckDB SQL: `sql` over the finance tables named, and over those `made` from them, each by its own SQL."""
+    ctes = [f"{n} AS (\n{TABLES[n]}\n)" for n in order(names)] + [f"{n} AS (\n{text}\n)" for n, text in (made or {}).items()]
+    return duck(("WITH RECURSIVE " if made else "WITH ") + ",\n".join(ctes) + "\n" + sql)

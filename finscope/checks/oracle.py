@@ -24,8 +24,9 @@ def _in_place(sql: str, alias: str, as_of: str) -> str:
     return sql
 
 
-def results_sql(checks: list[core.Check], as_of: str) -> str:
-    parts, tables = [], {c.table for c in checks} | core.needs(checks)
+def results_sql(checks: list[core.Check], as_of: str, sources=(), made: dict[str, str] | None = None) -> str:
+    """made: SQL of the checks' tables that aren't finance tables themselves, over those of `sources`."""
+    parts, tables = [], {c.table for c in checks} | core.needs(checks) | set(sources)
     for c in checks:
         population, fails = _in_place(c.population, "t", as_of), _in_place(c.fails, "t", as_of)
         parts.append(f"""SELECT '{c.id}' AS check_id, '{c.domain}' AS domain, '{c.object}' AS object, '{c.dimension}' AS dimension, '{c.severity}' AS severity, house, count(*) FILTER (p) AS total, count(*) FILTER (p AND f) AS failing
@@ -34,4 +35,4 @@ FROM (SELECT house, coalesce({population}, false) AS p, coalesce({fails}, false)
     sql = f"""SELECT *, CASE WHEN error_rate <= {cases(0)} THEN 'Green' WHEN error_rate <= {cases(1)} THEN 'Amber' ELSE 'Red' END AS rag
 FROM (SELECT *, round_even(100.0::DOUBLE - error_rate, 1) AS pass_rate FROM (
   SELECT *, total - failing AS passing, round_even(failing * 100.0::DOUBLE / total, 1) AS error_rate FROM ({' UNION ALL '.join(parts)}) WHERE total > 0))"""
-    return bindings.with_tables(tables, sql)
+    return bindings.with_tables(tables, sql, made)

@@ -77,7 +77,8 @@ def codes(listed: DataFrame, rows: DataFrame, summary: DataFrame) -> DataFrame:
     mismatch = F.concat_ws("; ", *[F.when(odd(f, c), F.concat(F.lit(f"{label}: list "), F.col(f"r.{c}"), F.lit(", financials "), F.array_join(f, ", "))) for f, c, label in PAIRS])
     mismatches = combos.select("hais_code", mismatch.alias("attr_mismatch"))
     years = on.where("actuals > 0").groupBy("hais_code", "fiscal_year").agg(*[F.sum(F.when(F.col("house") == h, F.col("actuals"))).alias(h) for h in ("HOC", "HOL")]).where("HOC > 0 AND HOL > 0")
-    share = (F.col("HOC") / (F.col("HOC") + F.col("HOL")) * 100).cast("double")
+    hoc, hol = F.col("HOC").cast("double"), F.col("HOL").cast("double")
+    share = hoc / (hoc + hol) * 100
     split = years.withColumn("share", share).groupBy("hais_code").agg(
         F.round(F.max("share") - F.min("share"), 1).alias("split_range_pp"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fiscal_year", "share"))), lambda s: F.concat(fy_label(s["fiscal_year"]), F.lit(" "), F.round(s["share"]).cast("int").cast("string"), F.lit("%"))), " · ").alias("split_by_year"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from finscope import bindings, extracts, hierarchy, house, io, scores
@@ -23,7 +25,7 @@ MONEY = {
     "project_codes": "actuals_total budget_total committed_total", "contract_metrics": "value", "budget_kpis": "gl_actuals orig_budget curr_budget live_forecast virement remaining forecast_variance", "budget_top_account_desc": "gl_actuals curr_budget", "budget_top_haiscode": "gl_actuals curr_budget", "budget_by_period": "gl_actuals curr_budget",
     "payroll_metrics": "gross_pay tax_deducted ni_deducted pension_deducted other_deductions net_pay overtime_pay", "migration_items": "balance",
     "overview": "ap_balance ar_balance", "open_figures_ap": "ap_balance", "open_figures_ar": "ar_balance", "open_split_status_ap": "balance", "open_split_pay_flag_ar": "balance", "extract_asset_balances": "total_amount", "extract_asset_flags": "amount", "extract_budget_versions": "orig_budget po_commitment",
-    "project_tasks": "spend_to_date commitments budget_to_date remaining_budget", "extract_opening_balances": "amount", "profile_budgets": "total",
+    "project_tasks": "spend_to_date commitments budget_to_date remaining_budget", "project_opening": "hoc_spend_to_date hoc_budget_to_date hoc_commitments hol_spend_to_date hol_budget_to_date hol_commitments", "extract_opening_balances": "amount", "profile_budgets": "total",
 }
 
 #: Days, which both engines return as text.
@@ -33,15 +35,15 @@ _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
 
-def _add(name: str, tables, query, sql: str | None = None) -> None:
-    """query: from the frames named to the result; sql: over the same tables."""
+def _add(name: str, tables, query, sql: str | None = None, made: dict[str, str] | None = None) -> None:
+    """query: from the frames named to the result; sql: over the same tables, and those `made` from them by SQL."""
     amounts, days = MONEY.get(name, "").split(), DAYS.get(name, "").split()
     kinds = dict.fromkeys(amounts, "double") | dict.fromkeys(days, "string")
     _QUERIES[name] = lambda spark, sf_dir: query(bindings.frames(spark, sf_dir, set(tables))).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
     if sql and kinds:
         sql = f"SELECT * REPLACE ({', '.join([*(f'{c}::DOUBLE AS {c}' for c in amounts), *(f'{c}::DATE::VARCHAR AS {c}' for c in days)])}) FROM ({sql})"
     if sql:
-        _SQL[name] = bindings.with_tables(tables, sql)
+        _SQL[name] = bindings.with_tables(tables, sql, made)
 
 
 def _checks(name: str, checks: list[core.Check]) -> None:
@@ -169,28 +171,41 @@ _ASSET_SQL = f"""SELECT client, asset_id, sum(cost + depreciation) FILTER (depr_
  CASE WHEN bool_or(has_os) AND NOT bool_or(has_ca) THEN 'Migrated (OS)' WHEN bool_or(has_os) THEN 'Migrated + Unit4 additions' ELSE 'Capitalised in Unit4' END AS origin FROM ({_BOOK_SQL}) GROUP BY client, asset_id"""
 _nbv = lambda f: nbv.assets(f["asset_balances"], f["asset_depreciation"], f["asset_master"])
 _add("nbv_assets", _NBV, lambda f: _nbv(f).select("client", "asset_id", "curr_nbv", "hist_nbv", "has_curr", "has_hist", "reval_reserve", "reval_variance", "origin"), _ASSET_SQL)
-_add("nbv_bands", _NBV, lambda f: nbv.band_chart(_nbv(f)))
+_OF_BOOKS = ", ".join(f"sum({x}) FILTER (depr_book_id = '{b}') AS {b.lower()}_{c}" for b in nbv.BOOKS for c, x in (("cost", "cost"), ("depreciation", "depreciation"), ("nbv", "cost + depreciation"), ("net_all_accounts", "net_all_accounts")))
+_VALUELESS = " AND ".join(f"abs(coalesce({b}_{c}, 0)) < 0.005" for b in ("curr", "hist") for c in ("cost", "depreciation"))
+_ASSET_ROWS = f"""SELECT a.*, status, reval_reserve - expected AS reval_variance, n.asset_id IS NOT NULL AND {_VALUELESS} AS not_capitalised FROM (
+ SELECT *, CASE WHEN has_curr AND has_hist THEN coalesce(curr_nbv, 0) - coalesce(hist_nbv, 0) END AS expected, CASE WHEN has_os AND NOT has_ca THEN 'Migrated (OS)' WHEN has_os THEN 'Migrated + Unit4 additions' ELSE 'Capitalised in Unit4' END AS origin FROM (
+ SELECT b.house, b.client, b.asset_id, {_OF_BOOKS}, bool_or(depr_book_id = 'CURR') AS has_curr, bool_or(depr_book_id = 'HIST') AS has_hist, -sum(reserve) AS reval_reserve, bool_or(has_nbv_account) AS has_nbv_account, bool_or(has_disposal) AS has_disposal, bool_or(has_os) AS has_os, bool_or(has_ca) AS has_ca, min(depr_method) FILTER (depr_book_id = 'CURR') AS curr_depr_method
+ FROM ({_BOOK_SQL}) b LEFT JOIN (SELECT client, asset_id, depr_book_id, depr_method FROM asset_depreciation WHERE house = 'HOC' QUALIFY row_number() OVER (PARTITION BY client, asset_id, depr_book_id ORDER BY depr_method NULLS FIRST, lifetime NULLS FIRST, status NULLS FIRST) = 1) d USING (client, asset_id, depr_book_id) GROUP BY ALL)) a
+LEFT JOIN (SELECT client, asset_id, status FROM asset_master WHERE house = 'HOC' QUALIFY row_number() OVER (PARTITION BY client, asset_id ORDER BY description NULLS FIRST, asset_group NULLS FIRST, status NULLS FIRST, cap_date_from NULLS FIRST, org_amount NULLS FIRST) = 1) m ON m.client = a.client AND m.asset_id = a.asset_id
+LEFT JOIN (SELECT asset_id FROM asset_balances WHERE house = 'HOC' AND trans_type = 'CA' GROUP BY asset_id HAVING bool_and(coalesce(abs(total_amount) < 0.005, false))) n ON n.asset_id = a.asset_id"""
+_add("nbv_bands", _NBV, lambda f: nbv.band_chart(_nbv(f)), f"""
+SELECT CASE WHEN v <= -1 THEN 'Negative' WHEN abs(v) < 1 THEN 'Nil' WHEN v < 1000 THEN 'Under £1k' WHEN v < 10000 THEN '£1k – £10k' WHEN v < 100000 THEN '£10k – £100k' WHEN v < 1000000 THEN '£100k – £1m' ELSE 'Over £1m' END AS nbv_band, origin, count(*) AS assets, sum(curr_nbv) AS curr_nbv
+FROM (SELECT *, coalesce(curr_nbv, 0) AS v FROM ({_ASSET_ROWS})) WHERE status = 'N' AND NOT not_capitalised GROUP BY 1, 2""")
 _add("nbv_account_detail", {"asset_balances", "aglaccounts"}, lambda f: nbv.account_detail(f["asset_balances"], f["aglaccounts"]), f"""SELECT a.account, client, asset_id, amount, transactions, account_name, class FROM (SELECT client, asset_id, {_ACC} AS account, {_CLASS} AS class, sum(total_amount) AS amount, sum(transaction_count)::BIGINT AS transactions FROM asset_balances WHERE house = 'HOC' GROUP BY ALL) a LEFT JOIN (SELECT account, min(description) AS account_name FROM aglaccounts WHERE house = 'HOC' GROUP BY account) n USING (account)""")
 
 
-def _built_checks(name: str, table: str, tables, build) -> None:
-    """Checks on a table that a job builds; the predicates are those of the catalogue, read by DuckDB from no table, so there is no SQL."""
+def _built_checks(name: str, table: str, tables, build, sql: str) -> None:
+    """Checks on a table that a job builds; `sql` makes the same one in DuckDB."""
     own = [c for c in CATALOGUE if c.table == table]
     _add(name, set(tables) | core.needs(own), lambda f: core.run_checks(f | {table: build(f)}, own, AS_OF))
+    _SQL[name] = oracle.results_sql(own, AS_OF, tables, {table: sql})
 
 
-_built_checks("checks_asset_nbv", "asset_nbv", _NBV, _nbv)
+_built_checks("checks_asset_nbv", "asset_nbv", _NBV, _nbv, _ASSET_ROWS)
 
 # Hierarchy
 
 _DEPTH = [c for c in CATALOGUE if c.id == "GL_DIM_DEEP_HIERARCHY"]
 _depth = lambda f: hierarchy.with_depth(f["agldimvalue"], ["client", "attribute_id"], "dim_value", "rel_value")
-_add("hierarchy_depth", {"agldimvalue"}, lambda f: _depth(f).select("client", "attribute_id", "dim_value", "rel_value", "depth"), """
-, n AS (SELECT client AS c, attribute_id AS a, dim_value AS v, coalesce(trim(rel_value), '') AS p FROM agldimvalue), tree AS (
- SELECT c, a, v, 1 AS depth FROM n WHERE p = '' UNION SELECT n.c, n.a, n.v, t.depth + 1 FROM n JOIN tree t ON n.c = t.c AND n.a = t.a AND n.p = t.v WHERE n.p <> '' AND t.depth < 100)
-SELECT client, attribute_id, dim_value, rel_value, coalesce(d, 1)::INT AS depth FROM agldimvalue LEFT JOIN (SELECT c, a, v, min(depth) AS d FROM tree GROUP BY c, a, v) x ON client = c AND attribute_id = a AND dim_value = v""")
-_SQL["hierarchy_depth"] = _SQL["hierarchy_depth"].replace("WITH ", "WITH RECURSIVE ", 1).replace("\n\n, n AS", ", n AS", 1)
+_TREE = {
+    "n": "SELECT client AS c, attribute_id AS a, dim_value AS v, coalesce(trim(rel_value), '') AS p FROM agldimvalue",
+    "tree": "SELECT c, a, v, 1 AS depth FROM n WHERE p = '' UNION SELECT n.c, n.a, n.v, t.depth + 1 FROM n JOIN tree t ON n.c = t.c AND n.a = t.a AND n.p = t.v WHERE n.p <> '' AND t.depth < 100",
+    "deep": "SELECT agldimvalue.*, coalesce(d, 1)::INT AS depth FROM agldimvalue LEFT JOIN (SELECT c, a, v, min(depth) AS d FROM tree GROUP BY c, a, v) x ON client = c AND attribute_id = a AND dim_value = v",
+}
+_add("hierarchy_depth", {"agldimvalue"}, lambda f: _depth(f).select("client", "attribute_id", "dim_value", "rel_value", "depth"), "SELECT client, attribute_id, dim_value, rel_value, depth FROM deep", _TREE)
 _add("checks_hierarchy", {"agldimvalue"}, lambda f: core.run_checks({"agldimvalue": _depth(f)}, _DEPTH, AS_OF))
+_SQL["checks_hierarchy"] = oracle.results_sql([replace(c, table="deep") for c in _DEPTH], AS_OF, {"agldimvalue"}, _TREE)
 
 # Projects
 
@@ -205,13 +220,14 @@ def _project(f):
 _FIRST = "(SELECT hais_code, min(unit) AS lu FROM project_list WHERE hais_code IS NOT NULL GROUP BY hais_code)"
 _LINES = f"(SELECT f.*, l.lu IS NOT NULL AS on_list, coalesce(l.lu, f.unit) AS u FROM project_financials f LEFT JOIN {_FIRST} l USING (hais_code))"
 _ACT = "abs(actuals) >= 0.005 OR abs(budget) >= 0.005 OR abs(committed) >= 0.005"
-_add("project_positions", _PRJ, lambda f: projects.positions(_project(f)[1]).select("unit", "house", "spend_to_date", "commitments", "budget_to_date", "current_fy_actuals", "current_fy_budget", "first_period", "last_period", "hais_count", "remaining_budget", "remaining_after_commitments"), f"""
-SELECT u AS unit, house, sum(actuals) AS spend_to_date, sum(committed) AS commitments, sum(budget) AS budget_to_date, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN actuals ELSE 0 END) AS current_fy_actuals, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN budget ELSE 0 END) AS current_fy_budget,
+_POSITIONS = f"""SELECT u AS unit, house, sum(actuals) AS spend_to_date, sum(committed) AS commitments, sum(budget) AS budget_to_date, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN actuals ELSE 0 END) AS current_fy_actuals, sum(CASE WHEN fiscal_year = (SELECT max(fiscal_year) FROM project_financials) THEN budget ELSE 0 END) AS current_fy_budget,
  min(period) FILTER ({_ACT}) AS first_period, max(period) FILTER ({_ACT}) AS last_period, count(DISTINCT hais_code) FILTER ({_ACT}) AS hais_count, sum(budget) - sum(actuals) AS remaining_budget, sum(budget) - sum(actuals) - sum(committed) AS remaining_after_commitments
-FROM {_LINES} GROUP BY u, house HAVING min(period) FILTER ({_ACT}) IS NOT NULL""")
+FROM {_LINES} GROUP BY u, house HAVING min(period) FILTER ({_ACT}) IS NOT NULL"""
+_add("project_positions", _PRJ, lambda f: projects.positions(_project(f)[1]).select("unit", "house", "spend_to_date", "commitments", "budget_to_date", "current_fy_actuals", "current_fy_budget", "first_period", "last_period", "hais_count", "remaining_budget", "remaining_after_commitments"), _POSITIONS)
 _add("project_history", _PRJ, lambda f: projects.history(_project(f)[1]), f"SELECT u AS unit, house, fiscal_year, a AS actuals, b AS budget, sum(a) OVER w AS cumulative_actuals, sum(b) OVER w AS cumulative_budget FROM (SELECT u, house, fiscal_year, sum(actuals) AS a, sum(budget) AS b FROM {_LINES} GROUP BY ALL) WINDOW w AS (PARTITION BY u, house ORDER BY fiscal_year ROWS UNBOUNDED PRECEDING)")
 _PI = lambda p: f"({p} // 100 * 12 + least({p} % 100, 12))"
-_add("project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]), f"SELECT u AS unit, hais_code, house, period, sum(committed) AS committed, ({_PI('(SELECT max(period) FROM project_financials)')} - {_PI('period')})::BIGINT AS age_months FROM {_LINES} GROUP BY u, hais_code, house, period HAVING abs(sum(committed)) >= 0.005")
+_COMMITMENTS = f"SELECT u AS unit, hais_code, house, period, sum(committed) AS committed, ({_PI('(SELECT max(period) FROM project_financials)')} - {_PI('period')})::BIGINT AS age_months FROM {_LINES} GROUP BY u, hais_code, house, period HAVING abs(sum(committed)) >= 0.005"
+_add("project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]), _COMMITMENTS)
 _add("project_coverage", _PRJ, lambda f: projects.coverage(f["project_list"], _project(f)[0]), """SELECT CASE WHEN l.hais_code IS NULL THEN 'Financials only' WHEN f.hais_code IS NULL THEN 'List only' ELSE 'Both' END AS coverage, count(*) AS codes, coalesce(sum(a), 0)::DECIMAL(28, 2) AS actuals, coalesce(sum(b), 0)::DECIMAL(28, 2) AS budget, coalesce(sum(c), 0)::DECIMAL(28, 2) AS committed
 FROM (SELECT DISTINCT hais_code FROM project_list) l FULL JOIN (SELECT hais_code, sum(actuals) AS a, sum(budget) AS b, sum(committed) AS c FROM project_financials GROUP BY 1) f ON l.hais_code = f.hais_code GROUP BY 1""")
 _add("project_repeats", _PRJ, lambda f: projects.repeated_commitments(_project(f)[0]), """SELECT fiscal_year, count(*) AS commitments, count(*) FILTER (same) AS repeated FROM (SELECT fiscal_year, coalesce(lag(c) OVER (PARTITION BY hais_code, house ORDER BY period) = c, false) AS same FROM (SELECT hais_code, house, fiscal_year, period, sum(committed) AS c FROM project_financials GROUP BY ALL HAVING abs(sum(committed)) >= 0.005)) GROUP BY 1""")
@@ -223,11 +239,30 @@ def _codes(f):
     return projects.codes(f["project_list"], rows, summary)
 
 
-_add("project_codes", _PRJ, _codes)
-_add("project_opening", _PRJ, lambda f: projects.opening_table(projects.positions(_project(f)[1]), f["project_list"]))
-_built_checks("checks_project_codes", "project_codes", _PRJ, _codes)
-_built_checks("checks_project_units", "project_units", _PRJ, lambda f: projects.positions(_project(f)[1]))
-_built_checks("checks_project_commitments", "project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]))
+_LISTED = """SELECT *, count(*) OVER (PARTITION BY hais_code) AS dup_count, coalesce(hais_code <> '' AND unit <> '' AND starts_with(hais_code, unit), false) AS prefix_ok, contains(upper(coalesce(hais_desc, '') || ' ' || coalesce(unit_desc, '')), 'DO NOT USE') AND status = 'N' AS do_not_use,
+ trim(regexp_replace(upper(coalesce(hais_desc, '')), '^DO NOT USE\\s*-?\\s*', '')) AS norm, upper(coalesce(projgrp_desc, '')) AS grp FROM project_list"""
+_all_of = lambda c: f"string_agg(DISTINCT {c}, ', ' ORDER BY {c})"
+_VARIANTS = "concat_ws('; ', " + ", ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN '{label}: ' || {_all_of(c)} END" for c, label in projects.CLASSES) + ")"
+_MISMATCH = "concat_ws('; ', " + ", ".join(f"CASE WHEN bool_or(f.{c} <> r.{c}) THEN '{label}: list ' || min(r.{c}) || ', financials ' || {_all_of('f.' + c)} END" for _, c, label in projects.PAIRS) + ")"
+_REF = ", ".join(c for _, c, _ in projects.PAIRS)
+_CODES = f"""SELECT o.* EXCLUDE (norm, grp), coalesce(class_variants, '') AS unit_class_variants, coalesce(array_to_string(list_filter(units, lambda x: x <> o.unit), ', '), '') AS desc_dup_units, coalesce(codes, '') AS projgrp_desc_codes, coalesce(a, 0) AS actuals_total, coalesce(b, 0) AS budget_total, coalesce(c, 0) AS committed_total,
+ first_period, last_period, first_period IS NOT NULL AS has_activity, CASE WHEN len(hs) = 1 THEN hs[1] WHEN len(hs) > 1 THEN 'Shared' ELSE '—' END AS houses, coalesce(mismatch, '') AS attr_mismatch, split_range_pp, coalesce(by_year, '') AS split_by_year FROM ({_LISTED}) o
+LEFT JOIN (SELECT unit, {_VARIANTS} AS class_variants FROM project_list GROUP BY unit) v ON v.unit = o.unit
+LEFT JOIN (SELECT norm, list(DISTINCT unit ORDER BY unit) AS units FROM ({_LISTED}) WHERE status = 'N' AND unit IS NOT NULL AND norm <> '' GROUP BY norm HAVING count(DISTINCT unit) > 1) s ON s.norm = o.norm
+LEFT JOIN (SELECT grp, {_all_of('projgrp')} AS codes FROM ({_LISTED}) WHERE projgrp IS NOT NULL GROUP BY grp HAVING count(DISTINCT projgrp) > 1) g ON g.grp = o.grp
+LEFT JOIN (SELECT hais_code, sum(actuals) AS a, sum(budget) AS b, sum(committed) AS c, min(period) FILTER ({_ACT}) AS first_period, max(period) FILTER ({_ACT}) AS last_period, list(DISTINCT house) FILTER ({_ACT}) AS hs FROM {_LINES} WHERE on_list GROUP BY hais_code) t ON t.hais_code = o.hais_code
+LEFT JOIN (SELECT f.hais_code, {_MISMATCH} AS mismatch FROM project_financials f JOIN (SELECT hais_code, {_REF} FROM project_list QUALIFY row_number() OVER (PARTITION BY hais_code ORDER BY {_REF}) = 1) r USING (hais_code) GROUP BY f.hais_code) m ON m.hais_code = o.hais_code
+LEFT JOIN (SELECT hais_code, round(max(share) - min(share), 1) AS split_range_pp, string_agg(printf('%d/%02d', fiscal_year, (fiscal_year + 1) % 100) || ' ' || round(share)::INT || '%', ' · ' ORDER BY fiscal_year) AS by_year FROM (
+ SELECT hais_code, fiscal_year, hoc::DOUBLE / (hoc::DOUBLE + hol::DOUBLE) * 100 AS share FROM (SELECT hais_code, fiscal_year, sum(x) FILTER (house = 'HOC') AS hoc, sum(x) FILTER (house = 'HOL') AS hol FROM (
+  SELECT hais_code, house, fiscal_year, sum(actuals) AS x FROM {_LINES} WHERE on_list GROUP BY hais_code, house, fiscal_year, regexp_matches(upper(coalesce(mipck_l1_desc, '')), 'INCOME|RECEIPT|GRANT')) WHERE x > 0 GROUP BY ALL) WHERE hoc > 0 AND hol > 0) GROUP BY hais_code) y ON y.hais_code = o.hais_code"""
+_UNITS = f"SELECT *, {_PI('first_period')} - (SELECT {_PI(f'min(period) FILTER ({_ACT})')} FROM project_financials) < 3 AS truncated FROM ({_POSITIONS})"
+_add("project_codes", _PRJ, _codes, _CODES)
+_add("project_opening", _PRJ, lambda f: projects.opening_table(projects.positions(_project(f)[1]), f["project_list"]), f"""
+SELECT unit, hais_listed, * EXCLUDE (unit, hais_listed, now), CASE WHEN last_activity IS NULL THEN 'No activity' WHEN abs(now) >= 0.005 THEN 'Active this year' ELSE 'Dormant this year' END AS signal FROM (SELECT unit, count(DISTINCT hais_code) AS hais_listed FROM project_list WHERE unit IS NOT NULL GROUP BY unit)
+LEFT JOIN (SELECT unit, {", ".join(f"sum({c}) FILTER (house = '{h}') AS {h.lower()}_{c}" for h in ("HOC", "HOL") for c in ("spend_to_date", "budget_to_date", "commitments"))}, max(last_period) AS last_activity, sum(current_fy_actuals) AS now FROM ({_POSITIONS}) GROUP BY unit) USING (unit)""")
+_built_checks("checks_project_codes", "project_codes", _PRJ, _codes, _CODES)
+_built_checks("checks_project_units", "project_units", _PRJ, lambda f: projects.positions(_project(f)[1]), _UNITS)
+_built_checks("checks_project_commitments", "project_commitments", _PRJ, lambda f: projects.commitments(_project(f)[0]), _COMMITMENTS)
 
 _TASKS = f"(SELECT u AS unit, hais_code, house, sum(actuals) AS spend_to_date, sum(committed) AS commitments, sum(budget) AS budget_to_date, min(period) FILTER ({_ACT}) AS first_period, max(period) FILTER ({_ACT}) AS last_period, sum(budget) - sum(actuals) AS remaining_budget FROM {_LINES} WHERE on_list AND NOT regexp_matches(upper(coalesce(mipck_l1_desc, '')), 'INCOME|RECEIPT|GRANT') GROUP BY ALL HAVING min(period) FILTER ({_ACT}) IS NOT NULL)"
 _tasks = lambda f: projects.tasks(projects.in_scope(_project(f)[1], expenditure_only=True))
