@@ -313,40 +313,69 @@ _ENTITIES = f"""SELECT * FROM (SELECT *, array_to_string(list_sort(list_distinct
  FROM {_SCOPED} WINDOW e AS (PARTITION BY entity_key)) WHERE n = 1"""
 
 
+_COMMERCIAL = "NOT (g OR p) AND NOT coalesce(house = 'HOL' AND trim(apar_gr_id) = '03', false)"
+_clean = lambda c: f"regexp_replace(upper(coalesce({c}, '')), '[^A-Z0-9]', '', 'g')"
+_WORDS = "string_split(regexp_replace(replace(upper(coalesce(apar_name, '')), 'PUBLIC LIMITED COMPANY', 'PLC'), '[^A-Z0-9& ]', ' ', 'g'), ' ')"
+_STD = f"list_transform(list_filter({_WORDS}, lambda w: w <> ''), lambda w: CASE w WHEN 'LIMITED' THEN 'LTD' WHEN 'AND' THEN '&' WHEN 'COMPANY' THEN 'CO' WHEN 'INCORPORATED' THEN 'INC' WHEN 'CORPORATION' THEN 'CORP' ELSE w END)"
+
+
+def _keys_sql() -> dict[str, str]:
+    """The keys of a row of the master by name, in SQL of their own."""
+    sort, account, code = "regexp_replace(coalesce(clearing_code, ''), '[^0-9]', '', 'g')", "regexp_replace(coalesce(bank_account, ''), '[^0-9]', '', 'g')", "regexp_replace(upper(coalesce(zip_code, '')), '\\s', '', 'g')"
+    iban, vat, number = "regexp_replace(upper(coalesce(iban, '')), '\\s', '', 'g')", f"regexp_replace({_clean('vat_reg_no')}, '^GB', '')", _clean("comp_reg_no")
+    name = f"array_to_string(CASE WHEN ({_STD})[1] = 'THE' THEN ({_STD})[2:] ELSE {_STD} END, ' ')"
+    return {
+        "bank": f"CASE WHEN {sort} <> '' AND {account} <> '' AND {account} NOT IN ('00000000', '0', '11111111', '99999999') AND NOT regexp_matches({account}, '^0+$') THEN {sort} || ':' || {account} WHEN {iban} <> '' THEN {iban} END",
+        "vat": f"CASE WHEN regexp_matches({vat}, '^([0-9]{{9}}|[0-9]{{12}})$') THEN {vat} END", "company": f"CASE WHEN length({number}) >= 6 AND NOT regexp_matches({number}, '^0+$') THEN {number} END", "name": f"CASE WHEN {name} <> '' AND {code} <> '' THEN {name} || '@' || {code} END",
+    }
+
+
 def _issues_sql() -> str:
-    """Every test of a row by itself, from the predicates of the catalogue; keys and names in SQL of their own."""
-    clean = lambda c: f"regexp_replace(upper(coalesce({c}, '')), '[^A-Z0-9]', '', 'g')"
-    words = "string_split(regexp_replace(replace(upper(coalesce(apar_name, '')), 'PUBLIC LIMITED COMPANY', 'PLC'), '[^A-Z0-9& ]', ' ', 'g'), ' ')"
-    std = f"list_transform(list_filter({words}, lambda w: w <> ''), lambda w: CASE w WHEN 'LIMITED' THEN 'LTD' WHEN 'AND' THEN '&' WHEN 'COMPANY' THEN 'CO' WHEN 'INCORPORATED' THEN 'INC' WHEN 'CORPORATION' THEN 'CORP' ELSE w END)"
+    """(entity_key, issue, dimension) by every test of a row by itself, from the predicates of the catalogue."""
     tests = [(c.id, c.dimension, f"({core.dated(c.population, AS_OF)}) AND ({core.dated(c.fails, AS_OF)})") for c in pipeline.ROW_TESTS]
-    tests += [("MS-DQ-NAME", "Completeness", "coalesce(trim(apar_name), '') IN ('', 'nan', 'None')"), ("MS-DQ-LTD-COMPNO", "Completeness", f"list_has_any({std}, ['LTD', 'PLC', 'LLP']) AND {clean('comp_reg_no')} = ''")]
-    parts = [f"SELECT '{i}' AS issue, '{d}' AS dimension, count(*) AS records FROM {_SCOPED} asuheader WHERE in_scope AND coalesce({bad}, false)" for i, d, bad in tests]
-    sort, account, code = "regexp_replace(coalesce(clearing_code, ''), '[^0-9]', '', 'g')", "regexp_replace(coalesce(bank_account, ''), '[^0-9]', '', 'g')", "regexp_replace(upper(coalesce(zip_code, '')), '\\s', '', 'g')"
-    iban, vat, number = "regexp_replace(upper(coalesce(iban, '')), '\\s', '', 'g')", f"regexp_replace({clean('vat_reg_no')}, '^GB', '')", clean("comp_reg_no")
-    name = f"array_to_string(CASE WHEN ({std})[1] = 'THE' THEN ({std})[2:] ELSE {std} END, ' ')"
-    keys = [
-        f"CASE WHEN {sort} <> '' AND {account} <> '' AND {account} NOT IN ('00000000', '0', '11111111', '99999999') AND NOT regexp_matches({account}, '^0+$') THEN {sort} || ':' || {account} WHEN {iban} <> '' THEN {iban} END",
-        f"CASE WHEN regexp_matches({vat}, '^([0-9]{{9}}|[0-9]{{12}})$') THEN {vat} END", f"CASE WHEN length({number}) >= 6 AND NOT regexp_matches({number}, '^0+$') THEN {number} END", f"CASE WHEN {name} <> '' AND {code} <> '' THEN {name} || '@' || {code} END",
-    ]
-    parts.append(f"SELECT 'MS-DQ-CLIENT-DIFF', 'Consistency', count(*) FILTER (d) FROM (SELECT {' OR '.join(f'coalesce(min({k}) < max({k}), false)' for k in keys)} AS d FROM {_SCOPED} WHERE in_scope GROUP BY entity_key)")
-    parts.append(f"SELECT 'MS-DQ-GROUP-ID', 'Consistency', count(*) FROM ({_ENTITIES}) WHERE in_population AND house = 'HOL' AND g <> p")
-    blocking = ", ".join(f"'{x}'" for x in pipeline.BLOCKING_TESTS)
-    return f"SELECT issue, dimension, issue IN ({blocking}) AS blocking, records FROM ({' UNION ALL '.join(parts)}) WHERE records > 0"
+    tests += [("MS-DQ-NAME", "Completeness", "coalesce(trim(apar_name), '') IN ('', 'nan', 'None')"), ("MS-DQ-LTD-COMPNO", "Completeness", f"list_has_any({_STD}, ['LTD', 'PLC', 'LLP']) AND {_clean('comp_reg_no')} = ''")]
+    parts = [f"SELECT entity_key, '{i}' AS issue, '{d}' AS dimension FROM {_SCOPED} asuheader WHERE in_scope AND coalesce({bad}, false)" for i, d, bad in tests]
+    parts.append(f"SELECT entity_key, 'MS-DQ-CLIENT-DIFF', 'Consistency' FROM {_SCOPED} WHERE in_scope GROUP BY entity_key HAVING {' OR '.join(f'coalesce(min({k}) < max({k}), false)' for k in _keys_sql().values())}")
+    parts.append(f"SELECT entity_key, 'MS-DQ-GROUP-ID', 'Consistency' FROM ({_ENTITIES}) WHERE in_population AND house = 'HOL' AND g <> p")
+    return " UNION ALL ".join(parts)
 
 
+_BLOCKING = f"issue IN {pipeline.BLOCKING_TESTS}"
+_ACTIVITY = """SELECT house, apar_id, last_invoice, last_order, open_orders, greatest(last_invoice, last_order) AS last_activity FROM
+(SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('CP', 'ID', 'IF', 'II', 'IU', 'OP', 'PI', 'RD', 'RI', 'SI', 'SR', 'IB', 'BH', 'CN', 'IC', 'IN', 'RC') GROUP BY ALL)
+FULL JOIN (SELECT house, apar_id, max(order_date) AS last_order, count(*) FILTER (status IN ('O', 'N', 'A')) AS open_orders FROM apoheader GROUP BY ALL) USING (house, apar_id)"""
+_ITEMS = f"SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce(trans_date < {DAY} - INTERVAL 2 MONTH, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)"
+_KEY_ROWS = ", ".join(f"{{'k': '{n}', 'v': {sql}}}" for n, sql in _keys_sql().items())
+#: Groups by reachability over pairs of record and least record with the same key.
+_GROUPS = {
+    "keyed": f"SELECT house, entity_key, unnest([{_KEY_ROWS}], recursive := true) FROM {_SCOPED} WHERE in_scope AND entity_key IN (SELECT entity_key FROM ({_ENTITIES}) WHERE in_population AND {_COMMERCIAL})",
+    "linked": "SELECT DISTINCT entity_key AS x, a AS y, k FROM keyed JOIN (SELECT house, k, v, min(entity_key) AS a FROM keyed WHERE v IS NOT NULL GROUP BY ALL HAVING min(entity_key) < max(entity_key)) USING (house, k, v)",
+    "ends": "SELECT x, y FROM linked UNION SELECT y, x FROM linked",
+    "reach": "SELECT x, x AS y FROM ends UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x",
+    "dups": "SELECT x AS entity_key, min(y) AS dup_group, min(reasons) AS reasons FROM reach JOIN (SELECT x, string_agg(DISTINCT k, ', ' ORDER BY k) AS reasons FROM linked GROUP BY x) USING (x) GROUP BY x",
+}
+_since = lambda months: f"coalesce(last_activity >= {DAY} - INTERVAL {months} MONTH, false)"
+_GAPS = " + ".join(f"(coalesce(trim({c}), '') NOT IN ('', 'nan', 'None', 'NaT'))::INT" for c in pipeline.COMPLETE)
+_CLASSED = _GROUPS | {
+    "facts": f"""SELECT e.*, dup_group, coalesce(n_issues, 0) AS issues, coalesce(n_blocking, 0) AS blocking, coalesce(n_items, 0) AS items, coalesce(n_stuck, 0) AS stuck_items, last_activity, coalesce(n_items, 0) > 0 OR coalesce(open_orders, 0) > 0 AS has_open, {_GAPS} AS completeness FROM ({_ENTITIES}) e
+LEFT JOIN ({_ACTIVITY}) a ON a.house = e.house AND a.apar_id = e.apar_id LEFT JOIN (SELECT house, apar_id, count(*) AS n_items, count(*) FILTER (stuck) AS n_stuck FROM ({_ITEMS}) GROUP BY ALL) i ON i.house = e.house AND i.apar_id = e.apar_id
+LEFT JOIN (SELECT entity_key, count(DISTINCT issue) AS n_issues, count(DISTINCT issue) FILTER ({_BLOCKING}) AS n_blocking FROM ({_issues_sql()}) GROUP BY entity_key) q ON q.entity_key = e.entity_key LEFT JOIN dups d ON d.entity_key = e.entity_key""",
+    "levels": "SELECT *, dup_group IS NOT NULL AND rank() OVER (PARTITION BY dup_group ORDER BY blocking, NOT has_open, coalesce(last_activity, DATE '1900-01-01') DESC, completeness DESC) = 1 AS level FROM facts",
+    "ranked": "SELECT *, level AND many = 1 AS preferred, level AND many > 1 AS preferred_tie FROM (SELECT *, count(*) FILTER (level) OVER (PARTITION BY dup_group) AS many FROM levels)",
+    "classed": f"""SELECT *, CASE WHEN rule = 'MS-POP-01' THEN 'OUT_OF_SCOPE' WHEN rule IN ('MS-CAT-01', 'MS-CAT-02') THEN 'HOLD_NONCOMMERCIAL' WHEN rule = 'MS-CAT-03' THEN 'HOLD_POLICY' WHEN rule IN ('MS-CLS-01', 'MS-CLS-02') THEN 'CLOSE' WHEN rule IN ('MS-DUP-03', 'MS-CLS-03') THEN 'MONITOR' WHEN rule = 'MS-CLS-04' THEN 'FIX' ELSE 'KEEP' END AS classification FROM (
+SELECT *, CASE WHEN NOT in_population THEN 'MS-POP-01' WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN NOT ({_COMMERCIAL}) THEN 'MS-CAT-03' WHEN NOT {_since(18)} AND NOT has_open THEN 'MS-CLS-01' WHEN preferred_tie THEN 'MS-DUP-03'
+ WHEN dup_group IS NOT NULL AND NOT preferred THEN CASE WHEN {_since(6)} OR has_open THEN 'MS-CLS-03' ELSE 'MS-CLS-02' END WHEN blocking > 0 THEN 'MS-CLS-04' ELSE 'MS-CLS-05' END AS rule FROM ranked)""",
+}
+
 _add("migration_entities", {"asuheader"}, lambda f: pipeline.entities(f["asuheader"], _RULES).select("entity_key", "client", "status", "clients", "statuses", "in_population", "category", "category_rule"), f"""
 SELECT entity_key, client, status, clients, statuses, in_population, CASE WHEN g OR p THEN 'Non-commercial' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'Policy' ELSE 'Commercial' END AS category, CASE WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'MS-CAT-03' END AS category_rule FROM ({_ENTITIES})""")
-_add("migration_activity", _MIGRATION, lambda f: pipeline.activity(f["asuhistr"], f["asutrans"], f["apoheader"], _RULES), """
-SELECT house, apar_id, last_invoice, last_order, open_orders, greatest(last_invoice, last_order) AS last_activity FROM
-(SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('CP', 'ID', 'IF', 'II', 'IU', 'OP', 'PI', 'RD', 'RI', 'SI', 'SR', 'IB', 'BH', 'CN', 'IC', 'IN', 'RC') GROUP BY ALL)
-FULL JOIN (SELECT house, apar_id, max(order_date) AS last_order, count(*) FILTER (status IN ('O', 'N', 'A')) AS open_orders FROM apoheader GROUP BY ALL) USING (house, apar_id)""")
-_add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES), f"""
-SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce(trans_date < {DAY} - INTERVAL 2 MONTH, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)""")
-_add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(f["asuheader"], _RULES).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")), _issues_sql())
-_add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(f["asuheader"], _RULES))
+_add("migration_activity", _MIGRATION, lambda f: pipeline.activity(f["asuhistr"], f["asutrans"], f["apoheader"], _RULES), _ACTIVITY)
+_add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES), _ITEMS)
+_add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(f["asuheader"], _RULES).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")), f"SELECT issue, dimension, {_BLOCKING} AS blocking, count(*) AS records FROM ({_issues_sql()}) GROUP BY issue, dimension")
+_add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(f["asuheader"], _RULES), "SELECT entity_key, dup_group, reasons FROM dups", _GROUPS)
 _add("migration_possible_duplicates", {"asuheader"}, lambda f: pipeline.possible_duplicates(pipeline.entities(f["asuheader"], _RULES)))
-_add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "preferred_tie", "issues", "blocking", "items", "stuck_items", "last_activity"))
-_add("migration_funnel", _MIGRATION, lambda f: pipeline.funnel(_position(f)))
+_add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "preferred_tie", "issues", "blocking", "items", "stuck_items", "last_activity"), "SELECT entity_key, classification, rule, dup_group, preferred, preferred_tie, issues, blocking, items, stuck_items, last_activity FROM classed", _CLASSED)
+_add("migration_funnel", _MIGRATION, lambda f: pipeline.funnel(_position(f)), "SELECT coalesce(house, 'Total') AS house, count(*) AS records, count(*) FILTER (in_population) AS in_population, " + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c.lower()}" for c in pipeline.CLASSES) + " FROM classed GROUP BY ROLLUP (house)", _CLASSED)
 _LOG = "SELECT event_id AS id, 'record' AS target_type, cast(user_id AS string) AS target_key, '' AS related_key, CASE event_id % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'FIX' WHEN 2 THEN 'MONITOR' ELSE 'CLOSE' END AS decision, 'r' AS reason, event_type AS steward FROM events"
 
 
