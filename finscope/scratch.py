@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """The folder the cluster names for checkpoints; a local one only in a single process that names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("Name a folder that driver and executors share in spark.checkpoint.dir.")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
