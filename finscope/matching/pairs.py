@@ -1,4 +1,4 @@
-"""Records that share a key, or nearly share a name."""
+"""Records that share a key, and how alike two names are."""
 
 from __future__ import annotations
 
@@ -60,20 +60,3 @@ def similarity(a: str, b: str) -> Column:
         return pd.Series([indel_ratio(s or "", t or "") for s, t in zip(x, y)])
 
     return F.pandas_udf(ratios, "double")(a, b)
-
-
-def similar_names(records: DataFrame, entity: str, name: str, block: list[Column], threshold: float = 90.0) -> DataFrame:
-    """(name_a, name_b, score): pairs of different names of a block whose token-sorted similarity reaches the threshold.
-
-    Equal names are one row each, so a name that a third of all records bear is
-    compared once; records are joined to names afterwards. Lengths alone rule
-    out most pairs before the comparison runs.
-    """
-    names = records.select(*[b.alias(f"_b{i}") for i, b in enumerate(block)], sorted_tokens(F.col(name)).alias("name")).where("name <> ''").distinct()
-    keys = [f"_b{i}" for i in range(len(block))]
-    size = F.length("name")
-    left = names.withColumn("_n", size).select(*keys, F.col("name").alias("name_a"), F.col("_n").alias("_na"))
-    right = names.withColumn("_n", size).select(*keys, F.col("name").alias("name_b"), F.col("_n").alias("_nb"))
-    near = left.join(right, keys).where((F.col("name_a") < F.col("name_b")) & (200.0 * F.least("_na", "_nb") >= threshold * (F.col("_na") + F.col("_nb"))))
-    scored = near.withColumn("score", similarity("name_a", "name_b")).where(F.col("score") >= threshold)
-    return scored.select("name_a", "name_b", "score").distinct()

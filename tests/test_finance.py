@@ -124,24 +124,34 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in io.drop_grand_total(one_file, "ref").collect()] == [("Café", "1", None)]
 
 
+LOG = "id long, target_type string, target_key string, related_key string, decision string, reason string, steward string"
+
+
 def test_decisions(spark):
-    log = spark.createDataFrame([(1, "record", "HOC|1", None, "KEEP", "r", "s"), (2, "record", "HOC|1", None, "CLOSE", "r", "s"), (3, "pair", "b", "a", "same", "r", "s")], "id long, target_type string, target_key string, related_key string, decision string, reason string, steward string")
-    now = {(r["target_key"], r["related_key"]): r["decision"] for r in decisions.effective(log).collect()}
-    assert now == {("HOC|1", ""): "CLOSE", ("a", "b"): "same"}
-    upload = spark.createDataFrame([(9, "record", "HOC|1", None, "CLOSE", "r", "s"), (10, "record", "HOC|1", None, "FIX", "r", "s"), (11, "record", "HOC|2", None, "FIX", "", "s"), (12, "record", "HOC|3", None, "what", "r", "s"), (13, "pair", "a", "c", "same", "r", "s")], log.schema)
-    assert {r["id"]: r["verdict"] for r in decisions.triage(upload, log).collect()} == {9: "already recorded", 10: "changed", 11: "rejected", 12: "rejected", 13: "new"}
+    log = spark.createDataFrame([(1, "record", "HOC|1", None, "KEEP", "r", "s"), (2, "record", "HOC|1", None, "CLOSE", "r", "s"), (3, "pair", "b", "a", "SAME_SUPPLIER", "r", "s"), (4, "record", "HOC|1", None, "NOT_DUPLICATE", "r", "s"), (5, "record", "HOC|1", None, "FIX", "r", "s")], LOG)
+    now = {(r["target_key"], r["related_key"], r["family"]): r["decision"] for r in decisions.effective(log).collect()}
+    assert now == {("HOC|1", "", "scope"): "CLOSE", ("a", "b", "pair"): "SAME_SUPPLIER", ("HOC|1", "", "dup"): "NOT_DUPLICATE"}  # FIX is no decision
+    upload = [(9, "record", "HOC|1", None, "CLOSE", "r", "s"), (10, "record", "HOC|1", None, "AGREE", "r", "s"), (11, "record", "HOC|2", None, "KEEP", "", "s"), (12, "record", "HOC|3", None, "what", "r", "s"), (13, "pair", "a", "c", "SAME_SUPPLIER", "r", "s"), (14, "item", "HOC|CA|1|v", None, "DONT_MIGRATE", "r", "s"), (15, "item", "HOC|CA|1|v", None, "KEEP", "r", "s"), (16, "record", " ", None, "KEEP", "r", "s"), (17, "record", "HOC|1", None, "WILL_FIX", "r", None)]
+    got = {r["id"]: (r["verdict"], r["rejected_because"]) for r in decisions.triage(spark.createDataFrame(upload, LOG), log).collect()}
+    assert got == {9: ("already recorded", None), 10: ("changed", None), 11: ("rejected", "no reason"), 12: ("rejected", "unknown decision"), 13: ("new", None), 14: ("new", None), 15: ("rejected", "unknown decision"), 16: ("rejected", "no target"), 17: ("rejected", "no steward")}
 
 
-def migrated(spark, suppliers, invoices=(), open_items=(), said=()):
-    """Positions by id. invoices and open_items: (id, day); said: (target type, target, related, decision)."""
-    keys = lambda r: {"vat_reg_no": f"GB{100000000 + int(r['apar_id'])}", "comp_reg_no": f"{10000000 + int(r['apar_id'])}", "bank_account": f"{30000000 + int(r['apar_id'])}", "apar_name": f"Firm{r['apar_id']} Ltd", "zip_code": "SW1A 1AA", **r}
+def positions(spark, suppliers, invoices=(), open_items=(), said=(), rules=None):
+    """All positions. invoices: (id, day); open_items: (id, day) or (id, day, voucher, client); said: (target type, target, related, decision[, day, recommendation, label])."""
+    keys = lambda r: {"vat_reg_no": f"GB{100000000 + int(r['apar_id'])}", "comp_reg_no": f"{10000000 + int(r['apar_id'])}", "bank_account": f"{30000000 + int(r['apar_id'])}", "apar_name": f"{NAMES[int(r['apar_id']) % len(NAMES)]} {r['apar_id']} Ltd", "zip_code": "SW1A 1AA", **r}
     master = supplier(spark, *map(keys, suppliers)).withColumn("last_update", F.lit("2026-01-01").cast("date"))
     tx = "house string, client string, apar_id string, voucher_no string, voucher_type string, status string, trans_date string, rest_amount double"
-    rows = lambda found, amount: spark.createDataFrame([("HOC", "CA", i, f"v{i}", "PI", "N", day, amount) for i, day in found], tx).withColumn("trans_date", F.to_date("trans_date"))
+    rows = lambda found, amount: spark.createDataFrame([("HOC", (*x, "CA")[3] if len(x) > 3 else "CA", x[0], x[2] if len(x) > 2 else f"v{x[0]}", "PI", "N", x[1], amount) for x in found], tx).withColumn("trans_date", F.to_date("trans_date"))
     orders = spark.createDataFrame([], "house string, apar_id string, order_date string, status string").withColumn("order_date", F.to_date("order_date"))
-    log = spark.createDataFrame([(i, *x, "r", "s") for i, x in enumerate(said)], "id long, target_type string, target_key string, related_key string, decision string, reason string, steward string")
-    made = pipeline.position(master, rows(invoices, 0.0), rows(open_items, 5.0), orders, pipeline.Rules(AS_OF), decisions.effective(log) if said else None)
-    return {r["apar_id"]: r for r in made.collect()}
+    log = spark.createDataFrame([(i, *x[:4], "r", "s", *(*x[4:], *[None] * 3)[:3]) for i, x in enumerate(said)], LOG + ", recorded_at string, recommendation string, record_label string").withColumn("recorded_at", F.to_date("recorded_at"))
+    return pipeline.position(master, rows(invoices, 0.0), rows(open_items, 5.0), orders, rules or pipeline.Rules(AS_OF), decisions.effective(log) if said else None)
+
+
+NAMES = ("Quartz", "Heron", "Maple", "Tundra", "Sable", "Onyx", "Pewter", "Lagoon", "Cobalt", "Juniper")
+
+
+def migrated(*args, **more):
+    return {r["apar_id"]: r for r in positions(*args, **more).collect()}
 
 
 def test_migration_classes(spark):
@@ -165,8 +175,9 @@ def test_preferred_records(spark):
     assert got["20002"]["preferred"] and not got["20001"]["preferred"]  # fewest blocking issues first
     got = migrated(spark, trio[:2], [("20001", now), ("20002", now)])
     assert all(r["preferred_tie"] and not r["preferred"] and (r["classification"], r["rule"]) == ("MONITOR", "MS-DUP-03") for r in got.values())
-    got = migrated(spark, trio[:2], [("20001", now), ("20002", now)], said=[("record", "HOC|20002", "", "CONFIRM_PREFERRED"), ("record", "HOC|20002", "", "FIX")])
-    assert got["20002"]["preferred"] and got["20002"]["classification"] == "FIX" and got["20001"]["rule"] == "MS-CLS-03"  # both decisions stand
+    got = migrated(spark, trio[:2], [("20001", now), ("20002", now)], said=[("record", "HOC|20002", "", "CONFIRM_PREFERRED"), ("record", "HOC|20002", "", "CLOSE")])
+    assert got["20002"]["preferred"] and got["20002"]["classification"] == "CLOSE" and got["20001"]["rule"] == "MS-CLS-03"  # both decisions stand
+    assert got["20001"]["group_confirmed"] and {r["recommended"] for r in got.values()} == {"MONITOR"}
 
 
 def test_groups_and_stewards(spark):
@@ -174,14 +185,14 @@ def test_groups_and_stewards(spark):
     trio = [{"apar_id": i, **bank} for i in ("20001", "20002", "20003")]
     now = [(i, "2026-10-20") for i in ("20001", "20002", "20003")]
     assert {r["dup_group"] for r in migrated(spark, trio, now).values()} == {"HOC|20001"}
-    got = migrated(spark, trio, now, said=[("record", "HOC|20002", "", "NOT_DUPLICATE"), ("pair", "HOC|20001", "HOC|20003", "different")])
+    got = migrated(spark, trio, now, said=[("record", "HOC|20002", "", "NOT_DUPLICATE"), ("pair", "HOC|20001", "HOC|20003", "DIFFERENT_SUPPLIER")])
     assert got["20002"]["dup_group"] is None and got["20001"]["dup_group"] == got["20003"]["dup_group"] == "HOC|20001"
     placeholder = [{"apar_id": i, "bank_account": "11111111"} for i in ("20001", "20002")]
     assert {r["dup_group"] for r in migrated(spark, placeholder, now).values()} == {None}
     mixed = [{"apar_id": "20001", **bank}, {"apar_id": "20002", **bank, "apar_gr_id": "ME"}]
     assert {r["dup_group"] for r in migrated(spark, mixed, now).values()} == {None}  # commercial records only
     same = [{"apar_id": "20001"}, {"apar_id": "20002"}]
-    assert {r["dup_group"] for r in migrated(spark, same, now, said=[("pair", "HOC|20002", "HOC|20001", "same")]).values()} == {"HOC|20001"}
+    assert {r["dup_group"] for r in migrated(spark, same, now, said=[("pair", "HOC|20002", "HOC|20001", "SAME_SUPPLIER")]).values()} == {"HOC|20001"}
 
 
 def test_issues_are_those_of_the_rows_in_scope(spark):
