@@ -50,6 +50,25 @@ def party(k: str) -> str:
     return text(f"CASE WHEN {k} % 50 = 7 THEN {k} - 4 ELSE {k} END + 10000")
 
 
+def _word(h: str) -> str:
+    """A word of four syllables for a number below 65,536."""
+    return " || ".join(f"substring('bacedifoguhajekilomunaperisotuve', cast(1 + 2 * ({whole(f'{h} / {16**i}')} % 16) AS int), 2)" for i in range(4))
+
+
+#: Names unlike those of near numbers; one customer in twenty-five bears another one's with a letter more.
+_LIKE = "(CASE WHEN c_custkey % 25 = 9 THEN c_custkey - 14 ELSE c_custkey END)"
+COMPANY = f"""{_word(f"({_LIKE} * 40503 % 65536)")} || ' ' || {_word(f"(({_LIKE} * 30011 + 777) % 65536)")} || CASE WHEN c_custkey % 25 = 9 THEN 's' ELSE '' END || {pick(_LIKE, "' Trading'", "' Supplies Ltd'", "' Works'")}"""
+
+
+def record(k: str) -> str:
+    return f"{house(f'({k})')} || '|' || {party(f'({k})')}"
+
+
+def _decision(n: int, kind: str, target: str, decision: str, source: str, where: str, related: str = "''", k: str = "c_custkey") -> str:
+    return f"""SELECT {k} * 10 + {n} AS id, '{kind}' AS target_type, {target} AS target_key, {related} AS related_key, {decision} AS decision, 'r' AS reason, 'S' || {text(f"{k} % 5")} AS steward,
+  DATE '2001-06-01' + cast({k} % 200 AS int) AS recorded_at, {pick(k, "'CLOSE'", "'KEEP'", "'FIX'", "'MONITOR'")} AS recommendation, 'Label ' || {text(k)} AS record_label FROM {source} WHERE {where}"""
+
+
 def _master(k: str, extra: str, source: str, name: str) -> str:
     return f"""SELECT {house(k)} AS house, {client(k)} AS client, {party(k)} AS apar_id,
   CASE WHEN {k} % 41 = 3 THEN 'Acme Limited' WHEN {k} % 97 = 8 THEN 'SZSINGLES' ELSE {name} END AS apar_name,
@@ -98,7 +117,7 @@ _PERIOD = "cast(extract(year FROM l_shipdate) * 100 + extract(month FROM l_shipd
 _UNIT = "l_partkey % 40"
 
 TABLES: dict[str, str] = {
-    "asuheader": _master("c_custkey", CONTACT, "customer", "c_name"),
+    "asuheader": _master("c_custkey", CONTACT, "customer", COMPANY),
     "asutrans": _transactions("AP", "o_orderstatus = 'P'"),
     "asuhistr": _transactions("AP", "o_orderstatus <> 'P' AND o_orderkey % 2 = 0"),
     "acuheader": _master("c_custkey", CREDIT, "customer", "c_name"),
@@ -177,6 +196,14 @@ FROM lineitem WHERE l_partkey % 16 <> 5 GROUP BY 1, 2, 3, 4, 5, 6, l_partkey""",
   CASE WHEN l_partkey % 33 = 3 THEN ' ' ELSE 'CC' || {text("l_partkey % 50")} END AS costc, CASE WHEN l_orderkey % 49 = 3 THEN NULL WHEN l_orderkey % 48 = 3 THEN 17 ELSE cast(extract(month FROM l_shipdate) AS int) END AS period, cast(extract(year FROM l_shipdate) AS int) AS year,
   {money("l_extendedprice")} AS gl_actuals, {unless("l_partkey % 31 = 3", money(PRICE + ' * 1.1'))} AS orig_budget, CASE WHEN l_partkey % 37 = 3 THEN NULL WHEN l_partkey % 41 = 3 THEN {money("0")} ELSE {money(PRICE + ' * 1.05')} END AS curr_budget,
   {money(PRICE + ' * 1.02')} AS live_forecast, 'Category ' || {text("l_partkey % 25")} AS account_desc FROM lineitem""",
+    "decision_log": " UNION ALL ".join([
+        _decision(0, "record", record("c_custkey"), pick(whole("c_custkey / 7"), "'AGREE'", "'KEEP'", "'CLOSE'", "'WILL_FIX'", "'ACCEPT_AS_IS'"), "customer", "c_custkey % 3 = 1"),
+        _decision(1, "record", record("c_custkey"), pick(whole("c_custkey / 5"), "'CLOSE'", "'KEEP'", "'ACCEPT_AS_IS'", "'unknown'"), "customer", "c_custkey % 12 = 1"),
+        _decision(2, "record", "'HOC|gone' || " + text("c_custkey"), "'CLOSE'", "customer", "c_custkey % 37 = 3"),
+        _decision(3, "record", record("c_custkey"), pick("c_custkey", "'NOT_DUPLICATE'", "'CONFIRM_PREFERRED'", "'CONFIRM_PREFERRED'"), "customer", "c_custkey % 9 = 2 OR c_custkey % 41 = 3"),
+        _decision(4, "pair", record("c_custkey"), pick(whole("c_custkey / 50"), "'DIFFERENT_SUPPLIER'", "'SAME_SUPPLIER'"), "customer", "c_custkey % 50 = 9 AND c_custkey % 3 <> 2", record("c_custkey - 14")),
+        _decision(5, "item", "item_key", pick("k", "'DONT_MIGRATE'", "'MIGRATE'", "'DONT_MIGRATE'"), "(SELECT DISTINCT house || '|' || client || '|' || apar_id || '|' || voucher_no AS item_key, cast(voucher_no AS bigint) AS k FROM asutrans) i", "k % 7 < 4", k="k"),
+    ]),
     "agldimension": """SELECT DISTINCT house, client, attribute_id, dim_position, 'Dimension ' || dim_position AS description, CASE WHEN attribute_id = 'A1' AND client = 'CM' THEN 'C' ELSE 'N' END AS status FROM agldimvalue""",
     "gl_contract_values": f"""SELECT {house("c_custkey")} AS house, {pick("c_custkey", "'5'", "' 5'", "'4'")} AS dim_position, {pick("c_custkey", "'Contract Number'", "'contract number '", "'Contract Number'", "'Cost centre'")} AS dim_description, 'L' || {text("c_custkey")} AS dim_value FROM customer""",
     "hol_unit4_spend": f"""SELECT CASE WHEN o_orderkey % 30 = 3 THEN ' ' ELSE ' L' || {text("o_custkey")} END AS u4_contract_id, CASE WHEN o_custkey % 5 = 2 THEN -1 ELSE 1 END * {money("o_totalprice")} AS amount FROM orders WHERE o_custkey % 7 <> 1""",

@@ -98,9 +98,13 @@ def entities(master: DataFrame, rules: Rules) -> DataFrame:
 
     The category comes from the group, else from the range of the id.
     """
+    return _entities(scoped(master, rules), rules)
+
+
+def _entities(rows: DataFrame, rules: Rules) -> DataFrame:
     best = Window.partitionBy("entity_key").orderBy(F.desc("in_scope"), F.when(F.col("status") == "N", 0).otherwise(1), "client", "apar_name")
     every = Window.partitionBy("entity_key")
-    out = scoped(master, rules).withColumns({
+    out = rows.withColumns({
         "_n": F.row_number().over(best),
         "clients": F.array_join(F.array_sort(F.collect_set("client").over(every)), ","),
         "statuses": F.array_join(F.array_sort(F.collect_set("status").over(every)), ","),
@@ -165,7 +169,12 @@ def issues(master: DataFrame, rules: Rules) -> DataFrame:
     All tests run in one scan. Rows of a record that hold different keys are one
     issue of its first client, and so is an id whose range and group disagree.
     """
-    rows = scoped(master, rules).where("in_scope")
+    rows = scoped(master, rules)
+    return _issues(rows, _entities(rows, rules), rules)
+
+
+def _issues(rows: DataFrame, records: DataFrame, rules: Rules) -> DataFrame:
+    rows = rows.where("in_scope")
     tests = [(c.id, c.dimension, F.expr(core.dated(f"({c.population}) AND ({c.fails})", rules.as_of))) for c in ROW_TESTS]
     tests.append(("MS-DQ-NAME", "Completeness", is_blank(F.col("apar_name"))))
     tests.append(("MS-DQ-LTD-COMPNO", "Completeness", F.exists(F.split(std_name(F.col("apar_name")), " "), lambda w: w.isin("LTD", "PLC", "LLP")) & (std_company_no(F.col("comp_reg_no")) == "")))
@@ -176,14 +185,14 @@ def issues(master: DataFrame, rules: Rules) -> DataFrame:
         apart = apart | (F.col(f"least_{key}") < F.col(f"most_{key}"))
     each = rows.groupBy("entity_key").agg(F.min("client").alias("client"), *[f(k).alias(f"{n}_{k}") for k in AGREE for f, n in ((F.min, "least"), (F.max, "most"))])
     differ = each.where(F.coalesce(apart, F.lit(False))).select("entity_key", "client", F.lit("MS-DQ-CLIENT-DIFF").alias("issue"), F.lit("Consistency").alias("dimension"))
-    mismatch = entities(master, rules).where("in_population AND group_id_mismatch").select("entity_key", "client", F.lit("MS-DQ-GROUP-ID").alias("issue"), F.lit("Consistency").alias("dimension"))
+    mismatch = records.where("in_population AND group_id_mismatch").select("entity_key", "client", F.lit("MS-DQ-GROUP-ID").alias("issue"), F.lit("Consistency").alias("dimension"))
     return out.unionByName(differ).unionByName(mismatch).withColumn("blocking", F.col("issue").isin(*BLOCKING_TESTS))
 
 
-def commercial_rows(master: DataFrame, rules: Rules) -> DataFrame:
-    """Rows in scope of the commercial records of the population, with their match keys."""
-    members = entities(master, rules).where("in_population AND category = 'Commercial'").select("entity_key")
-    return scoped(master, rules).where("in_scope").join(members, "entity_key", "left_semi")
+def _commercial(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Match keys of the rows in scope of the commercial records of the population."""
+    members = records.where("in_population AND category = 'Commercial'").select("entity_key")
+    return rows.where("in_scope").select("entity_key", "house", *pairs.KEYS).join(members, "entity_key", "left_semi")
 
 
 def duplicate_groups(master: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
@@ -192,7 +201,8 @@ def duplicate_groups(master: DataFrame, rules: Rules, decisions: DataFrame | Non
     Records that a steward has said are no duplicates are left out before groups
     are made; pairs said to be the same supplier are linked.
     """
-    return _grouped(commercial_rows(master, rules).select("entity_key", "house", *pairs.KEYS), rules, decisions)
+    rows = scoped(master, rules)
+    return _grouped(_commercial(rows, _entities(rows, rules)), rules, decisions)
 
 
 def _grouped(rows: DataFrame, rules: Rules, decisions: DataFrame | None) -> DataFrame:
@@ -257,12 +267,13 @@ def with_preferred(rows: DataFrame, decisions: DataFrame | None = None) -> DataF
     return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("preferred", "preferred_tie")}).drop("_order", "_best", "_level", "_many", "_confirmed")
 
 
-def facts(master: DataFrame, history: DataFrame, items: DataFrame, orders: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
-    """One row an entity with all that neither pass changes, and its items counted for both."""
+def facts(rows: DataFrame, history: DataFrame, items: DataFrame, orders: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
+    """One row an entity with all that neither pass changes, and its items counted for both. rows: the master's in scope (`scoped`)."""
+    records = _entities(rows, rules)
     dims = {d: F.max(F.col("dimension") == d).alias(f"has_{d.lower()}") for d in ("Completeness", "Validity", "Consistency")}
-    wrong = issues(master, rules).groupBy("entity_key").agg(F.count_distinct("issue").alias("issues"), F.count_distinct(F.when(F.col("blocking"), F.col("issue"))).alias("blocking"), *dims.values())
+    wrong = _issues(rows, records, rules).groupBy("entity_key").agg(F.count_distinct("issue").alias("issues"), F.count_distinct(F.when(F.col("blocking"), F.col("issue"))).alias("blocking"), *dims.values())
     counted = items_by_record(open_items(items, rules, decisions))
-    out = entities(master, rules).join(activity(history, items, orders, rules), ["house", "apar_id"], "left").join(counted, ["house", "apar_id"], "left").join(wrong, "entity_key", "left")
+    out = records.join(activity(history, items, orders, rules), ["house", "apar_id"], "left").join(counted, ["house", "apar_id"], "left").join(wrong, "entity_key", "left")
     out = out.na.fill(0, ["all_items", "items", "stuck_items", "stuck_undecided", "issues", "blocking", "open_orders"])
     return out.na.fill(False, ["left_out", *(f"has_{d.lower()}" for d in dims)])
 
@@ -291,16 +302,15 @@ def position(master: DataFrame, history: DataFrame, items: DataFrame, orders: Da
     decisions: the effective ones. Records that only a decision knows come last,
     as NOT_IN_EXTRACT.
     """
+    master = written(scoped(master, rules), "scoped")
+    decisions = None if decisions is None else written(decisions, "decisions")
     base = written(facts(master, history, items, orders, rules, decisions), "facts")
-    rows = written(commercial_rows(master, rules).select("entity_key", "house", *pairs.KEYS), "keys")
-    alone = base.join(_grouped(rows, rules, None), "entity_key", "left").withColumns({"items": F.col("all_items"), "left_out": F.lit(False)})
+    rows = written(_commercial(master, base), "keys")
+    groups = by_rule = written(_grouped(rows, rules, None), "groups")
+    if decisions is not None:
+        groups = written(_grouped(rows, rules, decisions), "groups")
+    alone = base.join(by_rule, "entity_key", "left").withColumns({"items": F.col("all_items"), "left_out": F.lit(False)})
     alone = _passed(alone, rules, None).select("entity_key", F.col("classification").alias("recommended"), F.col("rule").alias("recommended_rule"))
-    if decisions is None:
-        groups = _grouped(rows, rules, None)
-    else:
-        decisions = written(decisions, "decisions")
-        groups = _grouped(rows, rules, decisions)
-    groups = written(groups, "groups")
     out = _passed(base.join(groups, "entity_key", "left"), rules, decisions)
     near = _partners(base, groups, rules, decisions)
     out = out.join(near, "entity_key", "left").join(cross_house(rows), "entity_key", "left").join(alone, "entity_key", "left")
@@ -381,8 +391,9 @@ def _partners(rows: DataFrame, groups: DataFrame, rules: Rules, decisions: DataF
 
 def possible_duplicates(master: DataFrame, rules: Rules, decisions: DataFrame | None = None) -> DataFrame:
     """(entity_key, partners) of each commercial record whose name is near that of another one of its house: nobody has decided on the two, and they are in no group together."""
-    rows = commercial_rows(master, rules).select("entity_key", "house", *pairs.KEYS)
-    return _partners(entities(master, rules), _grouped(rows, rules, decisions), rules, decisions)
+    rows = written(scoped(master, rules), "scoped")
+    records = _entities(rows, rules)
+    return _partners(records, _grouped(_commercial(rows, records), rules, decisions), rules, decisions)
 
 
 def name_classes(master: DataFrame, rules: Rules) -> DataFrame:

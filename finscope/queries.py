@@ -306,7 +306,7 @@ _add("payroll_metrics", {"payroll_transactions"}, lambda f: money.payroll_metric
 _RULES = pipeline.Rules(AS_OF)
 _MIGRATION = {"asuheader", "asuhistr", "asutrans", "apoheader"}
 _position = lambda f: pipeline.position(f["asuheader"], f["asuhistr"], f["asutrans"], f["apoheader"].withColumn("house", F.when(F.col("client") == "LA", "HOL").otherwise("HOC")), _RULES)
-_SCOPED = "(SELECT *, house || '|' || apar_id AS entity_key, coalesce(status IN ('N', 'P'), false) AND NOT (coalesce(upper(trim(apar_name)) = 'SZSINGLES', false) OR (house = 'HOC' AND (starts_with(apar_id, '89') OR starts_with(apar_id, '99')))) AS in_scope FROM asuheader WHERE (house = 'HOC' AND client IN ('CA', 'CM')) OR (house = 'HOL' AND client = 'LA'))"
+_SCOPED = "(SELECT *, house || '|' || apar_id AS entity_key, coalesce(status IN ('N', 'P'), false) AND NOT (coalesce(upper(trim(apar_name)) = 'SZSINGLES', false) OR (house = 'HOC' AND (starts_with(apar_id, '89') OR starts_with(apar_id, '99')))) AS in_scope, coalesce(upper(trim(apar_name)) = 'SZSINGLES', false) OR (house = 'HOC' AND (starts_with(apar_id, '89') OR starts_with(apar_id, '99'))) AS legacy FROM asuheader WHERE (house = 'HOC' AND client IN ('CA', 'CM')) OR (house = 'HOL' AND client = 'LA'))"
 _ENTITIES = f"""SELECT * FROM (SELECT *, array_to_string(list_sort(list_distinct(list(client) OVER e)), ',') AS clients, array_to_string(list_sort(list_distinct(list(status) OVER e)), ',') AS statuses,
  bool_or(in_scope) OVER e AS in_population, row_number() OVER (PARTITION BY entity_key ORDER BY in_scope DESC, CASE WHEN status = 'N' THEN 0 ELSE 1 END, client, apar_name) AS n,
  coalesce((house = 'HOC' AND trim(apar_gr_id) IN ('EM', 'ME', 'SA', 'WI')) OR (house = 'HOL' AND trim(apar_gr_id) IN ('05', '06')), false) AS g, coalesce((house = 'HOC' AND (starts_with(apar_id, '1000') OR starts_with(apar_id, '74'))) OR (house = 'HOL' AND left(apar_id, 1) IN ('1', '2', '3')), false) AS p
@@ -344,7 +344,7 @@ _BLOCKING = f"issue IN {pipeline.BLOCKING_TESTS}"
 _ACTIVITY = """SELECT house, apar_id, last_invoice, last_order, open_orders, greatest(last_invoice, last_order) AS last_activity FROM
 (SELECT house, apar_id, max(trans_date) AS last_invoice FROM (SELECT house, apar_id, voucher_type, trans_date FROM asuhistr UNION ALL SELECT house, apar_id, voucher_type, trans_date FROM asutrans) WHERE voucher_type IN ('CP', 'ID', 'IF', 'II', 'IU', 'OP', 'PI', 'RD', 'RI', 'SI', 'SR', 'IB', 'BH', 'CN', 'IC', 'IN', 'RC') GROUP BY ALL)
 FULL JOIN (SELECT house, apar_id, max(order_date) AS last_order, count(*) FILTER (status IN ('O', 'N', 'A')) AS open_orders FROM apoheader GROUP BY ALL) USING (house, apar_id)"""
-_ITEMS = f"SELECT *, ({DAY} - trans_date)::INT AS age_days, coalesce(trans_date < {DAY} - INTERVAL 2 MONTH, false) AS stuck FROM (SELECT house, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)"
+_ITEMS = f"SELECT *, house || '|' || client || '|' || apar_id || '|' || voucher_no AS item_key, ({DAY} - trans_date)::INT AS age_days, coalesce(trans_date < {DAY} - INTERVAL 2 MONTH, false) AS stuck FROM (SELECT house, client, apar_id, voucher_no, sum(rest_amount) AS balance, min(trans_date) AS trans_date FROM asutrans WHERE status IS DISTINCT FROM 'C' GROUP BY ALL HAVING sum(rest_amount) <> 0)"
 _KEY_ROWS = ", ".join(f"{{'k': '{n}', 'v': {sql}}}" for n, sql in _keys_sql().items())
 #: Groups by reachability over pairs of record and least record with the same key.
 _GROUPS = {
@@ -356,27 +356,128 @@ _GROUPS = {
 }
 _since = lambda months: f"coalesce(last_activity >= {DAY} - INTERVAL {months} MONTH, false)"
 _GAPS = " + ".join(f"(coalesce(trim({c}), '') NOT IN ('', 'nan', 'None', 'NaT'))::INT" for c in pipeline.COMPLETE)
-_CLASSED = _GROUPS | {
-    "facts": f"""SELECT e.*, dup_group, coalesce(n_issues, 0) AS issues, coalesce(n_blocking, 0) AS blocking, coalesce(n_items, 0) AS items, coalesce(n_stuck, 0) AS stuck_items, last_activity, coalesce(n_items, 0) > 0 OR coalesce(open_orders, 0) > 0 AS has_open, {_GAPS} AS completeness FROM ({_ENTITIES}) e
-LEFT JOIN ({_ACTIVITY}) a ON a.house = e.house AND a.apar_id = e.apar_id LEFT JOIN (SELECT house, apar_id, count(*) AS n_items, count(*) FILTER (stuck) AS n_stuck FROM ({_ITEMS}) GROUP BY ALL) i ON i.house = e.house AND i.apar_id = e.apar_id
-LEFT JOIN (SELECT entity_key, count(DISTINCT issue) AS n_issues, count(DISTINCT issue) FILTER ({_BLOCKING}) AS n_blocking FROM ({_issues_sql()}) GROUP BY entity_key) q ON q.entity_key = e.entity_key LEFT JOIN dups d ON d.entity_key = e.entity_key""",
-    "levels": "SELECT *, dup_group IS NOT NULL AND rank() OVER (PARTITION BY dup_group ORDER BY blocking, NOT has_open, coalesce(last_activity, DATE '1900-01-01') DESC, completeness DESC) = 1 AS level FROM facts",
-    "ranked": "SELECT *, level AND many = 1 AS preferred, level AND many > 1 AS preferred_tie FROM (SELECT *, count(*) FILTER (level) OVER (PARTITION BY dup_group) AS many FROM levels)",
-    "classed": f"""SELECT *, CASE WHEN rule = 'MS-POP-01' THEN 'OUT_OF_SCOPE' WHEN rule IN ('MS-CAT-01', 'MS-CAT-02') THEN 'HOLD_NONCOMMERCIAL' WHEN rule = 'MS-CAT-03' THEN 'HOLD_POLICY' WHEN rule IN ('MS-CLS-01', 'MS-CLS-02') THEN 'CLOSE' WHEN rule IN ('MS-DUP-03', 'MS-CLS-03') THEN 'MONITOR' WHEN rule = 'MS-CLS-04' THEN 'FIX' ELSE 'KEEP' END AS classification FROM (
-SELECT *, CASE WHEN NOT in_population THEN 'MS-POP-01' WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN NOT ({_COMMERCIAL}) THEN 'MS-CAT-03' WHEN NOT {_since(18)} AND NOT has_open THEN 'MS-CLS-01' WHEN preferred_tie THEN 'MS-DUP-03'
- WHEN dup_group IS NOT NULL AND NOT preferred THEN CASE WHEN {_since(6)} OR has_open THEN 'MS-CLS-03' ELSE 'MS-CLS-02' END WHEN blocking > 0 THEN 'MS-CLS-04' ELSE 'MS-CLS-05' END AS rule FROM ranked)""",
+_DIMS = ("Completeness", "Validity", "Consistency")
+
+
+def _pass_sql(suffix: str, groups: str, items: str, left_out: str, confirmed: str) -> dict[str, str]:
+    """One pass over the records: with the groups, items and confirmed records of the tables named."""
+    has = ", ".join(f"bool_or(dimension = '{d}') AS has_{d.lower()}" for d in _DIMS)
+    return {
+        f"facts{suffix}": f"""SELECT e.* EXCLUDE (completeness), dup_group, coalesce(n_issues, 0) AS issues, coalesce(n_blocking, 0) AS blocking, coalesce({items}, 0) AS items, coalesce(all_items, 0) AS all_items, coalesce(n_stuck, 0) AS stuck_items, coalesce(n_undecided, 0) AS stuck_undecided, {left_out} AS left_out,
+ {", ".join(f"coalesce(has_{d.lower()}, false) AS has_{d.lower()}" for d in _DIMS)}, last_activity, coalesce(open_orders, 0) AS open_orders, coalesce({items}, 0) > 0 OR coalesce(open_orders, 0) > 0 AS has_open, e.completeness FROM (SELECT *, {_GAPS} AS completeness FROM ({_ENTITIES})) e
+LEFT JOIN ({_ACTIVITY}) a ON a.house = e.house AND a.apar_id = e.apar_id LEFT JOIN (SELECT house, apar_id, count(*) AS all_items, count(*) FILTER (decision IS DISTINCT FROM 'DONT_MIGRATE') AS counted, count(*) FILTER (stuck) AS n_stuck, count(*) FILTER (stuck AND decision IS NULL) AS n_undecided FROM ({_ITEMS}) LEFT JOIN item_said USING (item_key) GROUP BY ALL) i ON i.house = e.house AND i.apar_id = e.apar_id
+LEFT JOIN (SELECT entity_key, count(DISTINCT issue) AS n_issues, count(DISTINCT issue) FILTER ({_BLOCKING}) AS n_blocking, {has} FROM ({_issues_sql()}) GROUP BY entity_key) q ON q.entity_key = e.entity_key LEFT JOIN {groups} d ON d.entity_key = e.entity_key""",
+        f"levels{suffix}": f"SELECT f.*, confirmed, confirmed_at, f.dup_group IS NOT NULL AND rank() OVER (PARTITION BY f.dup_group ORDER BY blocking, NOT has_open, coalesce(last_activity, DATE '1900-01-01') DESC, completeness DESC) = 1 AS level FROM facts{suffix} f LEFT JOIN {confirmed} c ON c.dup_group = f.dup_group",
+        f"ranked{suffix}": f"SELECT *, CASE WHEN confirmed IS NULL THEN level AND many = 1 ELSE confirmed = entity_key END AS preferred, confirmed IS NULL AND level AND many > 1 AS preferred_tie FROM (SELECT *, count(*) FILTER (level) OVER (PARTITION BY dup_group) AS many FROM levels{suffix})",
+        f"classed{suffix}": f"""SELECT *, CASE WHEN rule = 'MS-POP-01' THEN 'OUT_OF_SCOPE' WHEN rule IN ('MS-CAT-01', 'MS-CAT-02') THEN 'HOLD_NONCOMMERCIAL' WHEN rule = 'MS-CAT-03' THEN 'HOLD_POLICY' WHEN rule IN ('MS-CLS-01', 'MS-CLS-02', 'MS-TRN-02') THEN 'CLOSE' WHEN rule IN ('MS-DUP-03', 'MS-CLS-03') THEN 'MONITOR' WHEN rule = 'MS-CLS-04' THEN 'FIX' ELSE 'KEEP' END AS classification FROM (
+SELECT *, CASE WHEN NOT in_population THEN 'MS-POP-01' WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN NOT ({_COMMERCIAL}) THEN 'MS-CAT-03' WHEN NOT {_since(18)} AND NOT has_open THEN CASE WHEN left_out THEN 'MS-TRN-02' ELSE 'MS-CLS-01' END WHEN preferred_tie THEN 'MS-DUP-03'
+ WHEN dup_group IS NOT NULL AND NOT preferred THEN CASE WHEN {_since(6)} OR has_open THEN 'MS-CLS-03' ELSE 'MS-CLS-02' END WHEN blocking > 0 THEN 'MS-CLS-04' ELSE 'MS-CLS-05' END AS rule FROM ranked{suffix})""",
+    }
+
+
+_NOBODY = {"item_said": "SELECT '' AS item_key, '' AS decision WHERE false", "unconfirmed": "SELECT '' AS dup_group, '' AS confirmed, DATE '2000-01-01' AS confirmed_at WHERE false"}
+_CLASSED = _NOBODY | _GROUPS | _pass_sql("", "dups", "all_items", "false", "unconfirmed")
+
+# With decisions: the effective ones by family, groups without the parted and with the linked, and the second pass.
+_FAMILY = "CASE " + " ".join(f"WHEN decision IN {d} THEN '{name}'" for name, (_, d) in decisions.FAMILIES.items()) + " END"
+_SAID = {
+    "latest": f"SELECT * FROM (SELECT * REPLACE (CASE WHEN target_type = 'pair' THEN least(target_key, related_key) ELSE target_key END AS target_key, CASE WHEN target_type = 'pair' THEN greatest(target_key, related_key) ELSE related_key END AS related_key), {_FAMILY} AS family FROM decision_log) WHERE family IS NOT NULL QUALIFY row_number() OVER (PARTITION BY target_type, target_key, related_key, family ORDER BY id DESC, decision) = 1",
+    "item_said": "SELECT target_key AS item_key, decision FROM latest WHERE family = 'item'",
+    "no_dup": "SELECT target_key FROM latest WHERE decision = 'NOT_DUPLICATE'",
+    "parted": "SELECT target_key AS a, related_key AS b, decision FROM latest WHERE family = 'pair'",
+}
+_REGROUPED = {
+    "linked_2": "SELECT DISTINCT entity_key AS x, a AS y FROM (SELECT * FROM keyed WHERE entity_key NOT IN (FROM no_dup)) JOIN (SELECT house, k, v, min(entity_key) AS a FROM keyed WHERE v IS NOT NULL AND entity_key NOT IN (FROM no_dup) GROUP BY ALL HAVING min(entity_key) < max(entity_key)) USING (house, k, v) UNION SELECT a, b FROM parted WHERE decision = 'SAME_SUPPLIER' AND a IN (SELECT entity_key FROM keyed) AND b IN (SELECT entity_key FROM keyed) AND a NOT IN (FROM no_dup) AND b NOT IN (FROM no_dup)",
+    "ends_2": "SELECT x, y FROM linked_2 UNION SELECT y, x FROM linked_2",
+    "reach_2": "SELECT x, x AS y FROM ends_2 UNION SELECT reach_2.x, ends_2.y FROM reach_2 JOIN ends_2 ON reach_2.y = ends_2.x",
+    "dups_2": "SELECT x AS entity_key, min(y) AS dup_group FROM reach_2 GROUP BY x",
+    "confirmed_2": "SELECT dup_group, max({'id': id, 'k': target_key, 'at': recorded_at}).k AS confirmed, max({'id': id, 'k': target_key, 'at': recorded_at}).at AS confirmed_at FROM latest JOIN dups_2 ON entity_key = target_key WHERE decision = 'CONFIRM_PREFERRED' GROUP BY dup_group",
+}
+
+
+def _near_sql(names: str, a: str, b: str, threshold: int) -> str:
+    """Pairs a < b of the rows of `names` (house, block, key, tok), by all pairs of a block: a bound by the edit distance, then the longest common subsequence row by row."""
+    row = "list_transform(range(1, len(s) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(s[i]::INT, CASE WHEN i > 1 AND tb[i - 1] = e[1] THEN s[i - 1]::INT + 1 ELSE 0 END)))::VARCHAR)"
+    chars = "list_transform(string_split(ta, ''), lambda c: [c])"
+    first = "list_transform(range(0, length(tb) + 1), lambda i: '0')"
+    lcs = f"list_reduce(list_prepend({first}, {chars}), lambda s, e: {row})[-1]::INT"
+    return f"""SELECT * FROM (SELECT *, CASE WHEN ta = tb THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {lcs} / (length(ta) + length(tb)) END AS score FROM (
+SELECT x.house, x.key AS {a}, y.key AS {b}, x.tok AS ta, y.tok AS tb FROM {names} x JOIN {names} y ON x.house = y.house AND x.block = y.block AND x.key < y.key AND x.tok <> '' AND y.tok <> '' WHERE levenshtein(x.tok, y.tok) <= floor({100 - threshold} * (length(x.tok) + length(y.tok)) / 100 + 1e-9))) WHERE score >= {threshold}"""
+
+
+_CORE = f"array_to_string(list_filter(CASE WHEN ({_STD})[1] = 'THE' THEN ({_STD})[2:] ELSE {_STD} END, lambda w: w NOT IN ('LTD', 'PLC', 'LLP', 'INC', 'CORP', 'CO', '&')), ' ')"
+_tok = lambda c: f"array_to_string(list_sort(list_filter(string_split({c}, ' '), lambda w: w <> '')), ' ')"
+_NEAR = {
+    "named": f"SELECT house, entity_key AS key, core[1:2] AS block, {_tok('core')} AS tok FROM (SELECT house, entity_key, {_CORE} AS core FROM ({_ENTITIES}) WHERE in_population AND {_COMMERCIAL}) WHERE core <> ''",
+    "near": f"{_near_sql('named', 'a', 'b', 90)}",
+}
+_POSSIBLE = _NEAR | {
+    "met": "SELECT a, b FROM near WHERE a NOT IN (FROM no_dup) AND b NOT IN (FROM no_dup) AND (a, b) NOT IN (SELECT (a, b) FROM parted) AND (SELECT dup_group FROM dups_2 WHERE entity_key = a) IS DISTINCT FROM coalesce((SELECT dup_group FROM dups_2 WHERE entity_key = b), b)",
+    "partners": "SELECT entity_key, count(*) AS partners FROM (SELECT a AS entity_key FROM met UNION ALL SELECT b FROM met) GROUP BY 1",
+}
+_LABELS = "CASE k " + " ".join(f"WHEN '{key[4:]}' THEN '{label}'" for key, (label, _) in pipeline.KEY_LABELS.items()) + " END"
+_CROSS = {"crossed": f"""SELECT entity_key, string_agg(DISTINCT tag, '; ' ORDER BY tag) AS cross_house FROM (SELECT x.entity_key, {_LABELS.replace('CASE k', 'CASE x.k')} || ' as ' || least_key || CASE WHEN n > 1 THEN ' and ' || (n - 1) || ' more' ELSE '' END AS tag
+ FROM keyed x JOIN (SELECT house, k, v, min(entity_key) AS least_key, count(DISTINCT entity_key) AS n FROM keyed WHERE v IS NOT NULL GROUP BY ALL) o ON o.k = x.k AND o.v = x.v AND o.house <> x.house) GROUP BY 1"""}
+_print = lambda items: f"md5(to_json([coalesce(last_activity::DATE::VARCHAR, ''), {items}::VARCHAR, open_orders::VARCHAR, blocking::VARCHAR, coalesce(dup_group, ''), in_population::VARCHAR])::VARCHAR)[1:12]"
+_KEEPS = f"c.decision IN ('KEEP', 'WILL_FIX', 'ACCEPT_AS_IS') OR (c.decision = 'AGREE' AND recommendation IN {pipeline.IN_SCOPE})"
+_CLOSES = "c.decision = 'CLOSE' OR (c.decision = 'AGREE' AND recommendation = 'CLOSE')"
+_HERE = "coalesce(in_population, false)"
+_FINAL = _SAID | _GROUPS | _REGROUPED | {"unconfirmed": _NOBODY["unconfirmed"]} | _pass_sql("", "dups", "all_items", "false", "unconfirmed") | _pass_sql("_2", "dups_2", "counted", "coalesce(counted = 0, false)", "confirmed_2") | _POSSIBLE | _CROSS | {
+    "joined": """SELECT c.* EXCLUDE (entity_key), coalesce(c.entity_key, s.target_key) AS entity_key, c.entity_key IS NULL AS missing, s.decision, s.recommendation, r.classification AS recommended, coalesce(r.rule, '') AS recommended_rule, partners IS NOT NULL AS possible, cross_house
+FROM classed_2 c FULL JOIN (SELECT target_key, decision, recommendation FROM latest WHERE family = 'scope' AND target_type = 'record') s ON s.target_key = c.entity_key LEFT JOIN classed r ON r.entity_key = c.entity_key LEFT JOIN partners p ON p.entity_key = c.entity_key LEFT JOIN crossed x ON x.entity_key = c.entity_key""",
+    "final": f"""SELECT c.* EXCLUDE (classification), c.classification AS by_rule, CASE WHEN missing THEN 'NOT_IN_EXTRACT' WHEN decision = 'KEEP' AND {_HERE} THEN CASE WHEN blocking > 0 THEN 'FIX' ELSE 'KEEP' END WHEN decision = 'CLOSE' AND {_HERE} THEN 'CLOSE' WHEN decision = 'ACCEPT_AS_IS' AND {_HERE} AND c.classification = 'FIX' THEN 'KEEP' ELSE c.classification END AS classification FROM joined c""",
+    "waiting": f"""SELECT *, coalesce(classification <> by_rule AND decision IS NOT NULL, false) AS overridden, CASE WHEN NOT {_HERE} THEN '' ELSE concat_ws('; ', CASE WHEN classification IN ('CLOSE', 'MONITOR', 'FIX', 'HOLD_NONCOMMERCIAL', 'HOLD_POLICY') AND decision IS NULL AND rule <> 'MS-TRN-02' THEN 'Confirm classification' END,
+ CASE WHEN dup_group IS NOT NULL AND confirmed IS NULL THEN 'Confirm preferred record' END, CASE WHEN possible THEN 'Review possible duplicate' END, CASE WHEN stuck_undecided > 0 THEN stuck_undecided || ' stuck open item' || CASE WHEN stuck_undecided > 1 THEN 's' ELSE '' END END) END AS pending FROM final""",
+    "told": f"""SELECT c.*, CASE WHEN missing THEN 'decided' WHEN overridden THEN 'override' WHEN pending <> '' THEN 'awaiting' WHEN decision IS NOT NULL OR rule = 'MS-TRN-02' THEN 'decided' ELSE 'none' END AS decision_status,
+ CASE WHEN missing THEN 'Not in latest extract' WHEN ({_CLOSES}) AND NOT {_HERE} THEN 'Actioned in Unit4' WHEN {_CLOSES} THEN 'Not yet actioned in Unit4' WHEN ({_KEEPS}) AND NOT {_HERE} THEN 'Conflict: closed in Unit4 against a Keep decision' ELSE '' END AS follow_through,
+ CASE WHEN dup_group IS NOT NULL AND NOT preferred AND NOT preferred_tie AND confirmed IS NOT NULL AND last_activity > confirmed_at THEN 'Non-preferred supplier used after the preferred record was confirmed' ELSE '' END AS alert,
+ coalesce(g, false) AS cat_1, coalesce(p AND NOT g, false) AS cat_2, coalesce(NOT g AND NOT p AND NOT ({_COMMERCIAL}), false) AS cat_3, coalesce(house = 'HOC' AND trim(apar_gr_id) IN ('TI', 'TO'), false) AS individual, coalesce(legacy, false) AS legacy_, {_HERE} AS here, coalesce({_since(18)}, false) AS active, coalesce({_since(6)}, false) AS recent FROM waiting c""",
 }
+_when = lambda pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{name}' END" for name, c in pairs) + "], lambda x: x IS NOT NULL), ', ')"
+_TAGGED = _when([("Non-commercial", "cat_1 OR cat_2"), ("Policy", "cat_3"), ("Individual contractor", "individual"), ("Dormant", "rule IN ('MS-CLS-01', 'MS-TRN-02')"), ("Duplicate", "dup_group IS NOT NULL"), ("Possible duplicate", "possible"), ("Validity", "has_validity"), ("Completeness", "has_completeness"), ("Consistency", "has_consistency"), ("Stuck item", "stuck_items > 0"), ("Cross-House", "cross_house IS NOT NULL")])
+_RULES_FIRED = [("MS-POP-01", "true"), ("MS-POP-02", "true"), ("MS-CAT-01", "cat_1"), ("MS-CAT-02", "cat_2"), ("MS-CAT-03", "cat_3"), ("MS-CAT-04", "individual"), ("MS-DUP-01", "dup_group IS NOT NULL"), ("MS-DUP-03", "dup_group IS NOT NULL AND (preferred OR preferred_tie)"), ("MS-DUP-02", "possible"), ("MS-XH-01", "cross_house IS NOT NULL"), ("MS-TRN-01", "stuck_items > 0")]
+_RULES_FIRED += [(r, f"recommended_rule = '{r}'") for r in ("MS-CLS-01", "MS-CLS-02", "MS-CLS-03", "MS-CLS-04", "MS-CLS-05", "MS-TRN-02")]
+_FIRED_SQL = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _RULES_FIRED) + "], lambda x: x IS NOT NULL)), ', ')"
+_STEPS_SQL = """CASE WHEN NOT here THEN 'MS-POP-01:stop' WHEN cat_1 OR cat_2 OR cat_3 THEN 'MS-POP-01:pass ' || rule || ':stop' ELSE 'MS-POP-01:pass MS-CAT-01:pass ' || CASE WHEN NOT active AND NOT has_open THEN rule || ':fail' ELSE 'MS-CLS-01:pass ' || CASE WHEN preferred_tie THEN 'MS-DUP-03:fail'
+ WHEN dup_group IS NOT NULL AND NOT preferred THEN rule || ':fail' ELSE CASE WHEN dup_group IS NULL THEN 'MS-DUP-01' ELSE 'MS-DUP-03' END || ':pass ' || CASE WHEN blocking > 0 THEN 'MS-CLS-04:fail' ELSE 'MS-CLS-05:pass' END END END END"""
 
 _add("migration_entities", {"asuheader"}, lambda f: pipeline.entities(f["asuheader"], _RULES).select("entity_key", "client", "status", "clients", "statuses", "in_population", "category", "category_rule"), f"""
 SELECT entity_key, client, status, clients, statuses, in_population, CASE WHEN g OR p THEN 'Non-commercial' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'Policy' ELSE 'Commercial' END AS category, CASE WHEN g THEN 'MS-CAT-01' WHEN p THEN 'MS-CAT-02' WHEN house = 'HOL' AND trim(apar_gr_id) = '03' THEN 'MS-CAT-03' END AS category_rule FROM ({_ENTITIES})""")
 _add("migration_activity", _MIGRATION, lambda f: pipeline.activity(f["asuhistr"], f["asutrans"], f["apoheader"], _RULES), _ACTIVITY)
-_add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES), _ITEMS)
+_add("migration_items", {"asutrans"}, lambda f: pipeline.open_items(f["asutrans"], _RULES).drop("decision", "item_status"), _ITEMS)
 _add("migration_issues", {"asuheader"}, lambda f: pipeline.issues(f["asuheader"], _RULES).groupBy("issue", "dimension", "blocking").agg(F.count("*").alias("records")), f"SELECT issue, dimension, {_BLOCKING} AS blocking, count(*) AS records FROM ({_issues_sql()}) GROUP BY issue, dimension")
 _add("migration_groups", {"asuheader"}, lambda f: pipeline.duplicate_groups(f["asuheader"], _RULES), "SELECT entity_key, dup_group, reasons FROM dups", _GROUPS)
-_add("migration_possible_duplicates", {"asuheader"}, lambda f: pipeline.possible_duplicates(pipeline.entities(f["asuheader"], _RULES)))
 _add("migration_position", _MIGRATION, lambda f: _position(f).select("entity_key", "classification", "rule", "dup_group", "preferred", "preferred_tie", "issues", "blocking", "items", "stuck_items", "last_activity"), "SELECT entity_key, classification, rule, dup_group, preferred, preferred_tie, issues, blocking, items, stuck_items, last_activity FROM classed", _CLASSED)
 _add("migration_funnel", _MIGRATION, lambda f: pipeline.funnel(_position(f)), "SELECT coalesce(house, 'Total') AS house, count(*) AS records, count(*) FILTER (in_population) AS in_population, " + ", ".join(f"count(*) FILTER (classification = '{c}') AS {c.lower()}" for c in pipeline.CLASSES) + " FROM classed GROUP BY ROLLUP (house)", _CLASSED)
-_LOG = "SELECT event_id AS id, 'record' AS target_type, cast(user_id AS string) AS target_key, '' AS related_key, CASE event_id % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'FIX' WHEN 2 THEN 'MONITOR' ELSE 'CLOSE' END AS decision, 'r' AS reason, event_type AS steward FROM events"
+_DECIDING = _MIGRATION | {"decision_log"}
+
+
+def _decided(f):
+    return pipeline.position(f["asuheader"], f["asuhistr"], f["asutrans"], f["apoheader"].withColumn("house", F.when(F.col("client") == "LA", "HOL").otherwise("HOC")), _RULES, decisions.effective(f["decision_log"]))
+
+
+_DECIDED_COLUMNS = "entity_key classification rule recommended recommended_rule decision overridden pending decision_status follow_through alert dup_group preferred preferred_tie items left_out possible_duplicate cross_house fingerprint".split()
+_add("migration_decided", _DECIDING, lambda f: _decided(f).select(*_DECIDED_COLUMNS), f"""SELECT entity_key, classification, rule, coalesce(recommended, classification) AS recommended, recommended_rule, decision, overridden, pending, decision_status, follow_through, alert, dup_group, coalesce(preferred, false) AS preferred, coalesce(preferred_tie, false) AS preferred_tie, coalesce(items, 0) AS items, left_out, possible AS possible_duplicate, cross_house,
+CASE WHEN missing THEN md5(to_json(['', '0', '0', '0', '', 'false'])::VARCHAR)[1:12] ELSE {_print("items")} END AS fingerprint FROM told""", _FINAL)
+_add("migration_reasons", _DECIDING, lambda f: _decided(f).select("entity_key", "reasons_tags", F.array_join("fired", ", ").alias("fired"), F.array_join(F.transform("trail", lambda t: F.concat(t["rule"], F.lit(":"), t["result"])), " ").alias("steps")), f"""
+SELECT entity_key, CASE WHEN missing THEN 'Not in extract' WHEN NOT here THEN CASE WHEN legacy_ THEN 'Legacy exclusion' ELSE 'Closed in Unit4' END WHEN {_TAGGED} = '' THEN 'Active' ELSE {_TAGGED} END AS reasons_tags, CASE WHEN missing THEN '' WHEN here THEN {_FIRED_SQL} WHEN legacy_ THEN 'MS-POP-03' ELSE '' END AS fired, CASE WHEN NOT missing THEN {_STEPS_SQL} END AS steps FROM told""", _FINAL)
+_add("migration_possible_duplicates", {"asuheader", "decision_log"}, lambda f: pipeline.possible_duplicates(f["asuheader"], _RULES, decisions.effective(f["decision_log"])), "SELECT entity_key, partners FROM partners", _SAID | _GROUPS | _REGROUPED | _POSSIBLE)
+_HOLDERS = "count(*) AS records, min(key) AS first"
+_add("migration_name_classes", {"asuheader"}, lambda f: pipeline.name_classes(f["asuheader"], _RULES), f"""SELECT p.house, p.a AS name_a, p.b AS name_b, p.score, x.records AS records_a, y.records AS records_b, x.first AS first_a, y.first AS first_b
+FROM (SELECT house, a, b, round_even(score, 0)::BIGINT AS score, block FROM pairs JOIN (SELECT DISTINCT house, key, block FROM tokens) t USING (house) WHERE t.key = a UNION ALL SELECT house, tok, tok, 100, block FROM named GROUP BY house, tok, block HAVING count(*) > 1) p
+JOIN (SELECT house, block, tok, {_HOLDERS} FROM named GROUP BY ALL) x ON x.house = p.house AND x.block = p.block AND x.tok = p.a JOIN (SELECT house, block, tok, {_HOLDERS} FROM named GROUP BY ALL) y ON y.house = p.house AND y.block = p.block AND y.tok = p.b""", {"named": _NEAR["named"], "tokens": "SELECT DISTINCT house, block, tok AS key, tok FROM named", "pairs": _near_sql("tokens", "a", "b", 90)})
+_add("near_supplier_names", {"asuheader"}, lambda f: pipeline.near_names(f["asuheader"]), f"""SELECT p.house, p.a AS name_a, p.b AS name_b, round_even(p.score, 0)::BIGINT AS score, x.records AS records_a, y.records AS records_b, x.first AS first_a, y.first AS first_b FROM pairs p
+JOIN (SELECT house, block, tok, {_HOLDERS} FROM named GROUP BY ALL) x ON x.house = p.house AND x.tok = p.a JOIN (SELECT house, block, tok, {_HOLDERS} FROM named GROUP BY ALL) y ON y.house = p.house AND y.tok = p.b AND y.block = x.block JOIN (SELECT DISTINCT house, block, key FROM tokens) t ON t.house = p.house AND t.block = x.block AND t.key = p.a WHERE round_even(p.score, 0) < 100""", {
+    "named": f"SELECT house, apar_id AS key, plain[1:1] AS block, {_tok('plain')} AS tok FROM (SELECT house, apar_id, upper(trim(coalesce(min({{'c': client, 'n': apar_name}}).n, ''))) AS plain FROM asuheader WHERE status IS DISTINCT FROM 'C' GROUP BY house, apar_id) WHERE plain <> ''", "tokens": "SELECT DISTINCT house, block, tok AS key, tok FROM named", "pairs": _near_sql("tokens", "a", "b", 90)})
+_add("migration_item_states", {"asutrans", "decision_log"}, lambda f: pipeline.open_items(f["asutrans"], _RULES, decisions.effective(f["decision_log"])).select("item_key", "decision", "item_status"), f"SELECT item_key, decision, CASE WHEN decision = 'MIGRATE' THEN 'Migrate (steward)' WHEN decision = 'DONT_MIGRATE' THEN 'Don''t migrate (steward)' WHEN stuck THEN 'Needs review' ELSE 'Recent: no action' END AS item_status FROM ({_ITEMS}) LEFT JOIN item_said USING (item_key)", _SAID)
+_SINCE = "2001-10-01"
+_add("migration_changes", _DECIDING, lambda f: decisions.changes(_position(f), _decided(f), f["decision_log"], _SINCE), f"""
+SELECT coalesce(b.entity_key, a.entity_key) AS entity_key, string_split(coalesce(b.entity_key, a.entity_key), '|')[1] AS house, coalesce(b.classification, '(new)') AS before, coalesce(a.classification, 'NOT_IN_EXTRACT') AS now,
+CASE WHEN coalesce(b.entity_key, a.entity_key) IN (SELECT k FROM recent) THEN 'Decision recorded' WHEN b.entity_key IS NULL THEN 'New in extract' WHEN NOT a.here THEN 'Status changed' WHEN b.mark IS DISTINCT FROM a.mark THEN 'Data changed' ELSE 'Other' END AS cause
+FROM (SELECT entity_key, classification, {_print("items")} AS mark FROM classed) b FULL JOIN (SELECT entity_key, classification, here, {_print("items")} AS mark FROM told) a ON a.entity_key = b.entity_key WHERE coalesce(b.classification, '(new)') <> coalesce(a.classification, 'NOT_IN_EXTRACT')""", _FINAL | {
+    "recent": f"SELECT unnest([target_key, related_key, CASE WHEN target_type = 'item' THEN string_split(target_key, '|')[1] || '|' || string_split(target_key, '|')[3] END]) AS k FROM decision_log WHERE recorded_at >= DATE '{_SINCE}'"})
+
+_LOG = "SELECT event_id AS id, 'record' AS target_type, cast(user_id AS string) AS target_key, '' AS related_key, CASE event_id % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'WILL_FIX' WHEN 2 THEN 'AGREE' ELSE 'CLOSE' END AS decision, 'r' AS reason, event_type AS steward FROM events"
 
 
 def _log(spark, sf_dir):

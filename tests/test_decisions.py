@@ -1,64 +1,78 @@
 """What stewards' decisions do to a position, and what doesn't change because of them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from finscope.migration import decisions, pipeline, trace
 from tests.test_finance import AS_OF, LOG, migrated, positions, supplier
 
 NOW, AGO, LONG_AGO = "2026-10-20", "2026-02-01", "2024-01-01"
-ONE = [{"apar_id": "20001"}]
 
 
-def test_keep_over_close_and_close_over_keep(spark):
-    got = migrated(spark, ONE, [("20001", LONG_AGO)], said=[("record", "HOC|20001", "", "KEEP", NOW)])["20001"]
+def near(first, name, other, **more):
+    """Two records with names that are nearly the same."""
+    return [{"apar_id": str(first), "apar_name": name, **more}, {"apar_id": str(first + 1), "apar_name": other, **more}]
+
+
+@pytest.fixture(scope="module")
+def world(spark):
+    """One position with a case in each range of ids."""
+    bad, closed = {"terms_id": None}, {"status": "C"}
+    rows = [{"apar_id": i} for i in ("20001", "20011", "20012", "20016", "20017", "20031", "20032", "20033", "20034", "20042")]
+    rows += [{"apar_id": i, **bad} for i in ("20013", "20015", "20018", "20019")] + [{"apar_id": i, **closed} for i in ("20014", "20041")]
+    rows += [{"apar_id": i, "bank_account": b} for i, b in (("20021", "51111111"), ("20022", "51111111"), ("20051", "52222222"), ("20052", "52222222"), ("20053", "53333333"), ("20054", "53333333"))]
+    rows += near(20061, "Brightwater Catering Services Ltd", "Brightwater Catering Service Limited") + near(20063, "Silverlake Printing Works", "Silverlake Printing Work") + near(20065, "Northgate Laundry Supplies", "Northgate Laundry Supply")
+    rows += near(20067, "Foxglove Timber Merchants", "Foxglove Timber Merchant") + near(20069, "Elmwood Garden Machines", "Elmwood Garden Machine", bank_account="54444444")
+    rows += [{"apar_id": "20081", "apar_name": "Kestrel Window Cleaners"}, {"apar_id": "20082", "apar_name": "Kestrel Window Cleaner", "apar_gr_id": "ME"}]
+    now = ["20011", "20012", "20014", "20015", "20018", "20019", "20021", "20022", "20033", "20051", *(str(i) for i in range(20061, 20071)), "20081", "20082"]
+    invoices = [*((i, NOW) for i in now), *((i, LONG_AGO) for i in ("20001", "20013", "20016", "20017", "20042")), *((i, AGO) for i in ("20052", "20053", "20054"))]
+    items = [*((i, LONG_AGO, "OLD") for i in ("20031", "20032", "20033", "20034")), ("20032", LONG_AGO, "OTHER")]
+    own = {"20001": "KEEP", "20011": "CLOSE", "20013": "KEEP", "20014": "KEEP", "20015": "ACCEPT_AS_IS", "20016": "ACCEPT_AS_IS", "20018": "WILL_FIX", "20041": "CLOSE", "20042": "CLOSE", "20022": "NOT_DUPLICATE", "20068": "NOT_DUPLICATE", "20099": "NOT_DUPLICATE"}
+    said = [("record", "HOC|20012", "", "KEEP"), ("record", "HOC|20012", "", "CLOSE"), *(("record", f"HOC|{i}", "", d) for i, d in own.items()), ("record", "HOC|20017", "", "AGREE", NOW, "CLOSE"), ("record", "HOC|20044", "", "CLOSE", NOW, None, "Gone Ltd")]
+    said += [("item", f"HOC|CA|{i}|OLD", "", "DONT_MIGRATE") for i in ("20031", "20032", "20033")] + [("record", f"HOC|{i}", "", "CONFIRM_PREFERRED", "2026-06-01") for i in ("20052", "20054")]
+    said += [("pair", "HOC|20064", "HOC|20063", "DIFFERENT_SUPPLIER"), ("pair", "HOC|20065", "HOC|20066", "SAME_SUPPLIER")]
+    return migrated(spark, rows, invoices, items, said)
+
+
+def test_keep_over_close_and_close_over_keep(world):
+    got = world["20001"]
     assert (got["classification"], got["recommended"], got["decision_status"], got["decision_by"], got["overridden"]) == ("KEEP", "CLOSE", "override", "s", True)
-    got = migrated(spark, ONE, [("20001", NOW)], said=[("record", "HOC|20001", "", "CLOSE")])["20001"]
+    got = world["20011"]
     assert (got["classification"], got["recommended"], got["follow_through"]) == ("CLOSE", "KEEP", "Not yet actioned in Unit4")
-    got = migrated(spark, ONE, [("20001", NOW)], said=[("record", "HOC|20001", "", "KEEP"), ("record", "HOC|20001", "", "CLOSE")])["20001"]
-    assert got["classification"] == "CLOSE"  # the latest stands
+    assert world["20012"]["classification"] == "CLOSE"  # the latest stands
 
 
-def test_keep_of_a_blocked_record_is_fix_and_of_a_closed_one_nothing(spark):
-    blocked = [{"apar_id": "20001", "terms_id": None}]
-    assert migrated(spark, blocked, [("20001", LONG_AGO)], said=[("record", "HOC|20001", "", "KEEP")])["20001"]["classification"] == "FIX"
-    got = migrated(spark, [{"apar_id": "20001", "status": "C"}], [("20001", NOW)], said=[("record", "HOC|20001", "", "KEEP")])["20001"]
+def test_keep_of_a_blocked_record_is_fix_and_of_a_closed_one_nothing(world):
+    assert world["20013"]["classification"] == "FIX"
+    got = world["20014"]
     assert (got["classification"], got["follow_through"], got["overridden"]) == ("OUT_OF_SCOPE", "Conflict: closed in Unit4 against a Keep decision", False)
     assert got["reasons_tags"] == "Closed in Unit4" and got["fired"] == [] and got["trail"][-1]["result"] == "stop"
 
 
-def test_accept_as_is_and_agree(spark):
-    blocked = [{"apar_id": "20001", "terms_id": None}]
-    got = migrated(spark, blocked, [("20001", NOW)])["20001"]
+def test_accept_as_is_and_agree(world):
+    got = world["20019"]
     assert got["classification"] == "FIX" and got["decision_status"] == "awaiting" and got["pending"] == "Confirm classification" and "Completeness" in got["reasons_tags"]
-    got = migrated(spark, blocked, [("20001", NOW)], said=[("record", "HOC|20001", "", "ACCEPT_AS_IS")])["20001"]
+    got = world["20015"]
     assert (got["classification"], got["recommended"], got["overridden"]) == ("KEEP", "FIX", True)
-    got = migrated(spark, ONE, [("20001", LONG_AGO)], said=[("record", "HOC|20001", "", "ACCEPT_AS_IS")])["20001"]
-    assert got["classification"] == "CLOSE"  # only a FIX is accepted
-    got = migrated(spark, ONE, [("20001", LONG_AGO)], said=[("record", "HOC|20001", "", "AGREE", NOW, "CLOSE")])["20001"]
+    assert world["20016"]["classification"] == "CLOSE"  # only a FIX is accepted
+    got = world["20017"]
     assert (got["classification"], got["decision_status"], got["overridden"], got["follow_through"]) == ("CLOSE", "decided", False, "Not yet actioned in Unit4")
-    got = migrated(spark, blocked, [("20001", NOW)], said=[("record", "HOC|20001", "", "WILL_FIX")])["20001"]
+    got = world["20018"]
     assert (got["classification"], got["decision_status"]) == ("FIX", "decided")
 
 
-def test_recommended_is_the_rules_alone(spark):
-    pair = [{"apar_id": i, "bank_account": "55555555"} for i in ("20001", "20002")]
-    now = [("20001", NOW), ("20002", NOW)]
-    got = migrated(spark, pair, now, said=[("record", "HOC|20002", "", "NOT_DUPLICATE")])
-    assert {r["recommended"] for r in got.values()} == {"MONITOR"} and {r["classification"] for r in got.values()} == {"KEEP"}
-    assert {r["recommended_rule"] for r in got.values()} == {"MS-DUP-03"} and {r["rule"] for r in got.values()} == {"MS-CLS-05"}
+def test_recommended_is_the_rules_alone(world):
+    pair = [world["20021"], world["20022"]]
+    assert [(r["recommended"], r["recommended_rule"], r["classification"], r["rule"], r["dup_group"]) for r in pair] == [("MONITOR", "MS-DUP-03", "KEEP", "MS-CLS-05", None)] * 2
 
 
-def test_items_left_out(spark):
-    old = [("20001", LONG_AGO, "OLD")]
-    assert migrated(spark, ONE, (), old)["20001"]["classification"] == "KEEP"
-    got = migrated(spark, ONE, (), old, said=[("item", "HOC|CA|20001|OLD", "", "DONT_MIGRATE")])["20001"]
+def test_items_left_out(world):
+    got = world["20031"]
     assert (got["classification"], got["rule"], got["decision_status"], got["recommended"], got["items"], got["all_items"]) == ("CLOSE", "MS-TRN-02", "decided", "KEEP", 0, 1)
     assert "left out" in got["trail"][-1]["text"] and got["pending"] == ""
-    two = [*old, ("20001", LONG_AGO, "OTHER")]
-    got = migrated(spark, ONE, (), two, said=[("item", "HOC|CA|20001|OLD", "", "DONT_MIGRATE")])["20001"]
+    got = world["20032"]
     assert got["classification"] == "KEEP" and not got["left_out"] and got["pending"] == "1 stuck open item"
-    got = migrated(spark, ONE, [("20001", NOW)], old, said=[("item", "HOC|CA|20001|OLD", "", "DONT_MIGRATE")])["20001"]
-    assert got["classification"] == "KEEP"
+    assert world["20033"]["classification"] == "KEEP" and world["20034"]["classification"] == "KEEP"
 
 
 def test_the_same_voucher_of_two_clients_is_two_items(spark):
@@ -67,46 +81,35 @@ def test_the_same_voucher_of_two_clients_is_two_items(spark):
     assert sorted((r["item_key"], r["balance"], r["item_status"]) for r in pipeline.open_items(df, pipeline.Rules(AS_OF)).collect()) == [("HOC|CA|1|7", 5.0, "Needs review"), ("HOC|CM|1|7", -5.0, "Needs review")]
 
 
-def test_follow_through_and_missing_records(spark):
-    rows = [{"apar_id": "20001", "status": "C"}, {"apar_id": "20002"}]
-    said = [("record", "HOC|20001", "", "CLOSE"), ("record", "HOC|20002", "", "CLOSE"), ("record", "HOC|20004", "", "CLOSE", NOW, None, "Gone Ltd"), ("record", "HOC|20009", "", "NOT_DUPLICATE")]
-    got = migrated(spark, rows, [("20002", LONG_AGO)], said=said)
-    assert {k: (r["classification"], r["follow_through"]) for k, r in got.items()} == {"20001": ("OUT_OF_SCOPE", "Actioned in Unit4"), "20002": ("CLOSE", "Not yet actioned in Unit4"), "20004": ("NOT_IN_EXTRACT", "Not in latest extract")}
-    gone = got["20004"]
+def test_follow_through_and_missing_records(world):
+    assert {i: (world[i]["classification"], world[i]["follow_through"]) for i in ("20041", "20042", "20044")} == {"20041": ("OUT_OF_SCOPE", "Actioned in Unit4"), "20042": ("CLOSE", "Not yet actioned in Unit4"), "20044": ("NOT_IN_EXTRACT", "Not in latest extract")}
+    gone = world["20044"]
     assert (gone["apar_name"], gone["house"], gone["decision_status"], gone["reasons_tags"], gone["fired"], gone["trail"]) == ("Gone Ltd", "HOC", "decided", "Not in extract", [], None)
+    assert "20099" not in world  # only decisions about the class bring a record back
 
 
-def test_alert_where_another_record_is_used_after_confirmation(spark):
-    pair = [{"apar_id": i, "bank_account": "55555555"} for i in ("20001", "20002")]
-    got = migrated(spark, pair, [("20001", NOW), ("20002", AGO)], said=[("record", "HOC|20002", "", "CONFIRM_PREFERRED", "2026-06-01")])
-    assert got["20002"]["preferred"] and got["20001"]["alert"] and not got["20002"]["alert"] and got["20001"]["classification"] == "MONITOR"
-    got = migrated(spark, pair, [("20001", AGO), ("20002", AGO)], said=[("record", "HOC|20002", "", "CONFIRM_PREFERRED", "2026-06-01")])
-    assert not got["20001"]["alert"]
+def test_alert_where_another_record_is_used_after_confirmation(world):
+    assert world["20052"]["preferred"] and world["20051"]["alert"] and not world["20052"]["alert"] and world["20051"]["classification"] == "MONITOR"
+    assert world["20054"]["preferred"] and not world["20053"]["alert"]
 
 
-def test_possible_duplicates_and_what_settles_them(spark):
-    pair = [{"apar_id": "20001", "apar_name": "Brightwater Catering Services Ltd"}, {"apar_id": "20002", "apar_name": "Brightwater Catering Service Limited"}]
-    now = [("20001", NOW), ("20002", "2026-01-20")]
-    got = migrated(spark, pair, now)
-    assert all(r["possible_duplicate"] and "Review possible duplicate" in r["pending"] and "Possible duplicate" in r["reasons_tags"] and "MS-DUP-02" in r["fired"] for r in got.values())
-    for said in (("pair", "HOC|20002", "HOC|20001", "DIFFERENT_SUPPLIER"), ("pair", "HOC|20001", "HOC|20002", "SAME_SUPPLIER"), ("record", "HOC|20002", "", "NOT_DUPLICATE")):
-        got = migrated(spark, pair, now, said=[said])
-        assert not any(r["possible_duplicate"] for r in got.values()), said
-        assert (got["20001"]["dup_group"] is not None) == (said[3] == "SAME_SUPPLIER")
-    same = [{**r, "bank_account": "55555555"} for r in pair]
-    assert not any(r["possible_duplicate"] for r in migrated(spark, same, now).values())  # in one group already
-    other = [pair[0], {**pair[1], "apar_gr_id": "ME"}]
-    assert not any(r["possible_duplicate"] for r in migrated(spark, other, now).values())  # commercial records only
+def test_possible_duplicates_and_what_settles_them(world):
+    for i in ("20061", "20062"):
+        r = world[i]
+        assert r["possible_duplicate"] and "Review possible duplicate" in r["pending"] and "Possible duplicate" in r["reasons_tags"] and "MS-DUP-02" in r["fired"]
+    settled = [str(i) for i in range(20063, 20071)] + ["20081", "20082"]  # parted, linked, no duplicate, one group already, not commercial
+    assert not any(world[i]["possible_duplicate"] for i in settled)
+    assert {i for i in settled if world[i]["dup_group"]} == {"20065", "20066", "20069", "20070"}
 
 
 def test_cross_house_is_a_tag_and_no_group(spark):
-    rows = [{"apar_id": "20001", "vat_reg_no": "GB245719348"}, {"apar_id": "52000", "house": "HOL", "client": "LA", "apar_gr_id": "01", "vat_reg_no": "GB245719348"}, {"apar_id": "52001", "house": "HOL", "client": "LA", "apar_gr_id": "01", "vat_reg_no": "GB245719348", "bank_account": "77777777"}]
-    got = migrated(spark, rows, [("20001", NOW)])
-    assert got["20001"]["cross_house"] == "Same VAT number as HOL|52000 and 1 more" and got["20001"]["dup_group"] is None
-    assert got["52000"]["cross_house"] == got["52001"]["cross_house"] == "Same VAT number as HOC|20001" and got["52000"]["dup_group"] == "HOL|52000"
-    assert "Cross-House" in got["20001"]["reasons_tags"] and "MS-XH-01" in got["20001"]["fired"]
-    got = migrated(spark, rows, [("20001", NOW)], rules=pipeline.Rules(AS_OF, cross_house_as_duplicate=True))
-    assert {r["dup_group"] for r in got.values()} == {"HOC|20001"}
+    rows = [{"apar_id": "20005", "vat_reg_no": "GB245719348"}, {"apar_id": "52000", "house": "HOL", "client": "LA", "apar_gr_id": "01", "vat_reg_no": "GB245719348"}, {"apar_id": "52001", "house": "HOL", "client": "LA", "apar_gr_id": "01", "vat_reg_no": "GB245719348", "bank_account": "77777777"}]
+    got = migrated(spark, rows, [("20005", NOW)])
+    assert got["20005"]["cross_house"] == "Same VAT number as HOL|52000 and 1 more" and got["20005"]["dup_group"] is None
+    assert got["52000"]["cross_house"] == got["52001"]["cross_house"] == "Same VAT number as HOC|20005" and got["52000"]["dup_group"] == "HOL|52000"
+    assert "Cross-House" in got["20005"]["reasons_tags"] and "MS-XH-01" in got["20005"]["fired"]
+    got = migrated(spark, rows, [("20005", NOW)], rules=pipeline.Rules(AS_OF, cross_house_as_duplicate=True))
+    assert {r["dup_group"] for r in got.values()} == {"HOC|20005"}
 
 
 def test_mask_gives_class_rules_and_tags(spark):

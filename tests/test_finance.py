@@ -138,7 +138,7 @@ def test_decisions(spark):
 
 def positions(spark, suppliers, invoices=(), open_items=(), said=(), rules=None):
     """All positions. invoices: (id, day); open_items: (id, day) or (id, day, voucher, client); said: (target type, target, related, decision[, day, recommendation, label])."""
-    keys = lambda r: {"vat_reg_no": f"GB{100000000 + int(r['apar_id'])}", "comp_reg_no": f"{10000000 + int(r['apar_id'])}", "bank_account": f"{30000000 + int(r['apar_id'])}", "apar_name": f"{NAMES[int(r['apar_id']) % len(NAMES)]} {r['apar_id']} Ltd", "zip_code": "SW1A 1AA", **r}
+    keys = lambda r: {"vat_reg_no": f"GB{100000000 + int(r['apar_id'])}", "comp_reg_no": f"{10000000 + int(r['apar_id'])}", "bank_account": f"{30000000 + int(r['apar_id'])}", "apar_name": named(r["apar_id"]), "zip_code": "SW1A 1AA", **r}
     master = supplier(spark, *map(keys, suppliers)).withColumn("last_update", F.lit("2026-01-01").cast("date"))
     tx = "house string, client string, apar_id string, voucher_no string, voucher_type string, status string, trans_date string, rest_amount double"
     rows = lambda found, amount: spark.createDataFrame([("HOC", (*x, "CA")[3] if len(x) > 3 else "CA", x[0], x[2] if len(x) > 2 else f"v{x[0]}", "PI", "N", x[1], amount) for x in found], tx).withColumn("trans_date", F.to_date("trans_date"))
@@ -150,6 +150,12 @@ def positions(spark, suppliers, invoices=(), open_items=(), said=(), rules=None)
 NAMES = ("Quartz", "Heron", "Maple", "Tundra", "Sable", "Onyx", "Pewter", "Lagoon", "Cobalt", "Juniper")
 
 
+def named(apar_id):
+    """A name unlike that of any other id: the words stand for digits, and differ by place."""
+    first, second, third = (NAMES[int(d)] for d in apar_id[-3:])
+    return f"{first}{first} {second[::-1]} {third} Ltd"
+
+
 def migrated(*args, **more):
     return {r["apar_id"]: r for r in positions(*args, **more).collect()}
 
