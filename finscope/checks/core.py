@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finscope.scratch import written
+
 #: Error rates (percent) up to which a check is green, and amber, by severity.
 RAG = {"Critical": (1, 5), "High": (3, 10), "Medium": (5, 15), "Low": (10, 25)}
 RESULT_COLUMNS = ["check_id", "domain", "object", "dimension", "severity", "house", "total", "failing", "passing", "error_rate", "pass_rate", "rag"]
@@ -128,33 +130,79 @@ def needs(checks: list[Check]) -> set[str]:
     return seen
 
 
-def with_refs(df: DataFrame, frames: dict[str, DataFrame], sql: str, as_of: str) -> DataFrame:
-    """df with a column for each value from elsewhere that `sql` uses."""
-    for name in used(sql):
-        if name in df.columns:
+#: Aggregates that are null for no row and can be taken over the rows that meet a condition.
+_SIMPLE = re.compile(r"(min|max|sum|bool_or|bool_and)\([^()]*(\([^()]*\)[^()]*)*\)")
+
+
+def _measure(ref: Ref, as_of: str) -> str:
+    where = dated(ref.where, as_of)
+    own = dated(ref.value, as_of) if where == "true" else f"{dated(ref.value, as_of)} FILTER (WHERE {where})"
+    return f"nullif({own}, 0)" if ref.value == "count(*)" else own
+
+
+def _lookups(refs: dict[str, Ref]) -> list[dict[str, Ref]]:
+    """References by table and keys: those that one aggregation can make together."""
+    groups: dict[tuple, dict[str, Ref]] = {}
+    for name, ref in refs.items():
+        together = ref.value == "count(*)" or _SIMPLE.fullmatch(ref.value)
+        groups.setdefault((ref.table, ref.keys) if together else (name,), {})[name] = ref
+    return list(groups.values())
+
+
+def _with_found(df: DataFrame, frames: dict[str, DataFrame], refs: dict[str, Ref], as_of: str) -> DataFrame:
+    for group in _lookups(refs):
+        first = next(iter(group.values()))
+        source = frames.get(first.table)
+        if source is None:
+            for name, ref in group.items():
+                df = df.withColumn(name, F.expr(f"cast({ref.missing} AS {'bigint' if ref.value == 'count(*)' else 'string'})"))
             continue
-        ref = _REFS[name]
-        where = dated(ref.where, as_of)
-        if ref.kind == "repeated":
-            keys = ["house", *ref.keys]
-            df = with_refs(df, frames, " ".join([where, *keys]), as_of)
-            other = df.where(where).groupBy(*[F.expr(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n")).where("_n > 1")
-            on = [F.expr(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-            value = F.lit(True)
+        if len(group) == 1 and first.value != "count(*)" and not _SIMPLE.fullmatch(first.value):
+            source, measures = source.where(dated(first.where, as_of)), {name: dated(ref.value, as_of) for name, ref in group.items()}
         else:
-            source = frames.get(ref.table)
-            if source is None:
-                df = df.withColumn(name, F.expr(f"cast({ref.missing} AS {'bigint' if ref.value == 'count(*)' else 'string'})"))
-                continue
-            columns = [c for c, _ in ref.keys]
-            other = source.where(where).groupBy(*[F.expr(c).alias(f"_k{i}") for i, c in enumerate(columns)]).agg(F.expr(dated(ref.value, as_of)).alias("_v"))
-            on = [F.expr(dated(e, as_of)) == F.col(f"_k{i}") for i, (_, e) in enumerate(ref.keys)]
-            value = F.col("_v")
-        other = other.select(*[F.col(f"_k{i}") for i in range(len(on))], value.alias(name))
+            if all(ref.where == first.where for ref in group.values()):
+                source, group = source.where(dated(first.where, as_of)), {n: replace(ref, where="true") for n, ref in group.items()}
+            measures = {name: _measure(ref, as_of) for name, ref in group.items()}
+        keys = [F.expr(c).alias(f"_k{i}") for i, (c, _) in enumerate(first.keys)]
+        other = source.groupBy(*keys).agg(*[F.expr(m).alias(name) for name, m in measures.items()])
+        on = [F.expr(dated(e, as_of)) == F.col(f"_k{i}") for i, (_, e) in enumerate(first.keys)]
         df = df.join(other, on, "left").drop(*[f"_k{i}" for i in range(len(on))])
     return df
 
 
+def _key(ref: Ref, as_of: str):
+    """The values of a reference's keys as one text, null and empty apart."""
+    return F.to_json(F.array(*[F.expr(dated(k, as_of)).cast("string") for k in ("house", *ref.keys)]))
+
+
+def _with_repeated(df: DataFrame, refs: dict[str, Ref], as_of: str) -> DataFrame:
+    """All repeated keys are counted in one pass: a row gives one for each reference whose condition it meets."""
+    cells = [F.when(F.coalesce(F.expr(dated(ref.where, as_of)), F.lit(False)), F.struct(F.lit(i).alias("ref"), _key(ref, as_of).alias("key"))) for i, ref in enumerate(refs.values())]
+    every = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+    many = every.groupBy("ref", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if len(refs) > 1:
+        many = written(many, "repeated")
+    for i, (name, ref) in enumerate(refs.items()):
+        own = many.where(F.col("ref") == i).select(F.col("key").alias("_key"), F.lit(True).alias(name))
+        df = df.join(own, _key(ref, as_of) == F.col("_key"), "left").drop("_key")
+    return df
+
+
+def with_refs(df: DataFrame, frames: dict[str, DataFrame], sql: str, as_of: str) -> DataFrame:
+    """df with a column for each value from elsewhere that `sql` uses."""
+    refs = {name: _REFS[name] for name in used(sql) if name not in df.columns}
+    repeats = {n: r for n, r in refs.items() if r.kind == "repeated"}
+    lookups = {n: r for n, r in refs.items() if r.kind == "found"}
+    inner = [n for r in repeats.values() for n in used(" ".join([r.where, *r.keys]))]  # what repeated keys and their conditions use in turn
+    lookups |= {n: _REFS[n] for n in inner if _REFS[n].kind == "found" and n not in df.columns}
+    df = _with_found(df, frames, lookups, as_of)
+    nested = {n: _REFS[n] for n in inner if _REFS[n].kind == "repeated" and n not in df.columns}
+    if nested:
+        df = with_refs(df, frames, " ".join(nested), as_of)
+    repeats = {n: r for n, r in repeats.items() if n not in df.columns}
+    return _with_repeated(df, repeats, as_of) if repeats else df
+
+
 def annotated(frames: dict[str, DataFrame], table: str, checks: list[Check], as_of: str) -> DataFrame:
     """The table with p_<i> and f_<i> for check i: in its population? failing?"""
     df = with_refs(frames[table], frames, " ".join(c.fails + " " + c.population for c in checks), as_of)
@@ -205,7 +253,3 @@ def enrich(failing: DataFrame, reference: DataFrame, on: dict[str, str], prefix:
     first = reference.groupBy(*[F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values())]).agg(F.min(F.struct(*rank, *columns)).alias("_r"))
     joined = failing.join(first, [F.col(left) == F.col(f"_k{i}") for i, left in enumerate(on)], "left")
     return joined.select(*failing.columns, *[F.col(f"_r.{c}").alias(f"{prefix}{c}") for c in columns])
-
-
-def frames_from_views(spark: SparkSession, names) -> dict[str, DataFrame]:
-    return {n: spark.table(n) for n in names}

@@ -36,3 +36,14 @@ FROM (SELECT house, coalesce({population}, false) AS p, coalesce({fails}, false)
 FROM (SELECT *, round_even(100.0::DOUBLE - error_rate, 1) AS pass_rate FROM (
   SELECT *, total - failing AS passing, round_even(failing * 100.0::DOUBLE / total, 1) AS error_rate FROM ({' UNION ALL '.join(parts)}) WHERE total > 0))"""
     return bindings.with_tables(tables, sql, made)
+
+
+def evidence_sql(checks: list[core.Check], as_of: str, columns: dict[str, list[str]], sources=(), made: dict[str, str] | None = None) -> str:
+    """How many rows fail each check by house, and a sum over hashes of what is shown of them. columns: those shown, by check."""
+    parts, tables = [], {c.table for c in checks} | core.needs(checks) | set(sources)
+    shown = lambda c: f"'{c}: ' || CASE WHEN coalesce(trim({c}::VARCHAR), '') IN ('', 'nan', 'None', 'NaT') THEN '(blank)' ELSE {c}::VARCHAR END"
+    for c in checks:
+        bad = _in_place(f"({c.population}) AND ({c.fails})", "t", as_of)
+        text = " || ' - ' || ".join(shown(x) for x in columns[c.id])
+        parts.append(f"SELECT '{c.id}' AS check_id, house, count(*) AS rows, sum(('0x' || md5(told)[1:8])::BIGINT)::BIGINT AS told FROM (SELECT house, {text} AS told, coalesce({bad}, false) AS bad FROM {c.table}) WHERE bad GROUP BY house")
+    return bindings.with_tables(tables, " UNION ALL ".join(parts), made)

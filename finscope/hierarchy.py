@@ -1,9 +1,7 @@
-"""Depth of each node of a parent-pointer hierarchy."""
+"""Depth of each node of a parent-pointer hierarchy, by pointer doubling."""
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,22 +9,58 @@ from finscope.clean import is_blank
 from finscope.scratch import written
 
 
+def _jumped(chains: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, node, at, steps, done): where the chain of each node ends, and after how many steps.
+
+    chains: (scope, node, at), one parent a node. In each round every pointer
+    takes over the pointer of the node that it points to, so a chain of n nodes
+    is done after log n rounds. What isn't done by then goes in a circle.
+    """
+    own = chains.select(*scope, F.col("node").alias("at"), F.lit(True).alias("_on"))
+    state = chains.join(own, [*scope, "at"], "left").select(*scope, "node", "at", F.lit(1).cast("long").alias("steps"), F.col("_on").isNull().alias("done"))
+    state = written(state, "pointers")
+    for _ in range(chains.count().bit_length() + 1):
+        if not state.where("NOT done").limit(1).count():
+            break
+        ahead = state.select(*scope, F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        moved = state.where("NOT done").join(ahead, [*scope, "at"]).select(*scope, "node", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
+        state = written(state.where("done").unionByName(moved), "pointers")
+    return state.where("done")
+
+
 def with_depth(df: DataFrame, scope: list[str], node: str, parent: str) -> DataFrame:
     """df with `depth`: 1 for a root (blank parent), one more than the parent's below it.
 
     Where a node is listed more than once its least depth stands. Nodes whose
-    chain ends nowhere or goes in a circle have depth 1. Each level is one join with the nodes of the level
-    before, which is written so that no plan grows with the depth.
+    chain ends nowhere or goes in a circle have depth 1. Nodes with one parent are
+    done by pointer doubling, up to a root or a node with several parents; those
+    nodes are then settled among themselves, in as many rounds as lie one above
+    the other, so a plain chain of n nodes takes about log2 n rounds in all.
     """
-    nodes = df.select(*scope, F.col(node).alias("_node"), F.trim(parent).alias("_parent"))
-    found = written(nodes.where(is_blank(F.col("_parent"))).select(*scope, "_node").distinct().withColumn("depth", F.lit(1)), "depths")
-    last = found
-    for level in count(2):
-        up = last.select(*scope, F.col("_node").alias("_parent"))
-        new = nodes.join(up, [*scope, "_parent"]).select(*scope, "_node").distinct().join(found, [*scope, "_node"], "left_anti")
-        last = written(new.withColumn("depth", F.lit(level)), "depths")
-        if not last.limit(1).count():
-            break
-        found = found.unionByName(last)
-    joined = df.join(found.withColumnRenamed("_node", node), [*scope, node], "left")
+    nodes = written(df.select(*scope, F.col(node).alias("node"), F.trim(parent).alias("at"), is_blank(F.trim(parent)).alias("root")).where("node IS NOT NULL").distinct(), "hierarchy")
+    roots = nodes.where("root").select(*scope, "node").distinct()
+    below = nodes.where("NOT root").join(roots, [*scope, "node"], "left_anti").select(*scope, "node", "at")
+    parents = below.groupBy(*scope, "node").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    chains = written(parents.where("n = 1").select(*scope, "node", "at"), "chains")
+    ends = _jumped(chains, scope)
+
+    several = below.join(parents.where("n > 1").select(*scope, "node"), [*scope, "node"], "left_semi")
+    known = roots.withColumn("depth", F.lit(1).cast("long"))
+    if several.limit(1).count():
+        ahead = ends.select(*scope, F.col("node").alias("at"), F.col("at").alias("_end"), "steps")
+        known_chain = chains.select(*scope, F.col("node").alias("at"), F.lit(True).alias("_chain"))
+        ways = several.join(known_chain, [*scope, "at"], "left").join(ahead, [*scope, "at"], "left")
+        ways = ways.where("_chain IS NULL OR _end IS NOT NULL").select(*scope, "node", F.coalesce("_end", "at").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+        ways = written(ways, "ways")
+        while True:
+            at = known.select(*scope, F.col("node").alias("at"), "depth")
+            found = ways.join(at, [*scope, "at"]).groupBy(*scope, "node").agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+            better = written(found.join(known.withColumnRenamed("depth", "_old"), [*scope, "node"], "left").where("_old IS NULL OR depth < _old").drop("_old"), "depths")
+            if not better.limit(1).count():
+                break
+            known = written(known.join(better, [*scope, "node"], "left_anti").unionByName(better), "depths")
+    at = known.select(*scope, F.col("node").alias("at"), "depth")
+    chained = ends.join(at, [*scope, "at"]).select(*scope, "node", (F.col("depth") + F.col("steps")).alias("depth"))
+    depths = known.unionByName(chained).select(*scope, F.col("node").alias(node), F.col("depth").cast("int").alias("depth"))
+    joined = df.join(depths, [*scope, node], "left")
     return joined.select(*df.columns, F.coalesce("depth", F.lit(1)).alias("depth"))

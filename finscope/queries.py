@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from finscope import bindings, extracts, hierarchy, house, io, scores
 from finscope.bindings import AS_OF
-from finscope.checks import CATALOGUE, core, oracle
+from finscope.checks import CATALOGUE, core, evidence, oracle
 from finscope.migration import decisions, pipeline
 from finscope.positions import aging, money, nbv, orders, projects
 
@@ -269,6 +269,47 @@ _tasks = lambda f: projects.tasks(projects.in_scope(_project(f)[1], expenditure_
 _add("project_tasks", _PRJ, _tasks, f"SELECT * FROM {_TASKS}")
 _add("project_idle_codes", _PRJ, lambda f: projects.idle_codes(f["project_list"], _tasks(f)), f"SELECT hais_code, l.* FROM (SELECT hais_code, min({{'unit': unit, 'hais_desc': hais_desc, 'status': status}}) AS l FROM project_list WHERE hais_code IS NOT NULL GROUP BY 1) WHERE hais_code NOT IN (SELECT hais_code FROM {_TASKS} WHERE hais_code IS NOT NULL)")
 
+# Evidence of every check
+
+_BUILDS = {"asset_nbv": (_NBV, _nbv, _ASSET_ROWS), "project_codes": (_PRJ, _codes, _CODES), "project_units": (_PRJ, lambda f: projects.positions(_project(f)[1]), _UNITS), "project_commitments": (_PRJ, lambda f: projects.commitments(_project(f)[0]), _COMMITMENTS)}
+
+
+def _domain_evidence(domain: str) -> None:
+    own = [c for c in CATALOGUE if c.domain == domain]
+    built = [t for t in _BUILDS if any(c.table == t for c in own)]
+    deep = any(c in _DEPTH for c in own)
+    tables = ({c.table for c in own} | core.needs(own)).union(*[_BUILDS[t][0] for t in built]) - set(_BUILDS)
+
+    def rows(spark, sf_dir):
+        f = bindings.frames(spark, sf_dir, tables)
+        f |= {t: _BUILDS[t][1](f) for t in built} | ({"agldimvalue": _depth(f)} if deep else {})
+        told = F.conv(F.substring(F.md5("evidence"), 1, 8), 16, 10).cast("long")
+        return evidence.failing(f, own, AS_OF).groupBy("check_id", "house").agg(F.count("*").alias("rows"), F.sum(told).alias("told"))
+
+    _QUERIES[f"evidence_{domain.lower()}"] = rows
+    made = {t: _BUILDS[t][2] for t in built} | (_TREE if deep else {})
+    checks = [replace(c, table="deep") if c in _DEPTH else c for c in own]
+    _EVIDENCE[domain] = (checks, tables, made)
+
+
+_EVIDENCE: dict = {}
+for _domain in dict.fromkeys(c.domain for c in CATALOGUE):
+    _domain_evidence(_domain)
+
+
+def _evidence_sql() -> None:
+    """The columns shown follow from those of the tables, which DuckDB tells for empty sources."""
+    import duckdb
+
+    base = duckdb.connect()
+    for name, columns in bindings.SOURCE_COLUMNS.items():
+        base.execute(f"CREATE TABLE {name} ({columns})")
+    for domain, (checks, tables, made) in _EVIDENCE.items():
+        columns = {t: [r[0] for r in base.execute("DESCRIBE " + bindings.with_tables(tables, f"SELECT * FROM {t}", made)).fetchall()] for t in {c.table for c in checks}}
+        plain = {c.id: next(x for x in CATALOGUE if x.id == c.id) for c in checks}
+        _SQL[f"evidence_{domain.lower()}"] = oracle.evidence_sql(checks, AS_OF, {c.id: evidence.shown(plain[c.id], columns[c.table]) for c in checks}, tables, made)
+
+
 # Contracts, budgets, staff
 
 _add("contract_reliability", {"atamis_contracts"}, lambda f: money.organisation_reliability(f["atamis_contracts"]), "SELECT s AS stated, house AS derived, CASE WHEN house = 'Unknown' THEN 'No match' WHEN s = 'JOINT' THEN 'Joint' WHEN s = house THEN 'Agrees' WHEN s IN ('HOC', 'HOL') THEN 'Differs' ELSE 'Not a house' END AS verdict, count(*) AS contracts FROM (SELECT upper(trim(organisation)) AS s, house FROM atamis_contracts) GROUP BY ALL")
@@ -527,4 +568,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    if "evidence_ap" not in _SQL:
+        _evidence_sql()
     return dict(_SQL)
