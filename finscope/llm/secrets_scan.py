@@ -7,14 +7,21 @@ above and below the middle, and for serial correlation; Fisher's method makes
 one p-value of the three. Keys keep it large, words and names bring it down.
 
 How often nature reaches a p-value is learned from the corpus, for each encoding
-and length band: every document gives a few strings of its own words, joined as
-names, paths and identifiers are, of lengths by its hash. All candidates enter
-the counts, those inside the patterns' spans too. In each encoding and band the
-least cut-off is taken at which the expected share of natural ones among the
-candidates above it is at most `fdr`; how many are natural is told by how many
-have small p-values. Short runs of few kinds of characters hence need much larger
-p-values than long ones, or are never accepted. The counts cover the whole corpus
-and are as many as encodings, bands and bins.
+and length band: every document gives strings of its own words, joined as names,
+paths and identifiers are, of lengths by its hash. Where an encoding and band has
+fewer than `LEAST_NATURE` of them, it takes those of its class of alphabets in
+that band, else those of all encodings there, else those of all bands up to it
+(shorter strings reach larger p-values, so that errs to the safe side); where
+none of these has enough, and for runs of digits alone, of which words tell
+nothing, no run is accepted. Of candidates, those inside the patterns' spans too,
+different ones are counted once each, however often they are copied. In each
+encoding and band the least cut-off is taken at which the expected share of
+natural ones among the candidates above it is at most `fdr`; how many are natural
+is told by how many have small p-values, and one more. Short runs of few kinds of
+characters hence need much larger p-values than long ones, or are never accepted.
+The counts cover the whole corpus and are as many as encodings, bands and bins.
+
+A UUID is an identifier and no key: its hyphens make it fail the battery.
 
 Defined cases: null text is empty and has no span; a very long text is read
 whole; rows are judged one by one, so equal ids and repeated rows each get their
@@ -31,6 +38,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +80,13 @@ _INDEX = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in E
 BINS = 200
 #: Least lengths of the length bands.
 BANDS = (16, 20, 24, 32, 40, 64)
-#: Natural strings that each document gives.
-STRINGS = 4
+#: Natural strings that each document gives, and how many a null needs.
+STRINGS, LEAST_NATURE = 4, 100
+#: Classes of alphabets whose natural strings stand in for each other.
+CLASSES = {
+    "one case": ("hex", "hex_upper", "letters", "letters_upper", "base32", "base32_lower", "base36", "base36_upper"),
+    "both cases": ("base52", "base62", "base64", "base64url", "any"),
+}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -160,10 +173,10 @@ def judged(token: str) -> tuple[str, float, int]:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, runs, nature): pattern spans; candidates with encoding, p-value, length band and whether they are inside a pattern's span; the same of the document's natural strings."""
+    """(doc_id, base, runs, nature): pattern spans; candidates with a hash, encoding, p-value, length band and whether they are inside a pattern's span; encoding, p-value and band of the document's natural strings."""
     base_kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     told = [("encoding", pa.string()), ("p", pa.float64()), ("band", pa.int32())]
-    run_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), *told, ("under", pa.bool_())]))
+    run_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("key", pa.int64()), *told, ("under", pa.bool_())]))
 
     def start():
         def work(batch: pa.RecordBatch):
@@ -175,7 +188,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 for m in RUN.finditer(text):
                     a, b = m.span()
                     name, p, band = judged(m[0])
-                    runs.append({"start": a, "end": b, "encoding": name, "p": p, "band": band, "under": any(a < e and s < b for s, _, e in base)})
+                    runs.append({"start": a, "end": b, "key": xxhash.xxh3_64_intdigest(m[0]) - (1 << 63), "encoding": name, "p": p, "band": band, "under": any(a < e and s < b for s, _, e in base)})
                 bases.append([{"start": a, "kind": kind, "end": b} for a, kind, b in base])
                 all_runs.append(runs)
                 nature.append([dict(zip(("encoding", "p", "band"), judged(x))) for x in natural(text)])
@@ -185,31 +198,49 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     told_sql = "encoding: string, p: double, band: int"
-    return appended(rows, f"base array<struct<start: bigint, kind: int, end: bigint>>, runs array<struct<start: bigint, end: bigint, {told_sql}, under: boolean>>, nature array<struct<{told_sql}>>", start).drop("text")
+    return appended(rows, f"base array<struct<start: bigint, kind: int, end: bigint>>, runs array<struct<start: bigint, end: bigint, key: bigint, {told_sql}, under: boolean>>, nature array<struct<{told_sql}>>", start).drop("text")
 
 
 def cutoff(candidates: np.ndarray, nature: np.ndarray, fdr: float, low: int = BINS // 20) -> int | None:
     """The least bin from which on at most `fdr` of the candidates are expected to be natural, given counts by bin of both; None if there is none."""
     above = lambda x: x[::-1].cumsum()[::-1]
     n = candidates.sum()
-    # One natural string more than seen may reach every bin; keys are in the low bins as often as in any others.
+    # One natural string more than seen may reach every bin, and one candidate more may be natural; keys are in the low bins as often as in any others.
     share = (1 + above(nature)) / (1 + nature.sum())
     small = (nature[:low].sum() + 1) / (nature.sum() + 1)
-    many = min(n, candidates[:low].sum() / small)
+    many = min(n, (candidates[:low].sum() + 1) / small)
     kept = above(candidates)
     good = (many * share <= fdr * kept) & (kept > 0)
     return int(np.argmax(good)) if good.any() else None
 
 
+def null_of(cell: tuple[str, int], nature: dict[tuple[str, int], np.ndarray]) -> np.ndarray | None:
+    """Counts by bin of the natural strings that a cell (encoding, band) is held against: its own, else those of its neighbours; None if there are too few."""
+    name, band = cell
+    kin = next((names for names in CLASSES.values() if name in names), ())
+    every = [x for names in CLASSES.values() for x in names] if kin else []
+    for names, bands in (([name], [band]), (kin, [band]), (every, [band]), (every, range(band + 1))):
+        pool = sum((nature[n, b] for n in names for b in bands if (n, b) in nature), np.zeros(BINS))
+        if pool.sum() >= LEAST_NATURE:
+            return pool
+    return None
+
+
 def cutoffs(scans: DataFrame, fdr: float = 0.05) -> dict[tuple[str, int], int]:
     """Least bin of p-values accepted for each encoding and length band; those in which none will do are left out."""
-    told = lambda c, seen: F.struct(F.lit(seen).alias("seen"), c["encoding"].alias("encoding"), c["band"].alias("band"), F.least(F.floor(c["p"] * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
-    both = F.concat(F.transform("runs", lambda r: told(r, True)), F.transform("nature", lambda r: told(r, False)))
-    counts: dict = {}
-    for r in scans.select(F.explode(both).alias("x")).select("x.*").groupBy("seen", "encoding", "band", "bin").agg(F.count("*").alias("n")).collect():
-        counts.setdefault((r["encoding"], r["band"]), np.zeros((2, BINS)))[int(r["seen"]), r["bin"]] = r["n"]
-    found = {cell: cutoff(seen, nature, fdr) for cell, (nature, seen) in sorted(counts.items())}
-    return {cell: b for cell, b in found.items() if b is not None}
+    at = lambda p: F.least(F.floor(p * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    seen = scans.select(F.explode("runs").alias("x")).select("x.key", "x.encoding", "x.band", at(F.col("x.p"))).distinct().withColumn("seen", F.lit(True)).drop("key")
+    own = scans.select(F.explode("nature").alias("x")).select("x.encoding", "x.band", at(F.col("x.p")), F.lit(False).alias("seen"))
+    counts: dict = {True: {}, False: {}}
+    for r in seen.unionByName(own).groupBy("seen", "encoding", "band", "bin").agg(F.count("*").alias("n")).collect():
+        counts[r["seen"]].setdefault((r["encoding"], r["band"]), np.zeros(BINS))[r["bin"]] = r["n"]
+    found = {}
+    for cell, candidates in sorted(counts[True].items()):
+        nature = null_of(cell, counts[False])
+        least = None if nature is None else cutoff(candidates, nature, fdr)
+        if least is not None:
+            found[cell] = least
+    return found
 
 
 def spans(docs: DataFrame, fdr: float = 0.05, **columns) -> DataFrame:

@@ -228,28 +228,41 @@ def test_keys_that_no_pattern_catches_are_found_and_words_are_not(spark):
     assert len(found - planted) <= 0.05 * len(found) + 1
 
 
+ONE_CASE = {"hex", "hex_upper", "letters", "letters_upper", "base32", "base32_lower", "base36", "base36_upper"}
+BOTH_CASES = {"base52", "base62", "base64", "base64url", "any"}
+
+
 def test_random_spans_match_brute_force(spark):
     rows, _ = secret_rows(600, seed=5)
     rows += [(9000, "token=" + "Qx7" * 12 + " " + rows[10][1], "", ""), (9001, None, "", ""), (9001, "", "", ""), (None, rows[20][1] * 60, "", "")]
-    seen, nature, runs = {}, {}, []
+    seen, nature, runs = {}, [], []
     binned = lambda p: min(int(p * secrets_scan.BINS), secrets_scan.BINS - 1)
     for i, text, *_ in rows:
         text = text or ""
         for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
             name, p, band = secrets_scan.judged(m[0])
-            seen.setdefault((name, band), []).append(binned(p))
+            seen.setdefault((name, band), {})[m[0]] = binned(p)  # each text once
             if not any(m.start() < e and s < m.end() for s, _, e in brute_base(text)):
                 runs.append((i, m.start(), m.end(), name, band, binned(p)))
         for own in secrets_scan.natural(text):
             name, p, band = secrets_scan.judged(own)
-            nature.setdefault((name, band), []).append(binned(p))
+            nature.append((name, band, binned(p)))
+
+    def null(name, band):
+        kin = next((kind for kind in (ONE_CASE, BOTH_CASES) if name in kind), {name})
+        pools = [lambda n, b: (n, b) == (name, band), lambda n, b: n in kin and b == band]
+        if name != "decimal":
+            pools += [lambda n, b: n != "decimal" and b == band, lambda n, b: n != "decimal" and b <= band]
+        return next((own for pool in pools for own in [[p for n, b, p in nature if pool(n, b)]] if len(own) >= 100), None)
 
     def accepted(cell, least):
-        ours, theirs = seen[cell], nature.get(cell, [])
+        ours, theirs = list(seen[cell].values()), null(*cell)
+        if theirs is None:
+            return False
         share = (1 + sum(b >= least for b in theirs)) / (1 + len(theirs))
         small = (1 + sum(b < 10 for b in theirs)) / (1 + len(theirs))
         kept = sum(b >= least for b in ours)
-        return kept and min(len(ours), sum(b < 10 for b in ours) / small) * share <= 0.05 * kept
+        return kept and min(len(ours), (1 + sum(b < 10 for b in ours)) / small) * share <= 0.05 * kept
 
     cut = {cell: next((b for b in range(secrets_scan.BINS) if accepted(cell, b)), 999) for cell in seen}
     want = sorted(((i, a, b) for i, a, b, name, band, p in runs if p >= cut[name, band]), key=str)
@@ -258,6 +271,40 @@ def test_random_spans_match_brute_force(spark):
     assert sorted(((r["doc_id"], s["start"], s["end"]) for r in out for s in r["spans"] if s["kind"] == "random"), key=str) == want
 
 
+def random_spans(spark, rows):
+    out = secrets_scan.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {(r["doc_id"], s["start"], s["end"]) for r in out for s in r["spans"] if s["kind"] == "random"}
+
+
+def test_keys_of_an_encoding_that_words_never_have(spark):
+    rng = random.Random(21)
+    rows, planted = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()], set()
+    for at in range(1, len(rows), 8):
+        doc, text = rows[at]
+        size = 24 if at % 16 == 1 else 64
+        planted.add((doc, len(text) + 1, len(text) + 1 + size))
+        rows[at] = (doc, text + " " + "".join(rng.choice("0123456789ABCDEF") for _ in range(size)))
+    found = random_spans(spark, rows)
+    for size in (24, 64):
+        own = {x for x in planted if x[2] - x[1] == size}
+        assert len(found & own) >= 0.9 * len(own)
+    assert len(found - planted) <= 0.05 * len(found)
+
+
+def test_a_shouted_word_in_many_copies_is_no_key(spark):
+    rows = [r[:2] for i, r in enumerate(secret_rows(1200, seed=8)[0]) if i % 10]
+    shouted = [(10_000 + i, "a few words before ERSCHSCHBERBERTZ and after") for i in range(40)]
+    assert not any(i >= 10_000 for i, _, _ in random_spans(spark, rows + shouted))
+
+
+def test_nothing_is_accepted_without_a_null(spark):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice(BASE64[:62]) for _ in range(40))) for i in range(20)]  # 80 natural strings at most
+    assert random_spans(spark, rows) == set()
+    digits = [(10_000 + i, "".join(rng.choice("0123456789") for _ in range(40))) for i in range(200)]
+    assert not any(i >= 10_000 for i, _, _ in random_spans(spark, [r[:2] for r in secret_rows(800)[0]] + digits))
+
+
 def test_battery_is_uniform_under_randomness():
     rng = np.random.default_rng(1)
     p = np.array([secrets_scan.combined(secrets_scan.battery(rng.integers(0, 64, 40), 64)) for _ in range(2000)])
