@@ -93,7 +93,7 @@ _scored("score_by_dimension", lambda r: scores.score_by(r, "dimension", "house")
 _scored("score_matrix", scores.score_matrix, """SELECT domain, round_even(sum(passing) FILTER (house = 'HOC') * 100.0::DOUBLE / sum(total) FILTER (house = 'HOC'), 2) AS score_hoc, round_even(sum(passing) FILTER (house = 'HOL') * 100.0::DOUBLE / sum(total) FILTER (house = 'HOL'), 2) AS score_hol,
   count(*) FILTER (rag = 'Red') AS red, count(*) FILTER (rag = 'Amber') AS amber, count(*) FILTER (rag = 'Green') AS green FROM r GROUP BY domain""")
 _scored("risk_matrix", scores.risk_matrix, "SELECT severity, count(*) FILTER (rag = 'Red') AS red, count(*) FILTER (rag = 'Amber') AS amber FROM r WHERE rag <> 'Green' GROUP BY severity")
-_scored("score_means", scores.means, "SELECT domain, dimension, round_even(avg(pass_rate), 4) AS mean_pass_rate, round_even(avg(error_rate), 4) AS mean_error_rate FROM r GROUP BY domain, dimension")
+_scored("score_means", scores.means, "SELECT domain, dimension, " + ", ".join(f"round_even(sum(round({c} * 10, 0)::BIGINT)::BIGINT::DOUBLE * 1000 / count(*), 0) / 10000 AS mean_{c}" for c in ("pass_rate", "error_rate")) + " FROM r GROUP BY domain, dimension")
 _scored("scorecard", scores.scorecard, "SELECT house, count(*) AS checks, " + ", ".join(f"count(*) FILTER (rag = '{c}') AS {c.lower()}" for c in scores.RAGS) + ", " + ", ".join(f"count(*) FILTER (severity = '{s}' AND failing > 0) AS failing_{s.lower()}" for s in scores.SEVERITIES) + " FROM r GROUP BY house")
 _scored("report_summary", scores.summary, "SELECT count(DISTINCT check_id) AS checks, count(DISTINCT check_id) FILTER (failing > 0) AS checks_failing, count(DISTINCT check_id) FILTER (failing > 0 AND severity = 'Critical') AS critical_failing FROM r")
 _scored("tracker", lambda r: io.tracker(r, house="HOC"), "SELECT check_id, domain, object, dimension, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS severity_rank, house, total, failing, error_rate, rag, '' AS owner, '' AS comment, '' AS resolved_on FROM r WHERE failing > 0 AND house = 'HOC'")
