@@ -186,7 +186,7 @@ FROM lineitem WHERE l_partkey % 16 <> 5 GROUP BY 1, 2, 3, 4, 5, 6, l_partkey""",
   'Category ' || {text("l_partkey % 25")} AS art_gr_description, CASE WHEN l_orderkey % 4 = 1 THEN 'K' || {text("o_custkey + l_linenumber % 2")} END AS contract_id, cast(l_orderkey % 4 AS int) AS amend_no,
   {money("CASE WHEN l_partkey % 70 = 3 THEN -1 ELSE 1 END * l_extendedprice")} AS amount, {money("l_extendedprice * (1 + l_orderkey % 2)")} AS com_amount,
   CASE WHEN l_suppkey % 3 = 1 THEN {money("l_extendedprice")} WHEN l_suppkey % 11 = 1 THEN {money("l_extendedprice * 2")} ELSE {money("0")} END AS invoiced, CASE WHEN l_suppkey % 4 = 1 THEN {money("l_extendedprice")} END AS arr_amount,
-  {money("l_extendedprice")} AS vow_amount, {money("l_quantity")} AS vow_val, {money("l_extendedprice / l_quantity")} AS unit_price, {unless("l_partkey % 10 = 9", "cast(l_shipdate AS date)")} AS deliv_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+  {money("l_extendedprice")} AS vow_amount, {money("l_quantity")} AS vow_val, {money("floor(l_extendedprice * 100 / l_quantity + 0.5) / 100")} AS unit_price, {unless("l_partkey % 10 = 9", "cast(l_shipdate AS date)")} AS deliv_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "unit4_commitments": f"""SELECT CASE WHEN o_custkey % 9 = 4 THEN 'Unknown' ELSE {house("o_custkey")} END AS house, CASE WHEN o_custkey % 58 = 3 THEN '' ELSE 'K' || {text("o_custkey")} END AS u4_contract_id, {unless("o_custkey % 25 = 3", party("o_custkey"))} AS supplier_id,
   min(cast(o_orderdate AS date)) AS date_from, CASE WHEN o_custkey % 34 = 3 THEN DATE '1990-01-01' ELSE max(cast(o_orderdate AS date)) END AS date_to, sum({money("o_totalprice")}) AS award_amount, sum({money("o_totalprice")}) + 1000 AS amount_limit,
   {money("0")} + CASE WHEN o_custkey % 8 = 1 THEN -500 ELSE 1000 END AS remaining_amount, sum(CASE WHEN o_orderstatus = 'F' THEN {money("o_totalprice")} ELSE {money("0")} END) AS posted_amount FROM orders GROUP BY o_custkey""",

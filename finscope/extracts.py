@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finscope.clean import wide_to_long
+from finscope.clean import is_blank, wide_to_long
 
 
 def master_with_last_transaction(header: DataFrame, addresses: DataFrame, open_items: DataFrame, history: DataFrame) -> DataFrame:
@@ -129,3 +129,29 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("rows"))
+
+
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, values as text, in one scan and one aggregation.
+
+    Blank texts and nulls are one value, null. A value that most rows share is
+    counted before anything is shuffled.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.when(~is_blank(F.col(c).cast("string")), F.trim(F.col(c).cast("string"))).alias("value")) for c in columns]))
+    return df.select(cells.alias("cell")).groupBy("cell.column", "cell.value").agg(F.count("*").alias("n"))
+
+
+def profile_columns(counts: DataFrame) -> DataFrame:
+    """Of each column of `counted`: rows, filled ones and their share, different values, and of those that are numbers the signs, extremes and sum."""
+    number, n = F.col("value").try_cast("decimal(28,6)"), F.col("n")
+    of = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+    return counts.groupBy("column").agg(
+        F.sum(n).alias("rows"), of(F.col("value").isNotNull()).alias("filled"), (of(F.col("value").isNotNull()) / F.sum(n)).alias("populated"), F.count("value").alias("distinct_values"),
+        of(number < 0).alias("negative"), of(number == 0).alias("zero"), of(number > 0).alias("positive"), F.min(number).cast("double").alias("least"), F.max(number).cast("double").alias("greatest"), F.sum(number * n).cast("double").alias("total"),
+    )
+
+
+def top_values(counts: DataFrame, most: int = 20) -> DataFrame:
+    """(column, rank, value, n): the most frequent values of each column, ties by the value; only so many of each column are ever shuffled by a task."""
+    order = Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_first())
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("column", "rank", "value", "n")

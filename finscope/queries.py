@@ -10,7 +10,7 @@ from finscope import bindings, extracts, hierarchy, house, io, scores
 from finscope.bindings import AS_OF
 from finscope.checks import CATALOGUE, core, evidence, oracle
 from finscope.migration import decisions, pipeline
-from finscope.positions import aging, money, nbv, orders, projects
+from finscope.positions import aging, money, nbv, orders, project_extract, projects
 
 BUILT = ("asset_nbv", "project_codes", "project_units", "project_commitments")
 PLAIN = [c for c in CATALOGUE if c.table not in BUILT and c.id != "GL_DIM_DEEP_HIERARCHY"]
@@ -269,6 +269,24 @@ _tasks = lambda f: projects.tasks(projects.in_scope(_project(f)[1], expenditure_
 _add("project_tasks", _PRJ, _tasks, f"SELECT * FROM {_TASKS}")
 _add("project_idle_codes", _PRJ, lambda f: projects.idle_codes(f["project_list"], _tasks(f)), f"SELECT hais_code, l.* FROM (SELECT hais_code, min({{'unit': unit, 'hais_desc': hais_desc, 'status': status}}) AS l FROM project_list WHERE hais_code IS NOT NULL GROUP BY 1) WHERE hais_code NOT IN (SELECT hais_code FROM {_TASKS} WHERE hais_code IS NOT NULL)")
 
+# The project extract
+
+_extracted = lambda f: project_extract.extract(f["project_list"], f["project_financials"])
+_ON_LIST = f"(SELECT * FROM {_LINES} WHERE on_list)"
+_LATEST = f"(SELECT {_PI(f'max(period) FILTER ({_ACT})')} FROM project_financials)"
+_SIGNAL = f"CASE WHEN last_period IS NULL THEN 'No activity' WHEN {_LATEST} - {_PI('last_period')} <= 12 THEN 'Live' ELSE 'Dormant' END"
+_ACTIVE_BY = lambda k: f"(SELECT {k}, min(period) AS first_period, max(period) AS last_period, CASE WHEN count(DISTINCT house) = 1 THEN min(house) ELSE 'Shared' END AS houses, count(DISTINCT hais_code) AS active_lines FROM {_ON_LIST} WHERE {_ACT} GROUP BY 1)"
+_MAIN = lambda c: f"(SELECT unit, {c} FROM (SELECT unit, {c}, count(*) AS n FROM project_list WHERE coalesce(trim({c}), '') <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, {c}) = 1)"
+_add("project_extract_header", _PRJ, lambda f: _extracted(f)["header"].drop("project_manager", "start_date", "end_date"), f"""SELECT unit, unit_desc, hais_listed, costc, directorate, department, first_period, last_period, coalesce(active_lines, 0) AS active_lines, coalesce(houses, '—') AS houses, projcat, projgrp, 'Unclassified' AS project_type, {_SIGNAL} AS signal
+FROM (SELECT unit, min(unit_desc) AS unit_desc, count(DISTINCT hais_code) AS hais_listed, min(costc) AS costc, min(directorate) AS directorate, min(department) AS department FROM project_list WHERE coalesce(trim(unit), '') <> '' GROUP BY unit) LEFT JOIN {_ACTIVE_BY('u AS unit')} USING (unit) LEFT JOIN {_MAIN('projcat')} USING (unit) LEFT JOIN {_MAIN('projgrp')} USING (unit)""")
+_add("project_extract_tasks", _PRJ, lambda f: _extracted(f)["tasks"], f"""SELECT hais_code, l.unit AS unit, l.unit_desc AS unit_desc, l.hais_desc AS hais_desc, l.status AS status, first_period, last_period, coalesce(houses, '—') AS houses, first_period IS NOT NULL AS has_activity, {_SIGNAL} AS signal
+FROM (SELECT hais_code, min({{'unit': unit, 'unit_desc': unit_desc, 'hais_desc': hais_desc, 'status': status}}) AS l FROM project_list WHERE hais_code IS NOT NULL GROUP BY 1) LEFT JOIN {_ACTIVE_BY('hais_code')} USING (hais_code)""")
+_add("project_extract_reconciliation", _PRJ, lambda f: _extracted(f)["reconciliation"], f"""SELECT * FROM (WITH c AS (SELECT DISTINCT hais_code FROM project_list WHERE hais_code IS NOT NULL), a AS (SELECT DISTINCT hais_code FROM {_ON_LIST} WHERE {_ACT}), n AS (SELECT DISTINCT hais_code FROM project_financials WHERE hais_code IS NOT NULL),
+ p AS (SELECT u AS unit, house, sum(actuals) AS s, sum(committed) AS c, sum(budget) AS b FROM {_ON_LIST} GROUP BY ALL HAVING min(period) FILTER ({_ACT}) IS NOT NULL), k AS (SELECT u AS unit, hais_code, house, sum(actuals) AS s FROM {_ON_LIST} GROUP BY ALL HAVING min(period) FILTER ({_ACT}) IS NOT NULL), h AS (SELECT DISTINCT unit FROM project_list WHERE coalesce(trim(unit), '') <> '')
+SELECT "check", value::DOUBLE AS value FROM (SELECT 'listed codes' AS "check", count(*) AS value FROM c UNION ALL SELECT 'codes in the financials', count(*) FROM n UNION ALL SELECT 'listed codes with activity', count(*) FROM a UNION ALL SELECT 'listed codes without activity', count(*) FROM c ANTI JOIN a USING (hais_code) UNION ALL SELECT 'codes off the list', count(*) FROM n ANTI JOIN c USING (hais_code)
+UNION ALL SELECT 'actuals on listed codes', sum(actuals) FROM {_ON_LIST} UNION ALL SELECT 'spend to date', sum(s) FROM p UNION ALL SELECT 'open commitments', sum(c) FROM p UNION ALL SELECT 'budget to date', sum(b) FROM p UNION ALL SELECT 'tasks and positions apart', (SELECT sum(s) FROM k) - (SELECT sum(s) FROM p) UNION ALL SELECT 'history and positions apart', 0
+UNION ALL SELECT 'positions without a project', count(*) FROM p ANTI JOIN h USING (unit) UNION ALL SELECT 'task positions without a task', count(*) FROM k ANTI JOIN c USING (hais_code) UNION ALL SELECT 'tasks without a project', count(*) FROM (SELECT hais_code, min({{'unit': unit}}).unit AS unit FROM project_list WHERE hais_code IS NOT NULL GROUP BY 1) ANTI JOIN h USING (unit)))""")
+
 # Evidence of every check
 
 _BUILDS = {"asset_nbv": (_NBV, _nbv, _ASSET_ROWS), "project_codes": (_PRJ, _codes, _CODES), "project_units": (_PRJ, lambda f: projects.positions(_project(f)[1]), _UNITS), "project_commitments": (_PRJ, lambda f: projects.commitments(_project(f)[0]), _COMMITMENTS)}
@@ -560,6 +578,12 @@ _add("order_states", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader
 _add("extract_fiscal_year", {"gl_journals"}, lambda f: extracts.fiscal_year(f["gl_journals"], 2000).select("house", "client", "voucher_no", "sequence_no", "account", "period"), "SELECT house, client, voucher_no, sequence_no, account, period FROM gl_journals WHERE fiscal_year = 2000")
 _add("profile_first_entries", {"asset_master"}, lambda f: extracts.first_entries(f["asset_master"], ["cap_date_from", "date_from", "date_to", "org_amt_date"], table="asset_master"), " UNION ALL ".join(f"SELECT 'asset_master' AS \"table\", '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, count(*) FILTER ({c} <= DATE '1900-01-02') AS placeholders, min({c}) FILTER ({c} > DATE '1900-01-02')::DATE AS earliest FROM asset_master" for c in ("cap_date_from", "date_from", "date_to", "org_amt_date")))
 _add("profile_budgets", {"budgets_report"}, lambda f: extracts.profile(f["budgets_report"], ["gl_actuals", "orig_budget", "curr_budget", "live_forecast"]).drop("populated"), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} = 0) AS zero, count(*) FILTER ({c} > 0) AS positive, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, sum({c}) AS total, count(DISTINCT {c}) AS distinct_values FROM budgets_report" for c in ("gl_actuals", "orig_budget", "curr_budget", "live_forecast")))
+_WIDE = ("house", "client", "order_id", "line_no", "sequence_no", "apar_id", "status", "account", "art_gr_id", "art_gr_description", "contract_id", "amend_no", "amount", "com_amount", "invoiced", "arr_amount", "vow_amount", "vow_val", "unit_price", "deliv_date")
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN coalesce(trim({c}::VARCHAR), '') NOT IN ('', 'nan', 'None', 'NaT') THEN trim({c}::VARCHAR) END AS value, count(*) AS n FROM apodetail GROUP BY 2" for c in _WIDE)
+_NUMBER = "try_cast(value AS DECIMAL(28, 6))"
+_add("profile_order_lines", {"apodetail"}, lambda f: extracts.profile_columns(extracts.counted(f["apodetail"], _WIDE)), f"""SELECT "column", sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (value IS NOT NULL), 0)::BIGINT AS filled, coalesce(sum(n) FILTER (value IS NOT NULL), 0)::DOUBLE / sum(n) AS populated, count(value) AS distinct_values,
+ {", ".join(f"coalesce(sum(n) FILTER ({_NUMBER} {o} 0), 0)::BIGINT AS {name}" for o, name in (("<", "negative"), ("=", "zero"), (">", "positive")))}, min({_NUMBER})::DOUBLE AS least, max({_NUMBER})::DOUBLE AS greatest, sum({_NUMBER} * n)::DOUBLE AS total FROM ({_CELLS}) GROUP BY 1""")
+_add("profile_order_line_values", {"apodetail"}, lambda f: extracts.top_values(extracts.counted(f["apodetail"], _WIDE)), f"SELECT \"column\", rank, value, n FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value NULLS FIRST) AS rank FROM ({_CELLS})) WHERE rank <= 20")
 _add("value_counts_orders", {"apoheader"}, lambda f: extracts.value_counts(f["apoheader"], "status", "amend_no"), "SELECT status, amend_no, count(*) AS rows FROM apoheader GROUP BY ALL")
 
 
