@@ -12,7 +12,11 @@ COMPANY_PEOPLE = ("EM", "ME", "WI", "IR", "PY", "SC", "SA")
 POSTCODE_GB = "[A-Z]{1,2}[0-9][A-Z0-9]?[ ]?[0-9][A-Z]{2}"
 FIVE_DIGIT_COUNTRIES = ("DE", "FR", "IT", "ES", "BE", "AT", "CH", "PT", "SE", "NO", "DK", "FI", "PL", "LU", "HU", "CZ", "SK", "SI", "HR", "RO", "BG")
 # Prefixes of company numbers that six digits follow.
-COMPANY_PREFIXES = ("AC", "CE", "CS", "ES", "FC", "FE", "GE", "GN", "GS", "IC", "IP", "LP", "NA", "NC", "NF", "NI", "NL", "NP", "NR", "NV", "NZ", "OC", "OE", "RC", "RS", "SA", "SC", "SE", "SF", "SG", "SI", "SL", "SO", "SP", "SR", "SZ", "ZC")
+COMPANY_PREFIXES = (
+    "OC", "SO", "NC", "SC", "NI", "LP", "SL", "NL", "FC", "SF", "NF", "RC", "SR", "NR",
+    "ZC", "SZ", "NZ", "IP", "SP", "NP", "RS", "GE", "GS", "GN", "SE", "ES", "CE", "CS",
+    "AC", "SA", "NA", "IC", "SI", "NV", "OE", "FE", "SG",
+)
 
 HOC, HOL = eq("house", "HOC"), eq("house", "HOL")
 CLIENT = f"(({HOC} AND {among('client', *HOC_CLIENTS)}) OR ({HOL} AND {among('client', *HOL_CLIENTS)}))"
