@@ -146,7 +146,7 @@ TABLES: dict[str, str] = {
   {text("p_partkey % 10")} AS dim_position, cast(p_partkey % 5 AS bigint) AS active, cast(p_partkey % 3 AS bigint) AS closed FROM part WHERE p_partkey % 10 = 3 OR p_partkey % 10 = 8""",
     "gl_transact_dim": f"""SELECT DISTINCT {house("l_partkey")} AS house, {client("l_partkey")} AS client, {text("l_partkey % 3")} AS dim_position, {text("l_partkey")} AS dim_value FROM lineitem""",
     "aglyearend": f"""SELECT {house("l_partkey")} AS house, {client("l_partkey")} AS client, {text("5000 + l_partkey + CASE WHEN l_orderkey % 60 = 1 THEN 9000000 ELSE 0 END")} AS account, {unless("l_orderkey % 7 = 1", text("l_partkey + CASE WHEN l_orderkey % 50 = 3 THEN 7000000 ELSE 0 END"))} AS dim_1,
-  {unless("l_orderkey % 44 = 2", money("l_extendedprice"))} AS amount FROM lineitem WHERE l_linenumber = 1""",
+  {unless("l_orderkey % 44 = 2", money("CASE WHEN l_orderkey % 3 = 1 THEN -1 ELSE 1 END * l_extendedprice"))} AS amount, {pick("l_orderkey", "1", "-1", "1", "1", "-1", "NULL")} AS dc_flag FROM lineitem WHERE l_linenumber = 1""",
     "gl_budgets": f"""SELECT {house("l_partkey")} AS house, {client("l_partkey")} AS client, {text("5000 + l_partkey + CASE WHEN l_orderkey % 70 = 1 THEN 9000000 ELSE 0 END")} AS account, {unless("l_orderkey % 8 = 1", text("l_partkey"))} AS dim_1,
   {unless("l_orderkey % 45 = 2", money("l_extendedprice"))} AS amount FROM lineitem WHERE l_linenumber = 2""",
     "gl_journals": f"""SELECT {house("l_partkey")} AS house, {client("l_partkey")} AS client, {unless("l_orderkey % 500 = 2", text("l_orderkey"))} AS voucher_no, {text("l_linenumber")} AS sequence_no,

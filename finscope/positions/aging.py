@@ -71,6 +71,14 @@ def open_split(items: DataFrame, statuses, column: str) -> DataFrame:
     return rows.groupBy("house", column).agg(F.count("*").alias("items"), F.coalesce(F.sum("rest_amount"), F.lit(0)).cast("decimal(28,2)").alias("balance"))
 
 
+def debit_credit(balances: DataFrame, debit: int = 1, credit: int = -1) -> DataFrame:
+    """Opening balances by house: lines, those of each side, and what each side sums to (credits as a positive number)."""
+    side = lambda flag, c: F.coalesce(F.sum(F.when(F.col("dc_flag") == flag, F.col(c))), F.lit(0))
+    return balances.groupBy("house").agg(
+        F.count("*").alias("lines"), F.count_if(F.col("dc_flag") == debit).alias("debits"), F.count_if(F.col("dc_flag") == credit).alias("credits"), side(debit, "amount").alias("debit_total"), F.abs(side(credit, "amount")).alias("credit_total")
+    )
+
+
 def ledger_profile(journals: DataFrame) -> DataFrame:
     """Journals by house: lines, vouchers, users, types and the span of periods."""
     return journals.groupBy("house").agg(

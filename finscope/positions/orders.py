@@ -92,3 +92,16 @@ def contract_leakage(lines: DataFrame) -> DataFrame:
     tagged = ~is_blank(F.col("contract_id"))
     sums = lines.groupBy("apar_id").agg(F.sum(F.when(tagged, _amount("amount")).otherwise(_zero())).alias("tagged"), F.sum(F.when(~tagged, _amount("amount")).otherwise(_zero())).alias("untagged"), F.count_distinct(F.when(tagged, F.trim("contract_id"))).alias("contracts"))
     return sums.where("tagged > 0 AND untagged > 0")
+
+
+def leakage_detail(lines: DataFrame, contracts: DataFrame, masters: DataFrame) -> DataFrame:
+    """A row for each contract of a supplier with tagged and untagged spend: what was ordered under it and its award value, beside the supplier's own sums.
+
+    Of several contracts with a reference, and of several names of a supplier, the
+    least counts.
+    """
+    flagged = contract_leakage(lines).withColumn("untagged_pct", (F.col("untagged").cast("double") / (F.col("tagged") + F.col("untagged")).cast("double")) * 100)
+    ordered = lines.where(~is_blank(F.col("contract_id"))).groupBy("apar_id", F.trim("contract_id").alias("contract_ref")).agg(F.sum(_amount("amount")).alias("contract_tagged"))
+    awards = contracts.where(~is_blank(F.col("contract_ref"))).groupBy(F.trim("contract_ref").alias("contract_ref")).agg(F.min("total_award_value").alias("total_award_value"))
+    names = masters.groupBy("apar_id").agg(F.min("apar_name").alias("apar_name"))
+    return ordered.join(flagged.drop("contracts"), "apar_id").join(awards, "contract_ref", "left").join(names, "apar_id", "left").withColumn("apar_name", F.coalesce("apar_name", "apar_id"))

@@ -19,7 +19,7 @@ DAY = f"DATE '{AS_OF}'"
 #: Amounts of each query, which both engines return as doubles.
 MONEY = {
     "evidence_ap_trans_sup_closed": "rest_amount", "aging_ap": "outstanding", "aging_ar": "outstanding", "volumes_ap": "balance", "volumes_ar": "balance", "status_split_ap": "balance", "status_split_ar": "balance",
-    "po_status_summary": "ordered invoiced received open_commitment", "po_fulfilment": "received_not_invoiced not_received", "po_resolution_mix": "released", "po_age_bands": "value", "po_spend_by_category": "ordered invoiced", "po_top_suppliers": "ordered", "po_contract_leakage": "tagged untagged",
+    "po_status_summary": "ordered invoiced received open_commitment", "po_fulfilment": "received_not_invoiced not_received", "po_resolution_mix": "released", "po_age_bands": "value", "po_spend_by_category": "ordered invoiced", "po_top_suppliers": "ordered", "po_contract_leakage": "tagged untagged", "po_leakage_detail": "contract_tagged tagged untagged total_award_value", "volumes_opening": "debit_total credit_total",
     "nbv_books": "cost depreciation reserve other nbv net_all_accounts", "nbv_assets": "curr_nbv hist_nbv reval_reserve reval_variance", "nbv_bands": "curr_nbv", "nbv_account_detail": "amount",
     "project_positions": "spend_to_date commitments budget_to_date current_fy_actuals current_fy_budget remaining_budget remaining_after_commitments", "project_history": "actuals budget cumulative_actuals cumulative_budget", "project_commitments": "committed", "project_coverage": "actuals budget committed",
     "project_codes": "actuals_total budget_total committed_total", "contract_metrics": "value", "budget_kpis": "gl_actuals orig_budget curr_budget live_forecast virement remaining forecast_variance", "budget_top_account_desc": "gl_actuals curr_budget", "budget_top_haiscode": "gl_actuals curr_budget", "budget_by_period": "gl_actuals curr_budget",
@@ -111,6 +111,7 @@ LEFT JOIN (SELECT house, count(DISTINCT apar_id) AS closed_but_recent FROM {_m}
 LEFT JOIN (SELECT house, count(*) AS open_items, count(*) FILTER (due_date < {DAY}) AS overdue_items, coalesce(sum(rest_amount), 0)::DECIMAL(28, 2) AS balance FROM {_t} WHERE status IS DISTINCT FROM 'C' GROUP BY house) o USING (house)
 LEFT JOIN (SELECT house, count(*) AS history_items FROM {_h} GROUP BY house) h USING (house)""")
     _add(f"status_split_{_kind}", {_t}, lambda f, t=_t: aging.status_split(f[t]), f"SELECT house, status, count(*) AS items, sum(rest_amount)::DECIMAL(28, 2) AS balance FROM {_t} GROUP BY house, status")
+_add("volumes_opening", {"aglyearend"}, lambda f: aging.debit_credit(f["aglyearend"]), "SELECT house, count(*) AS lines, count(*) FILTER (dc_flag = 1) AS debits, count(*) FILTER (dc_flag = -1) AS credits, coalesce(sum(amount) FILTER (dc_flag = 1), 0) AS debit_total, abs(coalesce(sum(amount) FILTER (dc_flag = -1), 0)) AS credit_total FROM aglyearend GROUP BY house")
 _add("volumes_gl", {"gl_journals"}, lambda f: aging.ledger_profile(f["gl_journals"]), "SELECT house, count(*) AS lines, count(DISTINCT voucher_no) AS vouchers, count(DISTINCT user_id) AS users, count(DISTINCT voucher_type) AS voucher_types, min(period) AS first_period, max(period) AS last_period FROM gl_journals GROUP BY house")
 _add("volumes_assets", {"asset_master"}, lambda f: aging.asset_volumes(f["asset_master"], AS_OF), f"SELECT house, status, count(*) AS assets, count(*) FILTER (grant_flag = 1) AS grants, count(*) FILTER (last_update < {DAY} - INTERVAL 36 MONTH) AS stale, count(DISTINCT asset_group) AS groups FROM asset_master GROUP BY house, status")
 
@@ -157,6 +158,10 @@ _add("po_amendments", {"apoheader"}, lambda f: orders.amendment_profile(f["apohe
 _add("po_policy_signals", _HL, lambda f: orders.policy_signals(f["apoheader"], f["apodetail"]), f"SELECT count(*) AS orders, count(*) FILTER (value < 5000) AS small, count(*) FILTER (coalesce(trim(contract_id), '') = '') AS no_contract, count(*) FILTER (coalesce(trim(responsible), '') = '') AS no_responsible, count(*) FILTER (na > 0) AS no_account FROM apoheader LEFT JOIN {_VALUE} USING (client, order_id) WHERE status IN ('O', 'N', 'A')")
 _add("po_contract_leakage", {"apodetail"}, lambda f: orders.contract_leakage(f["apodetail"]), "SELECT * FROM (SELECT apar_id, sum(CASE WHEN coalesce(trim(contract_id), '') <> '' THEN coalesce(amount, 0) ELSE 0 END) AS tagged, sum(CASE WHEN coalesce(trim(contract_id), '') = '' THEN coalesce(amount, 0) ELSE 0 END) AS untagged, count(DISTINCT trim(contract_id)) AS contracts FROM apodetail GROUP BY apar_id) WHERE tagged > 0 AND untagged > 0")
 
+_add("po_leakage_detail", {"apodetail", "atamis_contracts", "asuheader"}, lambda f: orders.leakage_detail(f["apodetail"], f["atamis_contracts"], f["asuheader"]), """SELECT * REPLACE (coalesce(apar_name, apar_id) AS apar_name), untagged::DOUBLE / (tagged + untagged)::DOUBLE * 100 AS untagged_pct FROM
+(SELECT apar_id, trim(contract_id) AS contract_ref, sum(coalesce(amount, 0)) AS contract_tagged FROM apodetail WHERE coalesce(trim(contract_id), '') <> '' GROUP BY ALL) JOIN (SELECT apar_id, coalesce(sum(amount) FILTER (coalesce(trim(contract_id), '') <> ''), 0) AS tagged, coalesce(sum(amount) FILTER (coalesce(trim(contract_id), '') = ''), 0) AS untagged FROM apodetail GROUP BY apar_id) USING (apar_id)
+LEFT JOIN (SELECT trim(contract_ref) AS contract_ref, min(total_award_value) AS total_award_value FROM atamis_contracts WHERE coalesce(trim(contract_ref), '') <> '' GROUP BY 1) USING (contract_ref) LEFT JOIN (SELECT apar_id, min(apar_name) AS apar_name FROM asuheader GROUP BY 1) USING (apar_id) WHERE tagged > 0 AND untagged > 0""")
+
 # Net book value
 
 _NBV = {"asset_balances", "asset_depreciation", "asset_master"}
