@@ -52,13 +52,14 @@ def with_depth(df: DataFrame, scope: list[str], node: str, parent: str) -> DataF
         ways = several.join(known_chain, [*scope, "at"], "left").join(ahead, [*scope, "at"], "left")
         ways = ways.where("_chain IS NULL OR _end IS NOT NULL").select(*scope, "node", F.coalesce("_end", "at").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
         ways = written(ways, "ways")
-        while True:
+        known = known.withColumn("moved", F.lit(True))
+        while known.where("moved").limit(1).count():
             at = known.select(*scope, F.col("node").alias("at"), "depth")
-            found = ways.join(at, [*scope, "at"]).groupBy(*scope, "node").agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
-            better = written(found.join(known.withColumnRenamed("depth", "_old"), [*scope, "node"], "left").where("_old IS NULL OR depth < _old").drop("_old"), "depths")
-            if not better.limit(1).count():
-                break
-            known = written(known.join(better, [*scope, "node"], "left_anti").unionByName(better), "depths")
+            found = ways.join(at, [*scope, "at"]).groupBy(*scope, "node").agg(F.min(F.col("depth") + F.col("steps")).alias("new"))
+            both = known.drop("moved").join(found, [*scope, "node"], "full_outer")
+            better = F.col("new").isNotNull() & (F.col("depth").isNull() | (F.col("new") < F.col("depth")))
+            known = written(both.select(*scope, "node", F.least("depth", "new").alias("depth"), better.alias("moved")), "depths")
+        known = known.drop("moved")
     at = known.select(*scope, F.col("node").alias("at"), "depth")
     chained = ends.join(at, [*scope, "at"]).select(*scope, "node", (F.col("depth") + F.col("steps")).alias("depth"))
     depths = known.unionByName(chained).select(*scope, F.col("node").alias(node), F.col("depth").cast("int").alias("depth"))
