@@ -193,13 +193,13 @@ def probes(nodes: DataFrame, chosen: Plan) -> DataFrame:
     return nodes.select("fp").mapInArrow(work, "part int, value long, fp long")
 
 
-def dealt(rows: DataFrame, bucket: int) -> DataFrame:
-    """rows with `cell`: 0 for a bucket that fits, else its rows are repeated over the cells (s, t), s <= t, of its blocks."""
-    sizes = rows.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
+def dealt(rows: DataFrame, words: list[str], bucket: int) -> DataFrame:
+    """rows with `cell`: 0 for a bucket that fits, else its rows are repeated over the cells (s, t), s <= t, of its blocks; words name the fingerprint's columns."""
+    sizes = written(rows.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large-buckets")
     if not sizes.limit(1).count():
         return rows.withColumns({"cell": F.lit(0), "block": F.lit(0), "blocks": F.lit(1)})
     out = rows.join(sizes, ["part", "value"], "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1)).cast("int"))
-    out = out.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    out = out.withColumn("block", F.pmod(F.xxhash64(*words), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return out.withColumn("other", other).withColumn("cell", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).drop("n", "other")
 
@@ -289,7 +289,7 @@ def linked(rows: DataFrame, words: list[str], k: int, bucket: int, as_stars: boo
     may be further away. A large component has much the same one in all parts, so
     that few of the links are different.
     """
-    rows = dealt(rows, bucket)
+    rows = dealt(rows, words, bucket)
     ordered = rows.repartition("part", "value", "cell").sortWithinPartitions("part", "value", "cell", "block", *words).select("part", "value", "cell", *words)
 
     def work(batches):

@@ -157,6 +157,35 @@ def test_pairs_of_a_family_are_verified_before_they_are_thinned(spark):
         assert got == {frozenset((0, 2))}, block
 
 
+def test_near_copies_of_large_buckets_are_found(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for _ in range(14):
+            w = list(base)
+            w[rng.randrange(150)] = word()
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket in (2048, 4):
+        assert sorted(r["doc_id"] for r in simhash.deduped(df, bucket=bucket).collect()) == [0, 14, 28], bucket
+
+
+def test_every_pair_of_a_large_bucket_meets_once_or_more(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(simhash.WORDS)]
+    rows = [(part, value, *(rng.getrandbits(63) for _ in words)) for part, value, n in ((0, 5, 23), (0, 6, 4), (1, 5, 5)) for _ in range(n)]
+    out = simhash.dealt(spark.createDataFrame(rows, "part int, value long, " + ", ".join(f"{w} long" for w in words)), words, 4).collect()
+    met, cells = set(), {}
+    for r in out:
+        cells.setdefault((r["part"], r["value"], r["cell"]), []).append(tuple(r[w] for w in words))
+    for (part, value, _), own in cells.items():
+        met |= {(part, value, frozenset((a, b))) for a in own for b in own if a != b}
+    assert met == {(a[0], a[1], frozenset((a[2:], b[2:]))) for a in rows for b in rows if a != b and a[:2] == b[:2]}
+    assert {k[:2] for k in cells if k[2]} == {(0, 5), (1, 5)}
+
+
 def test_stars_connect_what_a_forest_does():
     rng = np.random.default_rng(4)
     for _ in range(30):
