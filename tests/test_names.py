@@ -44,6 +44,37 @@ def test_near_names_are_all_found(spark, threshold, fan):
     assert got == want and (threshold == 100 or len(want) > 20)
 
 
+def near_by_all_pairs(held, threshold):
+    held = sorted(held)
+    return {(a, b): pairs.indel_ratio(a, b) for i, a in enumerate(held) for b in held[i + 1 :] if pairs.indel_ratio(a, b) >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [60, 90])
+def test_near_names_of_few_syllables_many_letters_and_great_length(spark, threshold):
+    rng = random.Random(threshold)
+    syllables = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki"]
+    held = {"".join(rng.choice(syllables) for _ in range(6)) + rng.choice([" trading", " works"]) for _ in range(250)}
+    held |= {"x" * n for n in (1, 2, 3, 29, 30, 63, 64, 65, 70, 120, 192, 193, 300)} | {"ab" * 40 + c * 5 for c in "abc"}
+    held |= {"".join(chr(0x4E00 + rng.randrange(900)) for _ in range(20)) for _ in range(30)}
+    held |= {altered(rng, n) for n in sorted(held) if len(n) > 10}
+    df = spark.createDataFrame([(n,) for n in held], "name string").selectExpr("'x' AS house", "name")
+    want = near_by_all_pairs(held, threshold)
+    for fan in (7, 64, 2048):
+        assert {(r["name_a"], r["name_b"]): r["score"] for r in names.near(df, ["house"], "name", threshold, fan).collect()} == want
+    assert len(want) > 200
+
+
+def test_lists_hold_no_more_pairs_than_their_blocks(spark):
+    rng = random.Random(5)
+    held = {"x": {"".join(rng.choice(["ba", "ce", "di", "fo"]) for _ in range(8)) for _ in range(400)}, "y": {f"{rng.randrange(10**12):012d}{chr(0x4E00 + i)}{chr(0x5E00 + i)}" for i in range(400)}, "z": {"aa", "ab", "ac"}}
+    df = spark.createDataFrame([(h, n) for h, ns in held.items() for n in ns], "house string, name string")
+    found = defaultdict(list)
+    for r in names._lists(df, ["house"], 90, 2, 16).groupBy("house", "gram").count().collect():
+        found[r["house"]].append((r["gram"], r["count"]))
+    assert all(sum(n * n for _, n in lists) <= len(held[h]) ** 2 for h, lists in found.items())
+    assert found["x"] == [("", len(held["x"]))] and found["z"] == [("", 3)] and len(found["y"]) > 100
+
+
 def test_partners_match_all_pairs(spark):
     rng = random.Random(3)
     base = [" ".join(words(rng) for _ in range(2)) for _ in range(12)]
