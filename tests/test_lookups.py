@@ -3,8 +3,8 @@
 import random
 from collections import defaultdict
 
-from finscope import hierarchy
-from finscope.checks import core, evidence
+from finscope import bindings, hierarchy
+from finscope.checks import CATALOGUE, core, evidence
 from tests.test_finance import AS_OF, check, supplier
 
 
@@ -71,3 +71,21 @@ def test_lookups_with_and_without_rows(spark):
     new, twice, kept = core.found("t", where="s = 'n'", k="k"), core.repeated("k"), core.repeated("k", where=core.exists("t", k="k"))
     out = core.with_refs(df, {"t": other}, " ".join([many, some, new, twice, kept]), AS_OF).selectExpr("k", f"{many} AS many", f"{some} AS some", f"{new} AS new", f"{twice} AS twice", f"{kept} AS kept").collect()
     assert sorted(map(tuple, out), key=repr) == sorted([("a", 2, 1, 1, True, True)] * 2 + [("b", 1, None, None, False, False), (None, None, None, None, False, False), ("z", None, None, None, False, False)], key=repr)
+
+
+def test_repeated_keys_are_counted_before_values_from_elsewhere_are_joined(spark):
+    rows = spark.createDataFrame([("HOC", "1", "a"), ("HOC", "1", "b"), ("HOC", "2", "a")], "house string, apar_id string, account string")
+    accounts = spark.createDataFrame([("HOC", "a", "C")], "house string, account string, status string")
+    rules = (core.repeated("apar_id"), f"coalesce({core.found('accounts', 'min(status)', house='house', account='account')}, 'N') = 'C'")
+    out = core.annotated({"rows": rows, "accounts": accounts}, "rows", [core.Check("", "", "", "", "Low", "rows", r) for r in rules], AS_OF)
+    assert {(r["apar_id"], r["account"], r["f_0"], r["f_1"]) for r in out.collect()} == {("1", "a", True, True), ("1", "b", True, False), ("2", "a", False, True)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_evidence_is_the_same_where_checks_without_lookups_stand_apart(spark):
+    f = bindings.frames(spark, "/root/testdata/sf0.001", {"apoheader", "apodetail", "asuheader", "aglaccounts"})
+    own = [c for c in CATALOGUE if c.domain == "PO"]
+    found = [sorted(map(tuple, evidence.failing(f, own, AS_OF, apart).collect())) for apart in ((), ("apoheader", "apodetail"))]
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) > 10
+    shuffled = evidence.failing(f, [c for c in own if not core.used(c.fails + c.population) and c.table == "apoheader"], AS_OF, ("apoheader",))
+    assert "Join " not in shuffled._jdf.queryExecution().optimizedPlan().toString()
